@@ -19,7 +19,31 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.packing import pack_online
+
+    return pack_online(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id").drop("ids")
+
+
+def op5_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each sequence, with checksums of its row of the id matrix and of its positions."""
+    from quillgraph.llm.packing import pack_decreasing
+
+    packed = pack_decreasing(_docs(spark, sf_dir))
+    return packed.select("sequence_id", "doc_ids", "starts", "cu_seqlens", F.element_at("cu_seqlens", -1).cast("long").alias("used"), F.crc32("ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.quality import judge
+
+    judged = judge(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op5_token_matrix": op5_token_matrix,
+    "op10_quality": op10_quality,
     "op4_simhash": op4_simhash,
 }
 
