@@ -19,6 +19,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.secrets import digest, scan
+
+    return digest(scan(_docs(spark, sf_dir))[0])
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.llm.packing import pack_online
 
@@ -33,6 +39,19 @@ def op5_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("sequence_id", "doc_ids", "starts", "cu_seqlens", F.element_at("cu_seqlens", -1).cast("long").alias("used"), F.crc32("ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.licenses import labels
+
+    return labels(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.sharding import assign
+
+    placed = assign(_docs(spark, sf_dir), [1.0] * 8, grown=[1.0] * 9)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.llm.quality import judge
 
@@ -41,8 +60,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
     "op5_token_matrix": op5_token_matrix,
+    "op6_licenses": op6_licenses,
+    "op7_sharding": op7_sharding,
     "op10_quality": op10_quality,
     "op4_simhash": op4_simhash,
 }
