@@ -52,6 +52,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.decontaminate import matches
+
+    return matches(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.llm.quality import judge
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_matrix": op5_token_matrix,
     "op6_licenses": op6_licenses,
     "op7_sharding": op7_sharding,
+    "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
     "op4_simhash": op4_simhash,
 }
