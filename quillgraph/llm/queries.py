@@ -52,6 +52,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.langid import fit, predict
+
+    docs = _docs(spark, sf_dir)
+    return predict(docs, fit(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.llm.decontaminate import matches
 
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_matrix": op5_token_matrix,
     "op6_licenses": op6_licenses,
     "op7_sharding": op7_sharding,
+    "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
     "op4_simhash": op4_simhash,
