@@ -12,6 +12,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.toxicity import fit, score
+
+    docs = _docs(spark, sf_dir)
+    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).withColumnRenamed("id", "doc_id")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.llm.simhash import near_duplicates
 
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
 }
 
