@@ -63,3 +63,27 @@ def pieces(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterato
         step = max(1, int(rows * chars / max(whole.nbytes, 1)))
         for start in range(0, rows, step):
             yield whole.slice(start, step)
+
+
+#: A set of ids is broadcast up to this many rows, and joined by a shuffle beyond.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """`docs` without the rows whose `key` is in the one column of `gone` (non-null, distinct); null keys stay."""
+    name = "quill_gone"
+    gone = gone.toDF(name)
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, docs[key] == side[name], "left_anti")
+
+
+def kept_rows(docs: DataFrame, verdict) -> DataFrame:
+    """The rows for which `verdict(batch)` is true, all columns as they are; one pass, nothing shuffled."""
+    import numpy as np
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for rows in pieces([whole]):
+                yield rows.filter(pa.array(np.asarray(verdict(rows), bool)))
+
+    return docs.mapInArrow(make, docs.schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import arrow_map, pieces, text_of
+from quillgraph.llm.common import arrow_map, kept_rows, pieces, text_of
 
 Q = 10
 WINDOW = 100
@@ -187,3 +187,23 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
     found = reduce(DataFrame.unionByName, [find(b) for b in blocks(items, item_id, item_text)])
     return found.groupBy("id", "item").agg(F.count_distinct("window").alias("windows"), F.min("distance").alias("distance"), F.min("start").alias("start"))
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = BUDGET) -> DataFrame:
+    """The documents without those that a window of an item matches, with their columns; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def verdict_of(block: list[tuple[int | None, bytes]]):
+        made: list[Windows] = []
+
+        def verdict(rows: pa.RecordBatch) -> np.ndarray:
+            windows = made[0] if made else made.append(Windows(block, share)) or made[0]
+            stay = np.ones(rows.num_rows, bool)
+            stay[search(windows, [plain(t) for t in rows.column(at).to_pylist()])[0]] = False
+            return stay
+
+        return verdict
+
+    for block in blocks(items, item_id, item_text):
+        docs = kept_rows(docs, verdict_of(block))
+    return docs

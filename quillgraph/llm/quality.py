@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import arrow_map, batch, pieces, written
+from quillgraph.llm.common import arrow_map, batch, kept_rows, pieces, written
 
 GRID = 400
 _SYMBOLS = b"#*$%&|<>"
@@ -178,3 +178,21 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = written(counts(docs, id_col, text_col, stratum_col), "quality")
     return verdicts(counted, fit(counted, labels, id_col, **risk))
 
+
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", **risk) -> DataFrame:
+    """The documents that `judge` keeps, with their columns."""
+    cutoffs = fit(written(counts(docs, id_col, text_col, stratum_col), "quality"), labels, id_col, **risk)
+    text_at, stratum_at = docs.columns.index(text_col), docs.columns.index(stratum_col) if stratum_col else None
+    place = {n: i for i, n in enumerate(_COUNTS.names[2:])}
+
+    def verdict(rows: pa.RecordBatch) -> list[bool]:
+        strata = rows.column(stratum_at).cast(pa.string()).to_pylist() if stratum_at is not None else [""] * rows.num_rows
+        out = []
+        for text, stratum in zip(rows.column(text_at).to_pylist(), strata, strict=True):
+            c = counts_of(text)
+            base = c[place["n_words"]] < 50 or 100 * c[place["n_repeat_words"]] > 50 * c[place["n_words"]]
+            out.append(not base and not any(c[place[a]] / max(c[place[b]], 1) > cutoffs.get((stratum or "", r), inf) for r, (a, b) in RULES.items()))
+        return out
+
+    return kept_rows(docs, verdict)

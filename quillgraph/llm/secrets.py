@@ -143,3 +143,34 @@ def digest(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     counted = {f"n_{rules[i].kind}": of(i) for i in base}
     mine = F.filter("spans", lambda s: reduce(lambda a, b: a | b, [s["place"] == i for i in base]))
     return findings.select(F.col("id").alias("doc_id"), *[c.alias(n) for n, c in counted.items()], F.sha2(spelt(mine, rules), 256).alias("base_sha256"), spelt(F.col("spans"), rules).alias("spans"))
+
+
+MARK = "[SECRET]"
+
+
+def redacted(text: Column, found: Column, mark: str = MARK) -> Column:
+    """The text with each run of overlapping spans replaced by `mark`."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    walked = F.aggregate(
+        found,
+        start,
+        lambda s, x: F.struct(
+            F.greatest(s["at"], x["end"]).alias("at"),
+            F.when(x["start"] >= s["at"], F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).otherwise(s["out"]).alias("out"),
+        ),
+        lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"))),
+    )
+    return F.when(F.size(found) > 0, walked).otherwise(text)
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The documents with the secrets of all rules replaced; `chars_col` (if there) follows the text of changed rows."""
+    hits = written(scan(docs, None, rules, id_col, text_col)[0].filter(F.size("spans") > 0).groupBy(F.col("blob").alias("quill_blob")).agg(F.first("spans").alias("quill_spans")), "hits")
+    side = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
+    joined = docs.join(side, F.unhex(F.sha2(text_of(docs, text_col), 256)) == side["quill_blob"], "left")
+    found = F.coalesce(F.col("quill_spans"), F.array().cast("array<struct<start:bigint,place:int,end:bigint>>"))
+    done = joined.withColumn("quill_text", redacted(F.col(text_col), found))
+    changed = {text_col: F.col("quill_text")}
+    if chars_col in docs.columns:
+        changed[chars_col] = F.when(F.size(found) > 0, F.length("quill_text").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
+    return done.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import arrow_map, pieces, text_of, written
+from quillgraph.llm.common import BROADCAST_IDS, arrow_map, pieces, text_of, without, written
 
 TILE = 8192
 BITS = 64
@@ -229,3 +229,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("low").alias("component"))
     named = named.join(least, "root").select("fp", "component")
     return fps.join(named, "fp", "left").select("id", "fp", "component")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """One document of each component, with its columns: the one with the smallest id.
+
+    Of repeated rows with the same id and text one stays.  A row without an id can't be
+    named as a copy; of such rows with equal texts one stays.
+    """
+    found = written(near_duplicates(docs, id_col, text_col, width, radius), "components")
+    stay = without(docs, found.filter("id is not null and component <> id").select("id").distinct(), id_col)
+    again = found.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("quill_again"))
+    n = again.count()
+    if not n:
+        return stay
+    side = F.broadcast(again) if n <= BROADCAST_IDS else again
+    same = stay[id_col].eqNullSafe(side["quill_again"])
+    return stay.join(side, same, "left_anti").unionByName(stay.join(side, same, "left_semi").dropDuplicates([id_col, text_col]))
