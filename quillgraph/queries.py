@@ -6,5 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a query; `oracle` names views in braces."""
+
+    def register(f: Query) -> Query:
+        from quillgraph.views import sql
+
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLE_SQL[name] = sql(oracle.strip())
+        return f
+
+    return register
+
+
+def _load() -> None:
+    from quillgraph.plans import graph_queries, library_queries, search_queries, text_queries  # noqa: F401
+
+
+_load()
