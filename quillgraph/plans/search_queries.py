@@ -1 +1,142 @@
+"""Search queries: passages are the lines of the documents, questions the benchmark's items."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillgraph.operators import search
+from quillgraph.queries import query
+from quillgraph.views import view
+
+_SPLIT = r"list_filter(string_split_regex(lower({0}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_P = "p AS (SELECT doc_id * 100000 + ordinal AS passage_id, doc_id AS paper_id, " + _SPLIT.format("text") + " AS words FROM {passages})"
+_I = "i AS (SELECT word, passage_id, paper_id, len(words) AS length, count(*) AS tf FROM (SELECT passage_id, paper_id, words, unnest(words) AS word FROM p) AS u GROUP BY ALL)"
+_Q = """q AS (SELECT item_id AS question, word FROM (SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY first) AS place FROM (SELECT item_id, word, min(pos) AS first FROM
+    (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT item_id, """ + _SPLIT.format("text") + """ AS w FROM benchmark) a) b WHERE length(word) >= 4 GROUP BY item_id, word) c) e WHERE place <= 4)"""
+_S = """n AS (SELECT count(*) AS n, avg(len(words)) AS a FROM p), f AS (SELECT word, count(*) AS df FROM i WHERE word IN (SELECT word FROM q) GROUP BY word),
+    s AS (SELECT question, passage_id, paper_id, round(sum(greatest(ln(((SELECT n FROM n) - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT a FROM n)))), 6) AS score, count(*) AS n_terms FROM i JOIN f USING (word) JOIN q USING (word) GROUP BY ALL),
+    k AS (SELECT question, count(*) AS k FROM q GROUP BY question), m AS (SELECT question, max(n_terms) AS best FROM s GROUP BY question),
+    c AS (SELECT s.question, s.passage_id, s.paper_id, s.score, best < k AS partial FROM s JOIN k USING (question) JOIN m USING (question) WHERE (best < k OR n_terms = k) AND (best = k OR k > 1))"""
+_R = """r AS (SELECT question, paper_id, round(sum(score / place), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question, paper_id ORDER BY score DESC, passage_id) AS place FROM c) x WHERE place <= 3 GROUP BY ALL),
+    t AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, paper_id) AS INT) AS rank FROM r)"""
+
+
+def _passages(spark, d):
+    return view(spark, d, "passages").select((F.col("doc_id") * 100000 + F.col("ordinal")).alias("passage_id"), F.col("doc_id").alias("paper_id"), search.plain_words(F.col("text")).alias("words"))
+
+
+def _index(spark, d):
+    flat = _passages(spark, d).select("passage_id", F.size("words").alias("length"), F.explode("words").alias("word"))
+    return flat.groupBy("word", "passage_id", "length").agg(F.count("*").alias("tf"))
+
+
+def _questions(spark, d):
+    """The first four distinct words of four letters or more of each item."""
+    words = view(spark, d, "benchmark").select(F.col("item_id").alias("question"), F.posexplode(search.plain_words(F.col("text"))).alias("pos", "word")).filter("length(word) >= 4")
+    first = words.groupBy("question", "word").agg(F.min("pos").alias("first"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("question").orderBy("first"))).filter("place <= 4").select("question", "word")
+
+
+def _scored(spark, d):
+    lengths = _passages(spark, d).select("passage_id", F.size("words").alias("length"))
+    return search.rank_many(_index(spark, d), lengths, _questions(spark, d)).withColumn("paper_id", F.floor(F.col("passage_id") / 100000))
+
+
+@query("fts3_postings", f"WITH {_P}, {_I} SELECT word, passage_id, CAST(length AS INT) AS length, tf FROM i")
+def _fts3(spark, d):
+    return _index(spark, d).select("word", "passage_id", "length", "tf")
+
+
+@query("fts4_bm25", f"WITH {_P}, {_I}, {_Q}, {_S} SELECT question, passage_id, score, partial FROM c")
+def _fts4(spark, d):
+    return _scored(spark, d).select("question", "passage_id", "score", "partial")
+
+
+@query("fts5_all_or_any", f"WITH {_P}, {_I}, {_Q}, {_S} SELECT partial, count(DISTINCT question) AS questions, count(*) AS passages FROM c GROUP BY partial")
+def _fts5(spark, d):
+    return _scored(spark, d).groupBy("partial").agg(F.count_distinct("question").alias("questions"), F.count("*").alias("passages"))
+
+
+@query("fts7_papers", f"WITH {_P}, {_I}, {_Q}, {_S}, {_R} SELECT question, paper_id, score, rank FROM t")
+def _fts7(spark, d):
+    return search.papers_many(_scored(spark, d))
+
+
+_TITLES = r"""d AS (SELECT doc_id AS paper_id, list_filter(string_split_regex(lower(string_split(text, chr(10))[1]), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+    di AS (SELECT word, paper_id, len(words) AS length, count(*) AS tf FROM (SELECT paper_id, words, unnest(words) AS word FROM d) u GROUP BY ALL), dn AS (SELECT count(*) AS n, avg(len(words)) AS a FROM d), df AS (SELECT word, count(*) AS df FROM di WHERE word IN (SELECT word FROM q) GROUP BY word),
+    ds AS (SELECT question, paper_id, round(sum(greatest(ln(((SELECT n FROM dn) - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT a FROM dn)))), 6) AS ts FROM di JOIN df USING (word) JOIN q USING (word) GROUP BY ALL),
+    tr AS (SELECT question, paper_id, row_number() OVER (PARTITION BY question ORDER BY ts DESC, paper_id) AS r2 FROM ds JOIN (SELECT question, paper_id FROM t) x USING (question, paper_id)),
+    fu AS (SELECT t.question, t.paper_id, round(1 / (60 + t.rank) + coalesce(1 / (60 + tr.r2), 0), 9) AS fused, t.rank AS r1 FROM t LEFT JOIN tr USING (question, paper_id)),
+    fr AS (SELECT question, paper_id, fused, CAST(row_number() OVER (PARTITION BY question ORDER BY fused DESC, r1) AS INT) AS rank FROM fu)"""
+
+
+def _fused(spark, d):
+    """Reciprocal-rank fusion of the papers' ranks with those of their titles, for every question."""
+    ranked = search.papers_many(_scored(spark, d)).select("question", "paper_id", F.col("rank").alias("r1"))
+    titles = view(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), search.plain_words(F.get(F.split("text", "\n"), F.lit(0))).alias("words"))
+    index = titles.select("passage_id", F.size("words").alias("length"), F.explode("words").alias("word")).groupBy("word", "passage_id", "length").agg(F.count("*").alias("tf"))
+    asked = _questions(spark, d)
+    n, avg = titles.agg(F.count("*"), F.avg(F.size("words"))).first()
+    hit = index.join(F.broadcast(asked.select("word").distinct()), "word")
+    frequency = hit.groupBy("word").agg(F.count("*").alias("df"))
+    part = search.idf(n, F.col("df")) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / avg))
+    scored = hit.join(F.broadcast(frequency), "word").join(F.broadcast(asked), "word").groupBy("question", F.col("passage_id").alias("paper_id")).agg(F.round(F.sum(part), 6).alias("ts"))
+    second = scored.join(ranked.select("question", "paper_id"), ["question", "paper_id"], "left_semi").withColumn("r2", F.row_number().over(Window.partitionBy("question").orderBy(F.col("ts").desc(), "paper_id")))
+    both = ranked.join(second, ["question", "paper_id"], "left").withColumn("fused", F.round(1 / (60 + F.col("r1")) + F.coalesce(1 / (60 + F.col("r2")), F.lit(0.0)), 9))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(F.col("fused").desc(), "r1"))).select("question", "paper_id", "fused", "rank")
+
+
+@query("fts8_fusion", f"WITH {_P}, {_I}, {_Q}, {_S}, {_R}, {_TITLES} SELECT question, paper_id, fused, rank FROM fr")
+def _fts8(spark, d):
+    return _fused(spark, d)
+
+
+@query("fts9_selection", f"""WITH {_P}, {_I}, {_Q}, {_S}, {_R}, {_TITLES}, z AS (SELECT c.question, c.passage_id, fr.rank, row_number() OVER (PARTITION BY c.question, c.paper_id ORDER BY c.score DESC, c.passage_id) AS place FROM c JOIN fr USING (question, paper_id))
+    SELECT question, passage_id, rank, CAST(row_number() OVER (PARTITION BY question ORDER BY rank, place) AS INT) AS shown FROM z WHERE place <= 3 QUALIFY row_number() OVER (PARTITION BY question ORDER BY rank, place) <= 20""")
+def _fts9(spark, d):
+    place = F.row_number().over(Window.partitionBy("question", "paper_id").orderBy(F.col("score").desc(), "passage_id"))
+    chosen = _scored(spark, d).withColumn("place", place).filter("place <= 3").join(_fused(spark, d).select("question", "paper_id", "rank"), ["question", "paper_id"])
+    shown = F.row_number().over(Window.partitionBy("question").orderBy("rank", "place"))
+    return chosen.withColumn("shown", shown).filter("shown <= 20").select("question", "passage_id", "rank", "shown")
+
+
+@query("fts14_evaluation", f"""WITH {_P}, {_I}, {_Q}, {_S}, {_R}, {_TITLES}, rel AS (SELECT b.item_id AS question, d.doc_id AS paper_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), best AS (SELECT rel.question, min(fr.rank) AS rank FROM rel LEFT JOIN fr USING (question, paper_id) GROUP BY rel.question)
+    SELECT count(*) AS questions, count(*) FILTER (rank <= 3) AS hits, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM best""")
+def _fts14(spark, d):
+    items = view(spark, d, "benchmark").select(F.col("item_id").alias("question"), F.col("text").alias("item"))
+    # The relevant documents hold the item: candidates share its first words, contains() decides.
+    head = F.substring("item", 1, 20)
+    docs = view(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+    starts = items.select(F.collect_set(head)).first()[0]
+    probe = F.array(*[F.lit(s) for s in starts])
+    relevant = docs.withColumn("s", F.explode(F.filter(probe, lambda s: F.contains(docs["text"], s)))).join(F.broadcast(items.withColumn("s", head)), "s").filter(F.contains("text", "item")).select("question", "paper_id")
+    return search.evaluate(_fused(spark, d), relevant).withColumn("mrr", F.round("mrr", 6))
+
+
+@query("fts3_stemmed_postings")
+def _fts3_stemmed(spark, d):
+    """The index with accents folded and Porter stems, as (word, passages, occurrences)."""
+    rows = view(spark, d, "passages").select((F.col("doc_id") * 100000 + F.col("ordinal")).alias("passage_id"), search.stems("text").alias("words"))
+    return search.postings(rows).groupBy("word").agg(F.count("*").alias("passages"), F.sum("tf").alias("occurrences"))
+
+
+@query("fts6_search")
+def _fts6(spark, d):
+    """A typed query with a phrase and a prefix over the English passages, stemmed, with the papers' fusion."""
+    rows = view(spark, d, "passages").select((F.col("doc_id") * 100000 + F.col("ordinal")).alias("passage_id"), F.col("doc_id").alias("paper_id"), "lang", search.stems("text").alias("words")).cache()
+    terms = search.subject(search.parse('the thing* "and the" heed'))
+    stemmed = [search.Term(tuple(w if t.prefix else search.stem(w) for w in t.words), t.prefix) for t in terms]
+    index = search.postings(rows)
+    scored = search.bm25(search.matching(index, stemmed), search.corpus(rows))
+    chosen = search.all_or_any(scored, len(stemmed), rows.filter("lang = 'en'"))
+    return search.papers(chosen, rows)
+
+
+@query("exp1_nearest", "WITH v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(qe, embedding), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2]))), 4) AS distance FROM q, v WHERE query_id <> vec_id) SELECT query_id, CAST(place AS INT) AS place, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM s) WHERE place <= 10")
+def _exp1(spark, d):
+    """The ten nearest vectors of each query vector (ids divisible by 100) among all, exactly."""
+    from quillgraph.operators.vectors import nearest
+
+    rows = view(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return nearest(rows.filter("id % 100 = 0"), rows, 10).select("query_id", "place", F.round("distance", 4).alias("distance"))

@@ -1 +1,148 @@
+"""Text queries over documents and pages."""
 
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.window import Window
+
+from quillgraph.functions import identity, pagetext, textnorm
+from quillgraph.operators import text
+from quillgraph.queries import query
+from quillgraph.views import view
+
+_V = pagetext._VOWEL
+_N = "len(regexp_extract_all({0}, '{1}'))".format
+
+
+@query(
+    "txt2_quality",
+    f"""WITH m AS (SELECT doc_id, text, {_N('text', '[^ \t\n\r\f\v]')} AS visible, {_N('text', r'\p{L}')} AS letters, {_N('text', r'\p{Latin}')} AS latin, {_N('text', _V)} AS vowels,
+        list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda t: regexp_matches(t, '\\p{{L}}')) AS tokens FROM documents),
+    k AS (SELECT *, list_transform(tokens, lambda t: regexp_replace(t, '^[^\\p{{L}}\\p{{Nd}}]+|[^\\p{{L}}\\p{{Nd}}]+$', '', 'g')) AS cores FROM m),
+    w AS (SELECT *, len(list_filter(cores, lambda c: regexp_matches(c, '\\p{{L}}') AND 4 * len(regexp_extract_all(c, '[^\\p{{L}}\\-''’]')) <= len(regexp_extract_all(c, '\\p{{L}}'))
+        AND NOT (len(regexp_extract_all(c, '\\p{{Latin}}')) = len(regexp_extract_all(c, '\\p{{L}}')) AND len(regexp_extract_all(c, '\\p{{Latin}}')) >= 3 AND NOT regexp_matches(c, '{_V}')))) AS good FROM k)
+    SELECT doc_id, CASE WHEN visible < 100 THEN 'no-text' WHEN letters < 0.35 * visible THEN 'gibberish' WHEN 2 * latin > letters AND vowels < 0.25 * latin THEN 'gibberish' WHEN len(tokens) > 0 AND good < 0.45 * len(tokens) THEN 'gibberish' ELSE 'ok' END AS status FROM w""",
+)
+def _txt2(spark, d):
+    return view(spark, d, "documents").select("doc_id", pagetext.quality(F.col("text")).alias("status"))
+
+
+def _works(spark, d):
+    return view(spark, d, "documents").select(F.concat(F.lit("D"), "doc_id").alias("work_id"), F.array("text").alias("pages"))
+
+
+@query("txt1_clean")
+def _txt1(spark, d):
+    return text.cleaned(_works(spark, d)).select("work_id", F.get("pages", F.lit(0)).alias("text"))
+
+
+@query("txt3_passages")
+def _txt3(spark, d):
+    return text.passages(text.read(_works(spark, d)))
+
+
+@query("txt10_read")
+def _txt10(spark, d):
+    return text.read(_works(spark, d)).select("work_id", "pages", "chars", "status", F.size("passages").alias("passages"))
+
+
+@query("fts13_page_text")
+def _fts13(spark, d):
+    return text.page_text(text.passages(text.read(_works(spark, d))))
+
+
+_CITED = "As was shown before [1, 3-4] this holds.\n\nReferences\n" + "\n".join(f"[{i}] Inor A. Lasting studies number {w} anew. Journal {i}, 200{i}." for i, w in enumerate(("one", "two", "three", "four", "five"), 1))
+
+
+@query("ctx_mentions", "SELECT 'D' || doc_id AS from_work, r AS to_work, 1 AS page, 'bracket' AS method, CAST(0.9 AS DOUBLE) AS confidence FROM documents, (VALUES ('R1'), ('R3'), ('R4')) t(r)")
+def _ctx(spark, d):
+    """Every document with a closing sentence that cites three of five listed references."""
+    works = view(spark, d, "documents").select(F.concat(F.lit("D"), "doc_id").alias("work_id"), F.array(F.concat("text", F.lit("\n\n" + _CITED))).alias("pages"))
+    refs = spark.createDataFrame([(i, f"R{i}", f"Lasting studies number {w} anew", 2000 + i, "Inor", 1) for i, w in enumerate(("one", "two", "three", "four", "five"), 1)], "ref_seq int, id string, title string, year int, surname string, authors int")
+    every = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in refs.collect()])
+    listed = works.select("work_id", F.explode(every).alias("r")).select("work_id", "r.*", F.lit(None).cast("string").alias("doi"))
+    return text.mentions(works, listed).select("from_work", "to_work", "page", "method", "confidence")
+
+
+@query("scal2_title_key", "SELECT doc_id, regexp_replace(lower(string_split(text, chr(10))[1]), '[^\\p{L}\\p{Nd}]', '', 'g') AS key FROM documents")
+def _scal2(spark, d):
+    return view(spark, d, "documents").select("doc_id", textnorm.title_key(F.get(F.split("text", "\n"), F.lit(0))).alias("key"))
+
+
+@query(
+    "scal3_similar_names",
+    "WITH k AS (SELECT p_partkey, p_name, regexp_replace(lower(p_name), '[^\\p{L}\\p{Nd}]', '', 'g') AS a FROM part), t AS (SELECT *, regexp_replace(lower('red widgets'), '[^\\p{L}\\p{Nd}]', '', 'g') AS b FROM k) SELECT p_partkey, round(CASE WHEN a = '' THEN 0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS similarity FROM t",
+)
+def _scal3(spark, d):
+    return view(spark, d, "part").select("p_partkey", F.round(textnorm.similarity(F.col("p_name"), F.lit("red widgets")), 6).alias("similarity"))
+
+
+@query("scal4_doi", r"""WITH x AS (SELECT page_id, 'https://doi.org/10.' || (1000 + page_id % 9000) || '/ABC(' || page_id || ')' || CASE page_id % 4 WHEN 0 THEN ').' WHEN 1 THEN ';' ELSE '' END AS raw FROM pages) SELECT page_id, '10.' || (1000 + page_id % 9000) || '/abc(' || page_id || ')' AS doi FROM x""")
+def _scal4(spark, d):
+    raw = F.concat(F.lit("https://doi.org/10."), (1000 + F.col("page_id") % 9000).cast("string"), F.lit("/ABC("), F.col("page_id").cast("string"), F.lit(")"), F.when(F.col("page_id") % 4 == 0, ").").when(F.col("page_id") % 4 == 1, ";").otherwise(""))
+    return view(spark, d, "pages").select("page_id", identity.doi_of(raw).alias("doi"))
+
+
+@query("scal7_links", """SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""")
+def _scal7(spark, d):
+    return view(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+
+
+@query("scal9_tokens")
+def _scal9(spark, d):
+    """Folded title words, as (word, titles)."""
+    @F.pandas_udf(ArrayType(StringType()))
+    def words(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: sorted(set(textnorm.tokens(x or ""))))
+
+    titles = view(spark, d, "documents").select(F.get(F.split("text", "\n"), F.lit(0)).alias("t"))
+    return titles.select(F.explode(words("t")).alias("word")).groupBy("word").agg(F.count("*").alias("titles"))
+
+
+@query("scal11_abstract", "SELECT doc_id, regexp_replace(array_to_string(list_filter(string_split(text, ' '), lambda x: x <> ''), ' '), '^ | $', '', 'g') AS abstract FROM documents")
+def _scal11(spark, d):
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    flat = view(spark, d, "documents").select("doc_id", F.posexplode_outer(words).alias("pos", "word"))
+    index = flat.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("word", "at")), lambda e: e["word"].isNotNull())).alias("index"))
+    return index.select("doc_id", identity.abstract_of(F.col("index")).alias("abstract"))
+
+
+@query("scal14_surname", "SELECT s_suppkey, list_last(string_split(trim(regexp_replace(s_name, '#', ' ')), ' ')) AS surname FROM supplier")
+def _scal14(spark, d):
+    return view(spark, d, "supplier").select("s_suppkey", textnorm.surname(F.replace("s_name", F.lit("#"), F.lit(" "))).alias("surname"))
+
+
+@query("scal15_display_title", "SELECT work_id, coalesce(nullif(trim(title), ''), index_id, work_id) AS title FROM {works}")
+def _scal15(spark, d):
+    return view(spark, d, "works").select("work_id", identity.display_title(F.col("title"), F.col("index_id"), F.col("work_id")).alias("title"))
+
+
+@query("scal16_in_text", "WITH a AS (SELECT work_id, list(n.name ORDER BY position) AS names FROM {authorship} JOIN {authors} n USING (author_id) GROUP BY 1) SELECT work_id, CASE len(names) WHEN 1 THEN names[1] WHEN 2 THEN names[1] || ' and ' || names[2] ELSE names[1] || ' et al.' END AS cited FROM a")
+def _scal16(spark, d):
+    names = view(spark, d, "authorship").join(view(spark, d, "authors"), "author_id").groupBy("work_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]).alias("names"))
+    return names.select("work_id", identity.in_text(F.col("names"), F.lit(None).cast("int")).alias("cited"))
+
+
+@query("scal18_year", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year FROM orders")
+def _scal18(spark, d):
+    return view(spark, d, "orders").select("o_orderkey", identity.year_of(F.date_format("o_orderdate", "d MMM yyyy")).alias("year"))
+
+
+@query("exp3_overlap", r"""WITH l AS (SELECT doc_id AS id, list_filter(string_split(regexp_replace(text, '\n', ' ', 'g'), ' '), lambda w: w <> '') AS a, list_filter(string_split(string_split(text, chr(10))[1], ' '), lambda w: w <> '') AS b FROM documents),
+    x AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(a) AS w FROM l) u GROUP BY ALL), y AS (SELECT id, w, count(*) AS m FROM (SELECT id, unnest(b) AS w FROM l) u GROUP BY ALL), s AS (SELECT id, sum(least(n, m)) AS same FROM x JOIN y USING (id, w) GROUP BY id)
+    SELECT l.id, round(CASE WHEN len(a) + len(b) > 0 THEN 2 * coalesce(same, 0) / (len(a) + len(b)) ELSE 0 END, 6) AS f1 FROM l LEFT JOIN s USING (id)""")
+def _exp3(spark, d):
+    docs = view(spark, d, "documents")
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    left = docs.select(F.col("doc_id").alias("id"), words(F.replace("text", F.lit("\n"), F.lit(" "))).alias("words"))
+    right = docs.select(F.col("doc_id").alias("id"), words(F.get(F.split("text", "\n"), F.lit(0))).alias("words"))
+    return text.shingle_recall(left, right).select("id", F.round("f1", 6).alias("f1"))
+
+
+@query("exp6_sample")
+def _exp6(spark, d):
+    """Ten works of each type, in the order of a seeded hash (sampling is the feature)."""
+    place = F.row_number().over(Window.partitionBy("type").orderBy(F.xxhash64("work_id", F.lit(42)), "work_id"))
+    return view(spark, d, "works").withColumn("place", place).filter("place <= 10").select("type", "work_id", "place")

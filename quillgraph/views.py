@@ -51,7 +51,7 @@ VIEWS: dict[str, str] = {
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{(" + "|".join(sorted({*VIEWS, *TABLES, "lines"})) + r")\}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
