@@ -92,4 +92,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _secrets_sql() -> str:
+    """The spans of each rule: what splitting leaves between the matches gives their positions."""
+    from quillgraph.llm.secrets import RULES
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    any_case = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    parts = []
+    for place, r in enumerate(RULES):
+        pattern = r.pattern
+        if pattern.startswith("(?i)"):  # here A-Z alone is meant
+            head, tail = pattern[4:].split(")", 1)
+            pattern = "(" + "|".join(map(any_case, head[1:].split("|"))) + ")" + tail
+        q = quoted(pattern)
+        parts.append(f"""SELECT doc_id, {place} AS place, {quoted(r.kind)} AS kind, s AS start, s + length(m) AS "end" FROM (SELECT doc_id, unnest(list_transform(range(1, len(ms) + 1), lambda i: CAST(coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT))) AS s, unnest(ms) AS m, unnest(own) AS o
+            FROM (SELECT doc_id, string_split_regex(text, {q}) AS ps, regexp_extract_all(text, {q}, 0) AS ms, regexp_extract_all(text, {q}, {r.group}) AS own FROM documents WHERE text IS NOT NULL)) WHERE length(o) >= {r.least}""")
+    base = [i for i, r in enumerate(RULES) if r.base]
+    counts = ", ".join(f"count(*) FILTER (place = {i}) AS n_{RULES[i].kind}" for i in base)
+    return f"""WITH s AS ({" UNION ALL ".join(parts)}), t AS (SELECT *, kind || ':' || start || ':' || "end" AS spelt FROM s)
+        SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(spelt, ',' ORDER BY start, place) FILTER (place <= {max(base)}), '')) AS base_sha256, coalesce(string_agg(spelt, ',' ORDER BY start, place), '') AS spans
+        FROM documents d LEFT JOIN t USING (doc_id) GROUP BY d.doc_id"""
+
+
+def _licenses_sql() -> str:
+    """Diagonals of word grams, merged and verified, by text instead of hash."""
+    from quillgraph.llm.licenses import COVER, DRIFT, SEPARATORS, SHORT, TEMPLATES
+
+    rows = ", ".join(f"({n}, '{t.label}', {t.base}, {t.width}, {len(t.words)}, {at}, '{' '.join(t.words[at : at + t.width])}')" for n, t in enumerate(TEMPLATES) for at in range(len(t.words) - t.width + 1))
+    rolled = " UNION ALL ".join(f"SELECT doc_id, {k} AS width, unnest(range(len(w) - {k - 1})) AS pos, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS gram FROM d WHERE len(w) >= {k}" for k in sorted({t.width for t in TEMPLATES}))
+    return f"""WITH l(tpl, label, base, width, total, spot, gram) AS (VALUES {rows}),
+        d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
+        h AS (SELECT DISTINCT doc_id, tpl, label, base, l.width, total, pos - spot AS diagonal, spot FROM ({rolled}) g JOIN l USING (width, gram)),
+        v AS (SELECT doc_id, tpl, label, base, width, total, diagonal, min(spot) AS a, max(spot) AS b, count(*) AS n FROM h GROUP BY ALL),
+        p AS (SELECT doc_id, label, base, diagonal AS first, 1.0::DOUBLE AS cover FROM v WHERE width = {SHORT} AND n = total - {SHORT - 1}),
+        m AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tpl ORDER BY diagonal) AS run FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tpl ORDER BY diagonal) > {DRIFT} THEN 1 ELSE 0 END AS new FROM v WHERE width <> {SHORT}) x),
+        c AS (SELECT m.doc_id, m.tpl, m.label, m.base, m.run, m.total, count(DISTINCT h.spot + o) AS n, min(m.diagonal + m.a) AS first FROM m JOIN h USING (doc_id, tpl, diagonal), range(5) t(o) GROUP BY ALL),
+        s AS (SELECT doc_id, label, base, first, cover FROM p UNION ALL SELECT doc_id, label, base, first, round(n / total, 6) FROM c WHERE round(n / total, 6) >= {COVER}),
+        a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM s GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN a USING (doc_id)"""
+
+
+def _sharding_sql() -> str:
+    """Slots of equal order, checksums by the bit-by-bit rule over four bits at a time."""
+    best = lambda n: f"CAST(list_position(u, list_max(u[1:{n}])) - 1 AS INT)"
+    nibbles = "list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * octet_length(encode(t)) + 1), lambda i: CAST(strpos('0123456789ABCDEF', substr(x, i + 2 * (i % 2) - 1, 1)) - 1 AS BIGINT))), lambda a, b: xor(a >> 4, k[xor(a, b) % 16 + 1]))"
+    return f"""WITH k AS (SELECT list_transform(range(16), lambda n: list_reduce(list_prepend(n, range(4)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS k),
+        d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x, list_transform(range(9), lambda s: (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || s), 1, 13) AS BIGINT))) AS u FROM documents),
+        p AS (SELECT doc_id, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS size, CASE WHEN t = '' THEN 0 ELSE xor({nibbles}, 4294967295) END AS text_crc32, {best(8)} AS shard, {best(9)} AS grown_shard FROM d, k)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard FROM p"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_secrets": _secrets_sql(), "op6_licenses": _licenses_sql()}

@@ -1,7 +1,9 @@
 """SimHash near-duplicates with a bit-sliced comparison of fingerprints.
 
 A fingerprint has 64 bits; fingerprints that differ in at most `radius` bits are
-linked, and a component is what links connect.
+linked, and a component is what links connect.  `near_duplicates` takes 64 bits and
+finds every link; `similar_documents` takes wider fingerprints for pairs of a given
+similarity of word shingles, which differ in too many bits for pigeonhole tables.
 
 How it runs:
 
@@ -42,39 +44,71 @@ from quillgraph.llm.common import BROADCAST_IDS, arrow_map, pieces, text_of, wit
 
 TILE = 8192
 BITS = 64
-_FP = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+#: Lanes of 64 bits of the wide fingerprints, and the chance that a pair at the similarity asked for is compared.
+LANES, FOUND = 4, 0.97
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """The 64-bit SimHash of one text: a bit is set if over half of its shingles' XXH64 have it."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles of one text, repeats included; a shorter text is one shingle, one without words none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = memoryview(b" ".join(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = ends - np.fromiter(map(len, words), np.int64, len(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
     n = max(1, len(words) - width + 1)
     last = ends[width - 1 :] if len(words) >= width else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 65536):
-        counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+
+
+def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Further independent hashes out of the first ones; lane 0 is the hash itself."""
+    if not lane:
+        return hashes
+    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
 
+def signature(hashes: np.ndarray, lanes: int = 1) -> list[int]:
+    """64 bits a lane: a bit is set if over half of the hashes have it."""
+    out = []
+    for lane in range(lanes):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 65536):
+            counts += np.unpackbits(_lane(hashes[at : at + 65536], lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """The 64-bit SimHash of one text."""
+    return signature(shingle_hashes(text, width))[0]
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+
+def _names(lanes: int) -> list[str]:
+    return [f"f{k}" for k in range(lanes)]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, lanes: int = 1) -> DataFrame:
+    """(id, f0, ...): the lanes of the fingerprint as signed longs; with several lanes repeated shingles count once."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in pieces(batches):
-            fps = np.array([fingerprint(t, width) for t in rows.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps, pa.int64())], schema=_FP)
+            found = []
+            for t in rows.column(1).to_pylist():
+                hashes = shingle_hashes(t, width)
+                found.append(signature(np.unique(hashes) if lanes > 1 else hashes, lanes))
+            bits = np.array(found, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(bits[:, k].copy(), pa.int64()) for k in range(lanes))], names=["id", *_names(lanes)])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("t")), make, "id long, fp long")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("t")), make, ", ".join(["id long", *(f"{n} long" for n in _names(lanes))]))
 
 
 def tables(nodes: int, radius: int) -> list[int]:
@@ -91,16 +125,32 @@ def tables(nodes: int, radius: int) -> list[int]:
     return [sum(block[i] for i in kept) for kept in combinations(range(blocks), blocks - radius)]
 
 
+def random_tables(nodes: int, share: float, seed: int = 5) -> list[list[int]]:
+    """Masks (one for each of `LANES` lanes) of tables on random bits, for pairs that differ in a share `share` of their bits.
+
+    The bits grow with the nodes, so that a bucket of evenly spread fingerprints has about 200 members, and the tables
+    with the bits, so that such a pair shares a bucket in one of them with a probability of `FOUND`; closer pairs more surely.
+    """
+    bits = max(8, round(np.log2(max(nodes, 1) / 200)))
+    count = int(np.ceil(np.log(1 - FOUND) / np.log(1 - (1 - share) ** bits)))
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(count):
+        chosen = rng.choice(64 * LANES, bits, replace=False).tolist()
+        out.append([sum(1 << (c % 64) for c in chosen if c // 64 == lane) for lane in range(LANES)])
+    return out
+
+
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """Bit planes: row k holds bit k of all fingerprints, 64 of them in a word."""
-    padded = np.zeros(-(-len(fps) // 64) * 64, np.uint64)
+    """Bit planes of (members, lanes): row k holds bit k of all fingerprints, 64 of them in a word."""
+    padded = np.zeros((-(-len(fps) // 64) * 64, fps.shape[1]), np.uint64)
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8).reshape(len(padded), -1), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
 def links(queries: np.ndarray, planes: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int, chunk: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (query, member) at a distance of at most `radius`.
+    """Positions (query, member) at a distance of at most `radius`; queries are (n, lanes).
 
     Query q is compared with the members first[q] to last[q] (exclusive).  The unit
     of work is one query against one word of each plane, 64 members at a time.
@@ -116,10 +166,9 @@ def links(queries: np.ndarray, planes: np.ndarray, first: np.ndarray, last: np.n
         w = first[q] // 64 + (unit - total[q])
         low, high = np.maximum(first[q] - w * 64, 0), np.minimum(last[q] - w * 64, 64)
         alive = np.left_shift(all_set, low.astype(np.uint64)) & np.right_shift(all_set, (64 - high).astype(np.uint64))
-        own = queries[q]
         counters = [np.full(len(unit), all_set if over >> k & 1 else 0, np.uint64) for k in range(levels)]
-        for k in range(BITS):
-            carry = planes[k, w] ^ (np.uint64(0) - (own >> np.uint64(k) & np.uint64(1)))
+        for k in range(len(planes)):
+            carry = planes[k, w] ^ (np.uint64(0) - (queries[q, k // 64] >> np.uint64(k % 64) & np.uint64(1)))
             for c in counters:  # carry-save: one half adder for each counter plane
                 c ^= carry
                 carry &= ~c
@@ -129,7 +178,7 @@ def links(queries: np.ndarray, planes: np.ndarray, first: np.ndarray, last: np.n
                 if not len(left):
                     break
                 if len(left) < len(alive):
-                    q, w, own, alive, counters = q[left], w[left], own[left], alive[left], [c[left] for c in counters]
+                    q, w, alive, counters = q[left], w[left], alive[left], [c[left] for c in counters]
         else:
             hit, bit = np.nonzero(np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             yield q[hit], w[hit] * 64 + bit
@@ -150,56 +199,61 @@ def roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def _bucket_edges(radius: int):
+    """Batches of (group, side, node, lanes...) in the order of groups to the edges of a star over each linked set."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, ...]] = []
+        kept: list[list[np.ndarray]] = []
 
-        def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            group, side, fp = cols
+        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+            group, side, node = cols[:3]
             cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
             sizes = np.diff(cut)
             start, end = np.repeat(cut[:-1], sizes), np.repeat(cut[1:], sizes)
             where = np.arange(len(group))
-            inner = side == 0  # a tile against itself: later members only; side 1 against side 2
             twos = np.concatenate([[0], np.cumsum(side == 2)])
-            first = np.where(inner, where + 1, end - (twos[end] - twos[start]))
-            first = np.where(side == 2, end, first)
-            fps = fp.view(np.uint64)
+            # A tile against itself (side 0): later members only; side 1 against side 2.
+            first = np.where(side == 0, where + 1, np.where(side == 1, end - (twos[end] - twos[start]), end))
+            fps = np.stack(cols[3:], 1).view(np.uint64)
             root = roots(len(fps), links(fps, planes_of(fps), first, end, radius))
             linked = np.flatnonzero(root != where)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], schema=_EDGE)
+            return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], schema=_EDGE)
 
         for rows in batches:
-            cols = [rows.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            kept.append(tuple(cols))
+            kept.append([c.to_numpy(zero_copy_only=False) for c in rows.columns])
             if sum(len(c[0]) for c in kept) < 4 * TILE:
                 continue
             cols = [np.concatenate(c) for c in zip(*kept, strict=True)]
             end = int(np.searchsorted(cols[0], cols[0][-1]))  # the last group may go on
             if end:
-                yield from out([c[:end] for c in cols])
-            kept = [tuple(c[end:] for c in cols)]
+                yield out([c[:end] for c in cols])
+            kept = [[c[end:] for c in cols]]
         if kept and sum(len(c[0]) for c in kept):
-            yield from out([np.concatenate(c) for c in zip(*kept, strict=True)])
+            yield out([np.concatenate(c) for c in zip(*kept, strict=True)])
 
     return make
 
 
-def links_of(nodes: DataFrame, count: int, radius: int) -> DataFrame:
-    """(a, b): for each bucket a star over each set of linked fingerprints; `nodes` has distinct fp."""
-    masks = tables(count, radius)
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])).alias("tab", "key"))
-    keyed = keyed.withColumn("bucket", F.xxhash64("tab", "key")).drop("tab", "key")
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+def _signed(mask: int):
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask)
+
+
+def links_of(nodes: DataFrame, masks: list[list[int]], radius: int) -> DataFrame:
+    """(a, b): for each bucket a star over each set of linked nodes; `nodes` has (node, f0, ...), each fingerprint once."""
+    names = _names(len(masks[0]))
+    keys = F.array(*[F.xxhash64(F.lit(n), *[F.col(c).bitwiseAND(_signed(m)) for c, m in zip(names, mask, strict=True) if m]) for n, mask in enumerate(masks)])
+    keyed = nodes.select("node", *names, F.explode(keys).alias("bucket"))
+    sizes = nodes.select(F.explode(keys).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     tiled = keyed.join(sizes, "bucket").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # Tile t meets itself and each other tile once: the lower one asks (side 1), the higher one answers (side 2).
-    dealt = tiled.select("fp", "bucket", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = tiled.select("node", *names, "bucket", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     dealt = dealt.select(
         F.xxhash64("bucket", F.least("tile", "other"), F.greatest("tile", "other")).alias("grp"),
         F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).alias("side"),
-        "fp",
+        "node",
+        *names,
     )
-    return arrow_map(dealt.repartition("grp").sortWithinPartitions("grp", "side", "fp"), _bucket_edges(radius), "a long, b long")
+    return arrow_map(dealt.repartition("grp").sortWithinPartitions("grp", "side", "node"), _bucket_edges(radius), "a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -220,24 +274,45 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _grouped(fps: DataFrame, lanes: int, node, masks_of, radius: int) -> DataFrame:
+    """The rows of `fps` with `component`: the smallest id that links reach."""
+    names = _names(lanes)
+    nodes = written(fps.groupBy(*names).agg(F.min("id").alias("low")).withColumn("node", node), "nodes")
+    found = components(links_of(nodes.select("node", *names), masks_of(nodes.count()), radius)).withColumnRenamed("node", "linked")
+    named = nodes.join(found, nodes["node"] == found["linked"], "left").select(*names, "low", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("low").alias("component"))
+    return fps.join(named.join(least, "root").select(*names, "component"), names, "left")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """(id, fp, component): the fingerprint as a signed long and the smallest id reachable."""
     fps = written(fingerprints(docs, id_col, text_col, width), "fp")
-    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
-    found = components(links_of(nodes.select("fp"), nodes.count(), radius))
-    named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("low").alias("component"))
-    named = named.join(least, "root").select("fp", "component")
-    return fps.join(named, "fp", "left").select("id", "fp", "component")
+    found = _grouped(fps, 1, F.col("f0"), lambda n: [[m] for m in tables(n, radius)], radius)
+    return found.select("id", F.col("f0").alias("fp"), "component")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component): documents whose sets of word shingles have about the given Jaccard similarity, linked through.
+
+    Such pairs differ in far more than a few bits of 64, so fingerprints have `LANES` lanes; two sets of similarity s have
+    cosine 2s / (1 + s), hence differ in a share arccos(cosine) / pi of the bits on average, and the radius is that share and
+    half a standard deviation.  Candidates share a bucket of `random_tables`; the bit-sliced comparison decides.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * LANES
+    radius = int(share * bits + 0.5 * (bits * share * (1 - share)) ** 0.5)
+    fps = written(fingerprints(docs, id_col, text_col, width, LANES), "fp")
+    found = _grouped(fps, LANES, F.xxhash64(*_names(LANES)), lambda n: random_tables(n, share), radius)
+    return found.select("id", "component")
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """One document of each component, with its columns: the one with the smallest id.
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each component of `similar_documents`, with its columns: the one with the smallest id.
 
     Of repeated rows with the same id and text one stays.  A row without an id can't be
     named as a copy; of such rows with equal texts one stays.
     """
-    found = written(near_duplicates(docs, id_col, text_col, width, radius), "components")
+    found = written(similar_documents(docs, id_col, text_col, width, similarity), "components")
     stay = without(docs, found.filter("id is not null and component <> id").select("id").distinct(), id_col)
     again = found.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("quill_again"))
     n = again.count()
