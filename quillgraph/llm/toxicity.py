@@ -115,7 +115,7 @@ class CharModel:
         token = _EDGE.sub(" ", token).strip()
         plain = _WORDS.findall(token)
         core = token.strip(".,;:?\"')")
-        if core and _ODD.search(core) and 2 * sum(c.isdigit() for c in core) <= len(core):
+        if core and _ODD.search(core) and 4 * sum(c.isdigit() for c in core) <= 3 * len(core):
             decoded = self.decode(core)
             return [*plain, decoded] if decoded else plain
         return plain
