@@ -45,16 +45,39 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _OUT = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-def features(word: str, size: int = BUCKETS) -> list[int]:
-    """Hashed features of a lower-case token; none if it has no letter."""
-    core = "".join(_LETTERS.findall(word))
-    if not core:
-        return []
-    edged = f"^{core}$"
-    names = {f"={core}", *(f"<{core[:k]}" for k in (1, 2, 3)), *(f">{core[-k:]}" for k in (1, 2, 3, 4))}
-    names.update(edged[i : i + 2] for i in range(len(edged) - 1))
-    names.update(edged[i : i + 3] for i in range(len(edged) - 2))
-    return sorted(crc32(x.encode("utf-8", "replace")) % (size - 1) + 1 for x in names)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashed(codes: np.ndarray, at: np.ndarray, width: int, kind: int, size: int) -> np.ndarray:
+    """Buckets of the `width` characters from each position on; `kind` keeps the kinds of features apart."""
+    h = np.full(len(at), kind, np.uint64)
+    for k in range(width):
+        h = (h ^ codes[at + k]) * _MIX
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(size - 1)).astype(np.int64) + 1
+
+
+def features(words: list[str], size: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word number) of the hashed features of lower-case tokens: the letters of a token as a whole, its first one to
+    three and last one to four letters, and its pairs and triples of letters, edges included.  A token without a letter has none."""
+    cores = [w if w.isalpha() else "".join(_LETTERS.findall(w)) for w in words]
+    length = np.array([len(c) for c in cores], np.int64)
+    codes = np.frombuffer("".join(f"^{c}$" for c in cores).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    end = np.cumsum(length + 2)
+    start = end - length - 1  # the first letter; the edge stands before it
+    some = np.flatnonzero(length)
+    found = [(np.array([crc32(cores[i].encode("utf-8", "replace")) % (size - 1) + 1 for i in some], np.int64), some)]
+    for k in (1, 2, 3, 4):
+        own = np.flatnonzero(length >= k)
+        if k < 4:
+            found.append((_hashed(codes, start[own], k, 10 + k, size), own))
+        found.append((_hashed(codes, end[own] - 1 - k, k, 20 + k, size), own))
+    owner = np.repeat(np.arange(len(words)), length + 2)
+    for k in (2, 3):
+        at = np.arange(max(0, len(codes) - k + 1))
+        at = at[(owner[at] == owner[at + k - 1]) & (length[owner[at]] > 0)]
+        found.append((_hashed(codes, at, k, 30 + k, size), owner[at]))
+    return np.concatenate([f for f, _ in found]), np.concatenate([o for _, o in found])
 
 
 class Lexicon:
@@ -73,12 +96,10 @@ class Lexicon:
         if len(self.row) > self.keep:
             self.clear()
         new = list(set(tokens).difference(self.row))
-        found = [features(x) for x in new]
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = self.weights[np.fromiter((i for x in found for i in x), np.int64, int(sizes.sum()))]
-        ends = np.cumsum(sizes)
-        sums = np.vstack([np.zeros((1, flat.shape[1])), np.cumsum(flat, axis=0, dtype=np.float64)])
-        scores = ((sums[ends] - sums[ends - sizes]) / np.maximum(1, sizes)[:, None] ** 0.5).astype(np.float32)
+        feature, owner = features(new) if new else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        sizes = np.bincount(owner, minlength=len(new))
+        sums = np.stack([np.bincount(owner, self.weights[feature, k], len(new)) for k in range(self.weights.shape[1])], 1)
+        scores = (sums / np.maximum(1, sizes)[:, None] ** 0.5).astype(np.float32)
         self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
         self.scores, self.lettered = np.vstack([self.scores, scores]), np.append(self.lettered, sizes > 0)
         return np.fromiter(map(self.row.__getitem__, tokens), np.int64, len(tokens))
@@ -169,6 +190,8 @@ class Model:
 def train(texts: list[str], langs: list[str], rounds: int = 6, rate: float = 0.5, ridge: float = 1e-4, seed: int = 7) -> Model:
     """Fit on whole documents of known language, cut into stretches that are dealt into mixed sequences."""
     names = sorted(set(langs))
+    if not names:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32))
     rng = np.random.default_rng(seed)
     cut: list[tuple[list[str], int]] = []
     words = 0
@@ -190,9 +213,10 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, rate: float = 0.5
     distinct = list(dict.fromkeys(flat))
     number = {x: i for i, x in enumerate(distinct)}
     word = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-    found = [features(x) for x in distinct]
-    sizes = np.array([len(x) for x in found], np.int64)
-    feature, owner = np.fromiter((i for x in found for i in x), np.int64, int(sizes.sum())), np.repeat(np.arange(len(distinct)), sizes)
+    feature, owner = features(distinct) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    order = np.argsort(owner, kind="stable")
+    feature, owner = feature[order], owner[order]
+    sizes = np.bincount(owner, minlength=len(distinct))
     scale = 1 / np.maximum(1, sizes) ** 0.5
     sums_w, sums_t = np.full_like(weights, 1e-6), np.full_like(transitions, 1e-6)
     span = 4 * STRETCH
