@@ -155,10 +155,16 @@ _LABEL = re.compile(r"(?i)(?:\bdoi\s*:?\s*|doi\.org/)$")
 _PMID = re.compile(r"\bPMID:?\s*([1-9][0-9]{4,8})\b")
 
 
+def _own_brackets(doi: str) -> str:
+    """A DOI up to a parenthesis that holds more than letters, digits and dashes: that isn't its own."""
+    foreign = re.search(r"\((?![0-9A-Za-z-]+\))", doi)
+    return doi[: foreign.start()] if foreign else doi
+
+
 def dois(text: str) -> list[tuple[str, bool]]:
     """(DOI, whether a label stands before it); one that a line end breaks is joined."""
     joined = re.sub(r"(10\.\d{4,9}/\S*[.\-/_])\n(?=[0-9A-Za-z])", r"\1", text)
-    return [(found, bool(_LABEL.search(joined[max(0, m.start() - 16) : m.start()]))) for m in _DOI.finditer(joined) if (found := normal_doi(balanced(m[0])))]
+    return [(found, bool(_LABEL.search(joined[max(0, m.start() - 16) : m.start()]))) for m in _DOI.finditer(joined) if (found := normal_doi(balanced(_own_brackets(m[0]))))]
 
 
 def clues(name: str, pages: list[str], metadata: tuple[str, ...] = (), most: int = 6) -> list[tuple[str, str]]:

@@ -177,7 +177,7 @@ def find_title(works: DataFrame, title: str, least: float = 0.85) -> DataFrame:
 def batch_fetch(ids: DataFrame, index: DataFrame, redirects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(works, aliases, missing) of normalised ids (work_id) against an index; redirects is (alias, work_id)."""
     wanted = ids.select("work_id").distinct()
-    aliases = wanted.join(redirects, wanted["work_id"] == redirects["alias"]).select("alias", redirects["work_id"])
+    aliases = wanted.withColumnRenamed("work_id", "alias").join(redirects.select("alias", "work_id"), "alias")
     targets = wanted.join(aliases.select(F.col("alias").alias("work_id")), "work_id", "left_anti").unionByName(aliases.select("work_id")).distinct()
     return index.join(targets, "work_id", "left_semi"), aliases, targets.join(index, "work_id", "left_anti")
 
