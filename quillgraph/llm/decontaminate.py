@@ -178,7 +178,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     def find(block: list[tuple[int | None, bytes]]) -> DataFrame:
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = Windows(block, share)
-            for rows in pieces(batches, 4_000_000):
+            for rows in pieces(batches, 2_000_000):
                 keys = rows.column(0).to_pylist()
                 d, w, start, edits = search(windows, [plain(t) for t in rows.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in d], pa.int64()), pa.array([windows.item[i] for i in w], pa.int64()), pa.array(start, pa.int64()), pa.array(w, pa.int64()), pa.array(edits, pa.int64())], schema=_HIT)
