@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 4096
+#: Buckets are three hexadecimal digits of a hash.
+BUCKETS = 16**3
 
 
 def uniform(key: Column, shard: int) -> Column:
@@ -44,7 +45,7 @@ def assign(records: DataFrame, weights: list[float], grown: list[float] | None =
     named = records.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     key = F.coalesce(F.col("id").cast("string"), F.lit(""))
     placed = named.withColumn("shard", rendezvous(key, weights)).withColumn("grown_shard", rendezvous(key, grown) if grown else F.lit(None).cast("int"))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(BUCKETS)).cast("int"))
+    placed = placed.withColumn("bucket", F.conv(F.substring(F.md5(F.concat(key, F.lit(":slot")).cast("binary")), 1, 3), 16, 10).cast("int"))
     counted = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
