@@ -149,6 +149,7 @@ def passages(pages: list[str]) -> list[Passage]:
 
 # --- Clues ---------------------------------------------------------------------------------------------------------
 
+# Patterns of arXiv stamps, DOIs and their labels.
 _STAMP = re.compile(r"(?i)\barXiv:\s*((?:\d{4}\.\d{4,5})|(?:[a-z-]+(?:\.[a-z]{2})?/\d{7}))(?:v\d+)?\s+(?:\[[^\]\n]{1,30}\]\s+)?\d{1,2}\s+[A-Z][a-z]{2}\s+\d{4}")
 _DOI = re.compile(r"\b10\.\d{4,9}/[!#-;=?-Z^-z|~]+")
 _LABEL = re.compile(r"(?i)(?:\bdoi\s*:?\s*|doi\.org/)$")
