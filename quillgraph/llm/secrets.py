@@ -54,7 +54,7 @@ RULES = (
     Rule("hex", r"[0-9a-f]{16,}", 0, 16, True),
     Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@\"']{1,64}:[^\s/@\"']{1,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\x09-\x0D\x20/:@\"']{1,64}:[^\x09-\x0D\x20/@\"']{1,64}@"),
     Rule("prefixed", r"(?:gh[opsu]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"),
 )
 
