@@ -59,7 +59,7 @@ def ranked(path: str):
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit bytes; `keep` bounds the parts that are remembered."""
 
-    def __init__(self, path: str | None = None, keep: int = 400_000, longest: int = 64):
+    def __init__(self, path: str | None = None, keep: int = 200_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         path = path or default_path()
