@@ -2,8 +2,8 @@
 
 A fingerprint has 64 bits; fingerprints that differ in at most `radius` bits are
 linked, and a component is what links connect.  `near_duplicates` takes 64 bits and
-finds every link; `similar_documents` takes wider fingerprints for pairs of a given
-similarity of word shingles, which differ in too many bits for pigeonhole tables.
+finds every link.  `similar_documents` links texts by the exact Jaccard similarity of
+their word shingles; see there.
 
 How it runs:
 
@@ -44,8 +44,10 @@ from quillgraph.llm.common import BROADCAST_IDS, arrow_map, pieces, text_of, wit
 
 TILE = 8192
 BITS = 64
-#: Lanes of 64 bits of the wide fingerprints, and the chance that a pair at the similarity asked for is compared.
-LANES, FOUND = 4, 0.97
+#: Lanes of 64 bits of the wide fingerprints, and the standard deviations that their radius is beyond the mean of a pair at the similarity asked for.
+LANES, SPREAD = 4, 6
+#: Shingles of the texts that one task verifies against each other.
+SHINGLES = 2_000_000
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -125,22 +127,6 @@ def tables(nodes: int, radius: int) -> list[int]:
     return [sum(block[i] for i in kept) for kept in combinations(range(blocks), blocks - radius)]
 
 
-def random_tables(nodes: int, share: float, seed: int = 5) -> list[list[int]]:
-    """Masks (one for each of `LANES` lanes) of tables on random bits, for pairs that differ in a share `share` of their bits.
-
-    The bits grow with the nodes, so that a bucket of evenly spread fingerprints has about 200 members, and the tables
-    with the bits, so that such a pair shares a bucket in one of them with a probability of `FOUND`; closer pairs more surely.
-    """
-    bits = max(8, round(np.log2(max(nodes, 1) / 200)))
-    count = int(np.ceil(np.log(1 - FOUND) / np.log(1 - (1 - share) ** bits)))
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(count):
-        chosen = rng.choice(64 * LANES, bits, replace=False).tolist()
-        out.append([sum(1 << (c % 64) for c in chosen if c // 64 == lane) for lane in range(LANES)])
-    return out
-
-
 def planes_of(fps: np.ndarray) -> np.ndarray:
     """Bit planes of (members, lanes): row k holds bit k of all fingerprints, 64 of them in a word."""
     padded = np.zeros((-(-len(fps) // 64) * 64, fps.shape[1]), np.uint64)
@@ -242,8 +228,17 @@ def links_of(nodes: DataFrame, masks: list[list[int]], radius: int) -> DataFrame
     names = _names(len(masks[0]))
     keys = F.array(*[F.xxhash64(F.lit(n), *[F.col(c).bitwiseAND(_signed(m)) for c, m in zip(names, mask, strict=True) if m]) for n, mask in enumerate(masks)])
     keyed = nodes.select("node", *names, F.explode(keys).alias("bucket"))
-    sizes = nodes.select(F.explode(keys).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    tiled = keyed.join(sizes, "bucket").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    return _star_links(keyed.join(_shared(nodes.select(F.explode(keys).alias("bucket"))), "bucket"), names, radius)
+
+
+def _shared(buckets: DataFrame) -> DataFrame:
+    """(bucket, n): the buckets that more than one row is in."""
+    return buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def _star_links(keyed: DataFrame, names: list[str], radius: int) -> DataFrame:
+    """(a, b) from (node, f0, ..., bucket, n), n being the rows of the bucket."""
+    tiled = keyed.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # Tile t meets itself and each other tile once: the lower one asks (side 1), the higher one answers (side 2).
     dealt = tiled.select("node", *names, "bucket", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
@@ -278,10 +273,15 @@ def _grouped(fps: DataFrame, lanes: int, node, masks_of, radius: int) -> DataFra
     """The rows of `fps` with `component`: the smallest id that links reach."""
     names = _names(lanes)
     nodes = written(fps.groupBy(*names).agg(F.min("id").alias("low")).withColumn("node", node), "nodes")
-    found = components(links_of(nodes.select("node", *names), masks_of(nodes.count()), radius)).withColumnRenamed("node", "linked")
-    named = nodes.join(found, nodes["node"] == found["linked"], "left").select(*names, "low", F.coalesce("root", "node").alias("root"))
+    return _named(fps, nodes, components(links_of(nodes.select("node", *names), masks_of(nodes.count()), radius)), names)
+
+
+def _named(rows: DataFrame, nodes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` with the smallest id of the component of their node, which has the same `keys`."""
+    found = found.withColumnRenamed("node", "linked")
+    named = nodes.join(found, nodes["node"] == found["linked"], "left").select(*keys, "low", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component"))
-    return fps.join(named.join(least, "root").select(*names, "component"), names, "left")
+    return rows.join(named.join(least, "root").select(*keys, "component"), keys, "left")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -291,19 +291,120 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("id", F.col("f0").alias("fp"), "component")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component): documents whose sets of word shingles have about the given Jaccard similarity, linked through.
+def first_part(n: int, similarity: float) -> int:
+    """So many of the n smallest hashes of a set that any set of the given similarity has one of them among its own first part."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts).view(np.int64) if parts else [], pa.int64()))
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(id, f0, ..., whole, n, head, tail): the wide fingerprint, a hash of the whole set, its size, and the set in order of hashes."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    Such pairs differ in far more than a few bits of 64, so fingerprints have `LANES` lanes; two sets of similarity s have
-    cosine 2s / (1 + s), hence differ in a share arccos(cosine) / pi of the bits on average, and the radius is that share and
-    half a standard deviation.  Candidates share a bucket of `random_tables`; the bit-sliced comparison decides.
+        for rows in pieces(batches):
+            sets = [np.unique(shingle_hashes(t, width)) for t in rows.column(1).to_pylist()]
+            bits = np.array([signature(x, LANES) for x in sets], np.uint64).view(np.int64)
+            whole = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            cut = [first_part(len(x), similarity) for x in sets]
+            cols = [rows.column(0), *(pa.array(bits[:, k].copy()) for k in range(LANES)), pa.array(whole), pa.array([len(x) for x in sets], pa.int64())]
+            heads, tails = _lists([x[:c] for x, c in zip(sets, cut, strict=True)]), _lists([x[c:] for x, c in zip(sets, cut, strict=True)])
+            yield pa.RecordBatch.from_arrays([*cols, heads, tails], names=["id", *_names(LANES), "whole", "n", "head", "tail"])
+
+    lanes = ", ".join(f"{n} long" for n in _names(LANES))
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("t")), make, f"id long, {lanes}, whole long, n long, head array<long>, tail array<long>")
+
+
+def similar_roots(sets: list[np.ndarray], heads: list[int], similarity: float) -> np.ndarray:
+    """The smallest position that each set (sorted, distinct, not empty) is connected with by pairs of at least the similarity.
+
+    Each set is compared with the later ones that share a hash of the first parts, but for those it is connected with already.
+    """
+    root, size = np.arange(len(sets)), np.array([len(x) for x in sets])
+    _, code = np.unique(np.concatenate([x[:h] for x, h in zip(sets, heads, strict=True)]), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), heads)[np.argsort(code, kind="stable")]
+    count = np.bincount(code)
+    start = np.concatenate([[0], np.cumsum(count)])
+    live, own = count > 1, np.concatenate([[0], np.cumsum(heads)])
+    for i, mine in enumerate(sets):
+        codes = code[own[i] : own[i + 1]]
+        codes = codes[live[codes]]
+        if not len(codes):
+            continue
+        holders = [holder[start[c] : start[c + 1]] for c in codes]
+        near = np.unique(np.concatenate(holders))
+        near = near[(near > i) & (root[near] != root[i])]
+        near = near[np.minimum(size[near], size[i]) >= similarity * np.maximum(size[near], size[i]) - 1e-9]
+        if len(near):
+            values = np.concatenate([sets[j] for j in near])
+            same = mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values
+            both = np.add.reduceat(same.astype(np.int64), np.concatenate([[0], np.cumsum(size[near])[:-1]]))
+            joined = np.unique(np.append(root[near[both >= similarity * (size[i] + size[near] - both) - 1e-9]], root[i]))
+            root[np.isin(root, joined)] = joined[0]
+        for c, h in zip(codes, holders, strict=True):  # nothing is left to compare among connected sets
+            live[c] = h[-1] > i and (root[h] != root[h[0]]).any()
+    return root
+
+
+def _verified(similarity: float):
+    """Batches of (group, node, head, tail) in the order of groups to the edges of a star over each connected set."""
+
+    def edges(nodes: list[int], sets: list[np.ndarray], heads: list[int]) -> pa.RecordBatch:
+        node, root = np.array(nodes), similar_roots(sets, heads, similarity)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], schema=_EDGE)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, ([], [], [])
+        for rows in batches:
+            head, tail = (x.flatten().to_numpy().view(np.uint64) for x in rows.columns[2:])
+            h, t = (np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())]) for x in rows.columns[2:])
+            for k, (g, node) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
+                if g != group and held[0]:
+                    yield edges(*held)
+                    held = ([], [], [])
+                group = g
+                held[0].append(node)
+                held[1].append(np.concatenate([head[h[k] : h[k + 1]], tail[t[k] : t[k + 1]]]))
+                held[2].append(int(h[k + 1] - h[k]))
+        if held[0]:
+            yield edges(*held)
+
+    return make
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component): documents whose sets of word shingles have at least the given Jaccard similarity, linked through.
+
+    1. Equal sets are one node; a text without words has the empty set.
+    2. Sets of similarity s share one of their n - ceil(s n) + 1 smallest hashes, so each such hash is a bucket.
+    3. In a bucket the bit-sliced comparison of wide fingerprints links candidates: two sets of similarity s have cosine
+       2s / (1 + s), hence differ in a share arccos(cosine) / pi of the bits on average; the radius is that share and
+       `SPREAD` standard deviations, at which a binomial count loses one pair in a thousand million.
+    4. Within each component of candidates, links are verified by the sets themselves, and the documents' components are those
+       of verified links.  A component of more than `SHINGLES` shingles is cut into tiles, and pairs of tiles are dealt out.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = 64 * LANES
-    radius = int(share * bits + 0.5 * (bits * share * (1 - share)) ** 0.5)
-    fps = written(fingerprints(docs, id_col, text_col, width, LANES), "fp")
-    found = _grouped(fps, LANES, F.xxhash64(*_names(LANES)), lambda n: random_tables(n, share), radius)
-    return found.select("id", "component")
+    bits, names = 64 * LANES, _names(LANES)
+    radius = int(share * bits + SPREAD * (bits * share * (1 - share)) ** 0.5)
+    sets = written(shingle_sets(docs, id_col, text_col, width, similarity).withColumn("node", F.monotonically_increasing_id()), "sets")
+    nodes = written(sets.groupBy(*names, "whole").agg(F.min("id").alias("low"), F.min("node").alias("node")), "nodes")
+    keyed = sets.select("node", "head").join(nodes.select("node"), "node", "left_semi").select("node", F.explode("head").alias("bucket"))
+    shared = keyed.join(_shared(keyed.select("bucket")), "bucket")
+    found = components(_star_links(shared.join(nodes.select("node", *names), "node"), names, radius))
+    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    members = written(members.join(sets.select("node", "n"), "node"), "members")
+    tiles = members.groupBy("root").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("tiles"))
+    tiled = members.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).filter("tiles = 1 or tile <> other")
+    dealt = dealt.select("node", F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")).alias("grp"))
+    spread = dealt.join(sets.select("node", "head", "tail"), "node").select("grp", "node", "head", "tail").repartition("grp").sortWithinPartitions("grp", "node")
+    return _named(sets.select("id", *names, "whole"), nodes, components(arrow_map(spread, _verified(similarity), "a long, b long")), [*names, "whole"]).select("id", "component")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

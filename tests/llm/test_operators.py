@@ -117,6 +117,40 @@ def test_near_copies_go_and_others_stay(spark):
     assert set(range(0, 60, 3)) <= kept and len(kept) == len(texts) - copies
 
 
+def test_lone_pairs_are_judged_by_their_shingles(spark):
+    rng = random.Random(11)
+    texts = []
+    for k in range(60):  # 90 shingles each; 80 shared is a similarity of exactly 0.8, 79 is below
+        words = [f"w{rng.randrange(10**6)}" for _ in range(94)]
+        shared = 84 if k % 2 else 83
+        texts += [" ".join(words), " ".join(words[:shared] + [f"x{rng.randrange(10**6)}" for _ in range(94 - shared)])]
+    found = {r["id"]: r["component"] for r in simhash.similar_documents(docs_of(spark, texts)).collect()}
+    assert found == {i: i - i % 2 if i // 2 % 2 else i for i in range(120)}
+
+
+@pytest.mark.parametrize("tile", [300, 2_000_000])
+def test_similar_components(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "SHINGLES", tile)
+    rng = random.Random(12)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(10):
+            again = list(words)
+            for k in rng.sample(range(60), rng.randint(0, 3)):
+                again[k] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(again))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    found = {r["id"]: r["component"] for r in simhash.similar_documents(docs_of(spark, texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == want and 6 < len(set(want)) < len(texts)
+
+
 def test_packing(spark, odd, none):
     rows = packing.pack_online(odd, length=64, windows=3, with_ids=True).collect()
     encoder = tokens.Encoder()
