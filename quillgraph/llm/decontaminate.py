@@ -1,15 +1,18 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts and items are compared as lower-case letters and digits with single spaces.  An item
-is cut into overlapping windows of `WINDOW` characters (a shorter item is one window);
-a document is contaminated by an item if some stretch of it is within the window's edit
+is cut into overlapping windows of `WINDOW` characters (a shorter item is one window), and again
+into windows of `PASSAGE` characters, one every `STEP`, so that each passage of PASSAGE + STEP - 1
+characters (about a dozen words) holds a whole window wherever it starts; a document is
+contaminated by an item if some stretch of it is within the window's edit
 budget, e = BUDGET x window, of a window.
 
 Two strings at distance e share at least m - Q + 1 - e * Q of the m - Q + 1 q-grams of the
 window, on diagonals (text position - window position) that differ by at most e.  So
 shared q-grams are counted per window in bands of 2(e + 1) diagonals that overlap by
 half, which leaves no match between two bands; bands that reach the lemma's count
-are retained and verified by an alignment that stays in the band.  The filter loses nothing.
+are retained and verified by an alignment that stays in the band.  The filter loses no window;
+quotes shorter than PASSAGE + STEP - 1 characters are found only where they hold a window.
 
 The windows' q-grams go to the executors in blocks of at most `BLOCK_GRAMS`, one pass over the
 texts for each block: a benchmark of any size runs, and a usual one is one block.
@@ -35,6 +38,7 @@ from quillgraph.llm.common import arrow_map, kept_rows, pieces, text_of
 
 Q = 10
 WINDOW = 100
+PASSAGE, STEP = 56, 5
 BUDGET = 0.08
 BLOCK_GRAMS = 4_000_000
 _ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -65,15 +69,16 @@ def gram_codes(text: bytes) -> np.ndarray:
 class Windows:
     """The windows of a block of items, with an index of their q-grams."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], share: float = BUDGET):
+    def __init__(self, items: list[tuple[int | None, bytes]], share: float = BUDGET, passages: bool = False):
         self.item, self.text, self.edits = [], [], []
         for key, text in items:
-            size = min(WINDOW, len(text))
-            starts = sorted({*range(0, len(text) - size + 1, WINDOW // 2), len(text) - size}) if size >= Q else []
-            for s in starts:
-                self.item.append(key)
-                self.text.append(text[s : s + size])
-                self.edits.append(budget(size, share))
+            for most, step in ((WINDOW, WINDOW // 2), (PASSAGE, STEP))[: 1 + (passages and len(text) > PASSAGE)]:
+                size = min(most, len(text))
+                starts = sorted({*range(0, len(text) - size + 1, step), len(text) - size}) if size >= Q else []
+                for s in starts:
+                    self.item.append(key)
+                    self.text.append(text[s : s + size])
+                    self.edits.append(budget(size, share))
         length = np.array([len(t) for t in self.text], np.int64)
         self.length, self.allowed = length, np.array(self.edits, np.int64)
         self.least = np.maximum(1, length - Q + 1 - self.allowed * Q)
@@ -163,7 +168,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[
     for x in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).orderBy("i", "t").toLocalIterator():
         text = plain(x["t"])
         block.append((x["i"], text))
-        size += 2 * len(text)
+        size += (2 + (PASSAGE - Q) // STEP) * len(text)
         if size >= BLOCK_GRAMS:
             yield block
             block, size = [], 0
@@ -177,7 +182,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
     def find(block: list[tuple[int | None, bytes]]) -> DataFrame:
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = Windows(block, share)
+            windows = Windows(block, share, passages=True)
             for rows in pieces(batches, 2_000_000):
                 keys = rows.column(0).to_pylist()
                 d, w, start, edits = search(windows, [plain(t) for t in rows.column(1).to_pylist()])
@@ -197,7 +202,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
         made: list[Windows] = []
 
         def verdict(rows: pa.RecordBatch) -> np.ndarray:
-            windows = made[0] if made else made.append(Windows(block, share)) or made[0]
+            windows = made[0] if made else made.append(Windows(block, share, passages=True)) or made[0]
             stay = np.ones(rows.num_rows, bool)
             stay[search(windows, [plain(t) for t in rows.column(at).to_pylist()])[0]] = False
             return stay

@@ -285,6 +285,28 @@ def test_contamination(spark, odd, none):
     assert decontaminate.matches(odd, bench.limit(0)).count() == 0
 
 
+def test_partial_quotes(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [text(n) for n in (12, 20, 40, 80)]
+    docs, want = [text(300) for _ in range(20)], set()
+    for i, item in enumerate(items):
+        for k in range(20):
+            size = min(decontaminate.PASSAGE + decontaminate.STEP - 1 + k, len(item))
+            at = rng.randrange(len(item) - size + 1)
+            quote = list(item[at : at + size])
+            if k % 2 and size >= decontaminate.PASSAGE:  # an edit or two
+                for e in rng.sample(range(size), rng.randint(1, 2)):
+                    quote[e] = "z"
+            docs.append(f"{docs[rng.randrange(20)]}\n{''.join(quote)}. {text(50)}")
+            want.add((len(docs) - 1, i))
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    found = {(r["id"], r["item"]) for r in decontaminate.matches(docs_of(spark, docs), bench).collect()}
+    assert found == want
+    assert {r["doc_id"] for r in decontaminate.clean(docs_of(spark, docs), bench).collect()} == set(range(20))
+
+
 def test_window_search_is_exhaustive():
     rng = random.Random(3)
     item = "".join(rng.choice("abcd ") for _ in range(100))
