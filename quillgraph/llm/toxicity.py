@@ -2,7 +2,7 @@
 
 1. A character trigram model is counted over all texts of the table: every partition
    adds up its trigrams, and the sums (at most 64^3 codes) reach the driver.
-2. A token that looks disguised (digits or marks among letters, a letter three times in
+2. A token that may be disguised (a letter with digits or marks beside it, a letter three times in
    a row, single letters in a row) becomes a lattice: each character stands for itself, for the letters it
    may replace (leetspeak), or for nothing (a separator, a repeated letter), each at a
    price.  Viterbi search under the trigram model finds the restored word.
@@ -48,8 +48,10 @@ _OUT = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.flo
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
 _LETTER = re.compile(r"[^\W\d_]")
 _WORDS = re.compile(r"[^\W\d_]+")
-_EDGE = re.compile(r"([^\w\s])\1+")
-_ODD = re.compile(r"[^\W\d_][^\w\s]*[\d_@$!|+€(*.\-~]+[^\W\d_]|^[\d@$!|+€(]+[^\W\d_]|([^\W\d_])\1\1")
+#: Repeated marks at the ends of a token that stand for no letter, and characters that leave the lattice a choice.
+_EDGE = re.compile(r"^([^\w\s@$!|+€(])\1+|([^\w\s@$!|+€(])\2+$")
+_ODD = re.compile(r"[\W\d_]|([^\W\d_])\1\1")
+_CHOICE = re.compile(r"[\d@$!|+€(]|([^\W\d_])\1")
 
 
 def _code(char: str) -> int:
@@ -95,7 +97,7 @@ class CharModel:
                     options.append(("", 1.0))  # repetition
             else:
                 options += [(x, 1.2) for x in LEET.get(char, "")]
-                options.append(("", 4.0 if char.isdigit() else 1.5))
+                options.append(("", 2.0 if char in "@$€" and char == before else 4.0 if char.isdigit() or char in "@$€" else 1.5))
             new: dict[tuple[int, int, str], tuple[float, str]] = {}
             for (a, b, _), (cost, done) in states.items():
                 for letter, price in options:
@@ -112,11 +114,10 @@ class CharModel:
 
     def restore(self, token: str) -> list[str]:
         """The readings of a whitespace token: its letters as they stand, and the decoded word if it looks disguised."""
-        token = _EDGE.sub(" ", token).strip()
         plain = _WORDS.findall(token)
-        core = token.strip(".,;:?\"')")
-        if core and _ODD.search(core) and 4 * sum(c.isdigit() for c in core) <= 3 * len(core):
-            decoded = self.decode(core)
+        core = _EDGE.sub("", token).strip(".,;:?\"')")
+        if plain and _ODD.search(core) and 4 * sum(c.isdigit() for c in core) <= 3 * len(core):
+            decoded = self.decode(core) if _CHOICE.search(core) else "".join(plain)
             return [*plain, decoded] if decoded else plain
         return plain
 

@@ -430,6 +430,14 @@ def test_decoding():
     assert model.restore("the***") == ["the"] and model.restore("12345") == []
 
 
+def test_every_disguise_is_decoded():
+    sums = toxicity.trigram_sums(["the idiot was here and the moron too, a stupid loser, an asshole, scum, an ass and a clown " * 50])
+    model = toxicity.CharModel(sums)
+    forms = {"lo$$er": "loser", "a$$hole": "asshole", "stup!!d": "stupid", "m..o..r..o..n": "moron", "m--o--r--o--n": "moron", "a55": "ass", "a$$": "ass", "idi0+": "idiot", "m/o/r/o/n": "moron", "s,c,u,m": "scum", "--idi0t!!": "idiot"}
+    assert {t: w for t, w in forms.items() if w not in model.restore(t)} == {}
+    assert model.restore("the...") == ["the"] and model.restore("hand-made") == ["hand", "made", "handmade"] and model.restore("$$") == []
+
+
 def test_folds(spark):
     from quillgraph.llm.folds import fold
     from pyspark.sql import functions as F
