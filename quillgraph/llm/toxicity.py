@@ -5,7 +5,9 @@
 2. A token that may be disguised (a letter with digits or marks beside it, a letter three times in
    a row, single letters in a row) becomes a lattice: each character stands for itself, for the letters it
    may replace (leetspeak), or for nothing (a separator, a repeated letter), each at a
-   price.  Viterbi search under the trigram model finds the restored word.
+   price.  Viterbi search under the trigram model finds the restored word.  Chunks of one or two characters in
+   a row may be a spaced-out word beside short words: all words that neighbouring chunks make are read, and chunks
+   with digits or marks are decoded with an option of a space between them.
 3. Evidence is a restored word or a prefix of one.  Labelled training documents give counts of
    toxic and other documents for each; a greedy cover picks evidence by the lower confidence bound of
    its toxic share among documents that stronger evidence doesn't explain yet, so words that
@@ -43,6 +45,8 @@ SAMPLE = 20_000
 THRESHOLD = 0.3
 SYMBOLS = 64
 PREFIXES = range(3, 9)
+#: Letters of the longest word read from chunks.
+LONGEST = 24
 _OUT = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 #: Letters that a character may replace.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
@@ -51,6 +55,7 @@ _WORDS = re.compile(r"[^\W\d_]+")
 #: Repeated marks at the ends of a token that stand for no letter, and characters that leave the lattice a choice.
 _EDGE = re.compile(r"^([^\w\s@$!|+€(])\1+|([^\w\s@$!|+€(])\2+$")
 _ODD = re.compile(r"[\W\d_]|([^\W\d_])\1\1")
+_AROUND = ".,;:?\"')-*~/_[]{}<>=&#%^`"
 _CHOICE = re.compile(r"[\d@$!|+€(]|([^\W\d_])\1")
 
 
@@ -86,7 +91,7 @@ class CharModel:
         self.log = np.log((tri + 5.0 * p2[None]) / (tri.sum(2, keepdims=True) + 5.0)).astype(np.float32).tolist()
 
     def decode(self, token: str, wide: int = 24) -> str:
-        """The best reading of a lower-case token: Viterbi over (last two symbols), `wide` states kept."""
+        """The best reading of a lower-case token: Viterbi over (last two symbols), `wide` states kept; a space may stay or go."""
         states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
         before = ""
         for char in token:
@@ -97,6 +102,8 @@ class CharModel:
                     options.append(("", 1.0))  # repetition
             else:
                 options += [(x, 1.2) for x in LEET.get(char, "")]
+                if char == " ":
+                    options.append((" ", 1.5))
                 options.append(("", 2.0 if char in "@$€" and char == before else 4.0 if char.isdigit() or char in "@$€" else 1.5))
             new: dict[tuple[int, int, str], tuple[float, str]] = {}
             for (a, b, _), (cost, done) in states.items():
@@ -114,6 +121,8 @@ class CharModel:
 
     def restore(self, token: str) -> list[str]:
         """The readings of a whitespace token: its letters as they stand, and the decoded word if it looks disguised."""
+        if token[0] == " ":
+            return self.rejoined(token.split())
         plain = _WORDS.findall(token)
         core = _EDGE.sub("", token).strip(".,;:?\"')")
         if plain and _ODD.search(core) and 4 * sum(c.isdigit() for c in core) <= 3 * len(core):
@@ -121,23 +130,58 @@ class CharModel:
             return [*plain, decoded] if decoded else plain
         return plain
 
-
-def evidence(word: str) -> list[str]:
-    return ["=" + word, *(word[:k] for k in PREFIXES if len(word) >= k)]
+    def rejoined(self, chunks: list[str]) -> list[str]:
+        """The words that neighbouring chunks make; if there are digits or marks, those of the decoded chunks."""
+        if all(map(str.isalpha, chunks)):
+            words = set()
+            for i in range(len(chunks)):
+                word = chunks[i]
+                for chunk in chunks[i + 1 :]:
+                    word += chunk
+                    if len(word) > LONGEST:
+                        break
+                    if len(word) > 2:
+                        words.add(word)
+            return sorted(words)
+        text = "".join(chunks)
+        if 4 * sum(c.isdigit() for c in text) > 3 * len(text):
+            return []
+        words = set(self.decode(" ".join(chunks)).split())
+        for skip in (0, 1, 2):  # whole, and without short words before it
+            if len(chunks) > skip + 1:
+                words.add(self.decode("".join(chunks[skip:])))
+        return sorted(w for w in words if len(w) > 2)
+
+
+def evidence(word: str, least: int = 0) -> list[str]:
+    return ["=" + word, *(word[:k] for k in PREFIXES if len(word) >= k >= least)]
+
+
+def evidence_of(chars: CharModel, token: str) -> list[str]:
+    """Evidence of all readings; short prefixes of words made of chunks say little, as any short words in a row make them."""
+    return [x for w in chars.restore(token) for x in evidence(w, 5 if token[0] == " " else 0)]
 
 
 def tokens_of(text: str | None) -> list[str]:
-    """Lower-case tokens; four or more single characters in a row are one token more."""
+    """Lower-case tokens; two or more chunks in a row are one token more, which starts with a space.
+
+    A chunk has one or two characters within its punctuation and is no number of two digits; single marks between chunks are passed over.
+    """
     tokens = (text or "").lower().split()
-    size = bytes(min(len(x), 2) for x in tokens)
-    at = size.find(b"\x01\x01\x01\x01")
-    extra = []
-    while at >= 0:
-        end = at
-        while end < len(size) and size[end] == 1:
-            end += 1
-        extra.append("-".join(tokens[at:end]))
-        at = size.find(b"\x01\x01\x01\x01", end)
+    extra: list[str] = []
+    run: list[str] = []
+    for token in [*tokens, "-----"]:
+        if len(token) < 5:
+            chunk = token.strip(_AROUND)
+            if not chunk:
+                if len(token) == 1:
+                    continue
+            elif len(chunk) < 3 and not (len(chunk) == 2 and chunk.isdigit()):
+                run.append(chunk)
+                continue
+        if len(run) > 1 and any(map(str.isalpha, run)) and len("".join(run)) > 2:
+            extra.append(" " + " ".join(run))
+        run = []
     return tokens + extra
 
 
@@ -152,7 +196,7 @@ class Model:
         strength = self.strength
 
         def of(token: str) -> float:
-            return max((strength.get(x, 0.0) for w in chars.restore(token) for x in evidence(w)), default=0.0)
+            return max((strength.get(x, 0.0) for x in evidence_of(chars, token)), default=0.0)
 
         def strongest(text: str | None) -> tuple[float, float]:
             if len(seen) > 400_000:
@@ -244,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     items: set[str] = set()
                     for token in set(tokens_of(t)):
                         if token not in seen:
-                            seen[token] = [x for w in chars.restore(token) for x in evidence(w)]
+                            seen[token] = evidence_of(chars, token)
                         items.update(seen[token])
                     out.append(sorted(items))
                 if len(seen) > 200_000:

@@ -438,6 +438,16 @@ def test_every_disguise_is_decoded():
     assert model.restore("the...") == ["the"] and model.restore("hand-made") == ["hand", "made", "handmade"] and model.restore("$$") == []
 
 
+def test_spaced_out_words():
+    sums = toxicity.trigram_sums(["the idiot was here and you are a moron too, a stupid clown, i said, and you are scum " * 50])
+    model = toxicity.CharModel(sums)
+    words = lambda text: {w for t in toxicity.tokens_of(text) for w in model.restore(t)}
+    for text in ("you are a m o r o n", "i m o r o n", "m o r o n y", "a mo ro n!", "mor on mo ro n.", "m . o . r . o . n", "what a m 0 r 0 n", "un m o r o n a"):
+        assert "moron" in words(text), text
+    assert "scum" in words("s c u m") and "ass" in words("a s s") and "scum" in words("sc um")
+    assert not words("12 30 45 - 9 1 2 3 4 5") and words("the clown") == {"the", "clown"}
+
+
 def test_folds(spark):
     from quillgraph.llm.folds import fold
     from pyspark.sql import functions as F
