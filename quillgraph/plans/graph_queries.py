@@ -77,8 +77,8 @@ def _gr9_degrees(spark, d):
 
 @query("gr9_groups")
 def _gr9(spark, d):
-    """Communities of customers and the parts they share with suppliers and nations."""
-    return graph.groups(view(spark, d, "cites").filter("from_work NOT LIKE 'O%' AND from_work NOT LIKE 'C%'"))
+    """Communities of the whole graph."""
+    return graph.groups(view(spark, d, "cites"))
 
 
 @query("gr11_ego_map")

@@ -110,3 +110,14 @@ def test_ego_map(lineage):
     found = graph.ego_map(works.withColumn("hydrated", works.work_id != "W9"), cites, "W4")
     assert {w for _, w, step in found if step == 1} == {"W2", "W3", "W6"}
     assert len({w for _, w, _ in found}) == len(found)
+
+
+def test_registered_communities_take_all_links(spark, data):
+    from quillgraph.queries import QUERIES
+    from quillgraph.views import view
+
+    cites = view(spark, data, "cites")
+    rows = QUERIES["gr9_groups"](spark, data).collect()
+    assert {"C", "O"} <= {r["work_id"][0] for r in rows}
+    assert {r["work_id"] for r in rows} == {r["work_id"] for r in graph.groups(cites).select("work_id").collect()}
+    assert QUERIES["api7_group_names"](spark, data).count() == graph.groups(cites, least=3).select("anchor").distinct().count()
