@@ -140,7 +140,8 @@ def _sharding_sql() -> str:
     nibbles = "list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * octet_length(encode(t)) + 1), lambda i: CAST(strpos('0123456789ABCDEF', substr(x, i + 2 * (i % 2) - 1, 1)) - 1 AS BIGINT))), lambda a, b: xor(a >> 4, k[xor(a, b) % 16 + 1]))"
     return f"""WITH k AS (SELECT list_transform(range(16), lambda n: list_reduce(list_prepend(n, range(4)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS k),
         d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x, list_transform(range(9), lambda s: (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || s), 1, 13) AS BIGINT))) AS u FROM documents),
-        p AS (SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':slot'), 1, 3))::INT AS bucket, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS size, CASE WHEN t = '' THEN 0 ELSE xor({nibbles}, 4294967295) END AS text_crc32, {best(8)} AS shard, {best(9)} AS grown_shard FROM d, k)
+        c AS (SELECT doc_id, t, u, CASE WHEN t = '' THEN 0 ELSE xor({nibbles}, 4294967295) END AS text_crc32 FROM d, k),
+        p AS (SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32 || ':slot'), 1, 3))::INT AS bucket, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS size, text_crc32, {best(8)} AS shard, {best(9)} AS grown_shard FROM c)
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM p"""
 
 

@@ -7,8 +7,11 @@ weight moves only what that shard wins or loses.
 
 Slots number the records of a shard without gaps.  A shard may hold any number of
 rows, so a slot is counted in two steps: rows are numbered within (shard, bucket),
-where the bucket is a hash of the key, and the bucket's first slot is the sum of the smaller
-buckets' counts, which is a table of shards x `BUCKETS` rows whatever the input.
+where the bucket is a hash of the key and the text's checksum, and the bucket's first slot is the
+sum of the smaller buckets' counts, which is a table of shards x `BUCKETS` rows whatever the input.
+Equal rows are added up to one row with their number before anything is sorted, and dealt out
+again at the end, those of a number beyond `BLOCK` by many tasks.  The texts are read once; what
+is written to the shared folder and shuffled are ids, sizes and checksums.
 
 Defined results: the key decides alone, so rows with equal keys share a shard, null keys
 among them; repeated rows get slots of their own; a null text has size 1 (no bytes, plus
@@ -22,8 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgraph.llm.common import written
+
 #: Buckets are three hexadecimal digits of a hash.
 BUCKETS = 16**3
+#: Equal rows that one task deals out.
+BLOCK = 100_000
 
 
 def uniform(key: Column, shard: int) -> Column:
@@ -45,13 +52,20 @@ def assign(records: DataFrame, weights: list[float], grown: list[float] | None =
     named = records.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     key = F.coalesce(F.col("id").cast("string"), F.lit(""))
     placed = named.withColumn("shard", rendezvous(key, weights)).withColumn("grown_shard", rendezvous(key, grown) if grown else F.lit(None).cast("int"))
-    placed = placed.withColumn("bucket", F.conv(F.substring(F.md5(F.concat(key, F.lit(":slot")).cast("binary")), 1, 3), 16, 10).cast("int"))
-    counted = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    marked = F.concat(key, F.lit(":"), F.col("text_crc32").cast("string"), F.lit(":slot"))
+    placed = placed.withColumn("bucket", F.conv(F.substring(F.md5(marked.cast("binary")), 1, 3), 16, 10).cast("int"))
+    equal = written(placed.groupBy("shard", "bucket", "id", "text_crc32", "size", "grown_shard").agg(F.count("*").alias("n")), "placed")
+    counted = equal.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "text_crc32", "size"))
-    numbered = placed.withColumn("rank", inside).join(F.broadcast(starts), ["shard", "bucket"])
-    return numbered.select("id", "size", "text_crc32", "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"), "grown_shard")
+    inside = Window.partitionBy("shard", "bucket").orderBy("id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = equal.withColumn("rank", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(starts), ["shard", "bucket"])
+    numbered = numbered.select("id", "size", "text_crc32", "shard", "grown_shard", (F.col("start") + F.col("rank")).alias("first"), "n")
+    many = F.col("n") > BLOCK
+    blocks = numbered.filter(many).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))))
+    blocks = blocks.select("id", "size", "text_crc32", "shard", "grown_shard", (F.col("first") + F.col("at")).alias("first"), F.least(F.lit(BLOCK), F.col("n") - F.col("at")).alias("n"))
+    dealt = numbered.filter(~many).unionByName(blocks.repartition("shard", "first")) if equal.filter(many).limit(1).count() else numbered
+    return dealt.withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1))).select("id", "size", "text_crc32", "shard", "slot", "grown_shard")
 
 
 def write_shards(records: DataFrame, weights: list[float], path: str, id_col: str = "doc_id") -> None:
