@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +17,9 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a temporary folder is set as the checkpoint folder.
+    It is what the cluster names in ``spark.checkpoint.dir``; where that is unset, a folder set as the
+    checkpoint folder counts, and in a local session (tests, a laptop) a temporary folder is set as one.  A
+    cluster that names neither is an error: a machine's own folder would lose what other machines write.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -23,21 +27,65 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quill-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Where `written` notes its folders, if a `scratch` is open.
+_scope: ContextVar[list[str] | None] = ContextVar("quill_scope", default=None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what `written` has written in it; nothing made in it may be read later but what `stored` has written."""
+    paths: list[str] = []
+    before = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(before)
+        for path in paths:
+            delete(spark, path)
+
+
+def place_for(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/quill/{name}-{uuid.uuid4().hex}"
+
+
+def note(path: str) -> str:
+    """The open `scratch`, if there is one, will delete the path."""
+    if (noted := _scope.get()) is not None:
+        noted.append(path)
+    return path
+
+
+def stored(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """Write `df` as Parquet to `path` and read it back; no `scratch` deletes it."""
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
     What follows starts from the files: a lost executor costs a read of them and
     never the work before them, and a result that is used twice is made once.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, note(place_for(df.sparkSession, name)), **options)
 
 
 def text_of(df: DataFrame, text: str = "text") -> Column:
