@@ -60,27 +60,27 @@ class OpenWindows:
 
     def add(self, key: int | None, start: int, tokens: int, ids: bytes) -> Iterator[tuple]:
         """Place one piece; yields the rows of the windows that this fills."""
-        length = self.length
-        while len(ids) >= 4 * length:
+        length, at = self.length, 0  # `at` walks over the ids, so that a long text isn't copied for each window
+        while len(ids) - at >= 4 * length:
             window = self._open()
-            self.held[window].append((key, start, tokens, ids[: 4 * length]))
+            self.held[window].append((key, start + at // 4, tokens, ids[at : at + 4 * length]))
             yield from self._close(window)
-            ids, start = ids[4 * length :], start + length
-        while ids:
-            n = len(ids) // 4
-            at = bisect_left(self.gaps, (n, -1))
-            if at < len(self.gaps):  # the smallest gap that holds it
-                gap, window = self.gaps.pop(at)
+            at += 4 * length
+        while at < len(ids):
+            n = (len(ids) - at) // 4
+            fit = bisect_left(self.gaps, (n, -1))
+            if fit < len(self.gaps):  # the smallest gap that holds it
+                gap, window = self.gaps.pop(fit)
             elif len(self.held) < self.limit:
                 gap, window = length, self._open()
             else:  # none fits: the fullest window takes the head and goes
                 gap, window = self.gaps.pop(0)
-            self.held[window].append((key, start, tokens, ids[: 4 * gap]))
+            self.held[window].append((key, start + at // 4, tokens, ids[at : at + 4 * gap]))
             if gap > n:
                 insort(self.gaps, (gap - n, window))
             else:
                 yield from self._close(window)
-            ids, start = ids[4 * gap :], start + gap
+            at += 4 * gap
 
     def rest(self, merge: bool = False) -> Iterator[tuple]:
         """The rows of the windows that are still open; `merge` first fills them up from each other, which leaves one at most."""
