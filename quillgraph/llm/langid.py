@@ -12,18 +12,20 @@ Long texts cost no long loops: chunks of `CHUNK` words first give their transfer
 matrices, all at once, these are chained along each text, and a second pass
 inside the chunks starts from the exact messages.
 
-The model is fitted on at most about `SAMPLE` labelled documents (whole texts) of the
-folds that aren't held out; its size is fixed (2^17 weights a language).
-
-Defined results: `und` with score 0 for a null text, a text without a letter, and where
-nothing could be learned; ties go to the alphabetically first language; repeated rows
+The model is fitted on a bounded sample of the labelled documents of the folds that aren't held
+out: at most about `SAMPLE` distinct texts, in equal shares of the languages, chosen by a hash of the
+text; each gives one stretch of its words from a hashed place on, so that together they are about
+`TRAIN_WORDS`.  Copies teach once, and no long text and no frequent language takes the others'
+share.  The model's size is fixed (2^17 weights a language).
+
+Defined results: `und` with score 0 for a null text, a text without a letter (a character of
+Unicode's letter categories), and where nothing could be learned; ties go to the alphabetically first language; repeated rows
 return a row each; null languages teach nothing; an empty table returns no rows; other
 columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -34,14 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import arrow_map, batch, pieces
-from quillgraph.llm.folds import fold, sampled
+from quillgraph.llm.folds import fold
 
 SAMPLE = 3000
 BUCKETS = 1 << 17
 CHUNK = 128
-#: Words of a training sequence, and of all of them.
-STRETCH, TRAIN_WORDS = 96, 400_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Words of a training stretch at most, of one text, and of all of them (about); letters of a training word.
+STRETCH, LONGEST, TRAIN_WORDS, WORD = 96, 4000, 400_000, 64
 _OUT = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -60,7 +61,7 @@ def _hashed(codes: np.ndarray, at: np.ndarray, width: int, kind: int, size: int)
 def features(words: list[str], size: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word number) of the hashed features of lower-case tokens: the letters of a token as a whole, its first one to
     three and last one to four letters, and its pairs and triples of letters, edges included.  A token without a letter has none."""
-    cores = [w if w.isalpha() else "".join(_LETTERS.findall(w)) for w in words]
+    cores = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in words]
     length = np.array([len(c) for c in cores], np.int64)
     codes = np.frombuffer("".join(f"^{c}$" for c in cores).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
     end = np.cumsum(length + 2)
@@ -177,34 +178,31 @@ class Model:
         rows = lexicon.rows([x for one in tokens for x in one])
         post = marginals(lexicon.scores[rows], lengths, self.transitions) * lexicon.lettered[rows][:, None]
         sums = np.vstack([np.zeros((1, len(self.langs))), np.cumsum(post, axis=0, dtype=np.float64)])
+        lettered = np.append(0, np.cumsum(lexicon.lettered[rows]))
         ends = np.cumsum(lengths)
-        mass = sums[ends] - sums[ends - lengths]
-        for row in mass:
-            if row.sum() < 0.5:
+        mass, words = sums[ends] - sums[ends - lengths], lettered[ends] - lettered[ends - lengths]
+        for row, some in zip(mass, words, strict=True):
+            if not some:  # no letter in the whole text
                 yield "und", 0.0
             else:
                 best = int(row.argmax())
                 yield self.langs[best], float(min(1.0, row[best] / row.sum()))
 
 
-def train(texts: list[str], langs: list[str], rounds: int = 6, rate: float = 0.5, ridge: float = 1e-4, seed: int = 7) -> Model:
-    """Fit on whole documents of known language, cut into stretches that are dealt into mixed sequences."""
+def train(texts: list[list[str]], langs: list[str], rounds: int = 6, rate: float = 0.5, ridge: float = 1e-4, seed: int = 7) -> Model:
+    """Fit on the words of documents of known language, cut into stretches that are dealt into mixed sequences."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32))
     rng = np.random.default_rng(seed)
     cut: list[tuple[list[str], int]] = []
-    words = 0
     for i in rng.permutation(len(texts)):
-        tokens, y = texts[i].lower().split(), names.index(langs[i])
+        tokens, y = texts[i], names.index(langs[i])
         at = 0
         while at < len(tokens):
             n = int(rng.integers(8, STRETCH))
             cut.append((tokens[at : at + n], y))
             at += n
-        words += len(tokens)
-        if words > TRAIN_WORDS:
-            break
     order = rng.permutation(len(cut))
     flat = [x for i in order for x in cut[i][0]]
     gold = np.concatenate([np.full(len(cut[i][0]), cut[i][1]) for i in order]) if cut else np.zeros(0, np.int64)
@@ -250,9 +248,21 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, rate: float = 0.5
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = SAMPLE) -> Model:
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y")).filter("t is not null and y is not null").filter(fold(F.col("i")) != 2)
-    known = sorted(sampled(rows, "i", bound, "language").select("t", "y").toPandas().itertuples(index=False, name=None))
-    return train([t for t, _ in known], [y for _, y in known])
+    """Each language teaches by an equal share of `bound` distinct texts, each text by a stretch of its words: see above."""
+    rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y"), F.xxhash64(text_col).alias("h")).filter(F.col("t").isNotNull() & F.col("y").isNotNull() & (fold(F.col(id_col)) != 2))
+    texts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # a row for each language
+    if not texts:
+        return train([], [])
+    share = max(1, bound // len(texts))
+    least = sum(min(share, n) for n in texts.values())
+    taken = min(LONGEST, max(STRETCH, TRAIN_WORDS // least))
+    below = F.create_map(*[F.lit(x) for y, n in sorted(texts.items()) for x in (y, int(min(1.0, share / max(n, 1)) * (1 << 30)))])
+    rows = rows.filter(F.pmod(F.xxhash64("h", F.lit("language")), F.lit(1 << 30)) < below[F.col("y")])
+    words = F.filter(F.split(F.lower("t"), r"\s+"), lambda w: w != "")
+    start = F.pmod(F.xxhash64("h", F.lit("start")), F.greatest(F.size("w") - taken, F.lit(0)) + 1).cast("int") + 1
+    stretch = F.transform(F.slice("w", start, taken), lambda w: F.substr(w, F.lit(1), F.lit(WORD)))
+    known = rows.withColumn("w", words).filter(F.size("w") > 0).select("y", "h", stretch.alias("w")).groupBy("y", "h").agg(F.min("w").alias("w")).orderBy("y", "h").collect()  # at most about TRAIN_WORDS words
+    return train([r["w"] for r in known], [r["y"] for r in known])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
