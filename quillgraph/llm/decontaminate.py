@@ -14,11 +14,16 @@ half, which leaves no match between two bands; bands that reach the lemma's coun
 are retained and verified by an alignment that stays in the band.  The filter loses no window;
 quotes shorter than PASSAGE + STEP - 1 characters are found only where they hold a window.
 
+Shared q-grams are added up slice by slice, `SLICE` of them at a time, and of a text that is
+done only the bands that reach the count are kept, so a benchmark whose items share a template
+doesn't fill the memory.  An item of fewer than Q characters holds no q-gram; it is found
+exactly, as whole words in a row.
+
 The windows' q-grams go to the executors in blocks of at most `BLOCK_GRAMS`, one pass over the
 texts for each block: a benchmark of any size runs, and a usual one is one block.
 
-Defined results: null texts are empty and match nothing; null items match nothing; an item
-with fewer than Q characters holds no q-gram and isn't searched; items with less
+Defined results: null texts are empty and match nothing; null items, and items without a letter or
+digit, match nothing; items with less
 room than the budget get the largest budget at which the lemma still filters; repeated rows
 give their pairs once; a null document id is kept, null item ids too; empty tables
 return no rows; other columns are not read.
@@ -41,6 +46,8 @@ WINDOW = 100
 PASSAGE, STEP = 56, 5
 BUDGET = 0.08
 BLOCK_GRAMS = 4_000_000
+#: Shared q-grams (text position, window) that are held at once.
+SLICE = 2_000_000
 _ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 _HIT = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("start", pa.int64()), ("window", pa.int64()), ("distance", pa.int64())])
 
@@ -71,6 +78,7 @@ class Windows:
 
     def __init__(self, items: list[tuple[int | None, bytes]], share: float = BUDGET, passages: bool = False):
         self.item, self.text, self.edits = [], [], []
+        short = [(key, text) for key, text in items if 0 < len(text) < Q]
         for key, text in items:
             for most, step in ((WINDOW, WINDOW // 2), (PASSAGE, STEP))[: 1 + (passages and len(text) > PASSAGE)]:
                 size = min(most, len(text))
@@ -94,21 +102,83 @@ class Windows:
         self.bits = max(16, int(len(self.code)).bit_length() + 6)
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[self._slot(self.code)] = True
+        self.words = {text: [] for _, text in short}
+        for n, (key, text) in enumerate(short, len(self.text)):  # numbered after the windows
+            self.words[text].append(n)
+            self.item.append(key)
+        self.finder = None
+        if short:
+            import ahocorasick
+
+            self.finder = ahocorasick.Automaton()
+            for text in self.words:
+                self.finder.add_word(f" {text.decode('latin-1')} ", text)
+            self.finder.make_automaton()
+
+    def exact(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(text number, item number, start) of the first place of each item that is too short for a q-gram."""
+        for d, text in enumerate(texts if self.finder else ()):
+            seen: set[bytes] = set()
+            for last, word in self.finder.iter(f" {text.decode('latin-1')} "):
+                if word not in seen:
+                    seen.add(word)
+                    yield from ((d, n, last - 1 - len(word)) for n in self.words[word])
 
     def _slot(self, code: np.ndarray) -> np.ndarray:
         return code * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.bits)
 
-    def shared(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text position, window, window position) of all shared q-grams."""
+    def shared(self, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text position, window, window position) of all shared q-grams by text position, about `SLICE` at a time."""
         code = gram_codes(text)
         pos = np.flatnonzero(self.maybe[self._slot(code)])
         row = np.minimum(np.searchsorted(self.code, code[pos]), max(len(self.code) - 1, 0))
         same = self.code[row] == code[pos] if len(self.code) else np.zeros(len(pos), bool)
         pos, row = pos[same], row[same]
         n = self.next[row] - self.first[row]
-        rank = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        entry = np.repeat(self.first[row], n) + rank
-        return np.repeat(pos, n), self.window[entry], self.at[entry]
+        total = np.cumsum(n)
+        at = 0
+        while at < len(pos):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE, side="right")))
+            k = n[at:end]
+            entry = np.repeat(self.first[row[at:end]] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+            yield np.repeat(pos[at:end], k), self.window[entry], self.at[entry]
+            at = end
+
+
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def retained(windows: Windows, joined: bytes, ends: np.ndarray) -> np.ndarray:
+    """(text number, window, first diagonal) of the bands of two steps, at each step, whose shared q-grams reach the lemma's count."""
+    found: list[np.ndarray] = []
+    many, steps = max(1, len(windows.text)), (len(joined) + WINDOW) // windows.band + 2
+    held, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def done(held: np.ndarray, sums: np.ndarray) -> None:
+        for shift in (0, 1):
+            pair, step = held // steps, held % steps
+            key, n = added(pair * steps + (step + shift >> 1), sums)
+            pair, step = key // steps, key % steps
+            keep = n >= windows.least[pair % many]
+            found.append(np.stack([pair[keep] // many, pair[keep] % many, (2 * step[keep] - shift) * windows.band - WINDOW]))
+
+    for pos, window, at in windows.shared(joined):
+        doc = np.searchsorted(ends, pos, side="right")
+        key = (doc * many + window) * steps + (pos - at + WINDOW) // windows.band  # a diagonal is at least -WINDOW
+        key, n = added(key, np.ones(len(key), np.int64))
+        held, sums = added(np.concatenate([held, key]), np.concatenate([sums, n]))
+        cut = int(np.searchsorted(held, int(doc[-1]) * many * steps))  # the last text may go on
+        done(held[:cut], sums[:cut])
+        held, sums = held[cut:], sums[cut:]
+    done(held, sums)
+    return np.concatenate(found, axis=1)
 
 
 def banded(text: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndarray, pattern: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,19 +205,7 @@ def search(windows: Windows, texts: list[bytes]) -> tuple[np.ndarray, ...]:
     ends = np.cumsum([len(t) + 1 for t in texts])
     starts = ends - [len(t) + 1 for t in texts]
     joined = b"\n".join(texts)
-    pos, window, at = windows.shared(joined)
-    doc = np.searchsorted(ends, pos, side="right")
-    band = (pos - at + WINDOW) // windows.band  # a diagonal is at least -WINDOW
-    found: list[tuple[np.ndarray, ...]] = []
-    for shift in (0, 1):  # bands of two steps, at each step
-        order = np.lexsort((band + shift >> 1, window, doc))
-        key = np.stack([doc[order], window[order], (band[order] + shift) >> 1])
-        cut = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0))) if key.shape[1] else np.empty(0, np.int64)
-        n = np.diff(np.append(cut, key.shape[1]))
-        keep = n >= windows.least[key[1, cut]]
-        d, w, b = key[:, cut[keep]]
-        found.append((d, w, (2 * b - shift) * windows.band - WINDOW))
-    d, w, diagonal = (np.concatenate(x) for x in zip(*found, strict=True))
+    d, w, diagonal = retained(windows, joined, ends)
     raw, edits, start = np.frombuffer(joined, np.uint8), np.full(len(d), 1 << 30), np.zeros(len(d), np.int64)
     for size in np.unique(windows.length[w]):
         rows = np.flatnonzero(windows.length[w] == size)
@@ -160,7 +218,8 @@ def search(windows: Windows, texts: list[bytes]) -> tuple[np.ndarray, ...]:
     order = np.lexsort((start, edits, w, d))
     d, w, start, edits = d[order], w[order], start[order], edits[order]
     one = np.append(True, (d[1:] != d[:-1]) | (w[1:] != w[:-1])) if len(d) else np.empty(0, bool)
-    return d[one], w[one], np.maximum(start[one], 0), edits[one]
+    short = np.array(list(windows.exact(texts)), np.int64).reshape(-1, 3).T
+    return np.append(d[one], short[0]), np.append(w[one], short[1]), np.append(np.maximum(start[one], 0), short[2]), np.append(edits[one], np.zeros_like(short[0]))
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, bytes]]]:
