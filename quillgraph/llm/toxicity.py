@@ -20,7 +20,7 @@ Labels come from at most about `SAMPLE` labelled documents of the folds that are
 language model and everything else cover all rows.
 
 Defined results: a null or empty text holds no evidence and gets the score of none; repeated rows
-return a row each; copies and most near copies of a text teach once; a null label teaches nothing, a document
+return a row each; copies of a text teach once, with the largest of their labels, and most near copies once, with one of theirs; a null label teaches nothing, a document
 with several labels counts with the largest; without training labels every score is 0; an empty table returns
 no rows; other columns are not read.
 """
@@ -277,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sums = trigrams(docs, text_col)
     marks = labels.groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y")).filter("i is not null and y is not null").withColumn("fold", fold(F.col("i"))).filter("fold <> 2")
     marks = sampled(marks, "i", bound, "toxicity")
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(marks, "i").select("t", "y", "fold")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(marks, "i").select("t", "y", "fold", F.xxhash64("t").alias("h"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars, seen = CharModel(sums), {}
@@ -293,9 +293,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     out.append(sorted(items))
                 if len(seen) > 200_000:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([_sketch(t) for t in part.column(0).to_pylist()], pa.int64()), pa.array(out, pa.list_(pa.string()))], names=["y", "fold", "sketch", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([_sketch(t) for t in part.column(0).to_pylist()], pa.int64()), part.column(3), pa.array(out, pa.list_(pa.string()))], names=["y", "fold", "sketch", "h", "items"])
 
-    seen = written(arrow_map(rows, make, "y int, fold long, sketch long, items array<string>").dropDuplicates(["sketch"]), "evidence")
+    read = arrow_map(rows, make, "y int, fold long, sketch long, h long, items array<string>")
+    # Of near copies the text with the smallest hash teaches; of copies of it, one with the largest label.
+    first = read.groupBy("sketch").agg(F.min(F.struct("h", (-F.col("y")).alias("minus"), "fold", "items")).alias("x"))
+    seen = written(first.select((-F.col("x.minus")).alias("y"), "x.fold", "x.items"), "evidence")
     curve_fold = 3
     first = _evidence(seen.filter(F.col("fold") != curve_fold))
     shown = seen.filter(F.col("fold") == curve_fold).select("y", _strongest(first)).toPandas() if first else None
