@@ -27,9 +27,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillgraph.llm.secrets import digest, scan
+    """The findings of a ledger table, which begins empty in each call."""
+    from quillgraph.llm.common import place_for
+    from quillgraph.llm.secrets import digest, update
 
-    return digest(scan(_docs(spark, sf_dir))[0])
+    return digest(update(_docs(spark, sf_dir), place_for(spark, "ledger")))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +104,7 @@ def _secrets_sql() -> str:
     any_case = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
     parts = []
     for place, r in enumerate(RULES):
-        pattern = r.pattern
+        pattern = r.pattern.replace(")*+", ")*")  # the same here: nothing follows that could match less
         if pattern.startswith("(?i)"):  # here A-Z alone is meant
             head, tail = pattern[4:].split(")", 1)
             pattern = "(" + "|".join(map(any_case, head[1:].split("|"))) + ")" + tail

@@ -6,13 +6,20 @@ found; a run scans the pairs that are not in it, each once, however many paths o
 versions share the blob, and joins the findings back to all versions.  A rule's version is
 the hash of its pattern, so a changed rule is scanned again and the others are not.
 
+`update` keeps the ledger as a table: it scans what the table doesn't know, appends that, and joins
+the findings back.  `scan` does the same with a ledger that the caller keeps.
+
 Texts are not shuffled where it can be helped: the rows that need no scan (copies of
 a blob, blobs that the ledger knows) are broadcast and left out if they number at most
 `BROADCAST_ROWS`, or else the rows that do need one are, or else the two are joined by
-a shuffle on (blob, id).
+a shuffle on (blob, id).  Findings are few beside versions: they are broadcast to the versions if
+they hold at most `BROADCAST_SPANS` spans; beyond, both sides of the join are written tables, so a blob
+with a large share of the versions is split by the adaptive skew join.
 
 Spans come from the JVM's regular expressions: what `split` leaves between the
-matches of `regexp_extract_all` gives their positions (code points, end exclusive).
+matches of `regexp_extract_all` gives their positions (code points, end exclusive).  Positions are
+sums over all matches before; these are taken in chunks, so a text of very many matches
+costs little more than its length, and the same goes for the pieces that a redacted text keeps.
 
 Defined results: a null text is the empty text; a null id is kept; repeated rows
 each return a row; equal starts are ordered by the rule's place in the list; an
@@ -28,9 +35,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import text_of, written
+from quillgraph.llm.common import exists, text_of, written
 
 BROADCAST_ROWS = 200_000
+BROADCAST_SPANS = 1_000_000
+#: Elements of an array that are walked at a time, and code points of a block of a text.
+CHUNK, BLOCK = 512, 1024
 
 
 @dataclass(frozen=True)
@@ -52,30 +62,43 @@ RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, True),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,.\x09-\x0D\x20-]*-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:[\x09-\x0D\x20]+[A-Za-z0-9+/=]{16,})*+)"),  # possessive: a loop, not a recursion for each line
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\x09-\x0D\x20/:@\"']{1,64}:[^\x09-\x0D\x20/@\"']{1,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\x09-\x0D\x20/:@\"']+:[^\x09-\x0D\x20/@\"']+@"),
     Rule("prefixed", r"(?:gh[opsu]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"),
 )
 
 
+SPANS = "array<struct<start:bigint,place:int,end:bigint>>"
+
+
+def before(values: Column, op) -> Column:
+    """What `op` (a sum or a maximum of numbers from 0 on) makes of all elements before each one; chunk by chunk, as growing an array copies it."""
+    zero = F.lit(0).cast("bigint")
+
+    def inside(chunk: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(chunk, start, lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / CHUNK).cast("int"), F.lit(0))), lambda c: F.slice(values, c * CHUNK + 1, CHUNK))
+    totals = F.transform(chunks, lambda c: F.aggregate(c, zero, op))
+    return F.flatten(F.transform(F.arrays_zip(chunks.alias("c"), inside(totals).alias("base")), lambda z: F.transform(inside(z["c"]), lambda v: op(z["base"], v))))
+
+
 def spans(text: Column, rule: Rule, place: int) -> Column:
     """array<struct<start, place, end>> of one rule in a text."""
     pattern = F.lit(rule.pattern)
     found = F.transform(
         F.arrays_zip(F.split(text, rule.pattern, -1).alias("a"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("b"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("c")),
-        lambda x: F.struct(F.length(x["a"]).alias("gap"), F.length(x["b"]).alias("len"), F.length(x["c"]).alias("own")),
+        lambda x: F.struct(F.length(x["a"]).cast("bigint").alias("gap"), F.coalesce(F.length(x["b"]), F.lit(0)).cast("bigint").alias("len"), F.length(x["c"]).alias("own")),
     )
-    empty = F.array().cast("array<struct<start:bigint,place:int,end:bigint>>")
-    walked = F.aggregate(
-        found,
-        F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + F.coalesce(x["len"], F.lit(0))).cast("bigint").alias("at"),
-            F.when(x["own"] >= rule.least, F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).cast("bigint").alias("start"), F.lit(place).alias("place"), (s["at"] + x["gap"] + x["len"]).cast("bigint").alias("end"))))).otherwise(s["out"]).alias("out"),
-        ),
-    )["out"]
-    return F.when(F.rlike(text, pattern), walked).otherwise(empty)
+
+    def placed(found: Column) -> Column:
+        ends = before(F.transform(found, lambda x: x["gap"] + x["len"]), lambda a, b: a + b)
+        zipped = F.filter(F.arrays_zip(found.alias("x"), ends.alias("at")), lambda z: z["x"]["own"] >= rule.least)
+        return F.transform(zipped, lambda z: F.struct((z["at"] + z["x"]["gap"]).alias("start"), F.lit(place).alias("place"), (z["at"] + z["x"]["gap"] + z["x"]["len"]).alias("end")))
+
+    return F.when(F.rlike(text, pattern), F.get(F.transform(F.array(found), placed), F.lit(0))).otherwise(F.array().cast(SPANS))
 
 
 def ledger_schema() -> str:
@@ -113,12 +136,27 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     found = todo.select("blob", F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(i).alias("place"), F.when(F.array_contains("due", f"{r.kind} {r.version}"), spans(F.col("t"), r, i)).alias("spans")) for i, r in enumerate(rules)]).alias("x"))
     scanned = written(found, "scanned").dropDuplicates(["blob"])
     new = scanned.select("blob", F.explode("x").alias("x")).filter("x.spans is not null").select("blob", "x.kind", "x.version", F.transform("x.spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
-    hits = scanned.select("blob", F.flatten(F.transform("x", lambda s: F.coalesce(s["spans"], F.array().cast("array<struct<start:bigint,place:int,end:bigint>>")))).alias("spans")).filter(F.size("spans") > 0)
+    hits = scanned.select("blob", F.flatten(F.transform("x", lambda s: F.coalesce(s["spans"], F.array().cast(SPANS)))).alias("spans")).filter(F.size("spans") > 0)
     if known is not None:
         old = known.filter(F.size("spans") > 0).select("blob", F.expr("transform(spans, s -> named_struct('start', s.start, 'place', place, 'end', s.end))").alias("spans"))
         hits = hits.unionByName(old).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    findings = keyed.join(hits, "blob", "left").select("id", "blob", F.array_sort(F.coalesce("spans", F.array().cast("array<struct<start:bigint,place:int,end:bigint>>"))).alias("spans"))
-    return findings, new
+    return _joined(keyed, hits, "blob").select("id", "blob", F.array_sort(F.coalesce("spans", F.array().cast(SPANS))).alias("spans")), new
+
+
+def _joined(rows: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """`rows` with the spans (second column) of `hits`, a row for each blob that holds any."""
+    hits = written(hits, "hits")
+    n = hits.agg(F.coalesce(F.sum(F.size(hits.columns[1])), F.lit(0)).alias("n")).first()["n"]
+    return rows.join(F.broadcast(hits) if n <= BROADCAST_SPANS else hits, key, "left")
+
+
+def update(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`scan` with the ledger table at `path` (made if it isn't there): the findings of all versions; what was scanned is appended."""
+    spark = versions.sparkSession
+    ledger = spark.read.schema(ledger_schema()).parquet(path) if exists(spark, path) else None
+    findings, new = scan(versions, ledger, rules, id_col, text_col)
+    new.write.mode("append").parquet(path)
+    return findings
 
 
 def _without(source: DataFrame, copies: DataFrame) -> DataFrame:
@@ -149,26 +187,27 @@ MARK = "[SECRET]"
 
 
 def redacted(text: Column, found: Column, mark: str = MARK) -> Column:
-    """The text with each run of overlapping spans replaced by `mark`."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    walked = F.aggregate(
-        found,
-        start,
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= s["at"], F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"))),
-    )
-    return F.when(F.size(found) > 0, walked).otherwise(text)
+    """The text with each run of overlapping spans (sorted by start) replaced by `mark`."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))  # a place in a block is found without counting from the text's start
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        one = F.transform(F.sequence(F.floor(a / BLOCK), F.floor((b - 1) / BLOCK)), lambda j: F.substr(F.get(blocks, j.cast("int")), (F.greatest(a - j * BLOCK, F.lit(0)) + 1).cast("int"), (F.least(b - j * BLOCK, F.lit(BLOCK)) - F.greatest(a - j * BLOCK, F.lit(0))).cast("int")))
+        return F.when(b > a, F.array_join(one, "")).otherwise(F.lit(""))
+
+    def walked(blocks: Column) -> Column:
+        ends = before(F.transform(found, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        heads = F.filter(F.arrays_zip(F.transform(found, lambda x: x["start"]).alias("start"), ends.alias("from")), lambda z: z["start"] >= z["from"])
+        last = F.array_max(F.transform(found, lambda x: x["end"]))
+        return F.concat(F.array_join(F.transform(heads, lambda z: F.concat(piece(blocks, z["from"], z["start"]), F.lit(mark))), ""), piece(blocks, last, F.length(text).cast("bigint")))
+
+    return F.when(F.size(found) > 0, F.get(F.transform(F.array(blocks), walked), F.lit(0))).otherwise(text)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The documents with the secrets of all rules replaced; `chars_col` (if there) follows the text of changed rows."""
-    hits = written(scan(docs, None, rules, id_col, text_col)[0].filter(F.size("spans") > 0).groupBy(F.col("blob").alias("quill_blob")).agg(F.first("spans").alias("quill_spans")), "hits")
-    side = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
-    joined = docs.join(side, F.unhex(F.sha2(text_of(docs, text_col), 256)) == side["quill_blob"], "left")
-    found = F.coalesce(F.col("quill_spans"), F.array().cast("array<struct<start:bigint,place:int,end:bigint>>"))
+    keyed = scan(docs, None, rules, id_col, text_col)[0].filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+    joined = _joined(docs.withColumn("quill_blob", F.unhex(F.sha2(text_of(docs, text_col), 256))), keyed.withColumnsRenamed({"blob": "quill_blob", "spans": "quill_spans"}), "quill_blob")
+    found = F.coalesce(F.col("quill_spans"), F.array().cast(SPANS))
     done = joined.withColumn("quill_text", redacted(F.col(text_col), found))
     changed = {text_col: F.col("quill_text")}
     if chars_col in docs.columns:
