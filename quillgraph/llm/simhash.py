@@ -18,11 +18,13 @@ How it runs:
    word holds the same bit of 64 fingerprints.  A query walks the planes and adds
    the differing bits into carry-save counters, 64 distances at a time; a block of
    64 is abandoned once all its distances exceed the radius.  A bucket with more than
-   `TILE` nodes is cut into tiles, and pairs of tiles are dealt out as tasks.
+   `TILE` nodes is cut into tiles, and pairs of tiles are dealt out as tasks; such buckets
+   number at most (nodes x tables / TILE), so no bucket's nodes ever meet in one task.
 5. A bucket returns a spanning star for each set of linked nodes in it, not
    all pairs, so a group of n near copies costs O(n) rows.
 6. Components by alternating large-star and small-star steps, each written to the
-   shared folder; no links are collected.
+   shared folder; no links are collected.  Sides of a join that a hub, a large component or a
+   fingerprint of many copies could fill are written tables, which the adaptive skew join splits.
 
 Defined results: a null text counts as the empty text; a text without words has
 fingerprint zero and is linked like any other; repeated rows each return a row;
@@ -39,8 +41,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillgraph.llm.common import BROADCAST_IDS, arrow_map, pieces, text_of, without, written
+from quillgraph.llm.common import BROADCAST_IDS, arrow_map, note, pieces, place_for, scratch, stored, text_of, without, written
 
 TILE = 8192
 BITS = 64
@@ -227,45 +230,52 @@ def links_of(nodes: DataFrame, masks: list[list[int]], radius: int) -> DataFrame
     """(a, b): for each bucket a star over each set of linked nodes; `nodes` has (node, f0, ...), each fingerprint once."""
     names = _names(len(masks[0]))
     keys = F.array(*[F.xxhash64(F.lit(n), *[F.col(c).bitwiseAND(_signed(m)) for c, m in zip(names, mask, strict=True) if m]) for n, mask in enumerate(masks)])
-    keyed = nodes.select("node", *names, F.explode(keys).alias("bucket"))
-    return _star_links(keyed.join(_shared(nodes.select(F.explode(keys).alias("bucket"))), "bucket"), names, radius)
+    return _star_links(nodes.select("node", *names, F.explode(keys).alias("bucket")), names, radius)
 
 
-def _shared(buckets: DataFrame) -> DataFrame:
-    """(bucket, n): the buckets that more than one row is in."""
-    return buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-
-
-def _star_links(keyed: DataFrame, names: list[str], radius: int) -> DataFrame:
-    """(a, b) from (node, f0, ..., bucket, n), n being the rows of the bucket."""
-    tiled = keyed.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+def _star_links(keyed: DataFrame, names: list[str], radius: int, nodes: DataFrame | None = None) -> DataFrame:
+    """(a, b) from (node, bucket, f0, ...); with `nodes` the fingerprints are only there, and joined to those that share a bucket."""
+    given = [] if nodes is not None else names
+    large = written(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > TILE), "large")  # at most one for each TILE rows
+    large = large.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    side = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
+    tiled = keyed.join(side, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # Tile t meets itself and each other tile once: the lower one asks (side 1), the higher one answers (side 2).
-    dealt = tiled.select("node", *names, "bucket", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = tiled.select("node", *given, "bucket", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     dealt = dealt.select(
         F.xxhash64("bucket", F.least("tile", "other"), F.greatest("tile", "other")).alias("grp"),
         F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2).alias("side"),
         "node",
-        *names,
+        *given,
     )
-    return arrow_map(dealt.repartition("grp").sortWithinPartitions("grp", "side", "node"), _bucket_edges(radius), "a long, b long")
+    alone = Window.partitionBy("grp").orderBy("side", "node")
+    shared = dealt.withColumns({"last": F.lag("node").over(alone), "next": F.lead("node").over(alone)}).filter("last is not null or next is not null").select("grp", "side", "node", *given)
+    if nodes is not None:
+        shared = shared.join(nodes.select("node", *names), "node").select("grp", "side", "node", *names).repartition("grp").sortWithinPartitions("grp", "side", "node")
+    return arrow_map(shared, _bucket_edges(radius), "a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node that node is connected with; only nodes on an edge."""
     stars = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
+    state, n = None, stars.count()
+
+    def lowest(low: DataFrame) -> DataFrame:
+        """A row for each node: broadcast, or a written table, so that a hub's rows on the other side can be split."""
+        return F.broadcast(low) if n <= BROADCAST_IDS else written(low, "low")
+
     for _ in range(max_rounds):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(lowest(low), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(lowest(low), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return stars.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-        state = now
+        state, n = now, now["n"]
     raise RuntimeError("components did not settle")
 
 
@@ -277,11 +287,16 @@ def _grouped(fps: DataFrame, lanes: int, node, masks_of, radius: int) -> DataFra
 
 
 def _named(rows: DataFrame, nodes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """`rows` with the smallest id of the component of their node, which has the same `keys`."""
-    found = found.withColumnRenamed("node", "linked")
-    named = nodes.join(found, nodes["node"] == found["linked"], "left").select(*keys, "low", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("low").alias("component"))
-    return rows.join(named.join(least, "root").select(*keys, "component"), keys, "left")
+    """`rows` with the smallest id of the component of their node, which has the same `keys`.
+
+    A component of one node is the node's smallest id; only linked nodes are joined by their root.
+    """
+    linked = written(found.join(nodes.select("node", "low"), "node"), "linked")
+    linked = linked.unionByName(found.select(F.col("root").alias("node"), "root").distinct().join(nodes.select("node", "low"), "node"))
+    least = written(linked.groupBy("root").agg(F.min("low").alias("least")), "least")
+    placed = written(linked.select(F.col("node").alias("linked"), "root").distinct().join(least, "root").select("linked", "least"), "placed")
+    named = nodes.join(placed, nodes["node"] == placed["linked"], "left").select(*keys, F.when(F.col("linked").isNull(), F.col("low")).otherwise(F.col("least")).alias("component"))
+    return rows.join(written(named, "named"), keys, "left")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -302,7 +317,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """(id, f0, ..., whole, n, head, tail): the wide fingerprint, a hash of the whole set, its size, and the set in order of hashes."""
+    """(id, f0, ..., whole, n, head, text): the wide fingerprint, a hash of the whole set, its size, its smallest hashes, and the text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -313,11 +328,10 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, simila
             whole = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             cut = [first_part(len(x), similarity) for x in sets]
             cols = [rows.column(0), *(pa.array(bits[:, k].copy()) for k in range(LANES)), pa.array(whole), pa.array([len(x) for x in sets], pa.int64())]
-            heads, tails = _lists([x[:c] for x, c in zip(sets, cut, strict=True)]), _lists([x[c:] for x, c in zip(sets, cut, strict=True)])
-            yield pa.RecordBatch.from_arrays([*cols, heads, tails], names=["id", *_names(LANES), "whole", "n", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([*cols, _lists([x[:c] for x, c in zip(sets, cut, strict=True)]), rows.column(1)], names=["id", *_names(LANES), "whole", "n", "head", "text"])
 
     lanes = ", ".join(f"{n} long" for n in _names(LANES))
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("t")), make, f"id long, {lanes}, whole long, n long, head array<long>, tail array<long>")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("t")), make, f"id long, {lanes}, whole long, n long, head array<long>, text string")
 
 
 def similar_roots(sets: list[np.ndarray], heads: list[int], similarity: float) -> np.ndarray:
@@ -351,29 +365,26 @@ def similar_roots(sets: list[np.ndarray], heads: list[int], similarity: float) -
     return root
 
 
-def _verified(similarity: float):
-    """Batches of (group, node, head, tail) in the order of groups to the edges of a star over each connected set."""
+def _verified(width: int, similarity: float):
+    """Batches of (group, node, text) in the order of groups to the edges of a star over each connected set."""
 
-    def edges(nodes: list[int], sets: list[np.ndarray], heads: list[int]) -> pa.RecordBatch:
-        node, root = np.array(nodes), similar_roots(sets, heads, similarity)
+    def edges(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        node, root = np.array(nodes), similar_roots(sets, [first_part(len(x), similarity) for x in sets], similarity)
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], schema=_EDGE)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, ([], [], [])
-        for rows in batches:
-            head, tail = (x.flatten().to_numpy().view(np.uint64) for x in rows.columns[2:])
-            h, t = (np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())]) for x in rows.columns[2:])
-            for k, (g, node) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
-                if g != group and held[0]:
-                    yield edges(*held)
-                    held = ([], [], [])
+        group, nodes, sets = None, [], []
+        for rows in pieces(batches):
+            for g, node, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if g != group and nodes:
+                    yield edges(nodes, sets)
+                    nodes, sets = [], []
                 group = g
-                held[0].append(node)
-                held[1].append(np.concatenate([head[h[k] : h[k + 1]], tail[t[k] : t[k + 1]]]))
-                held[2].append(int(h[k + 1] - h[k]))
-        if held[0]:
-            yield edges(*held)
+                nodes.append(node)
+                sets.append(np.unique(shingle_hashes(text, width)))
+        if nodes:
+            yield edges(nodes, sets)
 
     return make
 
@@ -392,19 +403,22 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits, names = 64 * LANES, _names(LANES)
     radius = int(share * bits + SPREAD * (bits * share * (1 - share)) ** 0.5)
-    sets = written(shingle_sets(docs, id_col, text_col, width, similarity).withColumn("node", F.monotonically_increasing_id()), "sets")
-    nodes = written(sets.groupBy(*names, "whole").agg(F.min("id").alias("low"), F.min("node").alias("node")), "nodes")
-    keyed = sets.select("node", "head").join(nodes.select("node"), "node", "left_semi").select("node", F.explode("head").alias("bucket"))
-    shared = keyed.join(_shared(keyed.select("bucket")), "bucket")
-    found = components(_star_links(shared.join(nodes.select("node", *names), "node"), names, radius))
-    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
-    members = written(members.join(sets.select("node", "n"), "node"), "members")
-    tiles = members.groupBy("root").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("tiles"))
-    tiled = members.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    sets = written(shingle_sets(docs, id_col, text_col, width, similarity).withColumn("node", F.monotonically_increasing_id()), "sets", compression="zstd")
+    nodes = written(sets.groupBy(*names, "whole").agg(F.min("id").alias("low"), F.min("node").alias("node"), F.first("n").alias("n")), "nodes")
+    again = sets.select("node").join(nodes.select("node"), "node", "left_anti")
+    few = sets.count() - nodes.count() <= BROADCAST_IDS
+    own = without(sets.select("node", "head"), again, "node") if few else sets.select("node", "head").join(nodes.select("node"), "node", "left_semi")
+    found = components(_star_links(own.select("node", F.explode("head").alias("bucket")), names, radius, nodes))
+    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).distinct()
+    members = written(members.join(nodes.select("node", "n"), "node"), "members")
+    large = written(members.groupBy("root").agg(F.sum("n").alias("n")).filter(F.col("n") > SHINGLES), "large")  # at most one for each SHINGLES shingles
+    large = large.select("root", F.ceil(F.col("n") / SHINGLES).cast("int").alias("tiles"))
+    side = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
+    tiled = members.join(side, "root", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).filter("tiles = 1 or tile <> other")
     dealt = dealt.select("node", F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")).alias("grp"))
-    spread = dealt.join(sets.select("node", "head", "tail"), "node").select("grp", "node", "head", "tail").repartition("grp").sortWithinPartitions("grp", "node")
-    return _named(sets.select("id", *names, "whole"), nodes, components(arrow_map(spread, _verified(similarity), "a long, b long")), [*names, "whole"]).select("id", "component")
+    spread = dealt.join(sets.select("node", "text"), "node").select("grp", "node", "text").repartition("grp").sortWithinPartitions("grp", "node")
+    return _named(sets.select("id", *names, "whole"), nodes, components(arrow_map(spread, _verified(width, similarity), "a long, b long")), [*names, "whole"]).select("id", "component")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -413,7 +427,10 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Of repeated rows with the same id and text one stays.  A row without an id can't be
     named as a copy; of such rows with equal texts one stays.
     """
-    found = written(similar_documents(docs, id_col, text_col, width, similarity), "components")
+    spark = docs.sparkSession
+    with scratch(spark):
+        found = stored(similar_documents(docs, id_col, text_col, width, similarity), path := place_for(spark, "components"))
+    note(path)
     stay = without(docs, found.filter("id is not null and component <> id").select("id").distinct(), id_col)
     again = found.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("quill_again"))
     n = again.count()
