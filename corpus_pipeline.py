@@ -1,11 +1,17 @@
-"""A corpus pipeline out of the training-data operators, one stage after another."""
+"""A corpus pipeline out of the training-data operators, one stage after another.
+
+Defined results, from the operators' own: a null text fails the base quality rule; of repeated rows and of
+documents with equal shingles the smallest id stays (without an id, one of equal texts); null labels and items
+decide nothing; an empty table passes every stage empty; columns beyond those of `documents` are carried
+through all stages but the last.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import decontaminate, packing, quality, secrets, simhash
-from quillgraph.llm.common import written
+from quillgraph.llm.common import delete, place_for, scratch, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +53,12 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over `documents`, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with scratch(spark):  # what a stage writes for itself goes with it
+            path = place_for(spark, name.replace(" ", "_"))
+            docs = stored(stage(spark, docs, sf_dir), path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
