@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.identity import balanced, normal_arxiv, normal_doi
 from quillgraph.functions.textnorm import fold_text
 
-# Ligatures and what they spell, spacing accents and the marks they stand for.
+# Ligatures and what they spell, spacing accents and the marks they stand for, a letter with such an accent.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 ACCENTS = {"¨": "̈", "´": "́", "`": "̀", "ˆ": "̂", "˜": "̃", "¸": "̧", "ˇ": "̌", "˚": "̊"}
 _ACCENT = re.compile(r"([^\W\d_])([¨´`ˆ˜¸ˇ˚]) ?([^\W\d_])")
@@ -112,7 +112,7 @@ def _cuts(page: str, low: int, high: int) -> list[tuple[int, int]]:
             return True
         if page[end - 1] not in ".?!":
             return False
-        follow = page[end:high].lstrip(" \n")[:1]
+        follow = page[words[k + 1][0]] if k + 1 < len(words) else ""
         return bool(follow) and (follow.isupper() or follow.isdigit() or follow == "(")
 
     out: list[tuple[int, int]] = []
@@ -139,20 +139,25 @@ def passages(pages: list[str]) -> list[Passage]:
     out: list[Passage] = []
     for p, page in enumerate(pages):
         edges = sorted({0, len(page), *(at for where, at in span or () if where == p)})
+        at = start = 0  # the byte offset `start` belongs to the character `at`
         for low, high in zip(edges, edges[1:], strict=False):
             inside = span is not None and span[0] <= (p, low) < span[1]
             for a, b in _cuts(page, low, high):
-                start = len(page[:a].encode())
-                out.append(Passage(p + 1, len(out), "references" if inside else None, start, start + len(page[a:b].encode()), page[a:b]))
+                start += len(page[at:a].encode())
+                end = start + len(page[a:b].encode())
+                out.append(Passage(p + 1, len(out), "references" if inside else None, start, end, page[a:b]))
+                at, start = b, end
     return out
 
 
 # --- Clues ---------------------------------------------------------------------------------------------------------
 
-# Patterns of arXiv stamps, DOIs and their labels.
+# Patterns of arXiv stamps, DOIs and their labels, and of file names that are an identifier.
 _STAMP = re.compile(r"(?i)\barXiv:\s*((?:\d{4}\.\d{4,5})|(?:[a-z-]+(?:\.[a-z]{2})?/\d{7}))(?:v\d+)?\s+(?:\[[^\]\n]{1,30}\]\s+)?\d{1,2}\s+[A-Z][a-z]{2}\s+\d{4}")
 _DOI = re.compile(r"\b10\.\d{4,9}/[!#-;=?-Z^-z|~]+")
 _LABEL = re.compile(r"(?i)(?:\bdoi\s*:?\s*|doi\.org/)$")
+_ARXIV_NAME = re.compile(r"^\d{4}\.\d{4,5}(?:v\d+)?$")
+_DOI_NAME = re.compile(r"^(10\.\d{4,9})[_/](.+)$")
 _PMID = re.compile(r"\bPMID:?\s*([1-9][0-9]{4,8})\b")
 
 
@@ -175,13 +180,13 @@ def clues(name: str, pages: list[str], metadata: tuple[str, ...] = (), most: int
     edges = "\n".join(lines[:5]) + "\n\n" + "\n".join(lines[-5:])
     stem = re.sub(r"(?i)\.pdf$", "", name)
     found: list[tuple[str, str | None]] = [("arxiv", normal_arxiv(m[1])) for page in (first, second) for m in _STAMP.finditer(page)]
-    if re.match(r"^\d{4}\.\d{4,5}(?:v\d+)?$", stem):
+    if _ARXIV_NAME.match(stem):
         found.append(("arxiv", normal_arxiv(stem)))
     found += [("doi", d) for d, label in dois(edges) if label]
     found += [("doi", d) for value in metadata for d, _ in dois(value)]
     found += [("doi", d) for d, label in dois(first) if label]
     found += [("pmid", m[1]) for m in _PMID.finditer(first)]
-    if m := re.match(r"^(10\.\d{4,9})[_/](.+)$", stem):
+    if m := _DOI_NAME.match(stem):
         found.append(("doi", normal_doi(f"{m[1]}/{m[2]}")))
     found += [("doi", d) for page in (first, second) for d, _ in dois(page)]
     return list(dict.fromkeys((k, v) for k, v in found if v))[:most]
@@ -192,7 +197,8 @@ def _key(text: str) -> str:
 
 
 def _words(text: str) -> list[str]:
-    return "".join(c if c.isalnum() else " " for c in fold_text(text)).split()
+    """Folded runs of letters: a digit or mark set against a name doesn't hide it."""
+    return "".join(c if c.isalpha() else " " for c in fold_text(text)).split()
 
 
 def has_words(words: list[str], wanted: list[str]) -> bool:
@@ -211,9 +217,15 @@ def mentions_title(pages: list[str], title: str, surname: str | None) -> bool:
     return bool(surname) and named and len(main) >= 20 and main in there
 
 
-def resembles(page: str, title: str, surname: str | None, share: float = 0.6) -> bool:
-    """Whether the top of a page holds the author and most words of a title."""
-    top = _words("\n".join(page.split("\n")[:12]))
+def resembles(page: str, title: str, surname: str | None, share: float = 0.6, further: tuple[str, ...] = ()) -> bool:
+    """Whether the top of a first page holds most words of a title, and it or a further page the author."""
+    top = set(_words("\n".join(page.split("\n")[:12])))
     wanted = [w for w in _words(title) if len(w) >= 3]
-    hits = sum(w in set(top) for w in wanted)
-    return bool(surname) and has_words(top, _words(surname)) and hits >= 3 and hits >= share * len(wanted)
+    named = bool(surname) and any(has_words(_words(p), _words(surname)) for p in (page, *further))
+    return named and len(wanted) >= 3 and sum(w in top for w in wanted) >= share * len(wanted)
+
+
+def identity_matches(pages: list[str], title: str, surname: str | None) -> bool:
+    """Whether a downloaded text is the work that was asked for: its first two pages mention or resemble it."""
+    first = pages[:2]
+    return bool(first) and (mentions_title(first, title, surname) or resembles(first[0], title, surname, further=tuple(first[1:])))

@@ -146,3 +146,34 @@ def test_search(spark):
     ranks = search.fused(search.papers(every, rows), search.papers(every, rows))
     assert search.selected(every, rows, ranks, 2, 1).count() == 2
     assert "[[open]]" in search.snippet("all open [[doors]]", {"open"}) and "\\[[doors" in search.snippet("all open [[doors]]", {"open"})
+
+
+def test_an_affiliation_mark_hides_no_name():
+    page = "Plain Things in Cold Water\nAnna Berg1, Li Wu2 and Jo Marsh-Hill*b"
+    assert all(pagetext.mentions_title([page], "Plain things in cold water", name) for name in ("Berg", "Wu", "Marsh-Hill"))
+    assert not pagetext.mentions_title([page], "Plain things in cold water", "Marsh-Hall") and not pagetext.mentions_title([page], "Plain", "Berg")
+    assert pagetext.resembles("Plain things in very cold water\n", "Plain things in cold waters", "Berg", further=("by Berg1",))
+    assert pagetext.identity_matches([page, "more"], "Plain things in cold water", "Berg") and not pagetext.identity_matches(["x", "y", page], "Plain things in cold water", "Berg")
+
+
+def test_entries_read_across_columns_are_dropped():
+    from quillgraph.functions.contexts import _entries
+
+    listed = _entries("1. A. One. 2001.\n2. B. Two. 2002.\n3. 6. C. Three. 2003.\n4. D. Four. 2004.\n5. E. Five. 2005.\n")
+    assert sorted(listed) == [1, 2, 4, 5]
+
+
+def test_parentheses_count_only_without_brackets():
+    equation = "A lake is deep [9], see equation (2) for it.\n" + LIST
+    assert contexts([equation], REFS) == []
+    rounds = "A lake is deep (2). So y = (3) holds, and others (1, 4-5) agree.\n" + LIST.replace("[", "").replace("]", ".")
+    assert [(m.ref, m.confidence, m.method) for m in contexts([rounds], REFS)] == [("b", 0.6, "parenthesis"), ("a", 0.6, "parenthesis"), ("d", 0.6, "parenthesis"), ("e", 0.6, "parenthesis")]
+
+
+def test_who_is_cited():
+    refs = [Ref("a", "Lakes", 2001, None, "Smith", 2), Ref("b", "Rivers", 2001, None, "Van Dam", 1), Ref("c", "Hills", 1999, None, "Óre-Li", 3), Ref("d", "Seas", 2004, None, "X", 1)]
+    found = lambda text: [m.ref for m in contexts([text], refs)]
+    assert found("Lakes freeze (Smith & Vandam 2001). So do seas (Vandam & Van Dam 2001).") == ["a"] and found("As Van Dam (2001b) says.") == ["b"]
+    assert found("So say Óre-Li et al., 1999; others don't.") == ["c"] and found("So says Óre-Li (1999).") == []
+    assert found("In 2001 Smith wrote. Smith 2001 wrote. Smithson (2001) too, X (2004).") == [] and found("It is known (see for this Smith 2001 and more).") == ["a"]
+    assert found("Smith (2001, p. 23) put it so. Then more.") == ["a"]
