@@ -10,8 +10,10 @@ import re
 from typing import NamedTuple
 from urllib.parse import unquote, urlsplit
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # The shapes of public identifiers.
 DOI = r"^10\.[0-9]{4,9}(?:\.[0-9]+)*/\S+$"
@@ -24,6 +26,9 @@ WORK_ID = r"^F[0-9A-HJKMNP-TV-Z]{8}$"
 PAGE_TAIL = r"(?i)(?:\.(?:pdf|html?|xml|txt|full|abstract)|/(?:full|abstract|pdf|epdf|html))$"
 
 
+KIND_VALUE = StructType([StructField("kind", StringType()), StructField("value", StringType())])
+
+
 class Identity(NamedTuple):
     kind: str
     value: str
@@ -160,6 +165,27 @@ def expand_ranges(text: str, most: int = 30) -> list[int]:
     return out
 
 
+def ranges_of(c: Column, most: int = 30) -> Column:
+    """`expand_ranges` of a column, in built-in expressions."""
+    part = r"^([0-9]{1,3})(?:\s*[–—-]\s*([0-9]{1,3}))?$"
+    pairs = F.transform(F.split(F.trim(c), r"\s*[,;]\s*"), lambda p: F.struct(F.regexp_extract(p, part, 1).try_cast("int").alias("a"), F.coalesce(F.regexp_extract(p, part, 2).try_cast("int"), F.regexp_extract(p, part, 1).try_cast("int")).alias("b")))
+    good = F.forall(pairs, lambda p: p["a"].isNotNull() & (p["b"] >= p["a"]) & (p["b"] - p["a"] < most))
+    return F.when(good, F.flatten(F.transform(pairs, lambda p: F.sequence(p["a"], p["b"])))).when(c.isNotNull(), F.array().cast("array<int>"))
+
+
+@F.pandas_udf(KIND_VALUE)
+def of_url(urls: pd.Series) -> pd.DataFrame:
+    """The identifier in a URL; `url` where there is none, `bad` where there should be one."""
+
+    def one(url: str) -> tuple[str, str]:
+        try:
+            return tuple(_of_url(url))
+        except (BadIdentity, ValueError):
+            return "bad", url
+
+    return pd.DataFrame([one(u) if isinstance(u, str) else (None, None) for u in urls], columns=["kind", "value"])
+
+
 def year_of(c: Column) -> Column:
     """The first year 1500-2099 in a free date."""
     found = F.regexp_extract(c, r"(?:^|[^0-9])(1[5-9][0-9]{2}|20[0-9]{2})(?:[^0-9]|$)", 1)

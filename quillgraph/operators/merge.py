@@ -35,6 +35,13 @@ def removed(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone.select(*keys).distinct(), keys, "left_anti").select(*rows.columns)
 
 
+def mark(works: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
+    """Works with a flag (unresolved, is_seed) set for some ids; a work that has been fetched is never unresolved."""
+    ids = ids.select("work_id").distinct().withColumn("quill_mark", F.lit(True))
+    new = F.coalesce("quill_mark", F.lit(False)) & (~F.col("hydrated") if flag == "unresolved" else F.lit(True))
+    return works.join(ids, "work_id", "left").withColumn(flag, F.col(flag) | new).select(*works.columns)
+
+
 def upsert_works(works: DataFrame, fetched: DataFrame) -> DataFrame:
     """Fetched works: metadata is overwritten, the depth only lowers, a seed stays one, the first source is kept."""
     merge = {"depth": F.least("old.depth", "new.depth"), "is_seed": F.col("old.is_seed") | F.col("new.is_seed"), "arrival": F.col("old.arrival")}

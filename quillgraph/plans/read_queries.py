@@ -20,11 +20,6 @@ def _src5(spark, d):
     return found.withColumns({"place": F.row_number().over(by.orderBy(F.col("cited_by_count").desc(), "work_id")), "total": F.count("*").over(by)}).filter("place <= 10").select("origin", "work_id", "place", "total")
 
 
-@query("src7_decode", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def _src7(spark, d):
-    return view(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
 @query("jn6_readable_passages", "SELECT p.doc_id, p.ordinal, l.quality FROM {passages} p JOIN documents d USING (doc_id) JOIN labels l USING (doc_id) WHERE l.toxic = 0")
 def _jn6(spark, d):
     docs, labels = view(spark, d, "documents").select("doc_id"), view(spark, d, "labels").filter("toxic = 0")
@@ -58,11 +53,6 @@ def _srt7(spark, d):
     return view(spark, d, "passages").orderBy(F.length("text").desc(), "doc_id", "ordinal").limit(search.BOUND).select("doc_id", "ordinal")
 
 
-@query("dml7_mark", "SELECT work_id, CASE WHEN type = 'supplier' THEN TRUE ELSE unresolved END AS unresolved, CASE WHEN type = 'order' AND depth = 1 THEN TRUE ELSE is_seed END AS is_seed FROM {works}")
-def _dml7(spark, d):
-    return view(spark, d, "works").select("work_id", (F.col("unresolved") | (F.col("type") == "supplier")).alias("unresolved"), (F.col("is_seed") | ((F.col("type") == "order") & (F.col("depth") == 1))).alias("is_seed"))
-
-
 @query("dml16_refile", "SELECT collection_id, work_id FROM {collection_work} WHERE collection_id <> 107 UNION SELECT 108, work_id FROM {collection_work} WHERE collection_id = 107")
 def _dml16(spark, d):
     """Moving the works of one collection into another: keyed removal and upsert."""
@@ -73,15 +63,6 @@ def _dml16(spark, d):
     return merge.upsert(merge.removed(rows, old, ["collection_id", "work_id"]), old.withColumn("collection_id", F.lit(108)), ["collection_id", "work_id"])
 
 
-@query("dml18_view_totals", "SELECT v.name, count(w.work_id) AS total FROM (VALUES ('nineties', 1990, 1999), ('year 95', 1995, 1995), ('never', 1800, 1801)) v(name, a, b) LEFT JOIN {works} w ON w.year BETWEEN a AND b GROUP BY v.name")
-def _dml18(spark, d):
-    """Totals of saved views, whose filters are JSON."""
-    saved = spark.createDataFrame([("nineties", '{"year_from": 1990, "year_to": 1999}'), ("year 95", '{"year_from": 1995, "year_to": 1995}'), ("never", '{"year_from": 1800, "year_to": 1801}')], "name string, filters string")
-    years = view(spark, d, "works").filter("year is not null").groupBy("year").agg(F.count("*").alias("n"))
-    asked = saved.select("name", F.from_json("filters", "year_from int, year_to int").alias("q")).select("name", F.explode(F.sequence("q.year_from", "q.year_to")).alias("year"))
-    return asked.join(years, "year", "left").groupBy("name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-
-
 @query("fts10_hits", r"SELECT doc_id, ordinal, length(text) AS chars FROM {passages} WHERE regexp_matches(lower(text), '(^|[^a-z])idiot([^a-z]|$)')")
 def _fts10(spark, d):
     return view(spark, d, "passages").filter(F.rlike(F.lower("text"), F.lit("(^|[^a-z])idiot([^a-z]|$)"))).select("doc_id", "ordinal", F.length("text").cast("long").alias("chars"))
@@ -125,19 +106,6 @@ def _scal19(spark, d):
     return rows.select("work_id", presentation.no_pdf_reason(F.col("unresolved"), F.lit(True), F.col("availability"), F.col("outcome")).alias("reason"))
 
 
-@query("scal20_expand", "SELECT l_orderkey, CAST(sum(n) AS BIGINT) AS total FROM (SELECT l_orderkey, unnest(range(l_linenumber, l_linenumber + 3)) AS n FROM lineitem) x GROUP BY l_orderkey")
-def _scal20(spark, d):
-    return view(spark, d, "lineitem").select("l_orderkey", F.explode(F.sequence("l_linenumber", F.col("l_linenumber") + 2)).alias("n")).groupBy("l_orderkey").agg(F.sum("n").alias("total"))
-
-
-@query("api2_show", "SELECT w.work_id, (SELECT count(*) FROM {cites} c WHERE c.from_work = w.work_id) AS cites, (SELECT count(*) FROM {cites} c WHERE c.to_work = w.work_id) AS cited, (SELECT count(*) FROM {files} f WHERE f.work_id = w.work_id) AS files, (SELECT count(*) FROM {attempts} a WHERE a.work_id = w.work_id) AS attempts, (SELECT count(*) FROM {mentions} m WHERE m.to_work = w.work_id) AS mentions FROM {works} w")
-def _api2(spark, d):
-    shown = view(spark, d, "works").select("work_id")
-    for name, table, key in (("cites", "cites", "from_work"), ("cited", "cites", "to_work"), ("files", "files", "work_id"), ("attempts", "attempts", "work_id"), ("mentions", "mentions", "to_work")):
-        shown = shown.join(view(spark, d, table).groupBy(F.col(key).alias("work_id")).agg(F.count("*").alias(name)), "work_id", "left")
-    return shown.fillna(0)
-
-
 @query("api3_neighbour_sentences", "SELECT from_work, to_work, sentence, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY from_work, to_work ORDER BY page, start, sentence) AS place FROM {mentions}) x WHERE place <= 3")
 def _api3(spark, d):
     place = F.row_number().over(Window.partitionBy("from_work", "to_work").orderBy("page", "start", "sentence"))
@@ -172,12 +140,6 @@ def _snk8(spark, d):
     return view(spark, d, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(100).select("event_id", "event_type")
 
 
-@query("gr7_details", "SELECT from_work AS work_id, count(*) AS stubs FROM {cites} c JOIN {works} w ON w.work_id = c.to_work WHERE NOT w.hydrated AND NOT w.unresolved GROUP BY 1")
-def _gr7(spark, d):
-    """Stubs around each work that could be given their details."""
-    return graph.surroundings(view(spark, d, "works"), view(spark, d, "cites")).filter("unfetched > 0").select("work_id", F.col("unfetched").alias("stubs"))
-
-
 @query("agg10_outcomes_by_work", "SELECT work_id, outcome, count(*) AS n FROM {attempts} GROUP BY ALL")
 def _agg10(spark, d):
     return view(spark, d, "attempts").groupBy("work_id", "outcome").agg(F.count("*").alias("n"))

@@ -85,11 +85,6 @@ def _scal4(spark, d):
     return view(spark, d, "pages").select("page_id", identity.doi_of(raw).alias("doi"))
 
 
-@query("scal7_links", """SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""")
-def _scal7(spark, d):
-    return view(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
-
-
 @query("scal9_tokens")
 def _scal9(spark, d):
     """Folded title words, as (word, titles)."""

@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quillgraph.plans import change_queries, graph_queries, library_queries, read_queries, search_queries, text_queries  # noqa: F401
+    from quillgraph.plans import catalog_queries, change_queries, graph_queries, library_queries, read_queries, search_queries, text_queries  # noqa: F401
 
 
 _load()
