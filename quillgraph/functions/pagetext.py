@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from functools import lru_cache
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillgraph.functions.identity import balanced, normal_arxiv, normal_doi
 from quillgraph.functions.textnorm import fold_text
@@ -46,31 +50,54 @@ VOWELS = "aeiouyàáâãäåāăąǎèéêëēĕėęěìíîïĩīĭįıòóôõ
 _VOWEL = f"[{VOWELS}{VOWELS.upper()}]"
 
 
+_SPACE = " \t\n\x0b\f\r"
+_SPLIT = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+@lru_cache(maxsize=65536)
+def _kind(c: str) -> tuple[bool, bool, bool]:
+    """Whether a character is a letter, one of the Latin script, a vowel."""
+    letter = unicodedata.category(c)[0] == "L"
+    latin = letter and (c in "ªº" or unicodedata.name(c, "").startswith(("LATIN", "FULLWIDTH LATIN", "MODIFIER LETTER SMALL", "MODIFIER LETTER CAPITAL")))
+    return letter, latin, c.lower() in VOWELS
+
+
+@lru_cache(maxsize=200_000)
+def _good(token: str) -> bool | None:
+    """Whether a token is like a word: mostly letters, and with a vowel if it has three or more letters, all Latin; None for one without a letter."""
+    kinds = [_kind(c) for c in token]
+    if not any(k[0] for k in kinds):
+        return None
+    solid = [i for i, (c, k) in enumerate(zip(token, kinds, strict=True)) if k[0] or unicodedata.category(c) == "Nd"]
+    core = list(zip(token, kinds, strict=True))[solid[0] : solid[-1] + 1]
+    letters, latin = sum(k[0] for _, k in core), sum(k[1] for _, k in core)
+    other = sum(not k[0] and c not in "-'’" for c, k in core)
+    return letters > 0 and 4 * other <= letters and not (latin == letters and latin >= 3 and not any(k[2] for _, k in core))
+
+
+def judged(text: str, pages: int = 1) -> str:
+    """no-text, gibberish or ok, from shares of characters and tokens."""
+    chars = Counter(text)
+    visible = sum(n for c, n in chars.items() if c not in _SPACE)
+    if pages < 1 or visible < 100 * pages:
+        return "no-text"
+    kinds = [(_kind(c), n) for c, n in chars.items()]
+    letters, latin, vowels = (sum(n for k, n in kinds if k[i]) for i in range(3))
+    if chars["\ufffd"] > 0.25 * visible or letters < 0.35 * visible or (2 * latin > letters and vowels < 0.25 * latin):
+        return "gibberish"
+    verdicts = [(v, n) for v, n in ((_good(t), n) for t, n in Counter(_SPLIT.split(text)).items()) if v is not None]
+    tokens = sum(n for _, n in verdicts)
+    return "gibberish" if tokens and sum(n for v, n in verdicts if v) < 0.45 * tokens else "ok"
+
+
+@F.pandas_udf(StringType())
+def _judged(texts: pd.Series, pages: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else judged(t, int(n)) for t, n in zip(texts, pages, strict=True)], dtype=object)
+
+
 def quality(text: Column, pages: Column | int = 1) -> Column:
-    """no-text, gibberish or ok, from shares of characters and tokens; all in built-in expressions."""
-    pages = F.lit(pages) if isinstance(pages, int) else pages
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    visible, letters, latin, vowels, replaced = count(r"\S"), count(r"\p{L}"), count(r"\p{IsLatin}"), count(_VOWEL), count("�")
-    tokens = F.filter(F.split(text, r"\s+"), lambda t: F.rlike(t, F.lit(r"\p{L}")))
-    return (
-        F.when(pages < 1, "no-text")
-        .when(visible < 100 * pages, "no-text")
-        .when(replaced > 0.25 * visible, "gibberish")
-        .when(letters < 0.35 * visible, "gibberish")
-        .when((2 * latin > letters) & (vowels < 0.25 * latin), "gibberish")
-        .when((F.size(tokens) > 0) & (F.size(F.filter(tokens, word_like)) < 0.45 * F.size(tokens)), "gibberish")
-        .otherwise("ok")
-    )
-
-
-def word_like(token: Column) -> Column:
-    """Mostly letters, and with a vowel if it has three or more letters, all Latin."""
-    core = F.regexp_replace(token, r"^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$", "")
-    letters = F.regexp_count(core, F.lit(r"\p{L}"))
-    other = F.regexp_count(core, F.lit(r"[^\p{L}\-'’]"))
-    latin = F.regexp_count(core, F.lit(r"\p{IsLatin}"))
-    dumb = (latin == letters) & (latin >= 3) & (F.regexp_count(core, F.lit(_VOWEL)) == 0)
-    return (letters > 0) & (4 * other <= letters) & ~dumb
+    """`judged` of a column: one pass over the characters, each distinct token looked at once."""
+    return _judged(text, F.lit(pages) if isinstance(pages, int) else pages)
 
 
 # --- Passages ------------------------------------------------------------------------------------------------------

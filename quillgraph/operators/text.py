@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from quillgraph.functions import contexts as ctx
 from quillgraph.functions import pagetext
@@ -32,15 +33,16 @@ def cleaned(works: DataFrame) -> DataFrame:
 
 
 def read(works: DataFrame) -> DataFrame:
-    """Clean, judge and cut works (work_id, pages): one row each, with passages only where the text is ok."""
-    judged = cleaned(works).withColumn("status", pagetext.quality(F.array_join("pages", "\n"), F.size("pages")))
+    """Clean, judge and cut works (work_id, pages) in one pass: one row each, with passages only where the text is ok."""
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [[p._asdict() for p in pagetext.passages(list(pages))] if s == "ok" else [] for pages, s in zip(f["pages"], f["status"], strict=True)]
-            yield pd.DataFrame({"work_id": f["work_id"], "pages": [len(p) for p in f["pages"]], "chars": [sum(map(len, p)) for p in f["pages"]], "status": f["status"], "passages": rows})
+            pages = [[pagetext.clean(p or "") for p in listed] for listed in f["pages"]]
+            status = [pagetext.judged("\n".join(p), len(p)) for p in pages]
+            rows = [[p._asdict() for p in pagetext.passages(listed)] if s == "ok" else [] for listed, s in zip(pages, status, strict=True)]
+            yield pd.DataFrame({"work_id": f["work_id"], "pages": [len(p) for p in pages], "chars": [sum(map(len, p)) for p in pages], "status": status, "passages": rows})
 
-    return judged.mapInPandas(make, READ)
+    return works.select("work_id", "pages").mapInPandas(make, READ)
 
 
 def passages(read_works: DataFrame) -> DataFrame:
@@ -56,12 +58,67 @@ def mentions(works: DataFrame, references: DataFrame) -> DataFrame:
         for f in frames:
             rows = []
             for work, pages, refs in zip(f["work_id"], f["pages"], f["refs"], strict=True):
-                rows += [(work, *m) for m in ctx.contexts(list(pages), [ctx.Ref(*(None if r[k] is None or r[k] != r[k] else int(r[k]) if k in ("year", "authors") else r[k] for k in fields)) for r in refs])]
+                rows += [(work, *m) for m in ctx.contexts(list(pages), [_ref(r, fields) for r in refs])]
             yield pd.DataFrame(rows, columns=["from_work", "to_work", "page", "start", "end", "sentence", "section", "marker", "method", "confidence"])
 
     return works.join(listed, "work_id").select("work_id", "pages", "refs").mapInPandas(make, MENTIONS)
 
 
+def identity_checked(works: DataFrame) -> DataFrame:
+    """Works (pages, title, surname and others) with `same`: whether the text is that of the work."""
+
+    @F.pandas_udf(BooleanType())
+    def same(pages: pd.Series, titles: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([pagetext.identity_matches([x or "" for x in p], t or "", n) for p, t, n in zip(pages, titles, names, strict=True)], dtype=bool)
+
+    return works.withColumn("same", same("pages", "title", "surname"))
+
+
+def front_titles(runs: DataFrame, most: int = 40) -> DataFrame:
+    """(work_id, title): the text in the largest size with three words or more, top to bottom, left to right; runs are (work_id, text, size, top, left).
+
+    Sizes within half a point are one, lines within half a size are one; a preprint's stamp is no title, and a list of authors ends it.
+    """
+    stamp = F.rlike("text", F.lit(r"(?i)arXiv:\s*\S+\s+(?:\[[^\]]{1,30}\]\s+)?\d{1,2}\s+[A-Z][a-z]{2}\s+\d{4}"))
+    there = runs.filter(~stamp & (F.trim("text") != "")).withColumn("bucket", F.round(F.col("size") * 2) / 2)
+    words = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
+    sized = there.groupBy("work_id", "bucket").agg(F.sum(words).alias("words"), F.collect_list(F.struct("top", "left", "text")).alias("runs")).filter((F.col("words") >= 3) & (F.col("bucket") > 0))
+    best = sized.groupBy("work_id").agg(F.max_by("runs", "bucket").alias("runs"), F.max("bucket").alias("bucket"))
+    lines = F.transform("runs", lambda r: F.struct((-F.round(r["top"] / (F.col("bucket") / 2))).alias("line"), r["left"].alias("left"), r["text"].alias("text")))
+    joined = F.array_join(F.transform(F.array_sort(lines), lambda r: F.trim(r["text"])), " ")
+    title = F.regexp_replace(joined, r"\s+(?:[A-Z]\.\s?)+\s?[A-Z][\w-]+\s*(?:,|and\b).*$", "")
+    return best.select("work_id", F.array_join(F.slice(F.split(F.trim(title), r"\s+"), 1, most), " ").alias("title"))
+
+
+def listed_references(works: DataFrame, references: DataFrame) -> DataFrame:
+    """(work_id, entry, ref, confidence): the numbered entries of each work's reference list, with the known reference each is matched to, if any."""
+    fields = ("id", "title", "year", "doi", "surname", "authors")
+    listed = references.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("ref_seq", *fields))).alias("refs"))
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for work, pages, refs in zip(f["work_id"], f["pages"], f["refs"], strict=True):
+                entries, found = ctx.matched_entries(list(pages), [_ref(r, fields) for r in refs])
+                rows += [(work, n, found[n][0].id if n in found else None, found[n][1] if n in found else None) for n in entries]
+            yield pd.DataFrame(rows, columns=["work_id", "entry", "ref", "confidence"])
+
+    return works.join(listed, "work_id").select("work_id", "pages", "refs").mapInPandas(make, "work_id string, entry int, ref string, confidence double")
+
+
+def matching_quality(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """Listed entries, matched ones, those that the truth (work_id, ref) confirms, and recall and precision."""
+    said = found.filter("ref is not null").select("work_id", "ref").distinct()
+    right = said.join(truth.select("work_id", "ref").distinct(), ["work_id", "ref"], "left_semi").agg(F.count("*").alias("confirmed"))
+    counts = found.agg(F.count("*").alias("listed"), F.count("ref").alias("matched"))
+    one = counts.withColumn("confirmed", F.lit(right.first()["confirmed"]))
+    return one.withColumns({"recall": F.round(F.col("confirmed") / F.greatest("listed", F.lit(1)), 6), "precision": F.round(F.col("confirmed") / F.greatest("matched", F.lit(1)), 6)})
+
+
+def _ref(r: dict, fields: tuple[str, ...]) -> ctx.Ref:
+    return ctx.Ref(*(None if r[k] is None or r[k] != r[k] else int(r[k]) if k in ("year", "authors") else r[k] for k in fields))
+
+
 def page_text(chunks: DataFrame) -> DataFrame:
     """(work_id, page, text): pages put together again from passages that may overlap, by their byte offsets."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col("start"), F.col("end"), F.encode("text", "UTF-8").alias("raw"))))

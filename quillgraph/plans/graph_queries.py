@@ -61,7 +61,9 @@ def _gr2_parents(spark, d):
     return graph.levels(view(spark, d, "works"), view(spark, d, "cites"), start, 3).select("work_id", "hops", "parent")
 
 
-@query("gr2b_lineage")
+@query("gr2b_lineage", """WITH l1 AS (SELECT DISTINCT to_work AS w FROM {cites} WHERE from_work = 'O1'), l2 AS (SELECT to_work AS w, min(from_work) AS p FROM {cites} JOIN l1 ON l1.w = from_work GROUP BY 1), l3 AS (SELECT to_work AS w, min(from_work) AS p FROM {cites} JOIN l2 ON l2.w = from_work GROUP BY 1),
+    l4 AS (SELECT to_work AS w, min(from_work) AS p FROM {cites} JOIN l3 ON l3.w = from_work GROUP BY 1), x AS (SELECT l4.w AS r, l3.w AS n, l2.w AS s, l2.p FROM l4 JOIN l3 ON l3.w = l4.p JOIN l2 ON l2.w = l3.p WHERE l4.w = 'R0')
+    SELECT CAST(i AS INT) AS step, CASE i WHEN 0 THEN r WHEN 1 THEN n WHEN 2 THEN s WHEN 3 THEN p ELSE 'O1' END AS work_id, CASE WHEN i > 0 THEN FALSE END AS cites FROM x, range(5) t(i)""")
 def _gr2b(spark, d):
     """The path from an order to the region of its first supplier, either way round."""
     path = graph.lineage(view(spark, d, "works"), view(spark, d, "cites"), "R0", "O1", 6) or []
@@ -81,7 +83,11 @@ def _gr9(spark, d):
     return graph.groups(view(spark, d, "cites"))
 
 
-@query("gr11_ego_map")
+@query("gr11_ego_map", """WITH nb AS (SELECT from_work AS origin, to_work AS work_id FROM {cites} UNION SELECT to_work, from_work FROM {cites}),
+    r AS (SELECT nb.origin, w.work_id, w.hydrated, row_number() OVER (PARTITION BY nb.origin ORDER BY w.hydrated DESC, w.year DESC NULLS LAST, w.index_id NULLS LAST, w.work_id) AS place FROM nb JOIN {works} w USING (work_id)),
+    near AS (SELECT * FROM r WHERE origin = 'O1' AND place <= 12), up AS (SELECT work_id FROM near WHERE hydrated ORDER BY place LIMIT 6),
+    far AS (SELECT r.origin, r.work_id, row_number() OVER (PARTITION BY r.origin ORDER BY r.place) AS k FROM r JOIN up ON up.work_id = r.origin WHERE r.work_id <> 'O1' AND r.work_id NOT IN (SELECT work_id FROM near))
+    SELECT origin AS parent, work_id, 1 AS step FROM near UNION ALL SELECT origin, work_id, 2 FROM far WHERE k <= 3""")
 def _gr11(spark, d):
     found = graph.ego_map(view(spark, d, "works"), view(spark, d, "cites"), "O1")
     return spark.createDataFrame(found, "parent string, work_id string, step int")

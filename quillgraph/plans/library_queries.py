@@ -203,7 +203,9 @@ def _agg17(spark, d):
 
 
 _GONE = "(SELECT 'C' || c_custkey AS work_id FROM customer WHERE c_custkey < 1400 UNION ALL SELECT 'O' || o_orderkey FROM orders WHERE o_custkey < 1400)"
-_ORPHANS = f"SELECT w.work_id FROM {{works}} w WHERE NOT w.hydrated AND NOT w.is_seed AND w.work_id IN (SELECT to_work FROM {{cites}} WHERE from_work IN (SELECT work_id FROM {_GONE} g)) AND w.work_id NOT IN (SELECT work_id FROM {_GONE} g) AND w.work_id NOT IN (SELECT to_work FROM {{cites}} WHERE from_work NOT IN (SELECT work_id FROM {_GONE} g)) AND w.work_id NOT IN (SELECT from_work FROM {{cites}} WHERE from_work NOT LIKE 'P%') AND w.work_id NOT IN (SELECT work_id FROM {{favourites}})"
+_ORPHANS = f"""SELECT w.work_id FROM {{works}} w SEMI JOIN (SELECT to_work AS work_id FROM {{edges}} SEMI JOIN (SELECT work_id AS from_work FROM {_GONE} g) h USING (from_work)) c USING (work_id)
+    ANTI JOIN {_GONE} g USING (work_id) ANTI JOIN (SELECT to_work AS work_id FROM {{edges}} ANTI JOIN (SELECT work_id AS from_work FROM {_GONE} g) h USING (from_work)) o USING (work_id)
+    ANTI JOIN (SELECT from_work AS work_id FROM {{edges}} WHERE from_work NOT LIKE 'P%') f USING (work_id) ANTI JOIN {{favourites}} v USING (work_id) WHERE NOT w.hydrated AND NOT w.is_seed"""
 
 
 def _gone(spark, d):

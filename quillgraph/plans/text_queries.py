@@ -33,7 +33,14 @@ def _works(spark, d):
     return view(spark, d, "documents").select(F.concat(F.lit("D"), "doc_id").alias("work_id"), F.array("text").alias("pages"))
 
 
-@query("txt1_clean")
+_LIGATED = "text"
+for _a, _b in pagetext.LIGATURES.items():
+    _LIGATED = f"replace({_LIGATED}, '{_a}', '{_b}')"
+
+
+@query("txt1_clean", rf"""WITH a AS (SELECT doc_id, nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text FROM documents), b AS (SELECT doc_id, regexp_replace(text, '-\n([0-9])', '-\1', 'g') AS text FROM a), c AS (SELECT doc_id, {_LIGATED} AS text FROM b),
+    e AS (SELECT doc_id, ltrim(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x09\x0B-\x1F\x7F-\x{{9F}}\p{{Co}}\p{{Zs}}]', ' ', 'g'), ' {{2,}}', ' ', 'g'), '\n +', chr(10), 'g'), ' ') AS text FROM c)
+    SELECT 'D' || doc_id AS work_id, trim(regexp_replace(regexp_replace(text, ' +\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM e""")
 def _txt1(spark, d):
     return text.cleaned(_works(spark, d)).select("work_id", F.get("pages", F.lit(0)).alias("text"))
 
@@ -85,7 +92,7 @@ def _scal4(spark, d):
     return view(spark, d, "pages").select("page_id", identity.doi_of(raw).alias("doi"))
 
 
-@query("scal9_tokens")
+@query("scal9_tokens", f"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(strip_accents(string_split(text, chr(10))[1])), '[\\p{{L}}\\p{{N}}]+')) AS word FROM documents) SELECT word, count(*) AS titles FROM t WHERE octet_length(encode(word)) >= 3 AND word NOT IN ({', '.join(f"'{w}'" for w in sorted(textnorm.STOP))}) GROUP BY word""")
 def _scal9(spark, d):
     """Folded title words, as (word, titles)."""
     @F.pandas_udf(ArrayType(StringType()))
@@ -136,8 +143,38 @@ def _exp3(spark, d):
     return text.shingle_recall(left, right).select("id", F.round("f1", 6).alias("f1"))
 
 
-@query("exp6_sample")
+@query("exp6_sample", "SELECT type, work_id, CAST(place AS INT) AS place FROM (SELECT type, work_id, row_number() OVER (PARTITION BY type ORDER BY md5('42:' || work_id), work_id) AS place FROM {works}) x WHERE place <= 10")
 def _exp6(spark, d):
     """Ten works of each type, in the order of a seeded hash (sampling is the feature)."""
-    place = F.row_number().over(Window.partitionBy("type").orderBy(F.xxhash64("work_id", F.lit(42)), "work_id"))
-    return view(spark, d, "works").withColumn("place", place).filter("place <= 10").select("type", "work_id", "place")
+    works = view(spark, d, "works").select("type", "work_id", F.md5(F.concat(F.lit("42:"), "work_id").cast("binary")).alias("h"))
+    place = F.row_number().over(Window.partitionBy("type").orderBy("h", "work_id"))
+    return works.withColumn("place", place).filter("place <= 10").select("type", "work_id", "place")
+
+
+@query("txt12_identity", """WITH t AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, text FROM documents), k AS (SELECT *, regexp_replace(strip_accents(lower(title)), '[^\\p{L}\\p{N}]', '', 'g') AS key FROM t)
+    SELECT doc_id, length(key) >= 10 AND doc_id % 3 < 2 AS same FROM k WHERE doc_id % 3 < 2""")
+def _txt12(spark, d):
+    """Whether documents are the works that were asked for: by their own first line, every second with its first word as the author's name."""
+    docs = view(spark, d, "documents").filter("doc_id % 3 < 2").select("doc_id", F.array("text").alias("pages"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"))
+    return text.identity_checked(docs.withColumn("surname", F.lit(None).cast("string"))).select("doc_id", "same")
+
+
+@query("src11_front_title", "SELECT p_partkey, p_name || ' ' || p_brand || ' again' AS title FROM part")
+def _src11(spark, d):
+    """The title candidate of a front page out of runs of text with sizes and places."""
+    from quillgraph.operators.text import front_titles
+
+    run = lambda t, size, top, left: F.struct(t.cast("string").alias("text"), F.lit(size).alias("size"), F.lit(top).alias("top"), F.lit(left).alias("left"))
+    runs = F.array(run(F.lit("X"), 40.0, 700.0, 0.0), run(F.concat("p_brand", F.lit(" again")), 20.1, 600.0, 90.0), run(F.col("p_name"), 20.0, 601.0, 10.0), run(F.lit("arXiv:2101.00001v2 [cs.CL] 3 Jan 2021"), 30.0, 400.0, 0.0), run(F.lit("many more words of the page itself"), 10.0, 500.0, 0.0))
+    return front_titles(view(spark, d, "part").select(F.col("p_partkey").alias("work_id"), F.explode(runs).alias("r")).select("work_id", "r.*")).withColumnRenamed("work_id", "p_partkey")
+
+
+@query("exp4_reference_recall", "SELECT 5 * count(*) AS listed, 5 * count(*) - 2 * count(*) FILTER (doc_id % 2 = 0) AS matched, 5 * count(*) - 2 * count(*) FILTER (doc_id % 2 = 0) AS confirmed, round((5 * count(*) - 2 * count(*) FILTER (doc_id % 2 = 0)) / (5 * count(*)), 6) AS recall, 1.0::DOUBLE AS precision FROM documents")
+def _exp4(spark, d):
+    """Entries of reference lists matched to known references, against the truth; in every second list two entries have lost their titles and years."""
+    whole = _CITED.split("References\n")[1]
+    broken = "\n".join(line if n not in (1, 3) else f"[{n + 1}] Somebody Else. Unknown." for n, line in enumerate(whole.split("\n")))
+    works = view(spark, d, "documents").select(F.concat(F.lit("D"), "doc_id").alias("work_id"), F.array(F.concat(F.lit("Body.\n\nReferences\n"), F.when(F.col("doc_id") % 2 == 0, broken).otherwise(whole))).alias("pages"))
+    refs = F.array(*[F.struct(F.lit(i).alias("ref_seq"), F.lit(f"R{i}").alias("id"), F.lit(f"Lasting studies number {w} anew").alias("title"), F.lit(2000 + i).alias("year"), F.lit("Inor").alias("surname"), F.lit(1).alias("authors"), F.lit(None).cast("string").alias("doi")) for i, w in enumerate(("one", "two", "three", "four", "five"), 1)])
+    listed = works.select("work_id", F.explode(refs).alias("r")).select("work_id", "r.*")
+    return text.matching_quality(text.listed_references(works, listed), listed.select("work_id", F.col("id").alias("ref")))
