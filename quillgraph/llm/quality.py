@@ -173,11 +173,10 @@ def fit(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     target = {s: t for s, t in target.items() if min(t.values()) <= GRID + 1}
     if not target:
         return {}
-    rows = [(s, r, g) for s, t in target.items() for r, g in t.items()]
-    wanted = counted.sparkSession.createDataFrame(rows, "stratum string, rule string, target int").groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("target"))
-    wanted = wanted.select("stratum", *[F.col(r).alias(f"target_{r}") for r in RULES])
+    wanted = counted.sparkSession.createDataFrame([(s, *(t[r] for r in RULES)) for s, t in target.items()], "stratum string, " + ", ".join(f"target_{r} int" for r in RULES))
+    wanted = F.broadcast(wanted) if len(target) <= BROADCAST_IDS else wanted  # a row for each stratum
     entry = F.greatest(*[F.when(F.col(r) >= F.col(f"target_{r}"), F.col(r)).otherwise(0) for r in RULES])
-    held = texts.filter("half = 1 and good > 0").join(wanted, "stratum").groupBy("stratum", entry.alias("entry")).count()  # a row for each stratum
+    held = texts.filter("half = 1 and good > 0").join(wanted, "stratum").groupBy("stratum", entry.alias("entry")).count()
     entered: dict[str, dict[int, int]] = {}
     for x in held.collect():  # strata x grid steps
         entered.setdefault(x["stratum"], {})[x["entry"]] = x["count"]
