@@ -13,8 +13,16 @@ from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from quillgraph.functions.porter import stem
+from quillgraph.operators.listing import Query, conditions
 
 K1, B, FUSE, BOUND = 1.2, 0.75, 60, 20_000
+#: A side of a join is broadcast up to this many rows, once they have been counted.
+SMALL = 200_000
+
+
+def small(side: DataFrame) -> DataFrame:
+    """`side` with a broadcast hint if it has at most `SMALL` rows; else the join shuffles, and the adaptive join splits hot keys."""
+    return F.broadcast(side) if side.limit(SMALL + 1).count() <= SMALL else side
 
 # Words that carry no subject in a question.
 FILLERS = frozenset(
@@ -150,11 +158,23 @@ def papers(scored: DataFrame, of: DataFrame, key: str = "passage_id", paper: str
 
 
 def fused(ranked: DataFrame, titles: DataFrame, paper: str = "paper_id", digits: int = 9) -> DataFrame:
-    """Reciprocal-rank fusion of two score tables (paper, score); papers missing in `titles` get one part only."""
-    a = ranked.withColumn("r1", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.round("score", digits).desc(), paper)))
-    b = titles.join(ranked.select(paper), paper, "left_semi").withColumn("r2", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.round("score", digits).desc(), paper))).select(paper, "r2")
-    both = a.join(b, paper, "left").withColumn("fused", 1 / (FUSE + F.col("r1")) + F.coalesce(1 / (FUSE + F.col("r2")), F.lit(0.0)))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("fused").desc(), "r1"))).select(paper, "score", "fused", "rank")
+    """`fused_many` for one question: tables (paper, score)."""
+    one = F.lit(0).alias("question")
+    ranks = ranked.select(one, paper, F.round("score", digits).alias("score"))
+    return fused_many(ranks, titles.select(one, paper, F.round("score", digits).alias("score")), paper).join(ranked.select(paper, "score"), paper).select(paper, "score", "fused", "rank")
+
+
+def fused_many(ranked: DataFrame, titles: DataFrame, paper: str = "paper_id", digits: int = 9) -> DataFrame:
+    """(question, paper, fused, rank): reciprocal-rank fusion of two tables (question, paper, score); papers missing in `titles` get one part only.
+
+    Numbering is by question; a question has at most `BOUND` papers where the passages were bounded.
+    """
+    by = Window.partitionBy("question")
+    order = by.orderBy(F.col("score").desc(), paper)
+    a = ranked.select("question", paper, F.row_number().over(order).alias("r1"))
+    b = titles.join(ranked.select("question", paper), ["question", paper], "left_semi").select("question", paper, F.row_number().over(order).alias("r2"))
+    both = a.join(b, ["question", paper], "left").withColumn("fused", F.round(1 / (FUSE + F.col("r1")) + F.coalesce(1 / (FUSE + F.col("r2")), F.lit(0.0)), digits))
+    return both.withColumn("rank", F.row_number().over(by.orderBy(F.col("fused").desc(), "r1"))).select("question", paper, "fused", "rank")
 
 
 def selected(scored: DataFrame, of: DataFrame, ranks: DataFrame, limit: int = 20, per_paper: int = 3, key: str = "passage_id", paper: str = "paper_id") -> DataFrame:
@@ -164,6 +184,34 @@ def selected(scored: DataFrame, of: DataFrame, ranks: DataFrame, limit: int = 20
     return chosen.join(ranks.select(paper, "rank"), paper).orderBy("rank", "place").limit(limit)
 
 
+def holding(docs: DataFrame, items: DataFrame, width: int = 4) -> DataFrame:
+    """(question, paper_id): the documents (paper_id, text) that hold an item (question, item) somewhere.
+
+    A text that holds an item holds its inner words in a row, so candidates share the hash of the item's second to
+    (width + 1)-th word; `contains` decides.  An item of fewer words is looked for by itself.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    spelt = items.select("question", "item", words(F.col("item")).alias("w"))
+    long = spelt.filter(F.size("w") >= width + 2).select("question", F.xxhash64(F.slice("w", 2, width)).alias("h"))
+    grams = F.transform(F.slice("w", 1, F.greatest(F.size("w") - (width - 1), F.lit(0))), lambda w, i: F.xxhash64(F.slice("w", i + 1, width)))
+    hashed = docs.select("paper_id", words(F.col("text")).alias("w")).select("paper_id", F.explode(F.array_distinct(grams)).alias("h"))
+    pairs = hashed.join(small(long), "h").select("paper_id", "question").distinct()
+    found = docs.join(small(pairs), "paper_id").join(small(items), "question").filter(F.contains("text", "item")).select("question", "paper_id")
+    for r in spelt.filter((F.size("w") < width + 2) & (F.length("item") > 0)).select("question", "item").toLocalIterator():  # few: an item is a text
+        found = found.unionByName(docs.filter(F.contains("text", F.lit(r["item"]))).select(F.lit(r["question"]).alias("question"), "paper_id"))
+    return found
+
+
+def within(index: DataFrame, lengths: DataFrame, questions: DataFrame, of: DataFrame, works: DataFrame, asked: Query, lib: dict[str, DataFrame], read: DataFrame) -> tuple[DataFrame, int, int]:
+    """Search within a listing: what `rank_many` finds in its works, how many works it has, and how many of them have been read.
+
+    `of` maps passages to works (passage_id, work_id), `read` holds the works with text.
+    """
+    held = conditions(works, asked, lib).select("work_id").distinct()
+    inside = of.join(held, "work_id", "left_semi").select("passage_id")
+    return rank_many(index, lengths, questions, allowed=inside), held.count(), held.join(read, "work_id", "left_semi").count()
+
+
 def evaluate(ranks: DataFrame, relevant: DataFrame, question: str = "question", paper: str = "paper_id", at: int = 3) -> DataFrame:
     """hit@`at` and mean reciprocal rank; questions whose papers aren't found count zero, questions without any paper don't count."""
     best = relevant.join(ranks, [question, paper], "left").groupBy(question).agg(F.min("rank").alias("rank"))
@@ -182,26 +230,39 @@ def snippet(text: str, stems_wanted: set[str], width: int = 32, marks: tuple[str
     return ("… " if at else "") + " ".join(shown) + (" …" if at + width < len(words) else "")
 
 
-def rank_many(index: DataFrame, lengths: DataFrame, questions: DataFrame, digits: int = 6, key: str = "passage_id") -> DataFrame:
+@F.pandas_udf(StringType())
+def snippets(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+    """`snippet` of a column of texts, for a column of arrays of stems."""
+    return pd.Series([None if t is None else snippet(t, set(w)) for t, w in zip(texts, wanted, strict=True)], dtype=object)
+
+
+def rank_many(index: DataFrame, lengths: DataFrame, questions: DataFrame, digits: int = 6, key: str = "passage_id", allowed: DataFrame | None = None) -> DataFrame:
     """(question, key, score, partial) for a table of (question, word): BM25 with AND before OR for each question, in one plan.
 
-    `index` is (word, key, length, tf); `lengths` is (key, length) of all passages.
+    `index` is (word, key, length, tf); `lengths` is (key, length) of all passages; `allowed` (key) restricts what is found, not
+    the statistics.  Only words of the questions leave the index, and each word's frequency goes with its questions.
     """
-    stats = lengths.agg(F.count("*").alias("n_all"), F.avg("length").alias("avg"))
     asked = questions.select("question", "word").distinct()
-    wanted = asked.select("word").distinct()
-    hit = index.join(F.broadcast(wanted), "word")  # the words of the questions, which a caller states
+    hit = index.join(small(asked.select("word").distinct()), "word", "left_semi")
     frequency = hit.groupBy("word").agg(F.count("*").alias("df"))
-    n, avg = stats.first()
-    part = idf(n, F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (avg or 1.0)))
-    weighed = hit.join(F.broadcast(frequency), "word").withColumn("part", part)
-    scored = weighed.join(F.broadcast(asked), "word").groupBy("question", key).agg(F.round(F.sum("part"), digits).alias("score"), F.count("*").alias("n_terms"))
+    n, avg = lengths.agg(F.count("*"), F.avg("length")).first()
+    if allowed is not None:
+        hit = hit.join(allowed.select(key).distinct(), key, "left_semi")
+    weight = small(asked.join(frequency, "word").select("word", "question", idf(n, F.col("df")).alias("idf")))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (avg or 1.0)))
+    scored = hit.join(weight, "word").groupBy("question", key).agg(F.round(F.sum(part), digits).alias("score"), F.count("*").alias("n_terms"))
     size = asked.groupBy("question").agg(F.count("*").alias("k"))
     best = scored.groupBy("question").agg(F.max("n_terms").alias("best")).join(size, "question")
-    chosen = scored.join(F.broadcast(best), "question").filter((F.col("best") < F.col("k")) | (F.col("n_terms") == F.col("k"))).filter((F.col("best") == F.col("k")) | (F.col("k") > 1))
+    chosen = scored.join(best, "question").filter((F.col("best") < F.col("k")) | (F.col("n_terms") == F.col("k"))).filter((F.col("best") == F.col("k")) | (F.col("k") > 1))
     return chosen.select("question", key, "score", (F.col("best") < F.col("k")).alias("partial"))
 
 
+def bounded(scored: DataFrame, most: int = BOUND, key: str = "passage_id") -> DataFrame:
+    """Each question's `most` best passages, with their rank; what a partition can't place among the first goes before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("question").orderBy(F.col("score").desc(), key))
+    return scored.withColumn("place", place).filter(F.col("place") <= most)
+
+
 def papers_many(scored: DataFrame, best: int = 3, digits: int = 4, key: str = "passage_id", paper: str = "paper_id") -> DataFrame:
     """(question, paper, score, rank): each question's papers by the weighted sum of their best passages."""
     place = F.row_number().over(Window.partitionBy("question", paper).orderBy(F.col("score").desc(), key))

@@ -104,3 +104,19 @@ def duplicates(works: DataFrame, key: Column, least: int = 20) -> DataFrame:
     """
     keyed = works.filter("hydrated and title is not null").withColumn("key", key).filter(F.length("key") >= least)
     return keyed.groupBy("key").agg(F.count("*").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("year", "work_id"))), lambda x: x["work_id"]), ",").alias("members"), F.min("title").alias("title")).filter("size >= 2")
+
+
+def library_stats(works: DataFrame, cites: DataFrame, read_state: DataFrame, files: DataFrame, repeated: DataFrame, most: int = 20) -> DataFrame:
+    """(what, item, n): the library's counts, its texts by status, and the first `most` works without text, files of another version, and repeated titles (item, n)."""
+    row = lambda rows, what, item, n: rows.select(F.lit(what).alias("what"), item.alias("item"), n.cast("long").alias("n"))
+    one = summary(works, cites)
+    silent = read_state.filter("status = 'no-text'").select("work_id").orderBy("work_id").limit(most)
+    other = files.filter("version = 'other' and not missing").select("work_id").distinct().orderBy("work_id").limit(most)
+    parts = [
+        row(one, "works", F.lit(""), F.col("works")), row(one, "edges", F.lit(""), F.col("edges")), row(histogram(read_state, "status"), "text", F.col("status"), F.col("n")),
+        row(silent, "no text", F.col("work_id"), F.lit(1)), row(other, "other version", F.col("work_id"), F.lit(1)), row(repeated.orderBy(F.col("n").desc(), "item").limit(most), "duplicates", F.col("item"), F.col("n")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

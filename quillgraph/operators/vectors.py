@@ -10,8 +10,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query vectors held by a task at a time; more are searched in several passes.
-BLOCK = 20_000
+#: Numbers of the query vectors that a task holds at a time (8 MB); more are searched in several passes.
+BLOCK = 1_000_000
+
+
+def blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the stated queries, at most `BLOCK` numbers at a time."""
+    ids, vectors, held = [], [], 0
+    for r in queries.select("id", "embedding").toLocalIterator():
+        ids.append(r[0])
+        vectors.append(r[1])
+        held += len(r[1])
+        if held >= BLOCK:
+            yield np.array(ids, np.int64), np.array(vectors, np.float64)
+            ids, vectors, held = [], [], 0
+    if ids:
+        yield np.array(ids, np.int64), np.array(vectors, np.float64)
+
+
+def best_of_groups(queries: DataFrame, rows: DataFrame, group: str) -> DataFrame:
+    """(query_id, group, best): for each query and each group of rows the largest scalar product with a row of it.
+
+    A partition keeps one number for each query and group that it has met, and hands them on when they become many.
+    """
+
+    def find(q_ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict = {}
+
+            def out() -> pa.RecordBatch:
+                names = list(best)
+                return pa.RecordBatch.from_arrays([pa.array(np.tile(q_ids, len(names))), pa.array(np.repeat(np.arange(len(names)), len(q_ids))), pa.array(np.concatenate([best[n] for n in names]))], names=["query_id", "g", "best"]).set_column(1, group, pa.array([n for n in names for _ in range(len(q_ids))], kind))
+
+            kind = None
+            for b in batches:
+                kind = b.column(0).type
+                x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+                groups = b.column(0).to_pylist()
+                for at in range(0, len(groups), 256):
+                    dots = q @ x[at : at + 256].T
+                    for k, name in enumerate(groups[at : at + 256]):
+                        best[name] = np.maximum(best[name], dots[:, k]) if name in best else dots[:, k].copy()
+                if len(best) * len(q_ids) > 4 * BLOCK:
+                    yield out()
+                    best.clear()
+            if best:
+                yield out()
+
+        return rows.select(group, "embedding").mapInArrow(make, f"query_id long, {group} {rows.schema[group].dataType.simpleString()}, best double")
+
+    found = None
+    for q_ids, q in blocks(queries):
+        part = find(q_ids, q)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return rows.select(F.col("id").alias("query_id"), group, F.lit(0.0).alias("best")).limit(0)
+    return found.groupBy("query_id", group).agg(F.max("best").alias("best"))
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2") -> DataFrame:
@@ -20,17 +74,6 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2") ->
     Each partition keeps k rows a query, so k x partitions rows a query are shuffled.
     """
 
-    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, vectors = [], []
-        for r in queries.select("id", "embedding").toLocalIterator():
-            ids.append(r[0])
-            vectors.append(r[1])
-            if len(ids) == BLOCK:
-                yield np.array(ids, np.int64), np.array(vectors, np.float64)
-                ids, vectors = [], []
-        if ids:
-            yield np.array(ids, np.int64), np.array(vectors, np.float64)
-
     def find(q_ids: np.ndarray, q: np.ndarray) -> DataFrame:
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best_d, best_i = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
@@ -53,7 +96,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2") ->
         return rows.select("id", "embedding").mapInArrow(make, "query_id long, id long, distance double")
 
     found = None
-    for q_ids, q in blocks():
+    for q_ids, q in blocks(queries):
         part = find(q_ids, q)
         found = part if found is None else found.unionByName(part)
     if found is None:

@@ -20,12 +20,6 @@ def _src5(spark, d):
     return found.withColumns({"place": F.row_number().over(by.orderBy(F.col("cited_by_count").desc(), "work_id")), "total": F.count("*").over(by)}).filter("place <= 10").select("origin", "work_id", "place", "total")
 
 
-@query("jn6_readable_passages", "SELECT p.doc_id, p.ordinal, l.quality FROM {passages} p JOIN documents d USING (doc_id) JOIN labels l USING (doc_id) WHERE l.toxic = 0")
-def _jn6(spark, d):
-    docs, labels = view(spark, d, "documents").select("doc_id"), view(spark, d, "labels").filter("toxic = 0")
-    return view(spark, d, "passages").join(docs, "doc_id").join(labels, "doc_id").select("doc_id", "ordinal", "quality")
-
-
 @query("jn8_by_either_id", "SELECT work_id FROM {works} WHERE work_id IN ('C1', 'R0') OR index_id IN ('O1', 'P5')")
 def _jn8(spark, d):
     works = view(spark, d, "works")
@@ -47,12 +41,6 @@ def _set2(spark, d):
     return cites.unionByName(back.join(cites, ["from_work", "to_work"], "left_anti"))
 
 
-@query("srt7_best_passages", "SELECT doc_id, ordinal FROM {passages} ORDER BY length(text) DESC, doc_id, ordinal LIMIT 20000")
-def _srt7(spark, d):
-    """The bound of 20,000 on ranked passages (the limit is the feature)."""
-    return view(spark, d, "passages").orderBy(F.length("text").desc(), "doc_id", "ordinal").limit(search.BOUND).select("doc_id", "ordinal")
-
-
 @query("dml16_refile", "SELECT collection_id, work_id FROM {collection_work} WHERE collection_id <> 107 UNION SELECT 108, work_id FROM {collection_work} WHERE collection_id = 107")
 def _dml16(spark, d):
     """Moving the works of one collection into another: keyed removal and upsert."""
@@ -63,11 +51,6 @@ def _dml16(spark, d):
     return merge.upsert(merge.removed(rows, old, ["collection_id", "work_id"]), old.withColumn("collection_id", F.lit(108)), ["collection_id", "work_id"])
 
 
-@query("fts10_hits", r"SELECT doc_id, ordinal, length(text) AS chars FROM {passages} WHERE regexp_matches(lower(text), '(^|[^a-z])idiot([^a-z]|$)')")
-def _fts10(spark, d):
-    return view(spark, d, "passages").filter(F.rlike(F.lower("text"), F.lit("(^|[^a-z])idiot([^a-z]|$)"))).select("doc_id", "ordinal", F.length("text").cast("long").alias("chars"))
-
-
 @query("fts11_parts", "SELECT s_suppkey, 'x ' AS plain, s_name AS marked FROM supplier")
 def _fts11(spark, d):
     parts = presentation.marked_parts(F.concat(F.lit("x [["), "s_name", F.lit("]]")))
@@ -119,21 +102,6 @@ def _api7(spark, d):
     return presentation.group_names(found, view(spark, d, "works"), people)
 
 
-@query("exp2_nearest_paper", "WITH e AS (SELECT vec_id, label, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, label AS paper, max(round(list_sum(list_transform(list_zip(qe, embedding), lambda x: CAST(x[1] AS DOUBLE) * x[2])), 4)) AS best FROM q, e GROUP BY ALL) SELECT query_id, paper, best FROM s")
-def _exp2(spark, d):
-    """Papers (labels) by their nearest passage (vector), for each query vector among all rows."""
-    rows = view(spark, d, "embeddings")
-    asked = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in rows.filter("vec_id % 100 = 0").toLocalIterator()]
-    best = None
-    for at in range(0, len(asked), 200):  # the stated queries, in blocks
-        block = asked[at : at + 200]
-        probe = F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), F.array(*map(F.lit, v)).alias("qe")) for i, v in block])
-        scored = rows.select("label", "embedding", F.explode(probe).alias("q")).select("q.query_id", F.col("label").alias("paper"), F.round(F.aggregate(F.zip_with("q.qe", "embedding", lambda a, b: a * b.cast("double")), F.lit(0.0), lambda s, x: s + x), 4).alias("dot"))
-        part = scored.groupBy("query_id", "paper").agg(F.max("dot").alias("best"))
-        best = part if best is None else best.unionByName(part)
-    return best
-
-
 @query("snk8_recent_calls", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
 def _snk8(spark, d):
     """The last hundred entries of the call log (the limit is the feature)."""
@@ -145,8 +113,18 @@ def _agg10(spark, d):
     return view(spark, d, "attempts").groupBy("work_id", "outcome").agg(F.count("*").alias("n"))
 
 
-@query("api5_library_stats", "SELECT 'works' AS what, count(*) AS n FROM {works} UNION ALL SELECT 'edges', count(*) FROM {cites} UNION ALL SELECT 'text ' || status, count(*) FROM {read_state} GROUP BY status")
+@query("exp2_nearest_paper", "WITH e AS (SELECT vec_id, label, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, label AS paper, max(round(list_sum(list_transform(list_zip(qe, embedding), lambda x: CAST(x[1] AS DOUBLE) * x[2])), 4)) AS best FROM q, e GROUP BY ALL) SELECT query_id, paper, best FROM s")
+def _exp2(spark, d):
+    """Papers (labels) by their nearest passage (vector), for each query vector among all rows."""
+    from quillgraph.operators.vectors import best_of_groups
+
+    rows = view(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("paper"), "embedding")
+    return best_of_groups(rows.filter("id % 100 = 0"), rows, "paper").select("query_id", "paper", F.round("best", 4).alias("best"))
+
+
+@query("api5_library_stats", """SELECT 'works' AS what, '' AS item, count(*) AS n FROM {works} UNION ALL SELECT 'edges', '', count(*) FROM {cites} UNION ALL SELECT 'text', status, count(*) FROM {read_state} GROUP BY status
+    UNION ALL SELECT 'no text', work_id, 1 FROM (SELECT work_id FROM {read_state} WHERE status = 'no-text' ORDER BY work_id LIMIT 20) a UNION ALL SELECT 'other version', work_id, 1 FROM (SELECT DISTINCT work_id FROM {files} WHERE version = 'other' AND NOT missing ORDER BY work_id LIMIT 20) b
+    UNION ALL SELECT 'duplicates', key, n FROM (SELECT title AS key, count(*) AS n FROM {works} WHERE type = 'order' GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, key LIMIT 20) c""")
 def _api5(spark, d):
-    one = stats.summary(view(spark, d, "works"), view(spark, d, "cites"))
-    wide = one.select(F.explode(F.array(F.struct(F.lit("works").alias("what"), F.col("works").alias("n")), F.struct(F.lit("edges").alias("what"), F.col("edges").alias("n")))).alias("x")).select("x.*")
-    return wide.unionByName(stats.histogram(view(spark, d, "read_state"), "status").select(F.concat(F.lit("text "), "status").alias("what"), "n"))
+    """Counts, and the first twenty (the limit is the feature) works without text, files of another version, and titles in common."""
+    return stats.library_stats(view(spark, d, "works"), view(spark, d, "cites"), view(spark, d, "read_state"), view(spark, d, "files"), view(spark, d, "works").filter("type = 'order'").groupBy(F.col("title").alias("item")).agg(F.count("*").alias("n")).filter("n > 1"))

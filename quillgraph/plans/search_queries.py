@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.operators import search
+from quillgraph.operators.graph import cut
 from quillgraph.queries import query
 from quillgraph.views import view
 
@@ -71,20 +72,25 @@ _TITLES = r"""d AS (SELECT doc_id AS paper_id, list_filter(string_split_regex(lo
     fr AS (SELECT question, paper_id, fused, CAST(row_number() OVER (PARTITION BY question ORDER BY fused DESC, r1) AS INT) AS rank FROM fu)"""
 
 
+def _titles(spark, d):
+    """The first lines of the documents as a second index."""
+    titles = view(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), search.plain_words(F.get(F.split("text", "\n"), F.lit(0))).alias("words"))
+    return titles.select("paper_id", F.size("words").alias("length"), F.explode_outer("words").alias("word")).groupBy("word", "paper_id", "length").agg(F.count("*").alias("tf"))
+
+
+def _any_title(spark, d):
+    """(question, paper_id, score): BM25 of the titles with any of a question's words."""
+    index, asked = _titles(spark, d), _questions(spark, d)
+    n, avg = index.select("paper_id", "length").distinct().agg(F.count("*"), F.avg("length")).first()
+    hit = index.join(search.small(asked.select("word").distinct()), "word", "left_semi")
+    weight = search.small(hit.groupBy("word").agg(F.count("*").alias("df")).join(asked, "word"))
+    part = search.idf(n, F.col("df")) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / avg))
+    return hit.join(weight, "word").groupBy("question", "paper_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
 def _fused(spark, d):
     """Reciprocal-rank fusion of the papers' ranks with those of their titles, for every question."""
-    ranked = search.papers_many(_scored(spark, d)).select("question", "paper_id", F.col("rank").alias("r1"))
-    titles = view(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), search.plain_words(F.get(F.split("text", "\n"), F.lit(0))).alias("words"))
-    index = titles.select("passage_id", F.size("words").alias("length"), F.explode("words").alias("word")).groupBy("word", "passage_id", "length").agg(F.count("*").alias("tf"))
-    asked = _questions(spark, d)
-    n, avg = titles.agg(F.count("*"), F.avg(F.size("words"))).first()
-    hit = index.join(F.broadcast(asked.select("word").distinct()), "word")
-    frequency = hit.groupBy("word").agg(F.count("*").alias("df"))
-    part = search.idf(n, F.col("df")) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / avg))
-    scored = hit.join(F.broadcast(frequency), "word").join(F.broadcast(asked), "word").groupBy("question", F.col("passage_id").alias("paper_id")).agg(F.round(F.sum(part), 6).alias("ts"))
-    second = scored.join(ranked.select("question", "paper_id"), ["question", "paper_id"], "left_semi").withColumn("r2", F.row_number().over(Window.partitionBy("question").orderBy(F.col("ts").desc(), "paper_id")))
-    both = ranked.join(second, ["question", "paper_id"], "left").withColumn("fused", F.round(1 / (60 + F.col("r1")) + F.coalesce(1 / (60 + F.col("r2")), F.lit(0.0)), 9))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(F.col("fused").desc(), "r1"))).select("question", "paper_id", "fused", "rank")
+    return search.fused_many(search.papers_many(_scored(spark, d)).select("question", "paper_id", "score"), _any_title(spark, d))
 
 
 @query("fts8_fusion", f"WITH {_P}, {_I}, {_Q}, {_S}, {_R}, {_TITLES} SELECT question, paper_id, fused, rank FROM fr")
@@ -105,15 +111,65 @@ def _fts9(spark, d):
     SELECT count(*) AS questions, count(*) FILTER (rank <= 3) AS hits, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM best""")
 def _fts14(spark, d):
     items = view(spark, d, "benchmark").select(F.col("item_id").alias("question"), F.col("text").alias("item"))
-    # The relevant documents hold the item: candidates share its first words, contains() decides.
-    head = F.substring("item", 1, 20)
     docs = view(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), "text")
-    starts = items.select(F.collect_set(head)).first()[0]
-    probe = F.array(*[F.lit(s) for s in starts])
-    relevant = docs.withColumn("s", F.explode(F.filter(probe, lambda s: F.contains(docs["text"], s)))).join(F.broadcast(items.withColumn("s", head)), "s").filter(F.contains("text", "item")).select("question", "paper_id")
+    relevant = search.holding(docs, items).select("question", "paper_id")
     return search.evaluate(_fused(spark, d), relevant).withColumn("mrr", F.round("mrr", 6))
 
 
+@query("srt7_best_passages", f"WITH {_P}, {_I}, {_Q}, {_S} SELECT question, passage_id, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, passage_id) AS place FROM c) x WHERE place <= 20000")
+def _srt7(spark, d):
+    """Each question's 20,000 best passages by BM25 (the bound is the feature)."""
+    return search.bounded(_scored(spark, d)).select("question", "passage_id", "place")
+
+
+@query("jn6_readable_passages", f"WITH {_P}, {_I} SELECT i.passage_id, count(*) AS words, sum(tf) AS occurrences FROM i JOIN {{passages}} p ON p.doc_id * 100000 + p.ordinal = i.passage_id JOIN labels l USING (doc_id) WHERE l.quality = 1 GROUP BY 1")
+def _jn6(spark, d):
+    """Postings of passages whose documents count as read."""
+    read = view(spark, d, "labels").filter("quality = 1").select("doc_id")
+    rows = view(spark, d, "passages").join(read, "doc_id", "left_semi").select((F.col("doc_id") * 100000 + F.col("ordinal")).alias("passage_id"))
+    return _index(spark, d).join(rows, "passage_id").groupBy("passage_id").agg(F.count("*").alias("words"), F.sum("tf").alias("occurrences"))
+
+
+@query("fts10_hits", r"""WITH t AS (SELECT doc_id, ordinal, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM {passages}), h AS (SELECT *, list_transform(w, lambda x: CASE WHEN regexp_matches(lower(strip_accents(x)), '(^|[^\p{L}\p{N}])idiots?([^\p{L}\p{N}]|$)') THEN 1 ELSE 0 END) AS hit FROM t),
+    s AS (SELECT *, list_transform(range(1, greatest(1, len(w) - 31) + 1), lambda i: list_sum(hit[i:i + 31])) AS n FROM h WHERE list_sum(hit) > 0), p AS (SELECT *, list_position(n, list_max(n)) AS z FROM s)
+    SELECT doc_id, ordinal, CASE WHEN z > 1 THEN '… ' ELSE '' END || array_to_string(list_transform(range(z, least(z + 32, len(w) + 1)), lambda i: CASE WHEN hit[i] = 1 THEN '[[' || w[i] || ']]' ELSE replace(w[i], '[[', '\[[') END), ' ') || CASE WHEN z + 31 < len(w) THEN ' …' ELSE '' END AS snippet FROM p""")
+def _fts10(spark, d):
+    """The passages with a stemmed word, each with the part that holds it most often, marked."""
+    wanted = F.array(F.lit(search.stem("idiots")))
+    hits = view(spark, d, "passages").filter(F.array_contains(search.stems("text"), wanted[0]))
+    return hits.select("doc_id", "ordinal", search.snippets("text", wanted).alias("snippet"))
+
+
+@query("fts12_within", f"WITH {_P}, {_I}, {_Q}, {_S.replace('JOIN f USING (word) JOIN q USING (word)', 'JOIN f USING (word) JOIN q USING (word) JOIN documents d ON d.doc_id = i.paper_id AND d.lang = $$en$$ AND d.n_chars > 500')} SELECT c.question, c.passage_id, c.score, c.partial, (SELECT count(*) FROM documents WHERE lang = 'en' AND n_chars > 500) AS papers, (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' AND n_chars > 500 AND quality = 1) AS readable FROM c")
+def _fts12(spark, d):
+    """Search within filters: the statistics are those of the whole index, what is found and how many papers there are those of the filter."""
+    from quillgraph.operators.listing import Query
+
+    docs = view(spark, d, "documents")
+    works = docs.select(F.col("doc_id").alias("work_id"), F.col("lang").alias("venue"), F.col("n_chars").cast("int").alias("year"))
+    read = view(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("work_id"))
+    passages = _passages(spark, d)
+    lengths = passages.select("passage_id", F.size("words").alias("length"))
+    of = passages.select("passage_id", F.col("paper_id").alias("work_id"))
+    found, papers, readable = search.within(_index(spark, d), lengths, _questions(spark, d), of, works, Query(venues=("en",), year_from=501), {}, read)
+    return found.select("question", "passage_id", "score", "partial", F.lit(papers).alias("papers"), F.lit(readable).alias("readable"))
+
+
+_OWN = r"""q AS (SELECT question, word FROM (SELECT question, word, row_number() OVER (PARTITION BY question ORDER BY length(word) DESC, word) AS place FROM (SELECT DISTINCT doc_id AS question, unnest(list_filter(string_split_regex(lower(string_split(text, chr(10))[1]), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: length(x) >= 4)) AS word FROM documents WHERE doc_id % 100 = 0) a) b WHERE place <= 4)"""
+
+
+@query("exp5_own_title", f"WITH {_P}, {_I}, {_OWN}, {_S}, {_R} SELECT question, min(rank) FILTER (paper_id = question) <= 5 AS found FROM t GROUP BY question")
+def _exp5(spark, d):
+    """Whether works are among the first five that their own titles' four longest words find; the works asked are those with ids divisible by 100."""
+    words = F.explode(F.array_distinct(F.filter(search.plain_words(F.get(F.split("text", "\n"), F.lit(0))), lambda w: F.length(w) >= 4)))
+    asked = view(spark, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("question"), words.alias("word"))
+    place = F.row_number().over(Window.partitionBy("question").orderBy(F.length("word").desc(), "word"))
+    asked = asked.withColumn("place", place).filter("place <= 4").select("question", "word")
+    lengths = _passages(spark, d).select("passage_id", F.size("words").alias("length"))
+    scored = search.rank_many(_index(spark, d), lengths, asked).withColumn("paper_id", F.floor(F.col("passage_id") / 100000))
+    return search.papers_many(scored).groupBy("question").agg((F.min(F.when(F.col("paper_id") == F.col("question"), F.col("rank"))) <= 5).alias("found"))
+
+
 @query("fts3_stemmed_postings")
 def _fts3_stemmed(spark, d):
     """The index with accents folded and Porter stems, as (word, passages, occurrences)."""
@@ -123,14 +179,18 @@ def _fts3_stemmed(spark, d):
 
 @query("fts6_search")
 def _fts6(spark, d):
-    """A typed query with a phrase and a prefix over the English passages, stemmed, with the papers' fusion."""
-    rows = view(spark, d, "passages").select((F.col("doc_id") * 100000 + F.col("ordinal")).alias("passage_id"), F.col("doc_id").alias("paper_id"), "lang", search.stems("text").alias("words")).cache()
+    """A typed query with a phrase and a prefix over the English passages, stemmed: papers by their best passages, fused with their titles' ranks."""
     terms = search.subject(search.parse('the thing* "and the" heed'))
     stemmed = [search.Term(tuple(w if t.prefix else search.stem(w) for w in t.words), t.prefix) for t in terms]
-    index = search.postings(rows)
-    scored = search.bm25(search.matching(index, stemmed), search.corpus(rows))
-    chosen = search.all_or_any(scored, len(stemmed), rows.filter("lang = 'en'"))
-    return search.papers(chosen, rows)
+
+    def papers(rows, allowed):
+        index = cut(search.postings(rows))
+        scored = search.bm25(search.matching(index, stemmed), search.corpus(rows))
+        return search.papers(search.all_or_any(scored, len(stemmed), allowed), rows)
+
+    rows = cut(view(spark, d, "passages").select((F.col("doc_id") * 100000 + F.col("ordinal")).alias("passage_id"), F.col("doc_id").alias("paper_id"), "lang", search.stems("text").alias("words")))
+    titles = rows.filter("passage_id % 100000 = 0")
+    return search.fused(papers(rows, rows.filter("lang = 'en'")), papers(titles, titles)).withColumns({"score": F.round("score", 6)})
 
 
 @query("exp1_nearest", "WITH v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(qe, embedding), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2]))), 4) AS distance FROM q, v WHERE query_id <> vec_id) SELECT query_id, CAST(place AS INT) AS place, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM s) WHERE place <= 10")
