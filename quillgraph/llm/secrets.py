@@ -9,9 +9,9 @@ the hash of its pattern, so a changed rule is scanned again and the others are n
 `update` keeps the ledger as a table: it scans what the table doesn't know, appends that, and joins
 the findings back.  `scan` does the same with a ledger that the caller keeps.
 
-Texts are not shuffled where it can be helped: the rows that need no scan (copies of
-a blob, blobs that the ledger knows) are broadcast and left out if they number at most
-`BROADCAST_ROWS`, or else the rows that do need one are, or else the two are joined by
+Texts are not shuffled where it can be helped: the blobs of several rows and those that
+the ledger knows are broadcast beside the texts if they number at most `BROADCAST_ROWS`
+(one row of each blob is scanned), or else the blobs to be scanned are, or else the two are joined by
 a shuffle on (blob, id).  Findings are few beside versions: they are broadcast to the versions if
 they hold at most `BROADCAST_SPANS` spans; beyond, both sides of the join are written tables, so a blob
 with a large share of the versions is split by the adaptive skew join.
@@ -124,15 +124,15 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         seen = known.groupBy("blob").agg(F.collect_set(F.concat_ws(" ", "kind", "version")).alias("seen"))
         pending = blobs.join(seen, "blob", "left").withColumn("due", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen")
     pending = written(pending, "pending")
-    due = pending.filter(F.size("due") > 0)
-    rows, wanted = keyed.count(), due.count()
-    if wanted and rows - wanted <= BROADCAST_ROWS and ledger is None:
-        copies = keyed.join(due.select("blob", "first"), "blob").filter(~F.col("id").eqNullSafe(F.col("first"))).select("id", "blob").distinct()
-        todo = _without(source, copies).withColumn("due", every)
+    # Most blobs have one row, for which every rule is due; only the others need to be known beside the texts.
+    other = pending.filter((F.col("n") > 1) | (F.size("due") < len(rules))).select(F.col("blob").alias("b"), "first", "due")
+    if other.count() <= BROADCAST_ROWS:
+        beside = source.join(F.broadcast(other), F.col("blob") == F.col("b"), "left")
+        todo = beside.filter(F.col("b").isNull() | (F.col("id").eqNullSafe(F.col("first")) & (F.size("due") > 0))).withColumn("due", F.coalesce("due", every))
     else:
-        keys = due.select(F.col("blob").alias("b"), "first", "due")
-        keys = F.broadcast(keys) if wanted <= BROADCAST_ROWS else keys
-        todo = source.join(keys, F.col("blob").eqNullSafe(F.col("b")) & F.col("id").eqNullSafe(F.col("first"))).select("id", "t", "blob", "due")
+        keys = pending.filter(F.size("due") > 0).select(F.col("blob").alias("b"), "first", "due")
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+        todo = source.join(keys, (F.col("blob") == F.col("b")) & F.col("id").eqNullSafe(F.col("first")))
     found = todo.select("blob", F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(i).alias("place"), F.when(F.array_contains("due", f"{r.kind} {r.version}"), spans(F.col("t"), r, i)).alias("spans")) for i, r in enumerate(rules)]).alias("x"))
     scanned = written(found, "scanned").dropDuplicates(["blob"])
     new = scanned.select("blob", F.explode("x").alias("x")).filter("x.spans is not null").select("blob", "x.kind", "x.version", F.transform("x.spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
@@ -159,12 +159,6 @@ def update(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, id_c
     return findings
 
 
-def _without(source: DataFrame, copies: DataFrame) -> DataFrame:
-    """`source` without the (id, blob) rows of `copies`, whose number has been checked."""
-    small = F.broadcast(copies.select(F.col("id").alias("i"), F.col("blob").alias("b")))
-    return source.join(small, F.col("blob").eqNullSafe(F.col("b")) & F.col("id").eqNullSafe(F.col("i")), "left_anti")
-
-
 def spelt(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """kind:start:end, comma-joined."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
