@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,12 +21,29 @@ def id_order(index_id: str = "index_id", work_id: str = "work_id") -> list[Colum
     return [F.col(index_id).isNull().asc(), F.col(index_id).asc(), F.col(work_id).asc()]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names; a temporary one only where it names none."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a temporary one only in a local session that names none."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quill-"))
-    return df.checkpoint()
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quill-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` as a written table in the shared folder: what follows starts from its files, on whichever executor, and knows their size."""
+    path = f"{shared_folder(df.sparkSession)}/cut/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(side: DataFrame) -> DataFrame:
+    """`side` with a broadcast hint if it has at most `SMALL` rows."""
+    return F.broadcast(side) if side.limit(SMALL + 1).count() <= SMALL else side
 
 
 def neighbours(works: DataFrame, cites: DataFrame, which: DataFrame, forward: bool = True) -> DataFrame:
@@ -43,13 +63,18 @@ def frontier(works: DataFrame, cites: DataFrame, limit: int, max_depth: int, max
 
     in_degree counts all citing works.  Ordered by in_degree, depth and index id; first `limit`.
     """
-    stubs = works.filter("not hydrated and not unresolved and index_id is not null").filter(F.col("depth") <= max_depth).select("work_id", "index_id", "depth")
     ranked = cites.groupBy("to_work").agg(F.count("*").alias("in_degree"), F.min("ref_seq").alias("best"))
+    if exclude is not None:
+        works = works.join(exclude.select("work_id"), "work_id", "left_anti")
+    return _ranked_frontier(works, ranked, limit, max_depth, max_refs)
+
+
+def _ranked_frontier(works: DataFrame, ranked: DataFrame, limit: int, max_depth: int, max_refs: int) -> DataFrame:
+    """`frontier` with the edges counted already: ranked is (to_work, in_degree, best)."""
+    stubs = works.filter("not hydrated and not unresolved and index_id is not null").filter(F.col("depth") <= max_depth).select("work_id", "index_id", "depth")
     found = stubs.join(ranked, stubs.work_id == ranked.to_work).select("work_id", "index_id", "depth", "in_degree", "best")
     if max_refs > 0:
         found = found.filter(F.col("best") <= max_refs)
-    if exclude is not None:
-        found = found.join(exclude.select("work_id"), "work_id", "left_anti")
     return found.drop("best").orderBy(F.col("in_degree").desc(), "depth", "index_id").limit(limit)
 
 
@@ -74,22 +99,24 @@ def levels(works: DataFrame, cites: DataFrame, start: DataFrame, max_hops: int,
     """Breadth-first search: (work_id, hops, parent, cites), each work at its first level.
 
     The parent is the first of the frontier's works (in id order) with a step to it.  Each level is one
-    join against the edges and one anti-join against what has been visited.
+    join against the edges and an anti-join against each level before it, of which there are at most `max_hops`.
     """
-    steps = directed(cites, direction)
+    steps = cut(directed(cites, direction))
     keys = works.select("work_id", F.struct(F.col("index_id").isNull(), F.col("index_id"), F.col("work_id")).alias("key"))
-    seen = cut(start.select("work_id", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("boolean").alias("cites")).distinct())
-    edge = seen
+    edge = cut(start.select("work_id", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("boolean").alias("cites")).distinct())
+    found = [edge]  # each level is written once; what has been seen is all of them
     for hop in range(1, max_hops + 1):
         from_ = edge.select(F.col("work_id").alias("a")).join(keys, F.col("a") == keys.work_id).select("a", "key")
-        reached = steps.join(from_, "a").join(seen.select(F.col("work_id").alias("b")), "b", "left_anti")
+        reached = steps.join(small(from_), "a")
+        for level in found:
+            reached = reached.join(small(level.select(F.col("work_id").alias("b"))), "b", "left_anti")
         edge = cut(reached.groupBy("b").agg(F.min_by(F.struct("a", "cites"), "key").alias("p")).select(F.col("b").alias("work_id"), F.lit(hop).alias("hops"), F.col("p.a").alias("parent"), F.col("p.cites").alias("cites")))
         if edge.isEmpty():
             break
-        seen = cut(seen.unionByName(edge))
+        found.append(edge)
         if target is not None and not edge.filter(F.col("work_id") == target).isEmpty():
             break
-    return seen
+    return reduce(DataFrame.unionByName, found)
 
 
 def shortest_path(works: DataFrame, cites: DataFrame, source: str, target: str, max_hops: int = 6, direction: str = "backward") -> list[tuple[str, bool | None]] | None:
@@ -214,11 +241,53 @@ def louvain(pairs: list[tuple[str, str]], resolution: float = 1.0) -> list[list[
     return list(clusters.values())
 
 
-def groups(cites: DataFrame, resolution: float = 1.0, least: int = 5, max_edges: int = 5_000_000) -> DataFrame:
+def clustered(pairs: DataFrame, resolution: float = 1.0, rounds: int = 20, levels: int = 8) -> DataFrame:
+    """(work_id, cluster): modularity clusters of the links (a, b), by local moves and aggregation as joins; nothing is collected.
+
+    In a round one half of the nodes, by a hash of node and round (in the next the other half), move to the neighbouring cluster of the largest gain (ties: the
+    smallest); a lone node joins another lone one only towards the smaller name, so that the two don't change places.  Rounds end
+    when less than a thousandth moves.  Then clusters become nodes, and their links are added up.
+    """
+    links = cut(pairs.select("a", "b", F.lit(1.0).alias("w")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1.0).alias("w"))))
+    total = links.agg(F.sum("w").alias("w")).first()["w"] or 0.0
+    member = None
+    for _ in range(levels):
+        degree = cut(links.groupBy("a").agg(F.sum("w").alias("k")))
+        nodes = degree.count()
+        home = degree.select(F.col("a").alias("x"), F.col("a").alias("c"))
+        moved_ever = False
+        for turn in range(rounds):
+            held = cut(home.join(degree, F.col("x") == F.col("a")).groupBy("c").agg(F.sum("k").alias("total"), F.count("*").alias("size")))
+            toward = links.filter("a <> b").join(home.select(F.col("x").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
+            own = home.select(F.col("x").alias("a"), F.col("c").alias("own")).join(degree, "a")
+            stay = own.select("a", F.col("own").alias("c"), F.lit(0.0).alias("w"))
+            options = toward.unionByName(stay).groupBy("a", "c").agg(F.sum("w").alias("w")).join(own, "a").join(held, "c")
+            alone = held.select(F.col("c").alias("own"), F.col("size").alias("own_size"))
+            options = options.join(alone, "own").filter(~((F.col("own_size") == 1) & (F.col("size") == 1) & (F.col("c") > F.col("own"))))
+            without = F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
+            gain = F.round(F.col("w") - resolution * without * F.col("k") / total, 9)
+            best = options.select("a", "own", "c", gain.alias("gain")).groupBy("a", "own").agg(F.min(F.struct((-F.col("gain")).alias("minus"), (F.col("c") != F.col("own")).alias("other"), "c")).alias("best"))
+            turns = F.pmod(F.xxhash64("a", F.lit(turn // 2)), F.lit(2)) == turn % 2
+            new = cut(best.select(F.col("a").alias("x"), "own", F.when(turns, F.col("best.c")).otherwise(F.col("own")).alias("c")))
+            moves = new.filter("c <> own").count()
+            home, moved_ever = new.select("x", "c"), moved_ever or moves > 0
+            if turn and (moves + before) * 1000 <= nodes:  # both halves have come to rest
+                break
+            before = moves
+        member = home.select(F.col("x").alias("work_id"), F.col("c").alias("cluster")) if member is None else member.join(home, member.cluster == home.x).select("work_id", F.col("c").alias("cluster"))
+        member = cut(member)
+        if not moved_ever or home.select("c").distinct().count() == nodes:
+            break
+        to = lambda side: home.select(F.col("x").alias(side), F.col("c").alias(f"c{side}"))
+        links = cut(links.join(to("a"), "a").join(to("b"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+    return member
+
+
+def groups(cites: DataFrame, resolution: float = 1.0, least: int = 5, max_edges: int = 2_000_000) -> DataFrame:
     """(anchor, work_id, cited_within, place, size, fringe): communities of the works with two or more neighbours.
 
-    Works with one neighbour follow it as fringe; clusters of fewer than `least` are left out.  The clustering runs on
-    the driver, on at most `max_edges` links (more is an error, not a sample).
+    Works with one neighbour follow it as fringe; clusters of fewer than `least` are left out.  Up to `max_edges` links, counted
+    first, are clustered by one process in id order; more by the same moves as joins (`clustered`), of any number.
     """
     spark = cites.sparkSession
     pairs = cites.filter("from_work <> to_work").select(F.least("from_work", "to_work").alias("a"), F.greatest("from_work", "to_work").alias("b")).distinct()
@@ -226,10 +295,14 @@ def groups(cites: DataFrame, resolution: float = 1.0, least: int = 5, max_edges:
     degree = ends.groupBy("work_id").agg(F.count("*").alias("n"), F.min("other").alias("only"))
     linked = degree.filter("n >= 2").select("work_id")
     core = pairs.join(linked.withColumnRenamed("work_id", "a"), "a", "left_semi").join(linked.withColumnRenamed("work_id", "b"), "b", "left_semi")
+    core = cut(core)
     if core.count() > max_edges:
-        raise ValueError(f"more than {max_edges} links: cluster a part of the graph, or raise max_edges")
-    clusters = [c for c in louvain([tuple(r) for r in core.collect()], resolution) if len(c) >= least]
-    placed = spark.createDataFrame([(x, n) for n, c in enumerate(clusters) for x in c], "work_id string, cluster int")
+        found = clustered(core, resolution)
+        sizes = found.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") >= least).drop("n")
+        placed = cut(found.join(sizes, "cluster").select("work_id", "cluster"))
+    else:
+        clusters = [c for c in louvain([tuple(r) for r in core.collect()], resolution) if len(c) >= least]
+        placed = spark.createDataFrame([(x, c[0]) for c in clusters for x in c], "work_id string, cluster string")
     to = placed.withColumnsRenamed({"work_id": "to_work", "cluster": "to_cluster"})
     from_ = placed.withColumnsRenamed({"work_id": "from_work", "cluster": "from_cluster"})
     within = cites.filter("from_work <> to_work").join(to, "to_work").join(from_, "from_work").filter("to_cluster = from_cluster").groupBy(F.col("to_work").alias("work_id")).agg(F.count("*").alias("cited_within"))
@@ -241,31 +314,54 @@ def groups(cites: DataFrame, resolution: float = 1.0, least: int = 5, max_edges:
     return members.unionByName(single.select("anchor", "work_id", F.lit(0).cast("long").alias("cited_within"), F.lit(None).cast("int").alias("place"), "size", F.lit(True).alias("fringe")))
 
 
-def expand(works: DataFrame, cites: DataFrame, index: DataFrame, references: DataFrame, budget: int, max_depth: int = 3, max_refs: int = 100, batch: int = 100) -> tuple[DataFrame, DataFrame, dict]:
+def expand(works: DataFrame, cites: DataFrame, index: DataFrame, references: DataFrame, budget: int, max_depth: int = 3, max_refs: int = 100, batch: int = 100, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """Best-first expansion under a budget of tried ids: frontier, fetch from `index`, commit, until a stop reason.
 
-    `index` has the columns of works, `references` is (from_work, to_work, ref_seq) of the whole index.  Returns the new
-    works, the new cites, and {"tried", "fetched", "missing", "stop"}.
+    `index` has the columns of works, `references` is (from_work, to_work, ref_seq) of the whole index, `aliases` (alias, work_id)
+    the ids that it answers with another work: those fold into it, with the lower depth.  A batch writes what it changes, rows
+    of works and new edges, and not the tables.  Returns the new works, the new cites, and {"tried", "fetched", "merged", "missing", "stop"}.
     """
-    counts = {"tried": 0, "fetched": 0, "missing": 0, "stop": "budget-exhausted"}
+    counts = {"tried": 0, "fetched": 0, "merged": 0, "missing": 0, "stop": "budget-exhausted"}
+    rank = lambda t: t.groupBy("to_work").agg(F.count("*").alias("in_degree"), F.min("ref_seq").alias("best"))
+    base, ranked = cut(works), cut(rank(cites))
+    changed, grown = base.limit(0), cites.limit(0)
+    folded = works.sparkSession.createDataFrame([], "alias string, work_id string")
     while counts["tried"] < budget:
-        wanted = cut(frontier(works, cites, min(batch, budget - counts["tried"]), max_depth, max_refs))
+        now = base.join(small(changed.select("work_id")), "work_id", "left_anti").select(*base.columns).unionByName(changed)
+        cited = ranked.unionByName(rank(grown)).groupBy("to_work").agg(F.sum("in_degree").alias("in_degree"), F.min("best").alias("best"))
+        wanted = cut(_ranked_frontier(now.join(small(folded.select(F.col("alias").alias("work_id"))), "work_id", "left_anti"), cited, min(batch, budget - counts["tried"]), max_depth, max_refs))
         n = wanted.count()
         if not n:
-            counts["stop"] = "max-depth" if beyond(works, cites, max_depth).first()["n"] else "frontier-empty"
+            counts["stop"] = "max-depth" if beyond(now, cites.unionByName(grown), max_depth).first()["n"] else "frontier-empty"
             break
-        found = wanted.select("work_id", "depth").join(index.drop("depth", "hydrated", "unresolved", "is_seed"), "work_id").withColumns({"hydrated": F.lit(True), "unresolved": F.lit(False), "is_seed": F.lit(False)}).select(*works.columns)
-        missing = wanted.join(found.select("work_id"), "work_id", "left_anti").select("work_id")
-        new = references.join(found.select(F.col("work_id").alias("from_work"), "depth"), "from_work").filter("from_work <> to_work")
-        stubs = new.groupBy("to_work").agg((F.min("depth") + 1).cast("int").alias("new_depth"))
-        updated = works.join(found.select("work_id"), "work_id", "left_anti").join(missing.withColumn("gone", F.lit(True)), "work_id", "left").join(stubs, F.col("work_id") == F.col("to_work"), "left")
-        updated = updated.withColumns({"unresolved": F.col("unresolved") | F.coalesce("gone", F.lit(False)), "depth": F.least("depth", "new_depth")}).select(*works.columns)
-        unseen = stubs.join(works.select(F.col("work_id").alias("to_work")), "to_work", "left_anti")
+        ids = wanted.select("work_id", "depth")
+        if aliases is not None:
+            moved = cut(ids.join(aliases.select(F.col("alias").alias("work_id"), F.col("work_id").alias("target")), "work_id"))
+            folded = cut(folded.unionByName(moved.select(F.col("work_id").alias("alias"), F.col("target").alias("work_id"))))
+            ids = ids.join(moved.select("work_id"), "work_id", "left_anti").unionByName(moved.select(F.col("target").alias("work_id"), "depth")).groupBy("work_id").agg(F.min("depth").alias("depth"))
+            counts["merged"] += moved.count()
+        known = now.join(small(ids.select("work_id", F.col("depth").alias("new_depth"))), "work_id")
+        found = ids.join(index.drop("depth", "hydrated", "unresolved", "is_seed"), "work_id").join(known.select("work_id", F.col("is_seed").alias("seed"), F.col("depth").alias("old_depth")), "work_id", "left")
+        found = cut(found.withColumns({"depth": F.least("depth", "old_depth"), "hydrated": F.lit(True), "unresolved": F.lit(False), "is_seed": F.coalesce("seed", F.lit(False))}).select(*works.columns))
+        missing = known.join(found.select("work_id"), "work_id", "left_anti").withColumn("unresolved", F.lit(True)).select(*works.columns)
+        new = references.join(small(found.select(F.col("work_id").alias("from_work"), "depth")), "from_work").filter("from_work <> to_work")
+        fresh = new.select(*cites.columns).join(cites.select("from_work", "to_work"), ["from_work", "to_work"], "left_anti").join(grown.select("from_work", "to_work"), ["from_work", "to_work"], "left_anti")
+        stubs = new.groupBy("to_work").agg((F.min("depth") + 1).cast("int").alias("new_depth")).withColumnRenamed("to_work", "work_id")
+        stubs = cut(stubs.join(found.select("work_id"), "work_id", "left_anti").join(missing.select("work_id"), "work_id", "left_anti"))
+        lower = now.join(small(stubs), "work_id").filter(F.col("new_depth") < F.col("depth")).withColumn("depth", F.col("new_depth")).select(*works.columns)
         blank = {c: F.lit(None).cast(works.schema[c].dataType) for c in works.columns}
-        blank |= {"work_id": F.col("to_work"), "index_id": F.col("to_work"), "hydrated": F.lit(False), "unresolved": F.lit(False), "is_seed": F.lit(False), "depth": F.col("new_depth"), "cited_by_count": F.lit(0).cast(works.schema["cited_by_count"].dataType)}
-        works = cut(updated.unionByName(found).unionByName(unseen.select(*[blank[c].alias(c) for c in works.columns])))
-        cites = cut(cites.unionByName(new.select(*cites.columns).join(cites.select("from_work", "to_work"), ["from_work", "to_work"], "left_anti")))
+        blank |= {"work_id": F.col("work_id"), "index_id": F.col("work_id"), "hydrated": F.lit(False), "unresolved": F.lit(False), "is_seed": F.lit(False), "depth": F.col("new_depth"), "cited_by_count": F.lit(0).cast(works.schema["cited_by_count"].dataType)}
+        unseen = stubs.join(now.select("work_id"), "work_id", "left_anti").select(*[blank[c].alias(c) for c in works.columns])
+        step = cut(found.unionByName(missing).unionByName(lower).unionByName(unseen))
+        grown = cut(grown.unionByName(fresh))
+        changed = cut(changed.join(small(step.select("work_id")), "work_id", "left_anti").select(*works.columns).unionByName(step))
         counts["tried"] += n
-        counts["fetched"] += n - (gone := missing.count())
-        counts["missing"] += gone
+        counts["missing"] += (gone := missing.count())
+        counts["fetched"] += n - gone
+    works = base.join(small(changed.select("work_id")), "work_id", "left_anti").select(*base.columns).unionByName(changed)
+    cites = cites.unionByName(grown)
+    if counts["merged"]:
+        from quillgraph.operators.merge import fold
+
+        works, cites, _ = fold(works, cites, folded)
     return works, cites, counts

@@ -102,14 +102,15 @@ def _dml17(spark, d):
     return merge.sync(files.filter("version <> 'other'"), files.filter("version <> 'published'"), ["work_id", "path"])
 
 
-@query("dml20_scan", "SELECT state, count(*) AS n FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'moved' WHEN 2 THEN 'missing' ELSE 'changed' END AS state FROM part UNION ALL SELECT 'loose' FROM supplier) x GROUP BY state")
+@query("dml20_scan", """SELECT CASE WHEN k = 1 THEN 'b/' ELSE 'a/' END || p_partkey AS path, 'P' || p_partkey AS work_id, CASE k WHEN 0 THEN 'same' WHEN 1 THEN 'moved' WHEN 2 THEN 'missing' ELSE 'changed' END AS state, CASE WHEN k = 1 THEN 'a/' || p_partkey END AS was FROM (SELECT *, p_partkey % 4 AS k FROM part) x
+    UNION ALL SELECT 'c/' || s_suppkey, NULL, 'loose', NULL FROM supplier""")
 def _dml20(spark, d):
     part = view(spark, d, "part")
     old = part.select(F.concat(F.lit("a/"), "p_partkey").alias("path"), F.concat(F.lit("P"), "p_partkey").alias("work_id"), F.sha2(F.col("p_partkey").cast("string"), 256).alias("sha256"), F.col("p_size").alias("size"))
     k = F.col("p_partkey") % 4
     disk = part.filter(k != 2).select(F.concat(F.when(k == 1, "b/").otherwise("a/"), "p_partkey").alias("path"), F.sha2(F.concat(F.col("p_partkey").cast("string"), F.when(k == 3, "x").otherwise("")), 256).alias("sha256"), F.col("p_size").alias("size"))
     loose = view(spark, d, "supplier").select(F.concat(F.lit("c/"), "s_suppkey").alias("path"), F.sha2(F.concat(F.lit("s"), "s_suppkey"), 256).alias("sha256"), F.lit(1).alias("size"))
-    return merge.scan_diff(old, disk.unionByName(loose)).groupBy("state").agg(F.count("*").alias("n"))
+    return merge.scan_diff(old, disk.unionByName(loose)).select("path", "work_id", "state", "was")
 
 
 @query("jn12_resolve", f"WITH a AS ({_EVEN}) SELECT 'P' || p_partkey AS ref, 'P' || p_partkey AS work_id FROM part UNION ALL SELECT 'R0', 'R0' UNION ALL SELECT 'nothing', NULL UNION ALL SELECT 'old' || alias, work_id FROM a")
@@ -133,22 +134,38 @@ def _dml22(spark, d):
     return merge.find_title(view(spark, d, "works").filter("type = 'part'"), "Red widgets").select("work_id")
 
 
-@query("txt13_import", "SELECT CASE WHEN p_size % 6 = 0 THEN 'duplicate of filed' WHEN p_size % 6 = 1 THEN 'filed' WHEN p_size % 6 = 2 THEN 'filed by title' WHEN p_size % 6 = 3 THEN 'candidates' WHEN p_size % 6 = 4 THEN 'unconfirmed' ELSE 'unidentified' END AS outcome, count(*) AS n FROM part GROUP BY 1")
+@query("txt13_import", "SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_size % 6 = 0 THEN 'duplicate of filed' WHEN p_size % 6 = 1 THEN 'filed' WHEN p_size % 6 = 2 THEN 'filed by title' WHEN p_size % 6 = 3 THEN 'candidates' WHEN p_size % 6 = 4 THEN 'unconfirmed' ELSE 'unidentified' END AS outcome FROM part")
 def _txt13(spark, d):
     k = F.col("p_size") % 6
     files = view(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_partkey").cast("string").alias("sha256"), (k <= 1).cast("int").alias("verified"), k.isin(1, 4).cast("int").alias("named"), F.when(k == 2, 1).when(k == 3, 2).otherwise(0).alias("candidates"))
     earlier = view(spark, d, "part").filter("p_size % 6 = 0").select(F.col("p_partkey").cast("string").alias("sha256"), F.lit("filed").alias("outcome"))
-    return merge.import_verdicts(files, earlier).groupBy("outcome").agg(F.count("*").alias("n"))
+    return merge.import_verdicts(files, earlier)
 
 
-@query("snk1_graphml", "SELECT part, count(*) AS lines FROM (SELECT 0 AS part UNION ALL SELECT 3 UNION ALL SELECT 1 FROM {works} WHERE hydrated UNION ALL SELECT 2 FROM {cites} WHERE from_work IN (SELECT work_id FROM {works} WHERE hydrated) AND to_work IN (SELECT work_id FROM {works} WHERE hydrated)) x GROUP BY part")
+def _data(name: str, value: str, there: str = "") -> str:
+    return f"CASE WHEN {name} IS NOT NULL {there} THEN '<data key=\"{name}\">' || {value} || '</data>' ELSE '' END"
+
+
+_XML = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')".format
+_KEYS = (("index_id", "string"), ("title", "string"), ("year", "int"), ("venue", "string"), ("type", "string"), ("cited_by_count", "long"), ("hydrated", "boolean"), ("is_seed", "boolean"), ("depth", "int"), ("unresolved", "boolean"))
+_HEAD = '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">' + "".join(f'<key id="{n}" for="node" attr.name="{n}" attr.type="{t}"/>' for n, t in _KEYS) + '<graph edgedefault="directed">'
+
+
+@query("snk1_graphml", f"""SELECT 0 AS part, '' AS id, '{_HEAD}' AS line UNION ALL SELECT 3, '', '</graph></graphml>'
+    UNION ALL SELECT 1, work_id, '<node id="' || work_id || '">' || {" || ".join(_data(n, _XML(f"CAST({n} AS VARCHAR)")) for n, _ in _KEYS)} || '</node>' FROM {{works}} WHERE hydrated
+    UNION ALL SELECT 2, from_work || ' ' || to_work, '<edge source="' || from_work || '" target="' || to_work || '"/>' FROM {{edges}} SEMI JOIN (SELECT work_id AS from_work FROM {{works}} WHERE hydrated) a USING (from_work) SEMI JOIN (SELECT work_id AS to_work FROM {{works}} WHERE hydrated) b USING (to_work)""")
 def _snk1(spark, d):
+    """The file itself: by (part, id), head, nodes, edges and end."""
     from quillgraph.sources.exports import graphml
 
-    return graphml(view(spark, d, "works"), view(spark, d, "cites")).groupBy("part").agg(F.count("*").alias("lines"))
+    return graphml(view(spark, d, "works"), view(spark, d, "cites"))
+
+
+_TEXTS, _OTHERS = ("work_id", "index_id", "title", "venue", "type"), ("year", "cited_by_count", "hydrated", "is_seed", "depth", "unresolved", "arrival")
+_JSON = {c: f"'\"{c}\":' || to_json({c})" for c in _TEXTS} | {c: f"'\"{c}\":' || CAST({c} AS VARCHAR)" for c in _OTHERS}
 
 
-@query("snk5_json_lines")
+@query("snk5_json_lines", "SELECT '{{' || concat_ws(',', ".replace("{{", "{") + ", ".join(_JSON[c] for c in ("work_id", "index_id", "title", "year", "venue", "type", "cited_by_count", "hydrated", "is_seed", "depth", "unresolved", "arrival")) + ") || '}' AS value FROM {works}")
 def _snk5(spark, d):
     from quillgraph.sources.exports import json_lines
 

@@ -97,7 +97,7 @@ def _gr11(spark, d):
 def _gr5(spark, d):
     """Expansion from the seeds, fetching from the derived index under a budget of 300 ids."""
     works, cites = view(spark, d, "works"), view(spark, d, "cites")
-    start = works.filter("depth <= 2").cache()
+    start = works.filter("depth <= 2")
     grown, edges, counts = graph.expand(start, cites.filter("from_work LIKE 'C%' OR from_work LIKE 'O%'"), works, cites, 300, 3)
     return grown.agg(F.count("*").alias("works"), F.count_if("hydrated").alias("fetched")).withColumns({"edges": F.lit(edges.count()), "tried": F.lit(counts["tried"]), "stop": F.lit(counts["stop"])})
 

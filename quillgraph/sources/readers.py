@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.functions.identity import abstract_of, arxiv_of, doi_of, index_id_of
+from quillgraph.functions.identity import WORK_ID, abstract_of, arxiv_of, doi_of, index_id_of
+
+#: Names of files and folders that systems leave about, in lower case.
+JUNK = ("desktop.ini", "thumbs.db", "icon\r")
 
 WORK = """id string, doi string, ids struct<pmid:string>, title string, publication_year int, type string, cited_by_count bigint,
     open_access struct<oa_status:string,oa_url:string>, primary_location struct<landing_page_url:string,source:struct<display_name:string>>,
@@ -67,3 +72,19 @@ def read_folder(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataF
     """(path, size, sha256, modified) of the files below a folder."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return found.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified"))
+
+
+def inbox(spark: SparkSession, root: str, folder: str = "Inbox") -> DataFrame:
+    """(path, size, modified) of the PDFs waiting in a library's inbox, paths below the root; hidden files and folders and what systems leave about are no entries."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root.rstrip('/')}/{folder}").select("path", "length", "modificationTime")  # the contents aren't read
+    rel = F.regexp_extract(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), f"/({re.escape(folder)}/.*)$", 1)
+    parts = F.split(rel, "/")
+    hidden = F.exists(parts, lambda p: F.startswith(p, F.lit(".")) | F.lower(p).isin(*JUNK))
+    return found.withColumn("rel", rel).filter(~hidden & F.endswith(F.lower("rel"), F.lit(".pdf"))).select(F.col("rel").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def work_folders(files: DataFrame) -> DataFrame:
+    """Files (path) with the id of the work whose folder they are in: the last word of a folder's name, if it has the shape of an id; null for loose files."""
+    words = F.transform(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), lambda p: F.element_at(F.split(F.trim(p), r"\s+"), -1))
+    ids = F.filter(words, lambda w: F.rlike(w, F.lit(WORK_ID)) & F.rlike(w, F.lit("[0-9]")))
+    return files.withColumn("work_id", F.when(F.size(ids) > 0, F.element_at(ids, -1)))
