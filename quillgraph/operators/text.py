@@ -49,6 +49,19 @@ def passages(read_works: DataFrame) -> DataFrame:
     return read_works.select("work_id", F.explode("passages").alias("p")).select("work_id", "p.*")
 
 
+def references_of(cites: DataFrame, works: DataFrame, authorship: DataFrame, authors: DataFrame) -> DataFrame:
+    """(work_id, ref_seq, id, title, year, doi, surname, authors): the references of each work as `mentions` wants them.
+
+    The surname is the last word of the first author's name; `works` has (work_id, title, year, doi).
+    """
+    named = authorship.join(authors.select("author_id", "name"), "author_id").groupBy("work_id").agg(F.min_by("name", "position").alias("first"))
+    counted = authorship.groupBy("work_id").agg(F.count("*").alias("authors"))
+    surname = F.element_at(F.split(F.trim("first"), r"\s+"), -1)
+    known = works.select("work_id", "title", "year", "doi").join(named, "work_id", "left").join(counted, "work_id", "left")
+    known = known.select(F.col("work_id").alias("id"), "title", "year", "doi", surname.alias("surname"), F.coalesce("authors", F.lit(0)).alias("authors"))
+    return cites.select(F.col("from_work").alias("work_id"), "ref_seq", F.col("to_work").alias("id")).join(known, "id").select("work_id", "ref_seq", "id", "title", "year", "doi", "surname", "authors")
+
+
 def mentions(works: DataFrame, references: DataFrame) -> DataFrame:
     """Where works (work_id, pages) cite their references (work_id, id, title, year, doi, surname, authors, ref_seq)."""
     fields = ("id", "title", "year", "doi", "surname", "authors")

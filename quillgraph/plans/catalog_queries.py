@@ -224,3 +224,47 @@ def _scal20(spark, d):
     n = F.col("l_linenumber")
     marker = F.when(n % 4 == 3, F.concat(n + 2, F.lit("-"), n)).otherwise(F.concat(n.cast("string"), F.lit(" – "), (n + 2).cast("string"), F.lit("; 99")))
     return view(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.aggregate(identity.ranges_of(marker), F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query("ctx10_references", "WITH a AS (SELECT work_id, arg_min(name, position) AS first, count(*) AS authors FROM {authorship} JOIN {authors} USING (author_id) GROUP BY 1) SELECT c.from_work AS work_id, c.ref_seq, c.to_work AS id, w.title, w.year, 'Doi ' || w.work_id AS doi, list_last(string_split(trim(a.first), ' ')) AS surname, coalesce(a.authors, 0) AS authors FROM {cites} c JOIN {works} w ON w.work_id = c.to_work LEFT JOIN a ON a.work_id = c.to_work")
+def _ctx10(spark, d):
+    from quillgraph.operators.text import references_of
+
+    works = view(spark, d, "works").withColumn("doi", F.concat(F.lit("Doi "), "work_id"))
+    return references_of(view(spark, d, "cites"), works, view(spark, d, "authorship"), view(spark, d, "authors"))
+
+
+@query("gr10_presentation", """WITH g AS (SELECT 'C' || c_custkey AS work_id, 'C' || min(c_custkey) OVER (PARTITION BY c_nationkey) AS anchor, c_nationkey FROM customer), s AS (SELECT anchor, min(c_nationkey) AS nation, count(*) AS size FROM g GROUP BY 1)
+    SELECT CAST(row_number() OVER (ORDER BY size DESC, anchor) AS INT) AS index, anchor, 'Around Customer#' || lpad(substr(anchor, 2), 9, '0') AS name, size, size AS fetched, 3 * size AS cited_within, nation % 5 = 0 AS dismissed, CASE WHEN nation % 5 = 0 THEN nation END AS collection_id FROM s""")
+def _gr10(spark, d):
+    """How groups are shown: customers of a nation as groups, some of them dismissed."""
+    from pyspark.sql.window import Window
+
+    from quillgraph.functions.presentation import group_summaries
+
+    customer = view(spark, d, "customer")
+    anchor = F.concat(F.lit("C"), F.min("c_custkey").over(Window.partitionBy("c_nationkey")))
+    groups = customer.select("c_nationkey", F.concat(F.lit("C"), "c_custkey").alias("work_id"), anchor.alias("anchor"), F.lit(3).cast("long").alias("cited_within"), F.lit(False).alias("fringe"))
+    sizes = groups.groupBy("anchor").agg(F.count("*").alias("size"), F.min("c_nationkey").alias("nation"))
+    choices = sizes.filter("nation % 5 = 0").select("anchor", F.lit(True).alias("dismissed"), F.col("nation").alias("collection_id"))
+    shown = group_summaries(groups.join(sizes.drop("nation"), "anchor"), view(spark, d, "works"), view(spark, d, "authorship").join(view(spark, d, "authors"), "author_id"), choices)
+    return shown.drop("year_from", "year_to")
+
+
+@query("src16_outcomes", "SELECT 'P' || p_partkey AS work_id, place, CASE WHEN place = 1 THEN CASE p_size % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'refused' WHEN 2 THEN 'not-a-pdf' WHEN 3 THEN 'timeout' ELSE 'not-found' END ELSE CASE p_partkey % 2 WHEN 0 THEN 'ok' ELSE 'http-error' END END AS outcome FROM part, (VALUES (1), (2)) t(place) WHERE place = 1 OR p_size % 5 <> 0")
+def _src16(spark, d):
+    """Ranked links tried host by host against a stand-in for the web; a second link only where the first one failed."""
+    from quillgraph.operators.graph import cut
+    from quillgraph.sources import fetch
+
+    def answers(url: str) -> fetch.Answer:
+        kind = url.rsplit("/", 1)[-1]
+        if kind == "3":
+            raise TimeoutError(url)
+        return {"0": fetch.Answer(200, {}, b"%PDF-1.4"), "1": fetch.Answer(403, {}, b""), "2": fetch.Answer(200, {}, b"<html>"), "4": fetch.Answer(410, {}, b""), "bad": fetch.Answer(500, {}, b"")}[kind]
+
+    part, work = view(spark, d, "part"), F.concat(F.lit("P"), "p_partkey").alias("work_id")
+    host = F.concat(F.lit("https://host"), (F.col("p_partkey") % 20).cast("string"), F.lit("/"))
+    first = part.select(work, F.lit(1).alias("place"), F.concat(host, (F.col("p_size") % 5).cast("string")).alias("url"))
+    second = part.select(work, F.lit(2).alias("place"), F.concat(host, F.when(F.col("p_partkey") % 2 == 0, "0").otherwise("bad")).alias("url"))
+    return fetch.downloaded(first.unionByName(second), cut, answers, pause=0.0).select("work_id", "place", "outcome")

@@ -141,10 +141,10 @@ def _jn1(spark, d):
 @query("srt4_ranked_page", "SELECT origin, work_id, CAST(rank AS INT) AS rank, n AS total FROM (SELECT c.from_work AS origin, w.work_id, row_number() OVER (PARTITION BY c.from_work ORDER BY w.hydrated DESC, w.cited_by_count DESC, w.year DESC NULLS LAST, w.index_id NULLS LAST, w.work_id) AS rank, count(*) OVER (PARTITION BY c.from_work) AS n FROM {cites} c JOIN {works} w ON w.work_id = c.to_work) x WHERE rank <= 3")
 def _srt4(spark, d):
     works, cites = view(spark, d, "works"), view(spark, d, "cites")
-    found = graph.neighbours(works, cites, works.select("work_id")).drop("rank")
-    by = Window.partitionBy("origin")
-    order = by.orderBy(F.col("hydrated").desc(), F.col("cited_by_count").desc(), F.col("year").desc(), *graph.id_order())
-    return found.withColumns({"rank": F.row_number().over(order), "total": F.count("*").over(by)}).filter("rank <= 3").select("origin", "work_id", "rank", "total")
+    found = cites.select(F.col("from_work").alias("origin"), "to_work").join(works, F.col("to_work") == works.work_id)
+    order = Window.partitionBy("origin").orderBy(F.col("hydrated").desc(), F.col("cited_by_count").desc(), F.col("year").desc(), *graph.id_order())
+    totals = found.groupBy("origin").agg(F.count("*").alias("total"))
+    return found.withColumn("rank", F.row_number().over(order)).filter("rank <= 3").join(totals, "origin").select("origin", "work_id", "rank", "total")
 
 
 @query("snk2_nodes", "SELECT CAST(row_number() OVER (ORDER BY index_id NULLS LAST, work_id) AS BIGINT) AS place, work_id FROM {works} WHERE hydrated")

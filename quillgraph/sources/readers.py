@@ -68,6 +68,29 @@ def items_of(items: DataFrame) -> DataFrame:
     return live.filter("type not in ('attachment', 'note')").select("key", "type", "title", tags.alias("tags")).join(files, "key", "left")
 
 
+def collections_of(raw: DataFrame) -> DataFrame:
+    """(key, parent, name) of a manager's collections (key, name, parentCollection as JSON: false, or a key)."""
+    parent = F.regexp_extract(F.trim("parentCollection"), '^"?([^"]+)"?$', 1)
+    return raw.select("key", F.when(~parent.isin("", "false", "null"), parent).alias("parent"), "name")
+
+
+def rdf_library(items: DataFrame, collections: DataFrame, attachments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The triples of an export joined: (about, title, doi, collections, files) and (key, parent, name).
+
+    items are (about, title, identifiers array, links array), collections (about, title, parts array), attachments (about, path, type):
+    a part that is a collection lies inside, one that is an item is filed; a link that is a PDF's attachment is a file of its item.
+    """
+    parts = collections.select(F.col("about").alias("key"), F.explode("parts").alias("part"))
+    inner = parts.join(collections.select(F.col("about").alias("part")), "part").groupBy("part").agg(F.min("key").alias("parent"))
+    tree = collections.select(F.col("about").alias("key"), F.col("title").alias("name")).join(inner.withColumnRenamed("part", "key"), "key", "left").select("key", "parent", "name")
+    filed = parts.join(items.select(F.col("about").alias("part")), "part").groupBy(F.col("part").alias("about")).agg(F.array_sort(F.collect_set("key")).alias("collections"))
+    pdf = attachments.filter(F.lower(F.coalesce("type", F.lit(""))) == "application/pdf").select(F.col("about").alias("link"), "path")
+    files = items.select("about", F.explode("links").alias("link")).join(pdf, "link").groupBy("about").agg(F.array_sort(F.collect_list("path")).alias("files"))
+    doi = F.get(F.filter(F.transform("identifiers", doi_of), lambda x: x.isNotNull()), F.lit(0))
+    found = items.select("about", "title", doi.alias("doi")).join(filed, "about", "left").join(files, "about", "left")
+    return found, tree
+
+
 def read_folder(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """(path, size, sha256, modified) of the files below a folder."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)

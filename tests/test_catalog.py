@@ -116,3 +116,74 @@ def test_holding(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven"), (2, "short one"), (3, "never there at all in any text")], "question int, item string")
     docs = spark.createDataFrame([("a", "xone two three four five six sevenx and"), ("b", "one two three four five six eight"), ("c", "a short one")], "paper_id string, text string")
     assert {(r["question"], r["paper_id"]) for r in search.holding(docs, items).collect()} == {(1, "a"), (2, "c")}
+
+
+def test_client(tmp_path):
+    from quillgraph.sources.fetch import Answer, Client
+
+    asked, slept, now = [], [], [0.0]
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    answers = [Answer(503, {}, b""), Answer(429, {"retry-after": "7"}, b""), Answer(200, {}, b"body")]
+    make = lambda opener, **more: Client(rate=5, cache=str(tmp_path / "c"), opener=opener, clock=lambda: now[0], sleep=sleep, jitter=lambda: 0.5, **more)
+    client = make(lambda url: asked.append(url) or answers.pop(0))
+    assert client.get("u").body == b"body" and len(asked) == 3 and 7.0 in slept and slept[0] >= 1.0
+    assert client.get("u").body == b"body" and len(asked) == 3  # from the cache
+    impatient = make(lambda url: asked.append(url) or Answer(429, {"retry-after": "90"}, b""))
+    assert impatient.get("v").status == 429 and asked.count("v") == 1
+    assert make(lambda url: asked.append(url) or Answer(404, {}, b"")).get("w").status == 404 and asked.count("w") == 1
+
+    def broken(url):
+        asked.append(url)
+        raise OSError("gone")
+
+    with pytest.raises(OSError):
+        make(broken).get("x")
+    assert asked.count("x") == 4
+
+
+def test_outcomes():
+    from urllib.error import URLError
+
+    from quillgraph.sources.fetch import OUTCOMES, Answer, Loop, outcome_of
+
+    cases = {"ok": Answer(200, {}, b"junk %PDF-1.7"), "refused": Answer(401, {}, b""), "not-found": Answer(410, {}, b""), "http-error": Answer(302, {}, b""), "not-a-pdf": Answer(200, {}, b"x" * 2000 + b"%PDF-"), "timeout": URLError(TimeoutError()), "network": OSError(), "redirect-loop": Loop(), "cancelled": KeyboardInterrupt()}
+    assert {k: outcome_of(v) for k, v in cases.items()} == {k: k for k in cases} and set(cases) | {"too-large"} == set(OUTCOMES)
+    assert outcome_of(cases["ok"], most=3) == "too-large"
+
+
+def test_manager_exports(spark):
+    raw = spark.createDataFrame([("A", "Top", "false"), ("B", "In", '"A"'), ("C", "Out", None)], "key string, name string, parentCollection string")
+    assert [tuple(r) for r in readers.collections_of(raw).orderBy("key").collect()] == [("A", None, "Top"), ("B", "A", "In"), ("C", None, "Out")]
+    items = spark.createDataFrame([("i1", "One", ["DOI 10.1/x", "https://doi.org/10.1234/Y"], ["f1", "f2"]), ("i2", "Two", [], [])], "about string, title string, identifiers array<string>, links array<string>")
+    tree = spark.createDataFrame([("c1", "Top", ["c2", "i1"]), ("c2", "In", ["i1", "gone"])], "about string, title string, parts array<string>")
+    found, made = readers.rdf_library(items, tree, spark.createDataFrame([("f1", "a.pdf", "application/pdf"), ("f2", "b.html", "text/html")], "about string, path string, type string"))
+    assert {r["about"]: (r["doi"], r["collections"], r["files"]) for r in found.collect()} == {"i1": ("10.1234/y", ["c1", "c2"], ["a.pdf"]), "i2": (None, None, None)}
+    assert {tuple(r) for r in made.collect()} == {("c1", None, "Top"), ("c2", "c1", "In")}
+
+
+def test_command_line(spark, tmp_path):
+    import io
+    import json
+
+    from quillgraph.__main__ import main
+
+    works_of(spark, {"A": {"title": "Cold lakes", "hydrated": True}, "B": {"title": "Warm seas", "hydrated": True}, "C": {}}).write.parquet(str(tmp_path / "works.parquet"))
+    cites_of(spark, [("A", "B"), ("B", "C"), ("A", "C")]).withColumn("ref_seq", __import__("pyspark").sql.functions.col("ref_seq").cast("long")).write.parquet(str(tmp_path / "cites.parquet"))
+    spark.createDataFrame([("A", 1, 0, "lakes freeze in winter"), ("B", 1, 0, "the sea is warm")], "work_id string, page int, ordinal int, text string").write.parquet(str(tmp_path / "passages.parquet"))
+    spark.createDataFrame([("A", "ok", 1), ("B", "ok", 1)], "work_id string, status string, pages int").write.parquet(str(tmp_path / "read_state.parquet"))
+
+    def said(*words):
+        out = io.StringIO()
+        assert main(["--library", str(tmp_path), *words], spark, out) == 0
+        return [json.loads(x) for x in out.getvalue().splitlines()] if words[0] != "version" else out.getvalue()
+
+    assert said("version") == "quillgraph\n" and said("stats")[0]["works"] == 3
+    assert [r["work_id"] for r in said("neighbours", "A")] == ["B", "C"] and [r["work_id"] for r in said("path", "A", "C")] == ["A", "C"]
+    assert [r["paper_id"] for r in said("search", "frozen", "lake")] == ["A"] and "[[lakes]]" in said("search", "lake")[0]["snippet"]
+    assert [r["work_id"] for r in said("list", "--title", "lakes")] == ["A"] and said("show", "B")[0]["cited"] == 1
+    assert [r["work_id"] for r in said("expand")] == ["C"] and [r["work_id"] for r in said("match", "cold", "lakes")] == ["A"] and said("groups") == []
+    assert said("export", str(tmp_path / "out")) and said("fetch")[0]["work_id"]
