@@ -14,6 +14,7 @@ from quillgraph.functions import identity
 from quillgraph.functions.presentation import is_open
 from quillgraph.functions.textnorm import similarity, titles_match
 from quillgraph.operators import merge
+from quillgraph.operators.graph import cut
 from quillgraph.operators.listing import folded
 
 #: Title candidates shown if no number is asked for, and at most.
@@ -126,9 +127,10 @@ def bring_around(works: DataFrame, cites: DataFrame, index: DataFrame, reference
             works, cites = hydrate(works, cites, index, references, tombstones, stubs)
         else:
             works = detail(works, index, stubs)
+    works, cites = cut(works), cut(cites)
     near = references.filter(F.col("to_work") == centre).select(F.col("from_work").alias("work_id"))
     top = index.join(near, "work_id", "left_semi").orderBy(F.col("cited_by_count").desc(), "work_id").limit(max(citing, 0))
-    top = top.join(tombstones.select("work_id"), "work_id", "left_anti")
+    top = cut(top.join(tombstones.select("work_id"), "work_id", "left_anti"))
     came = top.select("work_id").join(works.select("work_id", F.lit(False).alias("new")), "work_id", "left").fillna({"new": True})
     depth = works.filter(F.col("work_id") == centre).first()["depth"]
     grown = merge.upsert_stubs(works, top.select("work_id", F.lit((depth or 0) + 1).alias("depth")))

@@ -109,7 +109,7 @@ def levels(works: DataFrame, cites: DataFrame, start: DataFrame, max_hops: int,
         from_ = edge.select(F.col("work_id").alias("a")).join(keys, F.col("a") == keys.work_id).select("a", "key")
         reached = steps.join(small(from_), "a")
         for level in found:
-            reached = reached.join(small(level.select(F.col("work_id").alias("b"))), "b", "left_anti")
+            reached = reached.join(level.select(F.col("work_id").alias("b")), "b", "left_anti")  # a written table: Spark knows its size
         edge = cut(reached.groupBy("b").agg(F.min_by(F.struct("a", "cites"), "key").alias("p")).select(F.col("b").alias("work_id"), F.lit(hop).alias("hops"), F.col("p.a").alias("parent"), F.col("p.cites").alias("cites")))
         if edge.isEmpty():
             break
