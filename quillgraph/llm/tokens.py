@@ -4,7 +4,7 @@ The vocabulary's pattern never joins a character that isn't white space with a
 space that follows it, so a text can be cut before each space that follows such
 a character and the parts encoded apart: the ids are those of the whole text.  Parts repeat
 (they are words with their space and punctuation), so a worker keeps the ids of
-the parts it has seen and asks the tokenizer for new ones only, many at once.
+the parts it has seen and asks the tokenizer for new ones only.
 """
 
 from __future__ import annotations
@@ -56,6 +56,29 @@ def ranked(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+class Parts(dict):
+    """The ids of parts after a space; a part that isn't known is encoded when it is asked for, and kept if it isn't long.
+
+    At most `keep` parts are held, and as many of the time before.
+    """
+
+    def __init__(self, encode, keep: int, longest: int):
+        super().__init__()
+        self.encode, self.keep, self.longest = encode, keep, longest
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.encode(" " + part)
+        if len(part) <= self.longest:
+            if len(self) >= self.keep:
+                self.older = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit bytes; `keep` bounds the parts that are remembered."""
 
@@ -67,33 +90,22 @@ class Encoder:
         self.model.encode_special_tokens = True  # their strings are ordinary text
         fast = ranked(path)
         self.one = fast and fast._core_bpe.encode_ordinary
-        self.keep, self.longest = keep, longest
-        self.seen: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.parts = Parts(self.ids, keep, longest)
 
     def slow(self, texts: list[str]) -> list[bytes]:
         """The ids as the tokenizer library itself gives them."""
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", self.one(t)).tobytes() for t in texts] if self.one else self.slow(texts)
+    def ids(self, text: str) -> bytes:
+        return array("I", self.one(text)).tobytes() if self.one else self.slow([text])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        texts = [t.encode("utf-8", "replace").decode() for t in texts]
-        parts = [_CUT.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        if len(self.seen) > self.keep:
-            self.seen, self.older = {}, self.seen
-        seen, older = self.seen, self.older
-        new = set().union(*(p[1:] for p in parts)).difference(seen)
-        known = new.intersection(older)
-        seen.update((x, older[x]) for x in known)
-        new = list(new - known)
-        seen.update(zip(new, self.raw([" " + x for x in new]), strict=True))
-        get = seen.__getitem__
-        out = [head + b"".join(map(get, p[1:])) for head, p in zip(self.raw([p[0] for p in parts]), parts, strict=True)]
-        for x in new:
-            if len(x) > self.longest:
-                del seen[x]
+        get, out = self.parts.__getitem__, []
+        for text in texts:
+            if not text.isascii():
+                text = text.encode("utf-8", "replace").decode()
+            head, *rest = _CUT.split(text) if _RUN.search(text) else text.split(" ")
+            out.append(self.ids(head) + b"".join(map(get, rest)))
         return out
 
 
