@@ -103,11 +103,25 @@ COMMANDS = {
 }
 
 
-def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="quillgraph")
+#: Commands that change and write nothing.
+READS = {n: c for n, c in COMMANDS.items() if n not in ("export", "run")}
+
+
+class _Strict(argparse.ArgumentParser):
+    """Errors are raised instead of ending the process."""
+
+    def error(self, message: str):
+        raise ValueError(message)
+
+
+def parser(strict: bool = True) -> argparse.ArgumentParser:
+    kind = argparse.ArgumentParser if strict else _Strict
+    p = kind(prog="quillgraph")
     p.add_argument("--library", default=".", help="the folder of the tables")
-    sub = p.add_subparsers(dest="command", required=True)
-    made = {n: sub.add_parser(n) for n in [*COMMANDS, "version"]}
+    sub = p.add_subparsers(dest="command", required=True, parser_class=kind)
+    made = {n: sub.add_parser(n) for n in [*COMMANDS, "serve", "version"]}
+    made["serve"].add_argument("--host", default="127.0.0.1")
+    made["serve"].add_argument("--port", type=int, default=8765)
     for n in ("neighbours", "path", "show", "cited"):
         made[n].add_argument("work")
     for n, limit in (("neighbours", 50), ("search", 10), ("list", None), ("fetch", 200), ("expand", 100)):
@@ -145,6 +159,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         print("quillgraph", file=out)
         return 0
     spark = spark or SparkSession.builder.appName("quillgraph").getOrCreate()
+    if a.command == "serve":
+        from quillgraph.server import serve
+
+        serve(spark, a.library, a.host, a.port).serve_forever()
     for row in COMMANDS[a.command](Library(spark, a.library), a).toJSON().toLocalIterator():
         print(row, file=out)
     return 0

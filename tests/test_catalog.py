@@ -187,3 +187,24 @@ def test_command_line(spark, tmp_path):
     assert [r["work_id"] for r in said("list", "--title", "lakes")] == ["A"] and said("show", "B")[0]["cited"] == 1
     assert [r["work_id"] for r in said("expand")] == ["C"] and [r["work_id"] for r in said("match", "cold", "lakes")] == ["A"] and said("groups") == []
     assert said("export", str(tmp_path / "out")) and said("fetch")[0]["work_id"]
+
+
+def test_server(spark, tmp_path):
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    from quillgraph.server import serve
+
+    works_of(spark, {"A": {"title": "Cold lakes", "hydrated": True, "year": 2001}, "B": {"title": "Warm seas", "hydrated": True}}).write.parquet(str(tmp_path / "works.parquet"))
+    server = serve(spark, str(tmp_path), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    get = lambda path: json.load(urlopen(f"http://127.0.0.1:{server.server_port}/{path}", timeout=120))
+    assert "list" in get("")["commands"] and get("stats")["rows"][0]["works"] == 2
+    assert [r["work_id"] for r in get("list?year_from=2000&title=lakes")["rows"]] == ["A"] and [r["work_id"] for r in get("match?words=warm&words=seas")["rows"]] == ["B"]
+    for bad in ("nothing", "list?sort=odd", "list?x=1", "export?to=/tmp/x", "show"):
+        with pytest.raises(HTTPError) as e:
+            get(bad)
+        assert e.value.code == 400
+    server.shutdown()
