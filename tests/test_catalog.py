@@ -208,3 +208,49 @@ def test_server(spark, tmp_path):
             get(bad)
         assert e.value.code == 400
     server.shutdown()
+
+
+def pdf(compress=True, objstm=False):
+    import zlib
+
+    def stream(data, more=b""):
+        packed = zlib.compress(data) if compress else data
+        return b"<< " + more + (b"/Filter /FlateDecode " if compress else b"") + b"/Length %d >>\nstream\n%s\nendstream" % (len(packed), packed)
+
+    cmap = b"beginbfchar <0001> <0043> <0002> <00660066> endbfchar beginbfrange <0010> <0012> <0061> endbfrange"
+    one = b"BT /F1 20 Tf 72 700 Td (Cold \\(deep\\)) Tj 0 -22 Td [(La) -50 (kes) -300 (freeze)] TJ ET BT /F1 10 Tf 1 0 0 1 72 600 Tm (Jos\\351 wrote) Tj 100 0 Td (this.) Tj T* ET"
+    two = b"BT /F2 12 Tf 72 700 Td <0001 0010 0002> Tj ET"
+    bodies = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 /Resources << /Font << /F1 5 0 R /F2 6 0 R >> >> >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents 7 0 R >>", 4: b"<< /Type /Page /Parent 2 0 R /Contents [8 0 R] >>", 5: b"<< /Type /Font /Subtype /Type1 >>", 6: b"<< /Type /Font /Subtype /Type0 /ToUnicode 9 0 R >>"}
+    streams = {7: stream(one), 8: stream(two), 9: stream(cmap)}
+    if objstm:
+        parts, places, at = b"", b"", 0
+        for n, body in bodies.items():
+            places += b"%d %d " % (n, at)
+            parts += body + b" "
+            at = len(parts)
+        streams[20] = stream(places + parts, b"/Type /ObjStm /N %d /First %d " % (len(bodies), len(places)))
+        bodies = {}
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in (bodies | streams).items()) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+@pytest.mark.parametrize("kind", [{}, {"compress": False}, {"objstm": True}])
+def test_pdf_text(kind):
+    from quillgraph.sources.pdf import pages_of, text_of
+
+    pages = pages_of(pdf(**kind))
+    assert [text_of(p) for p in pages] == ["Cold (deep)\nLakes freeze\nJosé wrote this.", "Caff"]
+    assert [(r.size, r.top, r.left) for r in pages[0][:2]] == [(20.0, 700.0, 72.0), (20.0, 678.0, 72.0)]
+
+
+def test_pdf_files(spark, tmp_path):
+    from quillgraph.operators.text import front_titles
+    from quillgraph.sources.pdf import front_runs, pages_of, read_pdfs
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.PDF").write_bytes(pdf())
+    (tmp_path / "b.pdf").write_bytes(b"no pdf at all")
+    (tmp_path / "c.pdf").write_bytes(pdf()[:300])
+    read = read_pdfs(spark, str(tmp_path))
+    assert {(r["path"].rsplit("/", 1)[-1], r["page"]) for r in read.collect()} >= {("a.PDF", 1), ("a.PDF", 2)}
+    assert [r["title"] for r in front_titles(front_runs(read.filter("path like '%a.PDF'"))).collect()] == ["Cold (deep) Lakes freeze"]
+    assert pages_of(b"") == pages_of(b"%PDF-1.4 junk") == pages_of(pdf() + b" trailer << /Encrypt 3 0 R >>") == []
