@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.common import text_of
+from quillgraph.llm.common import text_of, written
 
 LONG, SHORT = 5, 2
 COVER = 0.6
@@ -137,5 +137,6 @@ def labels(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col:
         F.max("cover").alias("score"),
     )
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(docs, text_col)).alias("h"), F.size(words_of(text_of(docs, text_col))).cast("long").alias("n_words"))
-    joined = base.join(summed.withColumnsRenamed({"id": "i", "h": "k"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")), "left")
+    # A written table: Spark knows its size, and can split the documents of an id and text that hold much of the rows.
+    joined = base.join(written(summed, "licenses").withColumnsRenamed({"id": "i", "h": "k"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")), "left")
     return joined.select("id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
