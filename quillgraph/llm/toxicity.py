@@ -43,7 +43,9 @@ from quillgraph.llm.folds import fold, sampled
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
+#: Symbols of the language model; the last one stands between texts.
 SYMBOLS = 64
+BETWEEN = SYMBOLS - 1
 PREFIXES = range(3, 9)
 #: Letters of the longest word read from chunks.
 LONGEST = 24
@@ -55,6 +57,8 @@ _WORDS = re.compile(r"[^\W\d_]+")
 #: Repeated marks at the ends of a token that stand for no letter, and characters that leave the lattice a choice.
 _EDGE = re.compile(r"^([^\w\s@$!|+€(])\1+|([^\w\s@$!|+€(])\2+$")
 _ODD = re.compile(r"[\W\d_]|([^\W\d_])\1\1")
+_THRICE = re.compile(r"([^\W\d_])\1\1")
+_PLAIN = ".,;:?\"')"
 _AROUND = ".,;:?\"')-*~/_[]{}<>=&#%^`"
 _CHOICE = re.compile(r"[\d@$!|+€(]|([^\W\d_])\1")
 
@@ -71,12 +75,25 @@ def _code(char: str) -> int:
 _TABLE = bytes(_code(chr(b)) for b in range(256))
 
 
-def trigram_sums(texts: list[str | None]) -> np.ndarray:
-    sums = np.zeros(SYMBOLS**3, np.int64)
+def trigram_sums(texts: list[str | None], most: int = 1_000_000) -> np.ndarray:
+    """Trigram counts, added up over about `most` characters at a time; no trigram goes from one text into the next."""
+    sums, parts, size = np.zeros(SYMBOLS**3, np.int64), [], 0
+
+    def add() -> None:
+        raw = np.frombuffer(bytes([BETWEEN]).join(parts), np.uint8).astype(np.int32)
+        if len(raw) > 2:
+            sums[:] += np.bincount((raw[:-2] * SYMBOLS + raw[1:-1]) * SYMBOLS + raw[2:], minlength=SYMBOLS**3)
+
     for text in texts:
         if text:
-            raw = np.frombuffer((" " + text.lower() + " ").encode("latin-1", "replace").translate(_TABLE), np.uint8).astype(np.int32)
-            sums += np.bincount((raw[:-2] * SYMBOLS + raw[1:-1]) * SYMBOLS + raw[2:], minlength=SYMBOLS**3)
+            parts.append((" " + text.lower() + " ").encode("latin-1", "replace").translate(_TABLE))
+            size += len(parts[-1])
+            if size > most:
+                add()
+                parts, size = [], 0
+    add()
+    cube = sums.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+    cube[BETWEEN] = cube[:, BETWEEN] = cube[:, :, BETWEEN] = 0
     return sums
 
 
@@ -124,7 +141,7 @@ class CharModel:
         if token[0] == " ":
             return self.rejoined(token.split())
         plain = _WORDS.findall(token)
-        core = _EDGE.sub("", token).strip(".,;:?\"')")
+        core = _EDGE.sub("", token).strip(_PLAIN)
         if plain and _ODD.search(core) and 4 * sum(c.isdigit() for c in core) <= 3 * len(core):
             decoded = self.decode(core) if _CHOICE.search(core) else "".join(plain)
             return [*plain, decoded] if decoded else plain
@@ -168,23 +185,67 @@ def tokens_of(text: str | None) -> list[str]:
     A chunk has one or two characters within its punctuation and is no number of two digits; single marks between chunks are passed over.
     """
     tokens = (text or "").lower().split()
+    chunk_of = CHUNKS.__getitem__
+    kinds = [chunk_of(t) if len(t) < 5 else None for t in tokens]
     extra: list[str] = []
     run: list[str] = []
-    for token in [*tokens, "-----"]:
-        if len(token) < 5:
-            chunk = token.strip(_AROUND)
-            if not chunk:
-                if len(token) == 1:
-                    continue
-            elif len(chunk) < 3 and not (len(chunk) == 2 and chunk.isdigit()):
-                run.append(chunk)
-                continue
-        if len(run) > 1 and any(map(str.isalpha, run)) and len("".join(run)) > 2:
-            extra.append(" " + " ".join(run))
-        run = []
+    last = -2
+    for i in [i for i, k in enumerate(kinds) if k is not None]:
+        if i != last + 1:
+            if len(run) > 1:
+                _close(run, extra)
+            run = []
+        last = i
+        if kinds[i]:
+            run.append(kinds[i])
+    _close(run, extra)
     return tokens + extra
 
 
+def _close(run: list[str], extra: list[str]) -> None:
+    if len(run) > 1 and any(map(str.isalpha, run)) and len("".join(run)) > 2:
+        extra.append(" " + " ".join(run))
+
+
+class _Chunks(dict):
+    """Short tokens: the chunk that one is, "" for a single mark, None for neither; a bounded memory of them."""
+
+    def __missing__(self, token: str) -> str | None:
+        chunk = token.strip(_AROUND)
+        if not chunk:
+            kind = "" if len(token) == 1 else None
+        else:
+            kind = chunk if len(chunk) < 3 and not (len(chunk) == 2 and chunk.isdigit()) else None
+        if len(self) < 200_000:
+            self[token] = kind
+        return kind
+
+
+CHUNKS = _Chunks()
+
+
+class _Scores(dict):
+    """Tokens' strongest evidence, worked out when a token is first asked for; at most `keep` are remembered."""
+
+    def __init__(self, chars: CharModel, strength: dict[str, float], keep: int = 400_000):
+        super().__init__()
+        self.chars, self.strength, self.keep = chars, strength, keep
+        self.heads = {x[:3] for x in strength if x[0] != "="}
+
+    def __missing__(self, token: str) -> float:
+        strength = self.strength
+        word = token.strip(_PLAIN)
+        if word.isalpha() and not _THRICE.search(word):  # as it stands: most tokens, without any evidence
+            held = word[:3] in self.heads or "=" + word in strength
+            score = max(strength.get(x, 0.0) for x in evidence(word)) if held else 0.0
+        else:
+            score = max((strength.get(x, 0.0) for x in evidence_of(self.chars, token)), default=0.0)
+        if len(self) >= self.keep:
+            self.clear()
+        self[token] = score
+        return score
+
+
 @dataclass
 class Model:
     sums: np.ndarray
@@ -192,19 +253,10 @@ class Model:
     curve: tuple[float, ...] = (-1e9, 0.0, 0.0)
 
     def scorer(self):
-        chars, seen = CharModel(self.sums), {}
-        strength = self.strength
-
-        def of(token: str) -> float:
-            return max((strength.get(x, 0.0) for x in evidence_of(chars, token)), default=0.0)
+        score_of = _Scores(CharModel(self.sums), self.strength).__getitem__
 
         def strongest(text: str | None) -> tuple[float, float]:
-            if len(seen) > 400_000:
-                seen.clear()
-            tokens = tokens_of(text)
-            for t in set(tokens).difference(seen):
-                seen[t] = of(t)
-            top = sorted((s for s in map(seen.__getitem__, tokens) if s), reverse=True)[:2]
+            top = sorted(filter(None, map(score_of, tokens_of(text))), reverse=True)[:2]
             return (top + [0.0, 0.0])[0], (top + [0.0, 0.0])[1]
 
         return strongest
