@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -102,6 +103,15 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def trim() -> None:
+    """Give freed memory back to the machine: a worker lives on between tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `chars` bytes, so that long texts don't add up in memory."""
     for whole in batches:
@@ -111,6 +121,7 @@ def pieces(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterato
         step = max(1, int(rows * chars / max(whole.nbytes, 1)))
         for start in range(0, rows, step):
             yield whole.slice(start, step)
+    trim()
 
 
 #: A set of ids is broadcast up to this many rows, and joined by a shuffle beyond.

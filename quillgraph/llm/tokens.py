@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
+from quillgraph.llm.common import trim
+
 DEFAULT_FILE = "byte_bpe_50k.json"
 END = np.array([0], "<u4").tobytes()
 _CUT = re.compile(r"(?<=\S) ")
@@ -83,14 +85,20 @@ class Encoder:
     """Texts to ids as little-endian unsigned 32-bit bytes; `keep` bounds the parts that are remembered."""
 
     def __init__(self, path: str | None = None, keep: int = 200_000, longest: int = 64):
-        from tokenizers import Tokenizer
-
-        path = path or default_path()
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings are ordinary text
-        fast = ranked(path)
+        self.path = path or default_path()
+        fast = ranked(self.path)
         self.one = fast and fast._core_bpe.encode_ordinary
         self.parts = Parts(self.ids, keep, longest)
+        trim()  # the file's text and tables
+
+    @cached_property
+    def model(self):
+        """The tokenizer library's own, read where it is needed."""
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(self.path)
+        model.encode_special_tokens = True  # their strings are ordinary text
+        return model
 
     def slow(self, texts: list[str]) -> list[bytes]:
         """The ids as the tokenizer library itself gives them."""
