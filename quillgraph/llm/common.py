@@ -142,7 +142,7 @@ def kept_rows(docs: DataFrame, verdict) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for rows in pieces([whole], 2_000_000):
+            for rows in pieces([whole], 1_000_000):
                 yield rows.filter(pa.array(np.asarray(verdict(rows), bool)))
 
     return docs.mapInArrow(make, docs.schema)
