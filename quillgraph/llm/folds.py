@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fold(key: Column) -> Column:
-    """crc32 of the id as text, mod 4; 2 is held out.  A null id has the empty text."""
-    return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % 4
+def fold(key: Column, parts: int = 4) -> Column:
+    """crc32 of the id as text, mod `parts`; 2 is held out.  A null id has the empty text."""
+    return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % parts
 
 
 def sampled(rows: DataFrame, key: str, bound: int, salt: str) -> DataFrame:

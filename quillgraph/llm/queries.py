@@ -81,6 +81,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.whiten import fit, whiten
+
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whiten(table, fit(table)).withColumnRenamed("id", "vec_id")
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.clusters import cluster
+
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.ngrams import fit, score
+
+    docs = _docs(spark, sf_dir)
+    return score(docs, fit(docs)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
@@ -92,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op11_whitening": op11_whitening,
+    "op12_clusters": op12_clusters,
+    "op13_language_model": op13_language_model,
 }
 
 
@@ -147,4 +170,19 @@ def _sharding_sql() -> str:
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM p"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_secrets": _secrets_sql(), "op6_licenses": _licenses_sql(), "op7_sharding": _sharding_sql()}
+def _clusters_sql(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    """Each round measures every vector against every centroid."""
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims})""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS c, x FROM kept QUALIFY c < {k})""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT row, min(struct_pack(d := list_sum(list_transform(list_zip(kept.x, c{r}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c := c)) AS best FROM kept, c{r} GROUP BY row)""")
+        if r < rounds:
+            parts.append(f"""s{r} AS (SELECT best.c AS c, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{r} JOIN kept USING (row), range(1, {dims + 1}) t(i) GROUP BY ALL),
+            c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m.x, c{r}.x) AS x FROM c{r} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY c) m USING (c))""")
+    return f"""WITH {", ".join(parts)}, t AS (SELECT vec_id, CAST(best.c AS INT) AS cluster, CAST(best.d AS BIGINT) AS distance FROM a{rounds} JOIN kept USING (row))
+        SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(x, ',')) AS centroid_sha256 FROM t JOIN c{rounds} ON c = cluster"""
+
+
+ORACLE_SQL: dict[str, str] = {"op12_clusters": _clusters_sql(), "op1_secrets": _secrets_sql(), "op6_licenses": _licenses_sql(), "op7_sharding": _sharding_sql()}
