@@ -1,7 +1,7 @@
 """A corpus pipeline out of the training-data operators, one stage after another.
 
-Defined results, from the operators' own: a null text fails the base quality rule; of repeated rows and of
-documents with equal shingles the smallest id stays (without an id, one of equal texts); null labels and items
+Defined results, from the operators' own: a null text fails the base quality rule; of near copies the
+row with the smallest id stays (of rows without an id one of equal texts), of repeated rows one; null labels and items
 decide nothing; an empty table passes every stage empty; columns beyond those of `documents` are carried
 through all stages but the last.
 """

@@ -127,7 +127,7 @@ def _secrets_sql() -> str:
     any_case = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
     parts = []
     for place, r in enumerate(RULES):
-        pattern = r.pattern.replace(")*+", ")*")  # the same here: nothing follows that could match less
+        pattern = r.pattern.replace(")++", ")+")  # the same here: nothing follows that could match less
         if pattern.startswith("(?i)"):  # here A-Z alone is meant
             head, tail = pattern[4:].split(")", 1)
             pattern = "(" + "|".join(map(any_case, head[1:].split("|"))) + ")" + tail

@@ -21,9 +21,9 @@ matches of `regexp_extract_all` gives their positions (code points, end exclusiv
 sums over all matches before; these are taken in chunks, so a text of very many matches
 costs little more than its length, and the same goes for the pieces that a redacted text keeps.
 
-Defined results: a null text is the empty text; a null id is kept; repeated rows
-each return a row; equal starts are ordered by the rule's place in the list; an
-empty table returns no rows; other columns are not read.
+Defined results: a null text is the empty text (`redact` leaves it null); a null id is kept; repeated rows
+each return a row, redacted each; equal starts are ordered by the rule's place in the list; an
+empty table returns no rows; other columns are not read, and `redact` carries them.
 """
 
 from __future__ import annotations
@@ -58,11 +58,15 @@ class Rule:
         return hashlib.sha256(repr((self.kind, self.pattern, self.group, self.least)).encode()).hexdigest()[:16]
 
 
+#: Between the lines of a key: white space, or the escapes of line ends in a quoted one; and the last line of a key with its end mark.
+_GAP = r"(?:[\x09-\x0D\x20]|\\[nr])+"
+_LAST = rf"(?:{_GAP}[A-Za-z0-9+/=]{{1,23}})?(?:{_GAP})?-----END [A-Z ]{{0,20}}PRIVATE KEY-----"
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, True),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,.\x09-\x0D\x20-]*-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:[\x09-\x0D\x20]+[A-Za-z0-9+/=]{16,})*+)"),  # possessive: a loop, not a recursion for each line
+    # Lines of base64 with what may stand before them, up to the first end mark; prose is never part of a key.  Possessive: a loop, not a recursion for each line.
+    Rule("private_key", rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----(?:{_GAP}(?:Proc-Type:\x20?4,ENCRYPTED|DEK-Info:\x20?[A-Z0-9-]{{1,20}},[0-9A-Fa-f]{{1,64}}))*(?:(?:{_GAP}[A-Za-z0-9+/=]{{24,}})++(?:{_LAST})?|{_LAST})"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\x09-\x0D\x20/:@\"']+:[^\x09-\x0D\x20/@\"']+@"),
     Rule("prefixed", r"(?:gh[opsu]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"),

@@ -287,15 +287,15 @@ def _grouped(fps: DataFrame, lanes: int, node, masks_of, radius: int) -> DataFra
 
 
 def _named(rows: DataFrame, nodes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """`rows` with the smallest id of the component of their node, which has the same `keys`.
+    """`rows` with the smallest id of the component of their node, which has the same `keys`, and with the component's root node.
 
     A component of one node is the node's smallest id; only linked nodes are joined by their root.
     """
     linked = written(found.join(nodes.select("node", "low"), "node"), "linked")
     linked = linked.unionByName(found.select(F.col("root").alias("node"), "root").distinct().join(nodes.select("node", "low"), "node"))
     least = written(linked.groupBy("root").agg(F.min("low").alias("least")), "least")
-    placed = written(linked.select(F.col("node").alias("linked"), "root").distinct().join(least, "root").select("linked", "least"), "placed")
-    named = nodes.join(placed, nodes["node"] == placed["linked"], "left").select(*keys, F.when(F.col("linked").isNull(), F.col("low")).otherwise(F.col("least")).alias("component"))
+    placed = written(linked.select(F.col("node").alias("linked"), "root").distinct().join(least, "root").select("linked", "least", "root"), "placed")
+    named = nodes.join(placed, nodes["node"] == placed["linked"], "left").select(*keys, F.when(F.col("linked").isNull(), F.col("low")).otherwise(F.col("least")).alias("component"), F.coalesce("root", "node").alias("root"))
     return rows.join(written(named, "named"), keys, "left")
 
 
@@ -317,7 +317,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """(id, f0, ..., whole, n, head, text): the wide fingerprint, a hash of the whole set, its size, its smallest hashes, and the text."""
+    """(id, mark, f0, ..., whole, n, head, text): a hash of the text, the wide fingerprint, a hash of the whole set, its size, its smallest hashes, and the text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -327,11 +327,11 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, simila
             bits = np.array([signature(x, LANES) for x in sets], np.uint64).view(np.int64)
             whole = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             cut = [first_part(len(x), similarity) for x in sets]
-            cols = [rows.column(0), *(pa.array(bits[:, k].copy()) for k in range(LANES)), pa.array(whole), pa.array([len(x) for x in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, _lists([x[:c] for x, c in zip(sets, cut, strict=True)]), rows.column(1)], names=["id", *_names(LANES), "whole", "n", "head", "text"])
+            cols = [rows.column(0), rows.column(2), *(pa.array(bits[:, k].copy()) for k in range(LANES)), pa.array(whole), pa.array([len(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, _lists([x[:c] for x, c in zip(sets, cut, strict=True)]), rows.column(1)], names=["id", "mark", *_names(LANES), "whole", "n", "head", "text"])
 
     lanes = ", ".join(f"{n} long" for n in _names(LANES))
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("t")), make, f"id long, {lanes}, whole long, n long, head array<long>, text string")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("t"), F.xxhash64(text_of(docs, text_col)).alias("mark")), make, f"id long, mark long, {lanes}, whole long, n long, head array<long>, text string")
 
 
 def similar_roots(sets: list[np.ndarray], heads: list[int], similarity: float) -> np.ndarray:
@@ -390,7 +390,8 @@ def _verified(width: int, similarity: float):
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component): documents whose sets of word shingles have at least the given Jaccard similarity, linked through.
+    """(id, mark, component, root): documents whose sets of word shingles have at least the given Jaccard similarity, linked through.
+    `mark` is a hash of the text; a component is named by its root, as several may have the same smallest id.
 
     1. Equal sets are one node; a text without words has the empty set.
     2. Sets of similarity s share one of their n - ceil(s n) + 1 smallest hashes, so each such hash is a bucket.
@@ -418,24 +419,35 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).filter("tiles = 1 or tile <> other")
     dealt = dealt.select("node", F.xxhash64("root", F.least("tile", "other"), F.greatest("tile", "other")).alias("grp"))
     spread = dealt.join(sets.select("node", "text"), "node").select("grp", "node", "text").repartition("grp").sortWithinPartitions("grp", "node")
-    return _named(sets.select("id", *names, "whole"), nodes, components(arrow_map(spread, _verified(width, similarity), "a long, b long")), [*names, "whole"]).select("id", "component")
+    return _named(sets.select("id", "mark", *names, "whole"), nodes, components(arrow_map(spread, _verified(width, similarity), "a long, b long")), [*names, "whole"]).select("id", "mark", "component", "root")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each component of `similar_documents`, with its columns: the one with the smallest id.
+    """One document of each component of `similar_documents`, with its columns: of the one with the smallest id.
 
-    Of repeated rows with the same id and text one stays.  A row without an id can't be
-    named as a copy; of such rows with equal texts one stays.
+    Rows are told apart by id and text, so rows of one id with different texts go or stay by themselves; in a component
+    the text with the smallest hash comes first under one id.  Of rows with the same id and text one stays; a row without an id
+    can't be named as a copy, of such rows with equal texts one stays; a null text is as the empty text.
     """
     spark = docs.sparkSession
     with scratch(spark):
-        found = stored(similar_documents(docs, id_col, text_col, width, similarity), path := place_for(spark, "components"))
+        found = stored(similar_documents(docs, id_col, text_col, width, similarity).select("id", "mark", "root"), path := place_for(spark, "components"))
     note(path)
-    stay = without(docs, found.filter("id is not null and component <> id").select("id").distinct(), id_col)
-    again = found.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("quill_again"))
-    n = again.count()
-    if not n:
-        return stay
-    side = F.broadcast(again) if n <= BROADCAST_IDS else again
-    same = stay[id_col].eqNullSafe(side["quill_again"])
-    return stay.join(side, same, "left_anti").unionByName(stay.join(side, same, "left_semi").dropDuplicates([id_col, text_col]))
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    first = written(found.groupBy("root").agg(F.min(row).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first"), "first")
+    side = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
+    rest = found.join(side, "root").select("id", "mark", (F.col("id").isNotNull() & (F.col("first") != row)).alias("goes"))
+    # What goes, and what stays in several rows: of those one is kept.
+    told = written(rest.groupBy("id", "mark").agg(F.max("goes").alias("goes"), F.count("*").alias("n")).filter("goes or n > 1"), "told")
+    gone = told.select(F.col("id").alias("quill_id"), F.col("mark").alias("quill_mark"), "goes")
+    marked = docs.withColumn("quill_hash", F.xxhash64(text_of(docs, text_col)))
+
+    def beside(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+        others = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
+        return rows.join(others, F.col(id_col).cast("long").eqNullSafe(F.col("quill_id")) & (F.col("quill_hash") == F.col("quill_mark")), how)
+
+    again = gone.filter("not goes")
+    stay = beside(marked, gone, "left_anti")
+    if not again.isEmpty():
+        stay = stay.unionByName(beside(marked, again, "left_semi").dropDuplicates([id_col, "quill_hash"]))
+    return stay.select(*docs.columns)

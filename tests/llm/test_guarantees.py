@@ -185,7 +185,7 @@ KEY = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("MIIEow" + "abcDEF+/" * 7
 def plain_spans(text):
     out = []
     for place, rule in enumerate(secrets.RULES):
-        pattern = rule.pattern.replace(")*+", ")*")
+        pattern = rule.pattern
         flags = re.ASCII | (re.IGNORECASE if pattern.startswith("(?i)") else 0)
         out += [(m.start(), place, m.end()) for m in re.finditer(pattern.removeprefix("(?i)"), text, flags) if len(m.group(rule.group)) >= rule.least]
     return sorted(out)
@@ -217,6 +217,20 @@ def test_spans_and_redaction(spark, monkeypatch, chunk):
         assert r["text"] == out + text[at:]
 
 
+def test_keys_end_where_they_end(spark):
+    """Prose between two keys, or after a mark that opens none, is never part of a finding."""
+    short = "-----BEGIN EC PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n" + "q" * 64 + "\nabcd==\n-----END EC PRIVATE KEY-----"
+    quoted = "-----BEGIN PRIVATE KEY-----\\n" + "Q" * 64 + "\\nxy==\\n-----END PRIVATE KEY-----"
+    prose = "The mark -----BEGIN PRIVATE KEY----- opens a key, then come lines, and at last -----END PRIVATE KEY----- closes it."
+    texts = [f"intro {KEY} text, with commas {short} after", prose, f"a {quoted} b", "-----BEGIN PRIVATE KEY-----" * 3000, "cut off -----BEGIN RSA PRIVATE KEY-----\n" + "z" * 64 + "\nand prose"]
+    began = time.time()
+    rows = secrets.redact(docs_of(spark, [*texts, None, ""])).orderBy("doc_id").collect()
+    assert time.time() - began < 30
+    mark = secrets.MARK
+    assert [r["text"] for r in rows] == [f"intro {mark} text, with commas {mark} after", prose, f"a {mark} b", texts[3], f"cut off {mark}\nand prose", None, ""]
+    assert secrets.redact(docs_of(spark, ["x"]).limit(0)).collect() == []
+
+
 def test_ledger_table(spark, tmp_path, monkeypatch):
     path, texts = str(tmp_path / "ledger"), hidden()
     first = secrets.update(docs_of(spark, texts[:3]), path).collect()
@@ -238,6 +252,17 @@ def test_scratch(spark, tmp_path):
     assert kept.count() == 5 and not common.exists(spark, files[0])
 
 
+def test_copies_go_by_id_and_text(spark):
+    """Equal ids with different texts: each text stays once; near copies under one id, rows without ids, repeated rows."""
+    x, y, z = ("first words of a text that goes on for a while " * 3, "other words that make a different text of some length " * 3, " ".join(f"w{i}" for i in range(60)))
+    rows = [(1, y), (3, x), (3, y), (4, x), (1, z), (1, z), (5, z + " end"), (None, x), (None, "alone without an id"), (None, "alone without an id"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    stay = simhash.first_of_each(docs)
+    got = sorted(((r["doc_id"], r["text"]) for r in stay.collect()), key=str)
+    assert got == sorted([(1, y), (3, x), (1, z), (None, x), (None, "alone without an id"), (7, None)], key=str)
+    assert stay.columns == docs.columns and simhash.first_of_each(docs.limit(0)).collect() == [] and quality.keep(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect() == []
+
+
 def test_pipeline_stages_against_plain_versions(spark, data):
     import corpus_pipeline
 
