@@ -7,7 +7,8 @@
    may replace (leetspeak), or for nothing (a separator, a repeated letter), each at a
    price.  Viterbi search under the trigram model finds the restored word.  Chunks of one or two characters in
    a row may be a spaced-out word beside short words: all words that neighbouring chunks make are read, and chunks
-   with digits or marks are decoded with an option of a space between them.
+   with digits or marks are decoded with an option of a space between them.  Once evidence is known, a word with a doubled letter is
+   decoded too if it may hold some without it, and pieces of any length that make a word of evidence are put together.
 3. Evidence is a restored word or a prefix of one.  Labelled training documents give counts of
    toxic and other documents for each; a greedy cover picks evidence by the lower confidence bound of
    its toxic share among documents that stronger evidence doesn't explain yet, so words that
@@ -47,6 +48,8 @@ THRESHOLD = 0.3
 SYMBOLS = 64
 BETWEEN = SYMBOLS - 1
 PREFIXES = range(3, 9)
+#: Least strength of evidence that only a repaired word (a doubled letter, a word in pieces) gives: ordinary words are near other words too.
+REPAIRED = 0.75
 #: Letters of the longest word read from chunks.
 LONGEST = 24
 _OUT = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -58,6 +61,7 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"^([^\w\s@$!|+€(])\1+|([^\w\s@$!|+€(])\2+$")
 _ODD = re.compile(r"[\W\d_]|([^\W\d_])\1\1")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
+_TWICE = re.compile(r"([^\W\d_])\1+")
 _PLAIN = ".,;:?\"')"
 _AROUND = ".,;:?\"')-*~/_[]{}<>=&#%^`"
 _CHOICE = re.compile(r"[\d@$!|+€(]|([^\W\d_])\1")
@@ -231,6 +235,10 @@ class _Scores(dict):
         super().__init__()
         self.chars, self.strength, self.keep = chars, strength, keep
         self.heads = {x[:3] for x in strength if x[0] != "="}
+        self.sure = {x: v for x, v in strength.items() if v >= REPAIRED and (x[0] == "=" or len(x) >= 5)}
+        self.single = {_TWICE.sub(r"\1", x.lstrip("="))[:3] for x in self.sure}
+        whole = [x.lstrip("=") for x in self.sure]
+        self.lefts = {x[:k] for x in whole for k in range(1, len(x))}
 
     def __missing__(self, token: str) -> float:
         strength = self.strength
@@ -238,6 +246,9 @@ class _Scores(dict):
         if word.isalpha() and not _THRICE.search(word):  # as it stands: most tokens, without any evidence
             held = word[:3] in self.heads or "=" + word in strength
             score = max(strength.get(x, 0.0) for x in evidence(word)) if held else 0.0
+            once = _TWICE.sub(r"\1", word)
+            if once != word and once[:3] in self.single:  # a doubled letter, in a word that may hold evidence without it
+                score = max([score, *(self.sure.get(x, 0.0) for x in evidence(self.chars.decode(word)))])
         else:
             score = max((strength.get(x, 0.0) for x in evidence_of(self.chars, token)), default=0.0)
         if len(self) >= self.keep:
@@ -245,6 +256,19 @@ class _Scores(dict):
         self[token] = score
         return score
 
+    def split(self, tokens: list[str]) -> list[float]:
+        """Evidence of words that stand in pieces of any length: a piece that begins one is followed as long as the next ones go on with it."""
+        lefts, sure, found = self.lefts, self.sure, []
+        for i in [i for i, t in enumerate(tokens) if t in lefts]:
+            word = tokens[i]
+            for t in tokens[i + 1 : i + LONGEST]:
+                word += t.strip(_PLAIN)
+                if score := max(sure.get("=" + word, 0.0), sure.get(word, 0.0)):
+                    found.append(score)
+                if word not in lefts:
+                    break
+        return found
+
 
 @dataclass
 class Model:
@@ -253,10 +277,12 @@ class Model:
     curve: tuple[float, ...] = (-1e9, 0.0, 0.0)
 
     def scorer(self):
-        score_of = _Scores(CharModel(self.sums), self.strength).__getitem__
+        scores = _Scores(CharModel(self.sums), self.strength)
+        score_of = scores.__getitem__
 
         def strongest(text: str | None) -> tuple[float, float]:
-            top = sorted(filter(None, map(score_of, tokens_of(text))), reverse=True)[:2]
+            tokens = tokens_of(text)
+            top = sorted([*filter(None, map(score_of, tokens)), *scores.split(tokens)], reverse=True)[:2]
             return (top + [0.0, 0.0])[0], (top + [0.0, 0.0])[1]
 
         return strongest
@@ -329,7 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sums = trigrams(docs, text_col)
     marks = labels.groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y")).filter("i is not null and y is not null").withColumn("fold", fold(F.col("i"))).filter("fold <> 2")
     marks = sampled(marks, "i", bound, "toxicity")
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(marks, "i").select("t", "y", "fold", F.xxhash64("t").alias("h"))
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(marks), "i").select("t", "y", "fold", F.xxhash64("t").alias("h"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars, seen = CharModel(sums), {}

@@ -149,10 +149,17 @@ def test_decode_is_the_best_of_all_readings():
         for path in paths:
             word = "".join(x for x, _ in path)
             costs[word] = min(costs.get(word, 1e9), cost(path))
-        got = model.decode(token, wide=10_000)
+        assert model.decode(token) == (got := model.decode(token, wide=10_000))
         assert costs[got] == pytest.approx(min(costs.values()), abs=1e-4), token
 
 
+def test_doubled_letters_and_pieces_score_like_the_word():
+    sums = toxicity.trigram_sums(["the idiot was here and the moron too, a stupid clown said so, letter by letter " * 50])
+    strongest = toxicity.Model(sums, {"=idiot": 0.9, "stupid": 0.8, "=moron": 0.75, "=achkeite": 0.6}).scorer()
+    for text, want in [("an idiot", 0.9), ("an iddiot", 0.9), ("an id iot", 0.9), ("an i diot,", 0.9), ("stuupid", 0.8), ("stupidly", 0.8), ("stu pid", 0.8), ("moroon", 0.75), ("mor on", 0.75), ("m oro n", 0.75), ("achkeitte", 0.0), ("ach keite", 0.0), ("a letter, more on the moon", 0.0), ("idi", 0.0), ("", 0.0), (None, 0.0)]:
+        assert strongest(text)[0] == want, text
+
+
 def test_toxicity_fit_is_the_same_for_any_order(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(rng.choice(["the", "stone", "river", "hill", "idiot" if i % 3 == 0 else "oak"]) for _ in range(12)), i % 3 == 0) for i in range(300)]
