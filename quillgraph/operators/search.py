@@ -13,6 +13,8 @@ from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from quillgraph.functions.porter import stem
+from quillgraph.operators.graph import cut
+from quillgraph.operators.kept import KeptIndex
 from quillgraph.operators.listing import Query, conditions
 
 K1, B, FUSE, BOUND = 1.2, 0.75, 60, 20_000
@@ -195,7 +197,7 @@ def holding(docs: DataFrame, items: DataFrame, width: int = 4) -> DataFrame:
     long = spelt.filter(F.size("w") >= width + 2).select("question", F.xxhash64(F.slice("w", 2, width)).alias("h"))
     grams = F.transform(F.slice("w", 1, F.greatest(F.size("w") - (width - 1), F.lit(0))), lambda w, i: F.xxhash64(F.slice("w", i + 1, width)))
     hashed = docs.select("paper_id", words(F.col("text")).alias("w")).select("paper_id", F.explode(F.array_distinct(grams)).alias("h"))
-    pairs = hashed.join(small(long), "h").select("paper_id", "question").distinct()
+    pairs = cut(hashed.join(small(long), "h").select("paper_id", "question").distinct())
     found = docs.join(small(pairs), "paper_id").join(small(items), "question").filter(F.contains("text", "item")).select("question", "paper_id")
     for r in spelt.filter((F.size("w") < width + 2) & (F.length("item") > 0)).select("question", "item").toLocalIterator():  # few: an item is a text
         found = found.unionByName(docs.filter(F.contains("text", F.lit(r["item"]))).select(F.lit(r["question"]).alias("question"), "paper_id"))
@@ -243,14 +245,14 @@ def rank_many(index: DataFrame, lengths: DataFrame, questions: DataFrame, digits
     the statistics.  Only words of the questions leave the index, and each word's frequency goes with its questions.
     """
     asked = questions.select("question", "word").distinct()
-    hit = index.join(small(asked.select("word").distinct()), "word", "left_semi")
+    hit = cut(index.join(small(asked.select("word").distinct()), "word", "left_semi"))
     frequency = hit.groupBy("word").agg(F.count("*").alias("df"))
     n, avg = lengths.agg(F.count("*"), F.avg("length")).first()
     if allowed is not None:
         hit = hit.join(allowed.select(key).distinct(), key, "left_semi")
-    weight = small(asked.join(frequency, "word").select("word", "question", idf(n, F.col("df")).alias("idf")))
+    weight = small(cut(asked.join(frequency, "word").select("word", "question", idf(n, F.col("df")).alias("idf"))))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (avg or 1.0)))
-    scored = hit.join(weight, "word").groupBy("question", key).agg(F.round(F.sum(part), digits).alias("score"), F.count("*").alias("n_terms"))
+    scored = cut(hit.join(weight, "word").groupBy("question", key).agg(F.round(F.sum(part), digits).alias("score"), F.count("*").alias("n_terms")))
     size = asked.groupBy("question").agg(F.count("*").alias("k"))
     best = scored.groupBy("question").agg(F.max("n_terms").alias("best")).join(size, "question")
     chosen = scored.join(best, "question").filter((F.col("best") < F.col("k")) | (F.col("n_terms") == F.col("k"))).filter((F.col("best") == F.col("k")) | (F.col("k") > 1))
@@ -263,9 +265,63 @@ def bounded(scored: DataFrame, most: int = BOUND, key: str = "passage_id") -> Da
     return scored.withColumn("place", place).filter(F.col("place") <= most)
 
 
-def papers_many(scored: DataFrame, best: int = 3, digits: int = 4, key: str = "passage_id", paper: str = "paper_id") -> DataFrame:
+def papers_many(scored: DataFrame, best: int = 3, digits: int = 8, key: str = "passage_id", paper: str = "paper_id") -> DataFrame:
     """(question, paper, score, rank): each question's papers by the weighted sum of their best passages."""
     place = F.row_number().over(Window.partitionBy("question", paper).orderBy(F.col("score").desc(), key))
     ranked = scored.withColumn("place", place).filter(F.col("place") <= best)
     summed = ranked.groupBy("question", paper).agg(F.round(F.sum(F.col("score") / F.col("place")), digits).alias("score"))
     return summed.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(F.col("score").desc(), paper)))
+
+
+def top_many(index: KeptIndex, questions: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """(question, passage_id, paper_id, score, partial, place): the `k` best passages of each question, exactly, without scoring the others.
+
+    1. The words of a question are ordered by the most that one can add, which the index's bounds say.  The passages of its strongest words, as many
+       words as hold k passages, are scored in full; the k-th score of those is a threshold that the result must reach.
+    2. Words that together stay below the threshold can't bring a passage in: only passages with another word are candidates.
+    3. Of those go the ones that don't reach the threshold with their own words and the most that the weak words may add in their block of papers.
+    4. What is left is scored in full.  The score is rounded as in `rank_many`; ties go to the smaller passage.
+
+    Questions whose words all stand in some passage have such passages alone, found by their rarest word.
+    """
+    asked = cut(questions.select("question", "word").distinct())
+    words = cut(asked.select("word").distinct())
+    n, avg = index.lengths().agg(F.count("*"), F.avg("length")).first()
+    live = cut(index.postings(words).withColumn("block", index.block()))
+    frequency = live.groupBy("word").agg(F.count("*").alias("df"))
+
+    def part(idf_of: Column) -> Column:
+        return idf_of * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (avg or 1.0)))
+
+    weights = cut(asked.join(frequency, "word").withColumn("idf", idf(n, F.col("df"))))
+    most = cut(index.bounds(words).join(frequency, "word").select("word", "block", part(idf(n, F.col("df"))).alias("most")))
+    strength = weights.join(most.groupBy("word").agg(F.max("most").alias("most")), "word")
+    falling = Window.partitionBy("question").orderBy(F.col("most").desc(), "word")
+    rising = Window.partitionBy("question").orderBy("most", F.col("word").desc())
+    ordered = strength.withColumns({"before": F.coalesce(F.sum("df").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "weakest": F.sum("most").over(rising)})
+    ordered = cut(ordered)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """Full scores of (question, passage_id)."""
+        hit = live.join(small(weights.select("word", "question", "idf")), "word")
+        whole = hit.join(small(pairs), ["question", "passage_id"], "left_semi").groupBy("question", "passage_id", "paper_id")
+        return whole.agg(F.round(F.sum(part(F.col("idf"))), digits).alias("score"), F.count("*").alias("n_terms"))
+
+    size = asked.groupBy("question").agg(F.count("*").alias("terms"))
+    rarest = ordered.groupBy("question").agg(F.min_by("word", F.struct("df", "word")).alias("word"), F.count("*").alias("known")).join(size, "question").filter("known = terms")
+    held = live.select("word", "passage_id").join(small(rarest.select("question", "word")), "word").select("question", "passage_id").distinct()
+    full = cut(scored(held).join(size, "question").filter("n_terms = terms").drop("terms"))
+    single = size.filter("terms = 1").select("question")
+    loose = cut(ordered.join(full.select("question").distinct(), "question", "left_anti").join(single, "question", "left_anti"))
+    first = live.select("word", "passage_id").join(small(loose.filter(F.col("before") < k).select("question", "word")), "word").select("question", "passage_id").distinct()
+    by_score = Window.partitionBy("question").orderBy(F.col("score").desc(), "passage_id")
+    floor = scored(first).withColumn("place", F.row_number().over(by_score)).filter(F.col("place") == k).select("question", F.col("score").alias("least"))
+    slack = 2.0 * 10.0**-digits  # both scores are rounded
+    words_of = cut(loose.join(floor, "question", "left").withColumn("least", F.coalesce("least", F.lit(-1.0))).withColumn("strong", F.col("weakest") + slack >= F.col("least")))
+    reach = live.join(small(words_of.filter("strong").select("word", "question", "idf")), "word")
+    some = reach.groupBy("question", "passage_id", "block").agg(F.sum(part(F.col("idf"))).alias("score"))
+    rest = words_of.filter("not strong").select("question", "word").join(most, "word").groupBy("question", "block").agg(F.sum("most").alias("rest"))
+    least = words_of.select("question", "least").distinct()
+    alive = some.join(rest, ["question", "block"], "left").join(F.broadcast(least), "question").filter(F.col("score") + F.coalesce("rest", F.lit(0.0)) + slack >= F.col("least"))
+    found = scored(cut(alive.select("question", "passage_id"))).drop("n_terms").withColumn("partial", F.lit(True)).unionByName(full.drop("n_terms").withColumn("partial", F.lit(False)))
+    return found.withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= k)

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.operators import search
-from quillgraph.operators.graph import cut
+from quillgraph.operators.graph import cut, shared_folder
+from quillgraph.operators.kept import KeptIndex
 from quillgraph.queries import query
 from quillgraph.views import view
 
 _SPLIT = r"list_filter(string_split_regex(lower({0}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 _P = "p AS (SELECT doc_id * 100000 + ordinal AS passage_id, doc_id AS paper_id, " + _SPLIT.format("text") + " AS words FROM {passages})"
 _I = "i AS (SELECT word, passage_id, paper_id, len(words) AS length, count(*) AS tf FROM (SELECT passage_id, paper_id, words, unnest(words) AS word FROM p) AS u GROUP BY ALL)"
-_Q = """q AS (SELECT item_id AS question, word FROM (SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY first) AS place FROM (SELECT item_id, word, min(pos) AS first FROM
-    (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT item_id, """ + _SPLIT.format("text") + """ AS w FROM benchmark) a) b WHERE length(word) >= 4 GROUP BY item_id, word) c) e WHERE place <= 4)"""
+_FILL = ", ".join(f"'{w}'" for w in sorted(search.FILLERS))
+_Q = f"""q0 AS (SELECT DISTINCT item_id AS question, unnest({_SPLIT.format("text")}) AS word FROM benchmark),
+    q AS (SELECT question, word FROM q0 WHERE word NOT IN ({_FILL}) OR question NOT IN (SELECT question FROM q0 WHERE word NOT IN ({_FILL})))"""
 _S = """n AS (SELECT count(*) AS n, avg(len(words)) AS a FROM p), f AS (SELECT word, count(*) AS df FROM i WHERE word IN (SELECT word FROM q) GROUP BY word),
     s AS (SELECT question, passage_id, paper_id, round(sum(greatest(ln(((SELECT n FROM n) - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT a FROM n)))), 6) AS score, count(*) AS n_terms FROM i JOIN f USING (word) JOIN q USING (word) GROUP BY ALL),
     k AS (SELECT question, count(*) AS k FROM q GROUP BY question), m AS (SELECT question, max(n_terms) AS best FROM s GROUP BY question),
-    c AS (SELECT s.question, s.passage_id, s.paper_id, s.score, best < k AS partial FROM s JOIN k USING (question) JOIN m USING (question) WHERE (best < k OR n_terms = k) AND (best = k OR k > 1))"""
-_R = """r AS (SELECT question, paper_id, round(sum(score / place), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question, paper_id ORDER BY score DESC, passage_id) AS place FROM c) x WHERE place <= 3 GROUP BY ALL),
+    c AS (SELECT s.question, s.passage_id, s.paper_id, s.score, best < k AS partial FROM s JOIN k USING (question) JOIN m USING (question) WHERE (best < k OR n_terms = k) AND (best = k OR k > 1) QUALIFY row_number() OVER (PARTITION BY s.question ORDER BY s.score DESC, s.passage_id) <= 20000)"""
+_R = """r AS (SELECT question, paper_id, round(sum(score / place), 8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question, paper_id ORDER BY score DESC, passage_id) AS place FROM c) x WHERE place <= 3 GROUP BY ALL),
     t AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, paper_id) AS INT) AS rank FROM r)"""
 
 
@@ -32,16 +37,27 @@ def _index(spark, d):
     return flat.groupBy("word", "passage_id", "length").agg(F.count("*").alias("tf"))
 
 
+def _kept(spark, d):
+    """The index of the passages: kept in the shared folder under the name of the state of the documents' files, and made where it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    held = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = f"{d} {held.getContentSummary(at).toString()} {held.getFileStatus(at).getModificationTime()}"
+    index = KeptIndex(spark, f"{shared_folder(spark)}/kept/{hashlib.sha256(state.encode()).hexdigest()[:24]}")
+    return index if index.exists else KeptIndex.build(_passages(spark, d), index.path)
+
+
 def _questions(spark, d):
-    """The first four distinct words of four letters or more of each item."""
-    words = view(spark, d, "benchmark").select(F.col("item_id").alias("question"), F.posexplode(search.plain_words(F.col("text"))).alias("pos", "word")).filter("length(word) >= 4")
-    first = words.groupBy("question", "word").agg(F.min("pos").alias("first"))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("question").orderBy("first"))).filter("place <= 4").select("question", "word")
+    """The words of each item without fillers, or all of them if that would leave none."""
+    words = view(spark, d, "benchmark").select(F.col("item_id").alias("question"), F.array_distinct(search.plain_words(F.col("text"))).alias("words"))
+    asked = F.filter("words", lambda w: ~w.isin(*search.FILLERS))
+    return words.select("question", F.explode(F.when(F.size(asked) > 0, asked).otherwise(F.col("words"))).alias("word"))
 
 
 def _scored(spark, d):
-    lengths = _passages(spark, d).select("passage_id", F.size("words").alias("length"))
-    return search.rank_many(_index(spark, d), lengths, _questions(spark, d)).withColumn("paper_id", F.floor(F.col("passage_id") / 100000))
+    """Each question's best passages, of which at most `BOUND` count."""
+    index, asked = _kept(spark, d), _questions(spark, d)
+    found = search.bounded(search.rank_many(index.postings(asked), index.lengths(), asked))
+    return found.withColumn("paper_id", F.floor(F.col("passage_id") / 100000))
 
 
 @query("fts3_postings", f"WITH {_P}, {_I} SELECT word, passage_id, CAST(length AS INT) AS length, tf FROM i")
@@ -54,6 +70,37 @@ def _fts4(spark, d):
     return _scored(spark, d).select("question", "passage_id", "score", "partial")
 
 
+@query("fts4_top", f"WITH {_P}, {_I}, {_Q}, {_S} SELECT question, passage_id, score, partial, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, passage_id) AS INT) AS place FROM c QUALIFY place <= 50")
+def _fts4_top(spark, d):
+    """The 50 best passages of each whole question (the bound is the feature), found without scoring the others."""
+    return search.top_many(_kept(spark, d), _questions(spark, d), 50).select("question", "passage_id", "score", "partial", "place")
+
+
+_AFTER = r"""{passages} WHERE doc_id % 7 <> 3 AND (doc_id % 5 <> 1 OR ordinal = 0)"""
+
+
+def _changed(spark, d):
+    """The index after a change: papers that go, papers that keep their first passage alone, and one that goes and comes back."""
+    index = KeptIndex.build(_passages(spark, d), f"{shared_folder(spark)}/changed/{uuid.uuid4().hex}")
+    papers = view(spark, d, "documents").select(F.col("doc_id").alias("paper_id"))
+    rows = _passages(spark, d)
+    index = index.apply(papers.filter("paper_id % 7 in (3, 4)"), rows.limit(0))
+    back = papers.filter("paper_id % 7 = 4 or paper_id % 5 = 1").filter("paper_id % 7 <> 3")
+    return index.apply(back, rows.join(back, "paper_id", "left_semi").filter("paper_id % 5 <> 1 or passage_id % 100000 = 0"))
+
+
+@query("fts3_kept_index", f"WITH {_P.replace('{passages}', _AFTER)}, {_I} SELECT word, passage_id, CAST(length AS INT) AS length, tf FROM i")
+def _fts3_kept(spark, d):
+    """The postings of an index that was changed twice by deltas."""
+    return _changed(spark, d).postings().select("word", "passage_id", "length", "tf")
+
+
+@query("fts6_search_after_changes", f"WITH {_P.replace('{passages}', _AFTER)}, {_I}, {_Q}, {_S} SELECT question, passage_id, score, partial, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, passage_id) AS INT) AS place FROM c QUALIFY place <= 20")
+def _fts6_after(spark, d):
+    """A search in the changed index, whose statistics are those of what lives in it."""
+    return search.top_many(_changed(spark, d), _questions(spark, d), 20).select("question", "passage_id", "score", "partial", "place")
+
+
 @query("fts5_all_or_any", f"WITH {_P}, {_I}, {_Q}, {_S} SELECT partial, count(DISTINCT question) AS questions, count(*) AS passages FROM c GROUP BY partial")
 def _fts5(spark, d):
     return _scored(spark, d).groupBy("partial").agg(F.count_distinct("question").alias("questions"), F.count("*").alias("passages"))
@@ -80,7 +127,7 @@ def _titles(spark, d):
 
 def _any_title(spark, d):
     """(question, paper_id, score): BM25 of the titles with any of a question's words."""
-    index, asked = _titles(spark, d), _questions(spark, d)
+    index, asked = cut(_titles(spark, d)), _questions(spark, d)
     n, avg = index.select("paper_id", "length").distinct().agg(F.count("*"), F.avg("length")).first()
     hit = index.join(search.small(asked.select("word").distinct()), "word", "left_semi")
     weight = search.small(hit.groupBy("word").agg(F.count("*").alias("df")).join(asked, "word"))
@@ -88,9 +135,9 @@ def _any_title(spark, d):
     return hit.join(weight, "word").groupBy("question", "paper_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def _fused(spark, d):
+def _fused(spark, d, scored=None):
     """Reciprocal-rank fusion of the papers' ranks with those of their titles, for every question."""
-    return search.fused_many(search.papers_many(_scored(spark, d)).select("question", "paper_id", "score"), _any_title(spark, d))
+    return search.fused_many(search.papers_many(_scored(spark, d) if scored is None else scored).select("question", "paper_id", "score"), _any_title(spark, d))
 
 
 @query("fts8_fusion", f"WITH {_P}, {_I}, {_Q}, {_S}, {_R}, {_TITLES} SELECT question, paper_id, fused, rank FROM fr")
@@ -102,7 +149,8 @@ def _fts8(spark, d):
     SELECT question, passage_id, rank, CAST(row_number() OVER (PARTITION BY question ORDER BY rank, place) AS INT) AS shown FROM z WHERE place <= 3 QUALIFY row_number() OVER (PARTITION BY question ORDER BY rank, place) <= 20""")
 def _fts9(spark, d):
     place = F.row_number().over(Window.partitionBy("question", "paper_id").orderBy(F.col("score").desc(), "passage_id"))
-    chosen = _scored(spark, d).withColumn("place", place).filter("place <= 3").join(_fused(spark, d).select("question", "paper_id", "rank"), ["question", "paper_id"])
+    scored = cut(_scored(spark, d))
+    chosen = scored.withColumn("place", place).filter("place <= 3").join(_fused(spark, d, scored).select("question", "paper_id", "rank"), ["question", "paper_id"])
     shown = F.row_number().over(Window.partitionBy("question").orderBy("rank", "place"))
     return chosen.withColumn("shown", shown).filter("shown <= 20").select("question", "passage_id", "rank", "shown")
 
@@ -119,7 +167,7 @@ def _fts14(spark, d):
 @query("srt7_best_passages", f"WITH {_P}, {_I}, {_Q}, {_S} SELECT question, passage_id, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, passage_id) AS place FROM c) x WHERE place <= 20000")
 def _srt7(spark, d):
     """Each question's 20,000 best passages by BM25 (the bound is the feature)."""
-    return search.bounded(_scored(spark, d)).select("question", "passage_id", "place")
+    return _scored(spark, d).select("question", "passage_id", "place")
 
 
 @query("jn6_readable_passages", f"WITH {_P}, {_I} SELECT i.passage_id, count(*) AS words, sum(tf) AS occurrences FROM i JOIN {{passages}} p ON p.doc_id * 100000 + p.ordinal = i.passage_id JOIN labels l USING (doc_id) WHERE l.quality = 1 GROUP BY 1")
@@ -148,10 +196,10 @@ def _fts12(spark, d):
     docs = view(spark, d, "documents")
     works = docs.select(F.col("doc_id").alias("work_id"), F.col("lang").alias("venue"), F.col("n_chars").cast("int").alias("year"))
     read = view(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("work_id"))
-    passages = _passages(spark, d)
-    lengths = passages.select("passage_id", F.size("words").alias("length"))
-    of = passages.select("passage_id", F.col("paper_id").alias("work_id"))
-    found, papers, readable = search.within(_index(spark, d), lengths, _questions(spark, d), of, works, Query(venues=("en",), year_from=501), {}, read)
+    index, asked = _kept(spark, d), _questions(spark, d)
+    of = index.lengths().select("passage_id", F.col("paper_id").alias("work_id"))
+    found, papers, readable = search.within(index.postings(asked), index.lengths(), asked, of, works, Query(venues=("en",), year_from=501), {}, read)
+    found = search.bounded(found)
     return found.select("question", "passage_id", "score", "partial", F.lit(papers).alias("papers"), F.lit(readable).alias("readable"))
 
 
@@ -165,9 +213,9 @@ def _exp5(spark, d):
     asked = view(spark, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("question"), words.alias("word"))
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.length("word").desc(), "word"))
     asked = asked.withColumn("place", place).filter("place <= 4").select("question", "word")
-    lengths = _passages(spark, d).select("passage_id", F.size("words").alias("length"))
-    scored = search.rank_many(_index(spark, d), lengths, asked).withColumn("paper_id", F.floor(F.col("passage_id") / 100000))
-    return search.papers_many(scored).groupBy("question").agg((F.min(F.when(F.col("paper_id") == F.col("question"), F.col("rank"))) <= 5).alias("found"))
+    index = _kept(spark, d)
+    scored = search.rank_many(index.postings(asked), index.lengths(), asked).withColumn("paper_id", F.floor(F.col("passage_id") / 100000))
+    return search.papers_many(search.bounded(scored)).groupBy("question").agg((F.min(F.when(F.col("paper_id") == F.col("question"), F.col("rank"))) <= 5).alias("found"))
 
 
 @query("fts3_stemmed_postings")
