@@ -7,7 +7,6 @@ import tempfile
 import uuid
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -197,112 +196,102 @@ def ego_map(works: DataFrame, cites: DataFrame, centre: str, first: int = 12, se
     return found
 
 
-def louvain(pairs: list[tuple[str, str]], resolution: float = 1.0) -> list[list[str]]:
-    """Modularity clusters of an undirected simple graph, by local moves and aggregation, in id order throughout."""
-    ids = sorted({x for p in pairs for x in p})
-    number = {x: i for i, x in enumerate(ids)}
-    graph: list[dict[int, float]] = [{} for _ in ids]
-    for a, b in {(min(p), max(p)) for p in pairs if p[0] != p[1]}:
-        graph[number[a]][number[b]] = graph[number[b]][number[a]] = 1.0
-    member = list(range(len(ids)))
+def clustered(pairs: DataFrame, resolution: float = 1.0, colours: int = 2, least: float = 0.001) -> DataFrame:
+    """(work_id, cluster): modularity clusters of the links (a, b), by local moves, refinement and aggregation as joins; nothing is collected.
+
+    A level has three steps.  Local moves: in a turn the nodes of one colour, a hash of node and sweep, move to the neighbouring cluster of the largest
+    gain (ties: the smallest name); a lone node joins another lone one only towards the smaller name, so that the two don't change places.  A sweep
+    is a turn of each colour; one that doesn't raise the modularity is undone, and sweeps end with it or with one that raises it by less than `least`.
+    Refinement: in each cluster the nodes start alone again and join, in one such sweep, parts of their own cluster only, so a cluster
+    whose parts hang together through others falls into them.  Aggregation: parts become nodes, with the clusters that they are in as the
+    start of the next level.  Levels end when no node has moved.  Gains are made of whole numbers and rounded, so the result is
+    the same on every run and partitioning.
+    """
+    links = cut(pairs.select("a", "b", F.lit(1).cast("long").alias("w")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).cast("long").alias("w"))))
+    total = links.agg(F.sum("w").alias("w")).first()["w"] or 0
+    nodes = cut(links.groupBy(F.col("a").alias("x")).agg(F.sum("w").alias("k")))
+    state = nodes.withColumn("c", F.col("x"))
+    member = state.select(F.col("x").alias("work_id"), F.col("x").alias("part"))
+
+    def quality(state: DataFrame) -> float:
+        ends = links.join(state.select(F.col("x").alias("a"), F.col("c").alias("ca")), "a").join(state.select(F.col("x").alias("b"), F.col("c").alias("cb")), "b")
+        inside = ends.filter("ca = cb").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()["w"]
+        squares = state.groupBy("c").agg(F.sum("k").cast("double").alias("k")).agg(F.sum(F.round(F.col("k") * F.col("k") / total, 6).cast("decimal(38,6)"))).first()[0]
+        return round(inside / total - resolution * float(squares or 0) / total, 9) if total else 0.0
+
+    def turn(state: DataFrame, sweep: int, colour: int, inside: bool) -> tuple[DataFrame, int]:
+        """Moves of one colour; with `inside` only of nodes alone in their part, to parts of the same `outer` cluster.  One table is written: all sides are small or know their size."""
+        shade = lambda x: F.pmod(F.xxhash64(x, F.lit(sweep)), F.lit(colours)) == colour
+        held = state.groupBy("c").agg(F.sum("k").alias("total"), F.count("*").alias("size"))
+        near = links.filter("a <> b").filter(shade("a")).join(state.select(F.col("x").alias("b"), "c", *(["outer"] if inside else [])), "b")
+        mine = state.filter(shade("x")).select(F.col("x").alias("a"), "k", F.col("c").alias("own"), *([F.col("outer").alias("mine")] if inside else []))
+        if inside:
+            near = near.join(mine.select("a", "mine"), "a").filter("outer = mine")
+            mine = mine.drop("mine").join(held.filter("size = 1").select(F.col("c").alias("own")), "own")
+        mine = mine.join(held.select(F.col("c").alias("own"), F.col("size").alias("own_size")), "own")
+        toward = near.groupBy("a", "c").agg(F.sum("w").alias("w"))
+        stay = mine.select("a", F.col("own").alias("c"), F.lit(0).cast("long").alias("w"))
+        options = toward.unionByName(stay).groupBy("a", "c").agg(F.sum("w").alias("w")).join(mine, "a").join(held.select("c", "total", "size"), "c")
+        options = options.filter(~((F.col("own_size") == 1) & (F.col("size") == 1) & (F.col("c") > F.col("own"))))
+        without = F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)
+        gain = F.round(F.col("w") - resolution * without.cast("double") * F.col("k") / total, 6)
+        best = options.groupBy("a", "own").agg(F.min(F.struct((-gain).alias("minus"), (F.col("c") != F.col("own")).alias("other"), "c")).alias("best"))
+        moves = best.filter("best.c <> own").select(F.col("a").alias("x"), F.col("best.c").alias("to"))
+        new = cut(state.drop("moved").join(moves, "x", "left").withColumns({"c": F.coalesce("to", "c"), "moved": F.col("to").isNotNull()}).drop("to"))
+        return new, new.filter("moved").count()
+
+    def settled(state: DataFrame) -> tuple[DataFrame, bool]:
+        sweep, moved, best = 0, False, quality(state)
+        while True:
+            before, count = state, 0
+            for colour in range(colours):
+                state, some = turn(state, sweep, colour, False)
+                count += some
+            sweep += 1
+            if count:
+                now = quality(state)
+                if now <= best:
+                    return before, moved
+                before_it, best = best, now
+            moved = moved or count > 0
+            if not count or now - before_it < least:
+                return state, moved
+
     while True:
-        degree = np.array([sum(w for w in g.values()) for g in graph])
-        m2 = degree.sum()
-        home, total, moved = list(range(len(graph))), degree.copy(), True
-        while moved and m2:
-            moved = False
-            for i, g in enumerate(graph):
-                links: dict[int, float] = {}
-                for j, w in g.items():
-                    if j != i:
-                        links[home[j]] = links.get(home[j], 0.0) + w
-                total[home[i]] -= degree[i]
-                gain = lambda c, links=links, i=i: links.get(c, 0.0) - resolution * total[c] * degree[i] / m2
-                best = home[i]
-                for c in sorted(links):
-                    if gain(c) > gain(best) + 1e-12:
-                        best = c
-                moved |= best != home[i]
-                home[i] = best
-                total[best] += degree[i]
-        names = {c: k for k, c in enumerate(dict.fromkeys(home))}
-        if len(names) == len(graph):
+        n = state.count()
+        state, moved = settled(state)
+        if not moved:
             break
-        smaller: list[dict[int, float]] = [{} for _ in names]
-        for i, g in enumerate(graph):
-            for j, w in g.items():
-                a, b = names[home[i]], names[home[j]]
-                smaller[a][b] = smaller[a].get(b, 0.0) + w
-        member = [names[home[x]] for x in member]
-        graph = smaller
-    clusters: dict[int, list[str]] = {}
-    for x, c in zip(ids, member, strict=True):
-        clusters.setdefault(c, []).append(x)
-    return list(clusters.values())
-
-
-def clustered(pairs: DataFrame, resolution: float = 1.0, rounds: int = 20, levels: int = 8) -> DataFrame:
-    """(work_id, cluster): modularity clusters of the links (a, b), by local moves and aggregation as joins; nothing is collected.
-
-    In a round one half of the nodes, by a hash of node and round (in the next the other half), move to the neighbouring cluster of the largest gain (ties: the
-    smallest); a lone node joins another lone one only towards the smaller name, so that the two don't change places.  Rounds end
-    when less than a thousandth moves.  Then clusters become nodes, and their links are added up.
-    """
-    links = cut(pairs.select("a", "b", F.lit(1.0).alias("w")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1.0).alias("w"))))
-    total = links.agg(F.sum("w").alias("w")).first()["w"] or 0.0
-    member = None
-    for _ in range(levels):
-        degree = cut(links.groupBy("a").agg(F.sum("w").alias("k")))
-        nodes = degree.count()
-        home = degree.select(F.col("a").alias("x"), F.col("a").alias("c"))
-        moved_ever = False
-        for turn in range(rounds):
-            held = cut(home.join(degree, F.col("x") == F.col("a")).groupBy("c").agg(F.sum("k").alias("total"), F.count("*").alias("size")))
-            toward = links.filter("a <> b").join(home.select(F.col("x").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
-            own = home.select(F.col("x").alias("a"), F.col("c").alias("own")).join(degree, "a")
-            stay = own.select("a", F.col("own").alias("c"), F.lit(0.0).alias("w"))
-            options = toward.unionByName(stay).groupBy("a", "c").agg(F.sum("w").alias("w")).join(own, "a").join(held, "c")
-            alone = held.select(F.col("c").alias("own"), F.col("size").alias("own_size"))
-            options = options.join(alone, "own").filter(~((F.col("own_size") == 1) & (F.col("size") == 1) & (F.col("c") > F.col("own"))))
-            without = F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("w") - resolution * without * F.col("k") / total, 9)
-            best = options.select("a", "own", "c", gain.alias("gain")).groupBy("a", "own").agg(F.min(F.struct((-F.col("gain")).alias("minus"), (F.col("c") != F.col("own")).alias("other"), "c")).alias("best"))
-            turns = F.pmod(F.xxhash64("a", F.lit(turn // 2)), F.lit(2)) == turn % 2
-            new = cut(best.select(F.col("a").alias("x"), "own", F.when(turns, F.col("best.c")).otherwise(F.col("own")).alias("c")))
-            moves = new.filter("c <> own").count()
-            home, moved_ever = new.select("x", "c"), moved_ever or moves > 0
-            if turn and (moves + before) * 1000 <= nodes:  # both halves have come to rest
-                break
-            before = moves
-        member = home.select(F.col("x").alias("work_id"), F.col("c").alias("cluster")) if member is None else member.join(home, member.cluster == home.x).select("work_id", F.col("c").alias("cluster"))
-        member = cut(member)
-        if not moved_ever or home.select("c").distinct().count() == nodes:
+        parts = state.withColumns({"outer": F.col("c"), "c": F.col("x")})
+        for colour in range(colours):
+            parts = turn(parts, 0, colour, True)[0]
+        to = cut(parts.select("x", F.col("c").alias("part"), "outer", "k"))
+        member = cut(member.join(to.select(F.col("x").alias("part"), F.col("part").alias("new")), "part").select("work_id", F.col("new").alias("part")))
+        name = lambda side: to.select(F.col("x").alias(side), F.col("part").alias(f"p{side}"))
+        links = cut(links.join(name("a"), "a").join(name("b"), "b").groupBy(F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.sum("w").alias("w")))
+        state = cut(to.groupBy("part", "outer").agg(F.sum("k").alias("k")).select(F.col("part").alias("x"), "k", F.col("outer").alias("c")))
+        if state.count() == n and state.select("c").distinct().count() == n:
             break
-        to = lambda side: home.select(F.col("x").alias(side), F.col("c").alias(f"c{side}"))
-        links = cut(links.join(to("a"), "a").join(to("b"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
-    return member
+        # The cluster of a part is named by the smallest of its parts, as clusters must be names of nodes.
+        names = state.groupBy("c").agg(F.min("x").alias("least"))
+        state = cut(state.join(names, "c").select("x", "k", F.col("least").alias("c")))
+    final = state.select(F.col("x").alias("part"), F.col("c").alias("cluster"))
+    return cut(member.join(final, "part").select("work_id", "cluster"))
 
 
-def groups(cites: DataFrame, resolution: float = 1.0, least: int = 5, max_edges: int = 2_000_000) -> DataFrame:
+def groups(cites: DataFrame, resolution: float = 1.0, least: int = 5) -> DataFrame:
     """(anchor, work_id, cited_within, place, size, fringe): communities of the works with two or more neighbours.
 
-    Works with one neighbour follow it as fringe; clusters of fewer than `least` are left out.  Up to `max_edges` links, counted
-    first, are clustered by one process in id order; more by the same moves as joins (`clustered`), of any number.
+    Works with one neighbour follow it as fringe; clusters of fewer than `least` are left out.
     """
-    spark = cites.sparkSession
-    pairs = cites.filter("from_work <> to_work").select(F.least("from_work", "to_work").alias("a"), F.greatest("from_work", "to_work").alias("b")).distinct()
+    pairs = cut(cites.filter("from_work <> to_work").select(F.least("from_work", "to_work").alias("a"), F.greatest("from_work", "to_work").alias("b")).distinct())
     ends = pairs.select(F.col("a").alias("work_id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("work_id"), F.col("a").alias("other")))
-    degree = ends.groupBy("work_id").agg(F.count("*").alias("n"), F.min("other").alias("only"))
+    degree = cut(ends.groupBy("work_id").agg(F.count("*").alias("n"), F.min("other").alias("only")))
     linked = degree.filter("n >= 2").select("work_id")
     core = pairs.join(linked.withColumnRenamed("work_id", "a"), "a", "left_semi").join(linked.withColumnRenamed("work_id", "b"), "b", "left_semi")
-    core = cut(core)
-    if core.count() > max_edges:
-        found = clustered(core, resolution)
-        sizes = found.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") >= least).drop("n")
-        placed = cut(found.join(sizes, "cluster").select("work_id", "cluster"))
-    else:
-        clusters = [c for c in louvain([tuple(r) for r in core.collect()], resolution) if len(c) >= least]
-        placed = spark.createDataFrame([(x, c[0]) for c in clusters for x in c], "work_id string, cluster string")
+    found = clustered(core, resolution)
+    sizes = found.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") >= least).drop("n")
+    placed = cut(found.join(sizes, "cluster").select("work_id", "cluster"))
     to = placed.withColumnsRenamed({"work_id": "to_work", "cluster": "to_cluster"})
     from_ = placed.withColumnsRenamed({"work_id": "from_work", "cluster": "from_cluster"})
     within = cites.filter("from_work <> to_work").join(to, "to_work").join(from_, "from_work").filter("to_cluster = from_cluster").groupBy(F.col("to_work").alias("work_id")).agg(F.count("*").alias("cited_within"))
