@@ -234,14 +234,12 @@ def has_words(words: list[str], wanted: list[str]) -> bool:
 
 
 def mentions_title(pages: list[str], title: str, surname: str | None) -> bool:
-    """Whether a text names a work: its title and, where known, its first author; else the title before a colon."""
-    text = "\n".join(pages)
-    key, there = _key(title), _key(text)
-    named = not surname or has_words(_words(text), _words(surname))
-    if len(key) >= 10 and key in there and named:
-        return True
-    main = _key(title.split(":")[0]) if ":" in title else ""
-    return bool(surname) and named and len(main) >= 20 and main in there
+    """Whether a text names a work: its title (of ten bytes or more as a key) and, where known, its first author; else a long title before a colon."""
+    key, there = _key(title), _key(" ".join(pages))
+    if len(key.encode()) < 10 or surname and not any(has_words(_words(p), _words(surname)) for p in pages):
+        return False
+    main = _key(title.split(":")[0]) if surname and ":" in title else ""
+    return key in there or len(main.encode()) >= 20 and main in there
 
 
 def resembles(page: str, title: str, surname: str | None, share: float = 0.6, further: tuple[str, ...] = ()) -> bool:

@@ -152,7 +152,7 @@ def lineage(works: DataFrame, cites: DataFrame, a: str, b: str, max_hops: int =
 
 def orphans(works: DataFrame, cites: DataFrame, deleted: DataFrame, *keep: DataFrame) -> DataFrame:
     """Stubs that only deleted works cite: not seeds, citing nothing, and in none of the `keep` tables (work_id)."""
-    gone = deleted.select("work_id").distinct()
+    gone, cites = cut(deleted.select("work_id").distinct()), cut(cites.select("from_work", "to_work"))
     cited = cites.join(gone, cites.from_work == gone.work_id, "left_semi").select(F.col("to_work").alias("work_id")).distinct()
     found = works.filter("not hydrated and not is_seed").join(cited, "work_id", "left_semi").join(gone, "work_id", "left_anti")
     others = cites.join(gone, cites.from_work == gone.work_id, "left_anti").select(F.col("to_work").alias("work_id"))

@@ -151,12 +151,24 @@ def _exp6(spark, d):
     return works.withColumn("place", place).filter("place <= 10").select("type", "work_id", "place")
 
 
-@query("txt12_identity", """WITH t AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, text FROM documents), k AS (SELECT *, regexp_replace(strip_accents(lower(title)), '[^\\p{L}\\p{N}]', '', 'g') AS key FROM t)
-    SELECT doc_id, length(key) >= 10 AND doc_id % 3 < 2 AS same FROM k WHERE doc_id % 3 < 2""")
+_FOLD = "strip_accents(lower({0}))"
+_KEY = "regexp_replace(" + _FOLD + ", '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+_WORDS = "list_filter(string_split_regex(" + _FOLD + ", '[^\\p{{L}}]+'), lambda x: x <> '')"
+_ROW = "contains(' ' || array_to_string({0}, ' ') || ' ', ' ' || array_to_string({1}, ' ') || ' ')"
+
+
+@query("txt12_identity", f"""WITH a AS (SELECT d.doc_id, d.text, coalesce(string_split(o.text, chr(10))[1], '') AS title, CASE WHEN d.doc_id % 2 = 0 THEN regexp_extract(d.text, '[^\\s]+') END AS surname FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id + d.doc_id % 3),
+    k AS (SELECT *, {_KEY.format("title")} AS key, {_KEY.format("text")} AS there, {_WORDS.format("text")} AS words, {_WORDS.format("surname")} AS own, {_WORDS.format("array_to_string(string_split(text, chr(10))[1:12], chr(10))")} AS top, list_filter({_WORDS.format("title")}, lambda x: length(x) >= 3) AS wanted, {_KEY.format("string_split(title, ':')[1]")} AS main FROM a),
+    n AS (SELECT *, coalesce(surname, '') <> '' AS known, len(own) > 0 AND {_ROW.format("words", "own")} AS there_by_name FROM k)
+    SELECT doc_id, octet_length(encode(key)) >= 10 AND (NOT known OR there_by_name) AND (contains(there, key) OR known AND contains(title, ':') AND octet_length(encode(main)) >= 20 AND contains(there, main))
+        OR known AND coalesce(there_by_name, FALSE) AND len(wanted) >= 3 AND len(list_filter(wanted, lambda x: list_contains(top, x))) >= 0.6 * len(wanted) AS same FROM n""")
 def _txt12(spark, d):
-    """Whether documents are the works that were asked for: by their own first line, every second with its first word as the author's name."""
-    docs = view(spark, d, "documents").filter("doc_id % 3 < 2").select("doc_id", F.array("text").alias("pages"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"))
-    return text.identity_checked(docs.withColumn("surname", F.lit(None).cast("string"))).select("doc_id", "same")
+    """Whether documents are the works that were asked for: a third by their own first line, the others by that of a document after them; every second with its first word as the author's name."""
+    docs = view(spark, d, "documents")
+    asked = docs.select((F.col("doc_id")).alias("asked"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"))
+    rows = docs.select("doc_id", "text", (F.col("doc_id") + F.col("doc_id") % 3).alias("asked")).join(asked, "asked", "left")
+    surname = F.when(F.col("doc_id") % 2 == 0, F.regexp_extract("text", r"\S+", 0))
+    return text.identity_checked(rows.select("doc_id", F.array("text").alias("pages"), F.coalesce("title", F.lit("")).alias("title"), surname.alias("surname"))).select("doc_id", "same")
 
 
 @query("src11_front_title", "SELECT p_partkey, p_name || ' ' || p_brand || ' again' AS title FROM part")

@@ -177,3 +177,24 @@ def test_who_is_cited():
     assert found("So say Óre-Li et al., 1999; others don't.") == ["c"] and found("So says Óre-Li (1999).") == []
     assert found("In 2001 Smith wrote. Smith 2001 wrote. Smithson (2001) too, X (2004).") == [] and found("It is known (see for this Smith 2001 and more).") == ["a"]
     assert found("Smith (2001, p. 23) put it so. Then more.") == ["a"]
+
+
+def test_a_numbered_marker_comes_before_a_name():
+    from quillgraph.functions.contexts import Ref, contexts
+
+    listed = [f"[{n}] Bell, A. Words that make title {w} of a paper, 200{n}." for n, w in enumerate(("one", "two", "three", "four", "five", "six"), 1)]
+    page = "As Bell et al. (2002) showed before [2]. Nothing else stands here.\n\nReferences\n" + "\n".join(listed)
+    refs = [Ref(f"R{n}", f"Words that make title {w} of a paper", 2000 + n, None, "Bell", 3) for n, w in enumerate(("one", "two", "three", "four", "five", "six"), 1)]
+    (found,) = contexts([page], refs)
+    assert (found.ref, found.marker, found.method) == ("R2", "[2]", "bracket") and found.confidence > 0.85
+
+
+def test_titles_in_any_script():
+    from quillgraph.functions.pagetext import mentions_title
+
+    page = "PLoS Medicine | Essay\nWhy Most Published Research\nFi ndings Are False\nJohn P. A. Ioannidis\nSummary. There is increasing concern that most current published research findings are false."
+    title = "Why Most Published Research Findings Are False"
+    for asked, surname, want in [(title, "Ioannidis", True), (title, "", True), (title, None, True), (title, "Piwowar", False), (title, "Ma", False), (title + ": an essay on bias", "Ioannidis", True), (title + ": a reply", "", False), ("Why", "Ioannidis", False)]:
+        assert mentions_title([page], asked, surname) is want, (asked, surname)
+    assert mentions_title(["新型材料研究\n王伟 李明"], "新型材料研究", "王伟") and not mentions_title(["新型材料研究\n王伟"], "新型材料研究", "李明") and not mentions_title(["新型"], "新型", None)
+    assert mentions_title(["Alán Aspuru-Guzik*a\nSimulated Quantum Computation"], "Simulated Quantum Computation", "Aspuru Guzik") and not mentions_title(["Simulated Quantum Computation by Aspuru", "Guzik"], "Simulated Quantum Computation", "Aspuru-Guzik")
