@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.graph import cut
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,42 +40,52 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
 
-def subtree(collections: DataFrame, root: int, max_levels: int = 64) -> DataFrame:
-    """(id): a collection and all below it; one join for each level of the tree."""
-    level = collections.filter(F.col("id") == root).select("id")
-    found = level
-    for _ in range(max_levels):
-        level = collections.join(level.withColumnRenamed("id", "up"), F.col("parent_id") == F.col("up")).select("id")
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
-    raise ValueError("the collections are nested too deeply, or in a circle")
-
-
-def tree(collections: DataFrame, max_levels: int = 64) -> DataFrame:
-    """(id, name, parent_id, level, path): depth-first, siblings by (name, id); `path` sorts so."""
-    step = F.struct(ascii_lower(F.col("name")).alias("name"), F.col("id"))
-    level = collections.filter("parent_id is null").withColumns({"level": F.lit(0), "path": F.array(step)})
-    found = level
-    for n in range(1, max_levels):
-        up = level.select(F.col("id").alias("up"), F.col("path").alias("above"))
-        level = collections.join(up, F.col("parent_id") == F.col("up")).withColumns({"level": F.lit(n), "path": F.concat("above", F.array(step))}).drop("up", "above")
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found.select("id", "name", "parent_id", "level", "path")
-
-
-def closure(collections: DataFrame, max_levels: int = 64) -> DataFrame:
-    """(ancestor, id): each collection with itself and all below it."""
-    level = collections.select(F.col("id").alias("ancestor"), "id")
-    found = level
-    for _ in range(max_levels):
-        level = collections.join(level.withColumnRenamed("id", "up"), F.col("parent_id") == F.col("up")).select("ancestor", "id")
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
-    raise ValueError("the collections are nested too deeply, or in a circle")
+def tops(collections: DataFrame) -> DataFrame:
+    """(id, top, path): the collection without a parent above each one, and the ids from it down, by doubling the stride of all pointers in each round.
+
+    The rounds grow with the logarithm of the depth, whatever it is.  Collections in or below a circle, or below a parent that isn't there, have no row.
+    """
+    whole = collections.select("id", F.col("parent_id").alias("up"), F.array("id").alias("path")).filter("id is not null")
+    done, open_ = whole.filter("up is null"), cut(whole.filter("up is not null"))
+    done, most, stride = cut(done), collections.count(), 1
+    while stride <= most and not open_.isEmpty():
+        every = done.unionByName(open_).select(F.col("id").alias("above"), F.col("up").alias("next"), F.col("path").alias("before"))
+        moved = cut(open_.join(every, F.col("up") == F.col("above")).select("id", F.col("next").alias("up"), F.concat("before", "path").alias("path")))
+        done, open_, stride = done.unionByName(moved.filter("up is null")), moved.filter("up is not null"), 2 * stride
+    return done.select("id", F.col("path")[0].alias("top"), "path")
+
+
+def circles(collections: DataFrame) -> DataFrame:
+    """(id): the collections that no top is above, as they are in a circle, below one, or below a parent that isn't there."""
+    return collections.select("id").join(tops(collections), "id", "left_anti")
+
+
+def subtree(collections: DataFrame, root: int) -> DataFrame:
+    """(id): a collection and all below it, however deep; a circle through it is opened there."""
+    opened = collections.withColumn("parent_id", F.when(F.col("id") != root, F.col("parent_id")))
+    return tops(opened).filter(F.col("top") == root).select("id")
+
+
+def tree(collections: DataFrame) -> DataFrame:
+    """(id, name, parent_id, level, path): depth-first, siblings by (name, id); `path` sorts so.  What `circles` reports has no row."""
+    ids = tops(collections).select("id", F.posexplode("path").alias("at", "step"))
+    named = collections.select(F.col("id").alias("step"), F.struct(ascii_lower(F.col("name")).alias("name"), F.col("id")).alias("named"))
+    paths = ids.join(named, "step").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "named"))).alias("steps"))
+    paths = paths.select("id", (F.size("steps") - 1).alias("level"), F.transform("steps", lambda x: x["named"]).alias("path"))
+    return collections.join(paths, "id").select("id", "name", "parent_id", "level", "path")
+
+
+def closure(collections: DataFrame) -> DataFrame:
+    """(ancestor, id): each collection with itself and all below it, each pair once, also in circles; strides double in each round."""
+    known = collections.select("id", F.col("parent_id").alias("up")).filter("id is not null")
+    jump = cut(known.join(known.select(F.col("id").alias("up")), "up").select("id", "up"))
+    found, most, stride = cut(known.select(F.col("id").alias("ancestor"), "id")), collections.count(), 1
+    while stride <= most and not jump.isEmpty():
+        further = found.join(jump.select(F.col("id").alias("ancestor"), "up"), "ancestor").select(F.col("up").alias("ancestor"), "id")
+        found = cut(found.unionByName(further).distinct())
+        jump = cut(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")))
+        stride *= 2
+    return found
 
 
 def folded(c: Column) -> Column:

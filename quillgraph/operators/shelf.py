@@ -56,21 +56,14 @@ def put_text(passages: DataFrame, read_state: DataFrame, new_passages: DataFrame
 # --- A reference manager's items ---------------------------------------------------------------------------------------
 
 
-def mirrored(collections: DataFrame, skip: DataFrame, max_levels: int = 64) -> DataFrame:
-    """(key, parent, name, level): a manager's collections (key, parent, name), parents first, without skipped ones and those inside them; a parent that isn't there means the top."""
+def mirrored(collections: DataFrame, skip: DataFrame) -> DataFrame:
+    """(key, parent, name, level): a manager's collections (key, parent, name), parents first, without skipped ones and those inside them; a parent that isn't there means the top.  Those in a circle have no row."""
     name = F.when(F.trim("name") != "", F.trim("name")).otherwise("Untitled collection")
     rows = collections.select("key", "parent", F.coalesce(name, F.lit("Untitled collection")).alias("name"))
     keys = rows.select(F.col("key").alias("up"))
     rows = rows.join(keys, F.col("parent") == F.col("up"), "left").select("key", F.col("up").alias("parent"), "name").join(skip.select("key"), "key", "left_anti")
-    level = rows.filter("parent is null").withColumn("level", F.lit(0))
-    found = level
-    for n in range(1, max_levels):
-        above = level.select(F.col("key").alias("above"))
-        level = rows.join(above, F.col("parent") == F.col("above")).select("key", "parent", "name").withColumn("level", F.lit(n))
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
-    raise ValueError("the collections are nested too deeply, or in a circle")
+    placed = listing.tops(rows.select(F.col("key").alias("id"), F.col("parent").alias("parent_id"))).select(F.col("id").alias("key"), (F.size("path") - 1).alias("level"))
+    return rows.join(placed, "key").select("key", "parent", "name", "level")
 
 
 def import_items(items: DataFrame, collections: DataFrame, skip: DataFrame, known: DataFrame, works: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import identity
-from quillgraph.operators import catalog, shelf
+from quillgraph.functions.textnorm import title_key
+from quillgraph.operators import catalog, shelf, titles
 from quillgraph.plans.library_queries import library
 from quillgraph.queries import query
 from quillgraph.views import view
@@ -268,3 +269,15 @@ def _src16(spark, d):
     first = part.select(work, F.lit(1).alias("place"), F.concat(host, (F.col("p_size") % 5).cast("string")).alias("url"))
     second = part.select(work, F.lit(2).alias("place"), F.concat(host, F.when(F.col("p_partkey") % 2 == 0, "0").otherwise("bad")).alias("url"))
     return fetch.downloaded(first.unionByName(second), cut, answers, pause=0.0).select("work_id", "place", "outcome")
+
+
+@query("dml22_typed_titles", r"""WITH t AS (SELECT doc_id, regexp_replace(lower(string_split(text, chr(10))[1]), '[^\p{L}\p{Nd}]', '', 'g') AS k FROM documents), h AS (SELECT k, count(*) AS works, min(doc_id) AS work_id FROM t WHERE length(k) > 0 GROUP BY 1),
+    a AS (SELECT doc_id AS ask, CASE WHEN doc_id % 200 = 0 THEN k ELSE substr(k, 1, 1) || k END AS k FROM t WHERE doc_id % 100 = 0 AND length(k) > 0)
+    SELECT ask, a.k = h.k AS exact, 1 - levenshtein(a.k, h.k) / greatest(length(a.k), length(h.k)) AS similarity, works, work_id FROM a JOIN h ON abs(length(a.k) - length(h.k)) * 20 <= 3 * greatest(length(a.k), length(h.k)) AND 1 - levenshtein(a.k, h.k) / greatest(length(a.k), length(h.k)) >= 0.85""")
+def _dml22_typed(spark, d):
+    """The first lines of every hundredth document, half of them mistyped, looked up among those of all documents."""
+    docs = view(spark, d, "documents").select(F.col("doc_id"), F.split("text", "\n")[0].alias("title"))
+    key = title_key(F.col("title"))
+    typed = F.when(F.col("doc_id") % 200 == 0, F.col("title")).otherwise(F.concat(F.substring(key, 1, 1), F.col("title")))
+    asked = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("ask"), typed.alias("typed"))
+    return titles.similar(asked, docs.select(F.col("doc_id").alias("work_id"), "title"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.operators import graph
+from quillgraph.operators.paths import between
 from quillgraph.queries import query
 from quillgraph.views import view
 
@@ -165,3 +166,14 @@ def _snk4(spark, d):
     from quillgraph.sources.exports import whole_graph
 
     return whole_graph(view(spark, d, "works"), view(spark, d, "cites"))[1]
+
+
+@query("gr2_paths", """WITH pr AS (SELECT 'C' || c_custkey AS source, 'N' || c_nationkey AS target FROM {customer}),
+    f1 AS (SELECT p.source, p.target, c.to_work AS w FROM pr p JOIN {cites} c ON c.from_work = p.source), f2 AS (SELECT f.source, f.target, c.to_work AS w, min(f.w) AS p FROM f1 f JOIN {cites} c ON c.from_work = f.w GROUP BY 1, 2, 3),
+    f3 AS (SELECT f.source, f.target, c.to_work AS w, min(f.w) AS p FROM f2 f JOIN {cites} c ON c.from_work = f.w GROUP BY 1, 2, 3), f4 AS (SELECT f.source, f.target, min(f.w) AS p FROM f3 f JOIN {cites} c ON c.from_work = f.w AND c.to_work = f.target GROUP BY 1, 2),
+    x AS (SELECT f4.source, f4.target, f2.p AS o, f3.p AS p, f4.p AS s FROM f4 JOIN f3 ON f3.source = f4.source AND f3.target = f4.target AND f3.w = f4.p JOIN f2 ON f2.source = f4.source AND f2.target = f4.target AND f2.w = f3.p)
+    SELECT source, target, CAST(i AS INT) AS hop, CASE i WHEN 0 THEN source WHEN 1 THEN o WHEN 2 THEN p WHEN 3 THEN s ELSE target END AS work_id, CASE WHEN i > 0 THEN TRUE END AS cites FROM x, range(5) t(i)""")
+def _gr2_paths(spark, d):
+    """The path from each customer to a supplier of the customer's own nation, all searched from both ends at once."""
+    pairs = view(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("source"), F.concat(F.lit("N"), "c_nationkey").alias("target"))
+    return between(view(spark, d, "works"), view(spark, d, "cites"), pairs)
