@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillgraph.operators import merge
+from quillgraph.operators import graph, merge
 from quillgraph.queries import query
 from quillgraph.views import view
 
@@ -113,6 +113,46 @@ def _dml20(spark, d):
     return merge.scan_diff(old, disk.unionByName(loose)).select("path", "work_id", "state", "was")
 
 
+# Suppliers are works with a folder each; the files in it are the parts that they supply.  By supplier, modulo 7: left alone, moved into a
+# chapter, its id taken off the name, gone, its files spread over folders by part, moved with a file renamed inside and one added, and two parents swapped.
+_SUPPLIED = "SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM {lineitem}"
+_FILED = f"""SELECT s, p, s % 7 AS k, 'S' || s AS work_id, 'papers/' || (s % 2) || '/Supplier ' || s || '--S' || s AS old,
+    CASE s % 7 WHEN 0 THEN 'papers/' || (s % 2) || '/Supplier ' || s || '--S' || s WHEN 1 THEN 'papers/Chapter/mine--s' || s WHEN 2 THEN 'papers/Supplier ' || s WHEN 4 THEN 'papers/' || (p % 5) || ' of ' || s
+        WHEN 5 THEN 'papers/moved/5--S' || s WHEN 6 THEN 'papers/' || ((s + 1) % 2) || '/Supplier ' || s || '--S' || s END AS now,
+    CASE WHEN s % 7 = 5 AND p = min(p) OVER (PARTITION BY s) THEN 'renamed' ELSE 'part ' END || p || '.pdf' AS name, 'part ' || p || '.pdf' AS old_name,
+    s % 7 = 4 AND min(p % 5) OVER (PARTITION BY s) < max(p % 5) OVER (PARTITION BY s) AS spread FROM ({_SUPPLIED}) AS x"""
+
+
+def _scanned(spark, d):
+    from quillgraph.operators.scan import scan
+
+    filed = graph.cut(spark.sql(_FILED, lineitem=view(spark, d, "lineitem")))
+    content = (F.sha2(F.concat_ws(" ", "s", "p"), 256).alias("sha256"), (F.col("s") + F.col("p")).alias("size"))
+    loose = view(spark, d, "nation").selectExpr("concat('papers/Chapter/', n_name, if(n_nationkey % 2 = 0, '.PDF', '.txt')) as path", "sha2(n_name, 256) as sha256", "cast(0 as bigint) as size")
+    odd = view(spark, d, "region").selectExpr("concat('papers/', r_name, '--X', r_regionkey) as path")
+    disk = filed.filter("now is not null").select(F.concat_ws("/", "now", "name").alias("path"), *content).unionByName(loose).unionByName(odd.select(F.concat("path", F.lit("/a.pdf")).alias("path"), F.lit("x").alias("sha256"), F.lit(0).cast("long").alias("size")))
+    disk = disk.unionByName(filed.filter("k = 5").select("now").distinct().select(F.concat("now", F.lit("/notes.txt")).alias("path"), F.lit("n").alias("sha256"), F.lit(1).cast("long").alias("size")))
+    folders = filed.select(F.col("old").alias("path"), "work_id").distinct()
+    files = filed.select(F.concat_ws("/", "old", "old_name").alias("path"), "work_id", *content)
+    there = filed.filter("now is not null").select(F.col("now").alias("path")).unionByName(odd)
+    return scan(folders, files, view(spark, d, "works").filter("type = 'supplier'").select(F.col("work_id").alias("ref"), "work_id"), there, disk)
+
+
+@query("dml20_folders", f"""WITH f AS ({_FILED}) SELECT DISTINCT CASE WHEN k = 3 OR spread THEN old ELSE now END AS path, work_id, CASE WHEN k = 0 THEN 'same' WHEN k = 3 OR spread THEN 'missing' WHEN k IN (2, 4) THEN 'renamed' ELSE 'moved' END AS state, CASE WHEN NOT (k IN (0, 3) OR spread) THEN old END AS was FROM f
+    UNION ALL SELECT 'papers/' || r_name || '--X' || r_regionkey, NULL, 'unknown', NULL FROM {{region}}""")
+def _dml20_folders(spark, d):
+    """Whole folders found again by the id in their names or by what they hold."""
+    return _scanned(spark, d)[0]
+
+
+@query("dml20_files", f"""WITH f AS ({_FILED}) SELECT coalesce(now, old) || '/' || CASE WHEN k = 5 THEN old_name ELSE name END AS path, work_id, CASE WHEN k = 3 OR (k = 5 AND name <> old_name) THEN 'missing' WHEN k IN (2, 4) THEN 'moved' ELSE 'same' END AS state, CASE WHEN k NOT IN (0, 3) THEN old || '/' || old_name END AS was FROM f
+    UNION ALL SELECT now || '/' || name, work_id, 'new', NULL FROM f WHERE name <> old_name UNION ALL SELECT DISTINCT now || '/notes.txt', work_id, 'new', NULL FROM f WHERE k = 5
+    UNION ALL SELECT 'papers/Chapter/' || n_name || '.PDF', NULL, 'loose', NULL FROM {{nation}} WHERE n_nationkey % 2 = 0""")
+def _dml20_files(spark, d):
+    """Files that follow their folders, are found by content, are new, missing or loose."""
+    return _scanned(spark, d)[1]
+
+
 @query("jn12_resolve", f"WITH a AS ({_EVEN}) SELECT 'P' || p_partkey AS ref, 'P' || p_partkey AS work_id FROM part UNION ALL SELECT 'R0', 'R0' UNION ALL SELECT 'nothing', NULL UNION ALL SELECT 'old' || alias, work_id FROM a")
 def _jn12(spark, d):
     works, aliases = view(spark, d, "works"), _aliases(spark, d).withColumn("alias", F.concat(F.lit("old"), "alias"))
