@@ -308,16 +308,17 @@ def expand(works: DataFrame, cites: DataFrame, index: DataFrame, references: Dat
 
     `index` has the columns of works, `references` is (from_work, to_work, ref_seq) of the whole index, `aliases` (alias, work_id)
     the ids that it answers with another work: those fold into it, with the lower depth.  A batch writes what it changes, rows
-    of works and new edges, and not the tables.  Returns the new works, the new cites, and {"tried", "fetched", "merged", "missing", "stop"}.
+    of works and new edges, and not the tables; edges are counted once, and after that a batch's own edges change the counts and best
+    ranks of the works that they cite.  Returns the new works, the new cites, and {"tried", "fetched", "merged", "missing", "stop"}.
     """
     counts = {"tried": 0, "fetched": 0, "merged": 0, "missing": 0, "stop": "budget-exhausted"}
     rank = lambda t: t.groupBy("to_work").agg(F.count("*").alias("in_degree"), F.min("ref_seq").alias("best"))
     base, ranked = cut(works), cut(rank(cites))
-    changed, grown = base.limit(0), cites.limit(0)
+    changed, grown, newer = base.limit(0), cites.limit(0), ranked.limit(0)
     folded = works.sparkSession.createDataFrame([], "alias string, work_id string")
     while counts["tried"] < budget:
         now = base.join(small(changed.select("work_id")), "work_id", "left_anti").select(*base.columns).unionByName(changed)
-        cited = ranked.unionByName(rank(grown)).groupBy("to_work").agg(F.sum("in_degree").alias("in_degree"), F.min("best").alias("best"))
+        cited = ranked.join(small(newer.select("to_work")), "to_work", "left_anti").unionByName(newer)
         wanted = cut(_ranked_frontier(now.join(small(folded.select(F.col("alias").alias("work_id"))), "work_id", "left_anti"), cited, min(batch, budget - counts["tried"]), max_depth, max_refs))
         n = wanted.count()
         if not n:
@@ -334,7 +335,8 @@ def expand(works: DataFrame, cites: DataFrame, index: DataFrame, references: Dat
         found = cut(found.withColumns({"depth": F.least("depth", "old_depth"), "hydrated": F.lit(True), "unresolved": F.lit(False), "is_seed": F.coalesce("seed", F.lit(False))}).select(*works.columns))
         missing = known.join(found.select("work_id"), "work_id", "left_anti").withColumn("unresolved", F.lit(True)).select(*works.columns)
         new = references.join(small(found.select(F.col("work_id").alias("from_work"), "depth")), "from_work").filter("from_work <> to_work")
-        fresh = new.select(*cites.columns).join(cites.select("from_work", "to_work"), ["from_work", "to_work"], "left_anti").join(grown.select("from_work", "to_work"), ["from_work", "to_work"], "left_anti")
+        held = cites.unionByName(grown).select("from_work", "to_work").join(small(found.select(F.col("work_id").alias("from_work"))), "from_work", "left_semi")
+        fresh = cut(new.select(*cites.columns).join(held, ["from_work", "to_work"], "left_anti"))
         stubs = new.groupBy("to_work").agg((F.min("depth") + 1).cast("int").alias("new_depth")).withColumnRenamed("to_work", "work_id")
         stubs = cut(stubs.join(found.select("work_id"), "work_id", "left_anti").join(missing.select("work_id"), "work_id", "left_anti"))
         lower = now.join(small(stubs), "work_id").filter(F.col("new_depth") < F.col("depth")).withColumn("depth", F.col("new_depth")).select(*works.columns)
@@ -343,6 +345,10 @@ def expand(works: DataFrame, cites: DataFrame, index: DataFrame, references: Dat
         unseen = stubs.join(now.select("work_id"), "work_id", "left_anti").select(*[blank[c].alias(c) for c in works.columns])
         step = cut(found.unionByName(missing).unionByName(lower).unionByName(unseen))
         grown = cut(grown.unionByName(fresh))
+        more = cut(rank(fresh))
+        met = cited.join(small(more.select("to_work")), "to_work", "left_semi").unionByName(more)
+        met = met.groupBy("to_work").agg(F.sum("in_degree").alias("in_degree"), F.min("best").alias("best"))
+        newer = cut(newer.join(small(more.select("to_work")), "to_work", "left_anti").unionByName(met))
         changed = cut(changed.join(small(step.select("work_id")), "work_id", "left_anti").select(*works.columns).unionByName(step))
         counts["tried"] += n
         counts["missing"] += (gone := missing.count())

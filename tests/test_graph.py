@@ -1,5 +1,7 @@
 """Graph operators on small graphs, with ties, cycles and stubs."""
 
+import random
+
 import pytest
 
 from quillgraph.operators import graph
@@ -105,6 +107,45 @@ def test_expansion_keeps_its_budget(spark):
     assert edges.count() == edges.distinct().count()
 
 
+def test_expansion_follows_a_plain_loop(spark):
+    """Many small batches over a random index: what is tried, fetched, linked and how deep, as a loop over dicts finds it."""
+    rng = random.Random(8)
+    ids = [f"W{i:03}" for i in range(120)]
+    lists = {w: rng.sample(ids, rng.randint(0, 9)) for w in ids[:110]}
+    refs = spark.createDataFrame([(w, t, k + 1) for w, ts in lists.items() for k, t in enumerate(ts)], "from_work string, to_work string, ref_seq int")
+    index = works_of(spark, {w: {"hydrated": True, "depth": 0} for w in lists})
+    start = {"W000": 0, "W001": 0} | {t: 1 for w in ("W000", "W001") for t in lists[w] if t not in ("W000", "W001")}
+    links = {(w, t): k + 1 for w in ("W000", "W001") for k, t in enumerate(lists[w]) if w != t}
+    works = works_of(spark, {w: {"hydrated": d == 0, "is_seed": d == 0, "depth": d} for w, d in start.items()})
+    cites = spark.createDataFrame([(*e, k) for e, k in links.items()], "from_work string, to_work string, ref_seq int")
+    depth, fetched, gone, tried = dict(start), {"W000", "W001"}, set(), 0
+    while tried < 40:
+        rows = []
+        for w, d in depth.items():
+            ranks = [k for (_, t), k in links.items() if t == w]
+            if w not in fetched and w not in gone and d <= 4 and ranks and min(ranks) <= 6:
+                rows.append((-len(ranks), d, w))
+        batch = [w for _, _, w in sorted(rows)[: min(7, 40 - tried)]]
+        if not batch:
+            break
+        tried += len(batch)
+        fetched |= {w for w in batch if w in lists}
+        gone |= {w for w in batch if w not in lists}
+        lower = {}
+        for w in batch:
+            for k, t in enumerate(lists.get(w, ())):
+                if t != w:
+                    links.setdefault((w, t), k + 1)
+                    if t not in batch:
+                        lower[t] = min(lower.get(t, 99), depth[w] + 1)
+        for t, d in lower.items():
+            depth[t] = min(depth.get(t, 99), d)
+    grown, edges, counts = graph.expand(works, cites, index, refs, budget=40, max_depth=4, max_refs=6, batch=7)
+    assert {tuple(r) for r in edges.select("from_work", "to_work", "ref_seq").collect()} == {(*e, k) for e, k in links.items()}
+    assert {r["work_id"]: (r["depth"], r["hydrated"], r["unresolved"]) for r in grown.collect()} == {w: (d, w in fetched, w in gone) for w, d in depth.items()}
+    assert (counts["tried"], counts["missing"]) == (tried, len(gone))
+
+
 def test_ego_map(lineage):
     works, cites = lineage
     found = graph.ego_map(works.withColumn("hydrated", works.work_id != "W9"), cites, "W4")
