@@ -67,6 +67,16 @@ def place_for(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quill/{name}-{uuid.uuid4().hex}"
 
 
+def mapped_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder whose files driver and workers open themselves; the open `scratch` will delete it."""
+    path = note(place_for(spark, name))
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        raise RuntimeError(f"workers can't open files of {path}: spark.checkpoint.dir must be a path of a mounted folder")
+    return path
+
+
 def note(path: str) -> str:
     """The open `scratch`, if there is one, will delete the path."""
     if (noted := _scope.get()) is not None:
@@ -136,13 +146,16 @@ def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return docs.join(side, docs[key] == side[name], "left_anti")
 
 
-def kept_rows(docs: DataFrame, verdict) -> DataFrame:
-    """The rows for which `verdict(batch)` is true, all columns as they are; one pass, nothing shuffled."""
+def kept_rows(docs: DataFrame, verdict, chars: int = 1_000_000) -> DataFrame:
+    """The rows for which `verdict(batch)` is true, all columns as they are; one pass, nothing shuffled.
+
+    A batch holds about `chars` bytes.
+    """
     import numpy as np
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for rows in pieces([whole], 1_000_000):
+            for rows in pieces([whole], chars):
                 yield rows.filter(pa.array(np.asarray(verdict(rows), bool)))
 
     return docs.mapInArrow(make, docs.schema)

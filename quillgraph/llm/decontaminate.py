@@ -19,8 +19,9 @@ done only the bands that reach the count are kept, so a benchmark whose items sh
 doesn't fill the memory.  An item of fewer than Q characters holds no q-gram; it is found
 exactly, as whole words in a row.
 
-The windows' q-grams go to the executors in blocks of at most `BLOCK_GRAMS`, one pass over the
-texts for each block: a benchmark of any size runs, and a usual one is one block.
+The items are cut into blocks of about `BLOCK_GRAMS` q-grams, files in the shared folder.  A task passes over its
+texts once, and takes them through one block after another, many texts at a time, with the index of one block in
+memory: a benchmark of any size runs, and a usual one is one block.
 
 Defined results: null texts are empty and match nothing; null items, and items without a letter or
 digit, match nothing; items with less
@@ -31,21 +32,24 @@ return no rows; other columns are not read.
 
 from __future__ import annotations
 
+import os
+import pickle
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import arrow_map, kept_rows, pieces, text_of
+from quillgraph.llm.common import arrow_map, kept_rows, mapped_folder, pieces, text_of
 
 Q = 10
 WINDOW = 100
 PASSAGE, STEP = 56, 5
 BUDGET = 0.08
 BLOCK_GRAMS = 4_000_000
+#: Bytes of text that are searched at once, and that are taken through the blocks together where there are several.
+PIECE, MANY = 2_000_000, 32_000_000
 #: Shared q-grams (text position, window) that are held at once.
 SLICE = 2_000_000
 _ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -234,40 +238,75 @@ def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[
     yield block
 
 
+def stored_blocks(items: DataFrame, id_col: str, text_col: str) -> list[str]:
+    """Files of the blocks of items in the shared folder; the driver holds one block at a time."""
+    folder, paths = mapped_folder(items.sparkSession, "benchmark"), []
+    os.makedirs(folder)
+    for block in blocks(items, id_col, text_col):
+        paths.append(f"{folder}/{len(paths)}")
+        with open(paths[-1], "wb") as f:
+            pickle.dump(block, f)
+    return paths
+
+
+class Searcher:
+    """Searches texts for the windows of all blocks; it holds those of one block at a time.
+
+    Every other call goes through the blocks backwards and so starts with the block that it holds.
+    """
+
+    def __init__(self, paths: list[str], share: float):
+        self.paths, self.share, self.held, self.windows = paths, share, -1, None
+
+    def _hold(self, block: int) -> Windows:
+        if block != self.held:
+            self.windows = None
+            with open(self.paths[block], "rb") as f:
+                self.windows = Windows(pickle.load(f), self.share, passages=True)
+            self.held = block
+        return self.windows
+
+    def __call__(self, texts: list[bytes]) -> Iterator[tuple[Windows, tuple[np.ndarray, ...]]]:
+        """(windows of a block, what `search` finds of it), in parts of about `PIECE` bytes of text."""
+        part = np.cumsum([0, *(len(t) for t in texts)])[:-1] // PIECE
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() if texts else []
+        order = range(len(self.paths))
+        for block in reversed(order) if self.held > 0 else order:
+            windows = self._hold(block)
+            for start, end in zip(starts, [*starts[1:], len(texts)], strict=True):
+                d, *rest = search(windows, texts[start:end])
+                yield windows, (d + start, *rest)
+
+
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = BUDGET) -> DataFrame:
     """(id, item, windows, distance, start): each contaminated (document, item) with the number of windows found, and the
     least edits and first place (in bytes of the compared form) of a window."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("t"))
-
-    def find(block: list[tuple[int | None, bytes]]) -> DataFrame:
-        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = Windows(block, share, passages=True)
-            for rows in pieces(batches, 2_000_000):
-                keys = rows.column(0).to_pylist()
-                d, w, start, edits = search(windows, [plain(t) for t in rows.column(1).to_pylist()])
+    paths = stored_blocks(items, item_id, item_text)
+    chars = PIECE if len(paths) == 1 else MANY
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = Searcher(paths, share)
+        for rows in pieces(batches, chars):
+            keys = rows.column(0).to_pylist()
+            for windows, (d, w, start, edits) in searcher([plain(t) for t in rows.column(1).to_pylist()]):
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in d], pa.int64()), pa.array([windows.item[i] for i in w], pa.int64()), pa.array(start, pa.int64()), pa.array(w, pa.int64()), pa.array(edits, pa.int64())], schema=_HIT)
 
-        return arrow_map(source, make, "id long, item long, start long, window long, distance long")
-
-    found = reduce(DataFrame.unionByName, [find(b) for b in blocks(items, item_id, item_text)])
+    found = arrow_map(source, make, "id long, item long, start long, window long, distance long")
     return found.groupBy("id", "item").agg(F.count_distinct("window").alias("windows"), F.min("distance").alias("distance"), F.min("start").alias("start"))
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = BUDGET) -> DataFrame:
-    """The documents without those that a window of an item matches, with their columns; nothing is shuffled."""
+    """The documents without those that a window of an item matches, with their columns; one pass, nothing is shuffled."""
     at = docs.columns.index(text_col)
+    paths = stored_blocks(items, item_id, item_text)
+    made: list[Searcher] = []
 
-    def verdict_of(block: list[tuple[int | None, bytes]]):
-        made: list[Windows] = []
-
-        def verdict(rows: pa.RecordBatch) -> np.ndarray:
-            windows = made[0] if made else made.append(Windows(block, share, passages=True)) or made[0]
-            stay = np.ones(rows.num_rows, bool)
-            stay[search(windows, [plain(t) for t in rows.column(at).to_pylist()])[0]] = False
-            return stay
-
-        return verdict
+    def verdict(rows: pa.RecordBatch) -> np.ndarray:
+        searcher = made[0] if made else made.append(Searcher(paths, share)) or made[0]
+        stay = np.ones(rows.num_rows, bool)
+        for _, (d, *_) in searcher([plain(t) for t in rows.column(at).to_pylist()]):
+            stay[d] = False
+        return stay
 
-    for block in blocks(items, item_id, item_text):
-        docs = kept_rows(docs, verdict_of(block))
-    return docs
+    return kept_rows(docs, verdict, PIECE // 2 if len(paths) == 1 else MANY)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import note, pieces, place_for, trim
+from quillgraph.llm.common import mapped_folder, pieces, trim
 from quillgraph.llm.folds import fold
 
 ORDER = 2
@@ -322,15 +322,6 @@ def following(below: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(fits & (below >= 0))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    path = note(place_for(spark, name))
-    if path.startswith("file:"):
-        return "/" + path.removeprefix("file:").lstrip("/")
-    if "://" in path:
-        raise RuntimeError(f"workers can't map files of {path}: spark.checkpoint.dir must be a path of a mounted folder for the arrays")
-    return path
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
     held = fold(F.col(id_col), parts) == 2
     return docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held_out"), F.encode(F.col(text_col), "UTF-8").alias("t"))
@@ -459,14 +450,14 @@ def fit(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: s
     """The model of the rows that crc32 of the id as text, mod `parts`, does not hold out."""
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col, parts).filter("not held_out").select("t")
-    words, counts = _words(texts, order, _folder(spark, "words"))
+    words, counts = _words(texts, order, mapped_folder(spark, "words"))
     if not counts:
         return Model(order, 0, 0, [], [])
     model = Model(order, counts[5], counts[4], [words], [])
     of_level = [counts]
     shards = -(-model.tokens // SHARD)
     for k in range(2, order + 1):
-        path, below, top = _folder(spark, f"grams{k}"), model.levels[-1], k == order
+        path, below, top = mapped_folder(spark, f"grams{k}"), model.levels[-1], k == order
 
         def write(batches: Iterator[pa.RecordBatch], path=path, below=below, top=top) -> Iterator[pa.RecordBatch]:
             for s, a, b, n in _merged_blocks(batches):

@@ -110,6 +110,28 @@ def test_short_items_are_found_exactly(spark):
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {1, 2, 6}
 
 
+def test_a_benchmark_of_many_blocks_takes_one_pass(spark, monkeypatch):
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    items = [text(30) for _ in range(40)]
+    docs = docs_of(spark, [text(200) + (" " + items[i % 40] + " " + items[i * 7 % 40] if i % 3 else "") for i in range(120)])
+    bench = spark.createDataFrame([*enumerate(items), (90, "Tiny"), (91, None)], "item_id long, text string")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    one, kept = key(decontaminate.matches(docs, bench)), key(decontaminate.clean(docs, bench))
+    assert len({r[1] for r in one}) == 40 and len(kept) == 40
+    monkeypatch.setattr(decontaminate, "BLOCK_GRAMS", 10_000)
+    paths = decontaminate.stored_blocks(bench, "item_id", "text")
+    assert len(paths) > 5
+    many, clean = decontaminate.matches(docs, bench), decontaminate.clean(docs, bench)
+    assert key(many) == one and key(clean) == kept
+    assert [df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for df in (many, clean)] == [1, 1]
+    # Calls go forwards and backwards through the blocks, in parts of a few texts, and find the same each time.
+    monkeypatch.setattr(decontaminate, "PIECE", 3000)
+    searcher, texts = decontaminate.Searcher(paths, decontaminate.BUDGET), [decontaminate.plain(r["text"]) for r in docs.collect()]
+    rounds = [sorted((int(i), w.item[j]) for w, (d, js, *_) in searcher(part) for i, j in zip(d, js, strict=True)) for part in (texts, texts, [], texts)]
+    assert rounds[0] == rounds[1] == rounds[3] and {r for r in rounds[0]} == {(r[0], r[1]) for r in one} and rounds[2] == []
+
+
 def test_slices_find_the_same(monkeypatch):
     rng = random.Random(5)
     template = "which of the following statements about the topic is true given all that is known so far "
