@@ -268,8 +268,10 @@ class Searcher:
 
     def __call__(self, texts: list[bytes]) -> Iterator[tuple[Windows, tuple[np.ndarray, ...]]]:
         """(windows of a block, what `search` finds of it), in parts of about `PIECE` bytes of text."""
+        if not texts:
+            return
         part = np.cumsum([0, *(len(t) for t in texts)])[:-1] // PIECE
-        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() if texts else []
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
         order = range(len(self.paths))
         for block in reversed(order) if self.held > 0 else order:
             windows = self._hold(block)
