@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.operators.graph import cut
+from quillgraph.operators.graph import cut, small
 
 #: A group of equal keys is numbered in this many parts.
 PARTS = 256
+#: Keys of more rows than this are numbered in parts before they are paired.
+MANY = 100_000
 _CONTENT = ["sha256", "size"]
+_OTHER = "?" * 33
 
 
 def numbered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -31,6 +34,11 @@ def _above(rows: DataFrame) -> DataFrame:
     return rows.withColumn("above", F.explode(F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))))
 
 
+def _dir(path: str) -> Column:
+    """The folder that a path lies in; null where it names none."""
+    return F.when(F.col(path).contains("/"), F.expr(f"substring({path}, 1, length({path}) - length(substring_index({path}, '/', -1)) - 1)"))
+
+
 def _nearest(rows: DataFrame, folders: DataFrame, *values: str) -> DataFrame:
     """(path, above, *values): the deepest of `folders` (above, *values) over each path of `rows` that has one."""
     found = _above(rows.select("path").distinct()).join(folders, "above")
@@ -38,16 +46,47 @@ def _nearest(rows: DataFrame, folders: DataFrame, *values: str) -> DataFrame:
     return found.groupBy("path").agg(best).select("path", "best.*")
 
 
+def _under(rows: DataFrame, path: str, folders: DataFrame, *values: str) -> DataFrame:
+    """`rows` with (above, *values) of the deepest of `folders` over each `path`, else nulls; looked up once for each folder that has files."""
+    rows = rows.withColumn("lies_in", _dir(path))
+    dirs = rows.select(F.concat("lies_in", F.lit("/")).alias("path")).filter("path is not null")
+    found = _nearest(dirs, folders, *values).withColumn("lies_in", F.expr("substring(path, 1, length(path) - 1)")).drop("path")
+    return rows.join(small(cut(found)), "lies_in", "left").drop("lies_in")
+
+
+def _packed(sha: Column) -> Column:
+    """A SHA-256 in hex as its 32 bytes, any other text as more than 32; the inverse is `_unpacked`."""
+    return F.when(sha.rlike("^[0-9a-f]{64}\\z"), F.unhex(sha)).otherwise(F.concat(F.lit(_OTHER).cast("binary"), sha.cast("binary")))
+
+
+def _unpacked(sha: Column) -> Column:
+    return F.when(F.length(sha) == 32, F.lower(F.hex(sha))).otherwise(F.substring(sha, len(_OTHER) + 1, 2147483647).cast("string"))
+
+
 def _below(path: Column, old: Column, new: Column) -> Column:
     return F.concat(new, F.substring(path, F.length(old) + 1, F.length(path)))
 
 
 def _pairs(lost: DataFrame, found: DataFrame, *within: str) -> DataFrame:
-    """(path, to): recorded files and files on disk of the same content (and the same `within`), one to one."""
-    keys = [*within, *_CONTENT]
-    a = numbered(lost.filter("sha256 is not null and size is not null"), keys, "path")
-    b = numbered(found.filter("sha256 is not null and size is not null").withColumnRenamed("path", "to"), keys, "to")
-    return a.join(b.select(*keys, "to", "k"), [*keys, "k"]).drop("k")
+    """(path, to, owner): recorded files and files on disk of the same content (and the same `within`), one to one.
+
+    Both sides are shuffled together once; contents of more than `MANY` rows are numbered in parts and joined.
+    """
+    keys, full = [*within, *_CONTENT], "sha256 is not null and size is not null"
+    text = F.lit(None).cast("string")
+    owner = F.col("owner") if "owner" in lost.columns else text
+    a = lost.filter(full).select(*keys, "path", owner.alias("owner"))
+    b = found.filter(full).select(*keys, F.col("path").alias("to"))
+    rows = a.withColumn("to", text).unionByName(b.withColumns({"path": text, "owner": text})).withColumn("h", F.xxhash64(*keys))
+    often = cut(rows.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > MANY).select("h"))
+    some = not often.isEmpty()
+    few = rows.join(F.broadcast(often), "h", "left_anti") if some else rows
+    k = F.row_number().over(Window.partitionBy(*keys, F.col("to").isNull()).orderBy(F.coalesce("path", "to")))
+    out = few.drop("h").repartition(*keys).withColumn("k", k).groupBy(*keys, "k").agg(F.max("path").alias("path"), F.max("to").alias("to"), F.max("owner").alias("owner")).filter("path is not null and to is not null").select("path", "to", "owner")
+    if some:
+        big = lambda t: t.withColumn("h", F.xxhash64(*keys)).join(F.broadcast(often), "h", "left_semi").drop("h")
+        out = out.unionByName(numbered(big(a), keys, "path").join(numbered(big(b), keys, "to"), [*keys, "k"]).select("path", "to", "owner"))
+    return out
 
 
 def _contents(files: DataFrame, folder: str) -> DataFrame:
@@ -74,13 +113,13 @@ def scan(folders: DataFrame, files: DataFrame, known: DataFrame, disk_folders: D
     Equal contents are interchangeable.  Null paths and paths with a part that begins with a dot are left out, null contents match nothing, an
     empty table is a library or a disk without anything, other columns are not read.
     """
-    content = (F.lower("sha256").alias("sha256"), F.col("size").cast("long").alias("size"))
+    content = (_packed(F.lower("sha256")).alias("sha256"), F.col("size").cast("long").alias("size"))
     text = F.lit(None).cast("string")
     visible = lambda t: t.filter("path is not null and not path rlike '(^|/)[.]'")
     folders = cut(visible(folders).groupBy("path").agg(F.min("work_id").alias("work_id")))
-    files = visible(files).groupBy("path").agg(F.min(F.struct("work_id", *content)).alias("f")).select("path", "f.*")
+    files = visible(files).select("path", "work_id", *content)
     there = cut(visible(disk_folders).select("path").distinct())
-    disk = visible(disk).groupBy("path").agg(F.min(F.struct(*content)).alias("f")).select("path", "f.*")
+    disk = visible(disk).select("path", *content)
 
     # Folders by the id in their names.
     known = known.groupBy(F.upper("ref").alias("ref")).agg(F.min("work_id").alias("work_id"))
@@ -96,32 +135,41 @@ def scan(folders: DataFrame, files: DataFrame, known: DataFrame, disk_folders: D
     met = cut(numbered(come, ["work_id"], "path").join(numbered(gone, ["work_id"], "was"), ["work_id", "k"], "full_outer").select("path", "work_id", "was"))
     moved, vanished = met.filter("path is not null and was is not null"), met.filter("path is null").select("was", "work_id").unionByName(gone.filter("work_id is null"))
 
-    # Recorded files go with their folders.
-    led = _nearest(files, moved.select(F.col("was").alias("above"), F.col("path").alias("to")), "to")
-    files = files.join(led, "path", "left").withColumn("now", F.coalesce(_below(F.col("path"), F.col("above"), F.col("to")), F.col("path"))).drop("above", "to")
-    files = cut(files.withColumn("first", F.row_number().over(Window.partitionBy("now").orderBy("path")) == 1))
-    inside = _nearest(disk, named.select(F.col("path").alias("above"), F.col("work_id").alias("home_work")), "home_work")
-    disk = cut(disk.join(inside, "path", "left").withColumnRenamed("above", "home").filter("home is null or home_work is not null"))
-    held = files.filter("first").select(F.col("now").alias("path"), F.col("path").alias("was"), "work_id", F.struct(*_CONTENT).alias("old"), F.lit(True).alias("held"))
-    seen = cut(disk.join(held, "path", "left"))
-    at = seen.filter("held or home is not null")
-    state = F.when(F.col("held").isNull(), "new").when((F.col("sha256") == F.col("old.sha256")) & (F.col("size") == F.col("old.size")), "same").otherwise("changed")
-    placed = at.select("path", F.coalesce("home_work", "work_id").alias("work_id"), state.alias("state"), F.when(F.col("was") != F.col("path"), F.col("was")).alias("was"))
-    spare = cut(seen.filter("held is null and home is null").select("path", *_CONTENT, F.regexp_replace("path", "/?[^/]*$", "").alias("dir")))
-    unseen = cut(files.join(seen.filter("held").select(F.col("was").alias("path")), "path", "left_anti"))
+    # Recorded files go with their folders, and meet what lies there in one shuffle; `was` is null in a row of the disk.
+    led = _under(files, "path", moved.select(F.col("was").alias("above"), F.col("path").alias("to")), "to")
+    led = led.select(F.coalesce(_below(F.col("path"), F.col("above"), F.col("to")), "path").alias("path"), F.col("path").alias("was"), "work_id", *_CONTENT, F.lit(False).alias("home"))
+    inside = _under(disk, "path", named.select(F.col("path").alias("above"), "work_id"), "work_id").filter("above is null or work_id is not null")
+    inside = inside.select("path", text.alias("was"), "work_id", *_CONTENT, F.col("above").isNotNull().alias("home"))
+    rows = led.unionByName(inside).repartition("path").withColumn("sha256", _unpacked(F.col("sha256")))
+    rows = rows.groupBy("path", "was").agg(F.min(F.struct("work_id", *_CONTENT)).alias("f"), F.max("home").alias("home")).select("path", "was", "f.*", "home")
+    here = Window.partitionBy("path")
+    on_disk = F.col("was").isNull()
+    rows = rows.withColumns({"there": F.max(on_disk).over(here), "held": F.min(F.when(~on_disk, F.struct("was", "work_id", *_CONTENT))).over(here)})
+    kind = F.when(on_disk & (F.col("held").isNotNull() | F.col("home")), "at").when(on_disk, "spare").when(~F.col("there") | (F.col("was") != F.col("held.was")), "unseen")
+    state = F.when(F.col("held").isNull(), "new").when((F.col("sha256") == F.col("held.sha256")) & (F.col("size") == F.col("held.size")), "same").otherwise("changed")
+    at = F.col("kind") == "at"
+    rows = rows.withColumn("kind", kind).filter("kind is not null").select(
+        "path", F.when(at, F.col("held.was")).otherwise(F.col("was")).alias("was"), F.when(at, F.coalesce("work_id", "held.work_id")).otherwise(F.col("work_id")).alias("work_id"),
+        F.when(~at, _packed(F.col("sha256"))).alias("sha256"), F.when(~at, F.col("size")).alias("size"), F.when(at, state).alias("state"), "kind",
+    )
+    rows = cut(rows)
+    placed = rows.filter("kind = 'at'").select("path", "work_id", "state", F.when(F.col("was") != F.col("path"), F.col("was")).alias("was"))
+    spare = rows.filter("kind = 'spare'").select("path", *_CONTENT, F.coalesce(_dir("path"), F.lit("")).alias("dir"))
 
     # Vanished folders: by all their files, then by those that were found.
-    owners = _nearest(unseen.select(F.col("now").alias("path")), vanished.select(F.col("was").alias("above")))
-    mine = cut(unseen.join(owners.select(F.col("path").alias("now"), F.col("above").alias("owner")), "now").select("path", *_CONTENT, "owner"))
+    unseen = _under(rows.filter("kind = 'unseen'").select(F.col("path").alias("now"), F.col("was").alias("path"), "work_id", *_CONTENT), "now", vanished.select(F.col("was").alias("above")))
+    unseen = cut(unseen.withColumnRenamed("above", "owner"))
+    mine = unseen.filter("owner is not null").select("path", *_CONTENT, "owner")
     taken = kept.select("path").unionByName(met.filter("path is not null").select("path"))
     free = spare.filter((F.col("dir") != root) & (F.col("dir") != "")).join(taken.select(F.col("path").alias("dir")), "dir", "left_anti")
     sums = ["n", "s1", "s2", "x"]
     whole = numbered(_contents(mine, "owner"), sums, "owner").join(numbered(_contents(free, "dir"), sums, "dir"), [*sums, "k"]).select("owner", "dir")
     whole = cut(whole)
-    by_whole = cut(_pairs(mine.join(whole, "owner"), spare.join(whole.select("dir"), "dir", "left_semi"), "dir").select("path", "to"))
-    rest = mine.join(whole.select("owner"), "owner", "left_anti")
+    some = small(whole)
+    by_whole = cut(_pairs(mine.join(some, "owner"), spare.join(some.select("dir"), "dir", "left_semi"), "dir").select("path", "to"))
+    rest = mine.join(some.select("owner"), "owner", "left_anti")
     left = spare.join(by_whole.select(F.col("to").alias("path")), "path", "left_anti")
-    hits = cut(_pairs(rest, left.drop("dir")).select("path", "owner", "to").withColumn("dir", F.regexp_replace("to", "/?[^/]*$", "")))
+    hits = cut(_pairs(rest, left).withColumn("dir", F.coalesce(_dir("to"), F.lit(""))))
     single = hits.groupBy("owner").agg(F.min("dir").alias("dir"), F.max("dir").alias("other")).filter("dir = other").drop("other")
     single = single.filter((F.col("dir") != root) & (F.col("dir") != "")).join(taken.select(F.col("path").alias("dir")), "dir", "left_anti").join(whole.select("dir"), "dir", "left_anti")
     renamed = cut(whole.unionByName(single.groupBy("dir").agg(F.min("owner").alias("owner"))))
@@ -131,12 +179,13 @@ def scan(folders: DataFrame, files: DataFrame, known: DataFrame, disk_folders: D
     # Single files, by content.
     lost = unseen.join(followed.select("path"), "path", "left_anti")
     open_ = spare.join(followed.select(F.col("to").alias("path")), "path", "left_anti")
-    alone = cut(_pairs(lost.select("path", *_CONTENT), open_.drop("dir")).select("path", "to"))
-    gone_to = unseen.join(followed.unionByName(alone), "path", "left").join(mine.select("path", "owner").join(renamed, "owner"), "path", "left")
-    where = F.coalesce("to", _below(F.col("now"), F.col("owner"), F.col("dir")), "now")
+    alone = cut(_pairs(lost.select("path", *_CONTENT), open_).select("path", "to"))
+    gone_to = unseen.select("path", "now", "work_id", "owner").join(followed.unionByName(alone), "path", "left").join(small(renamed), "owner", "left")
+    where = F.coalesce("to", _below(F.col("now"), F.col("owner"), F.col("dir")), "now")  # the last two name a missing file
     fate = F.when(F.col("to").isNull(), "missing").otherwise("moved")
     lost = gone_to.select(where.alias("now"), "work_id", fate.alias("state"), F.when(where != F.col("path"), F.col("path")).alias("was")).withColumnRenamed("now", "path")
-    loose = open_.join(alone.select(F.col("to").alias("path")), "path", "left_anti").filter(F.lower("path").endswith(".pdf")).select("path", text.alias("work_id"), F.lit("loose").alias("state"), text.alias("was"))
+    pdfs = spare.filter(F.lower("path").endswith(".pdf")).select("path")
+    loose = pdfs.join(followed.unionByName(alone).select(F.col("to").alias("path")), "path", "left_anti").select("path", text.alias("work_id"), F.lit("loose").alias("state"), text.alias("was"))
 
     back = vanished.join(renamed.select(F.col("owner").alias("was"), "dir"), "was", "left")
     verdicts = [
