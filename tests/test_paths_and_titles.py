@@ -1,10 +1,13 @@
 """Searches from both ends, titles by shared grams and trees of any depth, against plain Python."""
 
+import glob
 import random
 
+import pyarrow.parquet as pq
 import pytest
 
 from quillgraph.operators import graph, listing, shelf, titles
+from quillgraph.operators.graph import shared_folder
 from quillgraph.operators.paths import between
 from tests.test_graph import cites_of, works_of
 
@@ -131,3 +134,16 @@ def test_both_ways_agree(spark):
     one = graph.shortest_path(works, cites, "W1", "W6")
     rows = between(works, cites, spark.createDataFrame([("W1", "W6")], "source string, target string")).orderBy("hop").collect()
     assert [(r["work_id"], r["cites"]) for r in rows] == one
+
+
+def test_pairs_of_one_target_share_its_levels(spark):
+    """100 sources with 40 works each, of which one leads on; the target has 30 works before it."""
+    edges = [(f"s{i}", f"w{i}.{j}") for i in range(100) for j in range(40)] + [(f"w{i}.0", f"m{i % 30}") for i in range(100)] + [(f"m{k}", "t") for k in range(30)]
+    ids = sorted({x for e in edges for x in e})
+    works = spark.createDataFrame([(i, i) for i in ids], "work_id string, index_id string")
+    folder = f"{shared_folder(spark).removeprefix('file:')}/cut/*/*.parquet"
+    earlier = set(glob.glob(folder))
+    found = between(works, spark.createDataFrame(edges, "from_work string, to_work string"), spark.createDataFrame([(f"s{i}", "t") for i in range(100)], "source string, target string"))
+    assert sorted(r["work_id"] for r in found.filter("hop = 2").collect()) == sorted(f"m{i % 30}" for i in range(100))
+    at_target = lambda f: {"node", "d"} <= set(pq.ParquetFile(f).schema.names)
+    assert sum(pq.ParquetFile(f).metadata.num_rows for f in set(glob.glob(folder)) - earlier if at_target(f)) < 1000
