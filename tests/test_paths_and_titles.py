@@ -147,3 +147,16 @@ def test_pairs_of_one_target_share_its_levels(spark):
     assert sorted(r["work_id"] for r in found.filter("hop = 2").collect()) == sorted(f"m{i % 30}" for i in range(100))
     at_target = lambda f: {"node", "d"} <= set(pq.ParquetFile(f).schema.names)
     assert sum(pq.ParquetFile(f).metadata.num_rows for f in set(glob.glob(folder)) - earlier if at_target(f)) < 1000
+
+
+def test_long_titles_of_few_words_are_not_taken_apart_into_rows(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeiourstln") for _ in range(5)) for _ in range(40)]
+    held = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(200)]
+    works = spark.createDataFrame([(f"w{i}", t) for i, t in enumerate(held)], "work_id string, title string")
+    asked = spark.createDataFrame([(i, "x" + held[i][: -3 * i] + held[i][-2 * i :]) for i in range(1, 15)], "ask int, typed string")
+    folder = f"{shared_folder(spark).removeprefix('file:')}/cut/*/*.parquet"
+    earlier = set(glob.glob(folder))
+    found = {(r["ask"], r["work_id"]) for r in titles.similar(asked, works).collect()}
+    assert found == {(i, f"w{i}") for i in range(1, 15)}
+    assert sum(pq.ParquetFile(f).metadata.num_rows for f in set(glob.glob(folder)) - earlier) < 3 * len(held)
