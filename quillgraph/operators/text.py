@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -21,28 +22,47 @@ def gathered(pages: DataFrame) -> DataFrame:
     return pages.groupBy("work_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("pages"))
 
 
+#: Texts that Python holds at a time, in bytes of a batch.
+PIECE = 4_000_000
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of Arrow batches in runs of about `PIECE` bytes, at least one row: what is made of texts is larger than they are, so it is made of few at a time."""
+    for batch in batches:
+        step = max(1, batch.num_rows * PIECE // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step).to_pylist()
+
+
 def cleaned(works: DataFrame) -> DataFrame:
     """(work_id, pages) with every page cleaned."""
 
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["pages"] = [[pagetext.clean(p or "") for p in pages] for pages in f["pages"]]
-            yield f
+    schema = pa.schema([("work_id", pa.string()), ("pages", pa.list_(pa.string()))])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in pieces(batches):
+            for r in rows:
+                r["pages"] = [pagetext.clean(p or "") for p in r["pages"]]
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return works.select("work_id", "pages").mapInPandas(make, "work_id string, pages array<string>")
+    return works.select("work_id", "pages").mapInArrow(make, "work_id string, pages array<string>")
 
 
 def read(works: DataFrame) -> DataFrame:
     """Clean, judge and cut works (work_id, pages) in one pass: one row each, with passages only where the text is ok."""
+    passage = pa.struct([("page", pa.int32()), ("ordinal", pa.int32()), ("section", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())])
+    schema = pa.schema([("work_id", pa.string()), ("pages", pa.int32()), ("chars", pa.int64()), ("status", pa.string()), ("passages", pa.list_(passage))])
 
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            pages = [[pagetext.clean(p or "") for p in listed] for listed in f["pages"]]
-            status = [pagetext.judged("\n".join(p), len(p)) for p in pages]
-            rows = [[p._asdict() for p in pagetext.passages(listed)] if s == "ok" else [] for listed, s in zip(pages, status, strict=True)]
-            yield pd.DataFrame({"work_id": f["work_id"], "pages": [len(p) for p in pages], "chars": [sum(map(len, p)) for p in pages], "status": status, "passages": rows})
+    def one(work: str, listed: list) -> dict:
+        pages = [pagetext.clean(p or "") for p in listed]
+        status = pagetext.judged("\n".join(pages), len(pages))
+        return {"work_id": work, "pages": len(pages), "chars": sum(map(len, pages)), "status": status, "passages": [p._asdict() for p in pagetext.passages(pages)] if status == "ok" else []}
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in pieces(batches):
+            yield pa.RecordBatch.from_pylist([one(r["work_id"], r["pages"]) for r in rows], schema)
 
-    return works.select("work_id", "pages").mapInPandas(make, READ)
+    return works.select("work_id", "pages").mapInArrow(make, READ)
 
 
 def passages(read_works: DataFrame) -> DataFrame:
