@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from quillgraph.functions import identity, pagetext, textnorm
-from quillgraph.operators import text
+from quillgraph.operators import lists, text
 from quillgraph.queries import query
 from quillgraph.views import view
 
@@ -106,8 +106,7 @@ def _scal9(spark, d):
 @query("scal11_abstract", "SELECT doc_id, regexp_replace(array_to_string(list_filter(string_split(text, ' '), lambda x: x <> ''), ' '), '^ | $', '', 'g') AS abstract FROM documents")
 def _scal11(spark, d):
     words = F.filter(F.split("text", " "), lambda w: w != "")
-    flat = view(spark, d, "documents").select("doc_id", F.posexplode_outer(words).alias("pos", "word"))
-    index = flat.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("word", "at")), lambda e: e["word"].isNotNull())).alias("index"))
+    index = lists.inverted(view(spark, d, "documents").select("doc_id", words.alias("words")), "doc_id")
     return index.select("doc_id", identity.abstract_of(F.col("index")).alias("abstract"))
 
 
