@@ -71,9 +71,12 @@ def _dml8(spark, d):
 
 @query("dml9_bylines", "SELECT work_id, author_id, position FROM {authorship} WHERE work_id NOT LIKE 'P1%' UNION ALL SELECT work_id, author_id, position + 5 FROM {authorship} WHERE work_id LIKE 'P1%'")
 def _dml9(spark, d):
-    rows = view(spark, d, "authorship").withColumn("position", F.col("position").cast("long"))
+    """Works get their bylines anew, some twice over and some without a name; the rows are written once, as all parts read them."""
+    rows = graph.cut(view(graph.in_pieces(spark), d, "authorship").withColumn("position", F.col("position").cast("long")))
     new = rows.filter("work_id LIKE 'P1%'").withColumn("position", F.col("position") + 5)
-    return merge.replace_bylines(rows, new.unionByName(new.withColumn("position", F.col("position") + 1)).unionByName(new.withColumn("author_id", F.lit(""))))
+    later = F.struct("author_id", (F.col("position") + 1).alias("position"))
+    lines = F.explode(F.array(F.struct("author_id", "position"), later, F.struct(F.lit("").alias("author_id"), "position")))
+    return graph.cut(merge.replace_bylines(rows, new.select("work_id", lines.alias("l")).select("work_id", "l.*")), spark)
 
 
 @query("dml10_delete", "SELECT from_work, to_work FROM {cites} WHERE from_work NOT IN (SELECT 'P' || p_partkey FROM part WHERE p_size > 25) AND to_work NOT IN (SELECT 'P' || p_partkey FROM part WHERE p_size > 25)")
