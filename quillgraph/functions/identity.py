@@ -166,11 +166,13 @@ def expand_ranges(text: str, most: int = 30) -> list[int]:
 
 
 def ranges_of(c: Column, most: int = 30) -> Column:
-    """`expand_ranges` of a column, in built-in expressions."""
-    part = r"^([0-9]{1,3})(?:\s*[–—-]\s*([0-9]{1,3}))?$"
-    pairs = F.transform(F.split(F.trim(c), r"\s*[,;]\s*"), lambda p: F.struct(F.regexp_extract(p, part, 1).try_cast("int").alias("a"), F.coalesce(F.regexp_extract(p, part, 2).try_cast("int"), F.regexp_extract(p, part, 1).try_cast("int")).alias("b")))
-    good = F.forall(pairs, lambda p: p["a"].isNotNull() & (p["b"] >= p["a"]) & (p["b"] - p["a"] < most))
-    return F.when(good, F.flatten(F.transform(pairs, lambda p: F.sequence(p["a"], p["b"])))).when(c.isNotNull(), F.array().cast("array<int>"))
+    """`expand_ranges` of a column, in built-in expressions: the whole is matched once, each part looked at once, and a bad range makes all of them null."""
+    part = r"[0-9]{1,3}(?:\s*[–—-]\s*[0-9]{1,3})?"
+    good = F.rlike(c, F.lit(rf"^\s*{part}(?:\s*[,;]\s*{part})*+\s*$"))
+    parts = F.split(F.translate(c, "–—; \t\n\x0b\f\r", "--,"), ",")
+    pairs = F.transform(parts, lambda p: F.struct(F.substring_index(p, "-", 1).try_cast("int").alias("a"), F.substring_index(p, "-", -1).try_cast("int").alias("b")))
+    numbers = F.flatten(F.transform(pairs, lambda p: F.when((p["b"] >= p["a"]) & (p["b"] - p["a"] < most), F.sequence(p["a"], p["b"]))))
+    return F.coalesce(F.when(good, numbers), F.when(c.isNotNull(), F.array().cast("array<int>")))
 
 
 @F.pandas_udf(KIND_VALUE)

@@ -22,3 +22,19 @@ def test_bylines_read_their_rows_once(spark, data):
     assert not [f for f in rows.inputFiles() if "lineitem" in f]
     moved = F.col("work_id").like("P1%")
     assert {tuple(r) for r in rows.groupBy(moved).agg(F.min("position")).collect()} == {(True, 5), (False, 0)}
+
+
+def test_ranges_look_at_a_part_once(spark):
+    """The column against the plain function, and each part of a marker neither matched nor split by an expression more than once."""
+    import random
+
+    from quillgraph.functions import identity
+
+    rng = random.Random(5)
+    texts = ["", " ", "3", " 3-5 , 9 ", "5-3", "1-30", "1-31", "1--2", "1-2-3", "-1", "1-", "1,,2", "1,", ",1", "1 2", "1000", "999", "3\n", "\t4", "2 – 4; 7—8", "1,2,x", "1" + ", 2-3" * 20_000, "1" + " " * 20_000 + "x"]
+    texts += ["".join(rng.choice(["1", "2", "7", "12", "-", "–", "—", ",", ";", " ", "\n", "x"] if rng.random() < 0.3 else ["1", "-", "3", ",", " 5 ", "; 2"]) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    found = rows.select("i", identity.ranges_of(F.col("t")).alias("n"))
+    assert {r["i"]: r["n"] for r in found.collect()} == {i: identity.expand_ranges(t) for i, t in enumerate(texts)} | {len(texts): None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "regexp_extract" not in plan
