@@ -14,12 +14,7 @@ from quillgraph.views import view
 @query("src5_citing", "SELECT origin, work_id, CAST(place AS INT) AS place, total FROM (SELECT c.to_work AS origin, w.work_id, row_number() OVER (PARTITION BY c.to_work ORDER BY w.cited_by_count DESC, w.work_id) AS place, count(*) OVER (PARTITION BY c.to_work) AS total FROM {cites} c JOIN {works} w ON w.work_id = c.from_work) x WHERE place <= 10")
 def _src5(spark, d):
     """The ten most cited works that cite each work, and how many there are."""
-    works, cites = view(spark, d, "works"), view(spark, d, "cites")
-    found = cites.join(works, cites.from_work == works.work_id).withColumnRenamed("to_work", "origin")
-    place = F.row_number().over(Window.partitionBy("origin").orderBy(F.col("cited_by_count").desc(), "work_id"))
-    totals = found.groupBy("origin").agg(F.count("*").alias("total"))
-    # Alone, the rank is limited before the shuffle, so no task sorts all works that cite a hub.
-    return found.withColumn("place", place).filter("place <= 10").join(totals, "origin").select("origin", "work_id", "place", "total")
+    return graph.citing(view(spark, d, "works"), view(spark, d, "links"), 10)
 
 
 @query("jn8_by_either_id", "SELECT work_id FROM {works} WHERE work_id IN ('C1', 'R0') OR index_id IN ('O1', 'P5')")

@@ -38,3 +38,29 @@ def test_ranges_look_at_a_part_once(spark):
     assert {r["i"]: r["n"] for r in found.collect()} == {i: identity.expand_ranges(t) for i, t in enumerate(texts)} | {len(texts): None}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and "regexp_extract" not in plan
+
+
+def test_citing_with_hubs_and_repeats(spark):
+    """Both ways, by one shuffle and by parts, against plain Python: repeats count once, unknown works not at all, ties go by id."""
+    import random
+
+    rng = random.Random(3)
+    works = {f"W{i}": rng.randint(0, 3) for i in range(60)}
+    pairs = [(f"W{rng.randrange(70)}", rng.choice(["hub", "hub", f"T{rng.randrange(8)}", None])) for _ in range(600)] + [(None, "T1"), ("W1", "lone"), ("W1", "lone")]
+    rows, links = spark.createDataFrame(list(works.items()), "work_id string, cited_by_count long"), spark.createDataFrame(pairs, "from_work string, to_work string").repartition(5)
+    want = set()
+    for origin in {o for _, o in pairs}:
+        by = sorted({w for w, o in pairs if o == origin and w in works}, key=lambda w: (-works[w], w))
+        want |= {(origin, w, k + 1, len(by)) for k, w in enumerate(by[:4])}
+    for crowd in (0, 100, 10_000):
+        got = [tuple(r) for r in graph.citing(rows, links, 4, crowd).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_citing_shuffles_links_once(spark, data):
+    from quillgraph.views import view
+
+    both = [{tuple(r) for r in view(spark, data, name).select("from_work", "to_work").distinct().collect()} for name in ("links", "edges")]
+    assert both[0] == both[1]
+    plan = QUERIES["src5_citing"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan
