@@ -12,3 +12,18 @@ def test_a_step_of_clustering_is_few_jobs(spark):
     assert jobs() - before < 150  # 216 when each shuffle was a job
     assert found == {f"{p}{i}": f"{p}0" for p in "ab" for i in range(4)}
     assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive
+
+
+def test_mapped_moves_are_the_moves_of_the_joins(spark, monkeypatch):
+    import random
+
+    from quillgraph.operators import moves
+
+    monkeypatch.setattr(moves, "FEW", 100)  # many parts
+    rng = random.Random(5)
+    pairs = {tuple(sorted((f"n{rng.randrange(150)}", f"n{rng.randrange(150)}"))) for _ in range(500)}
+    pairs |= {tuple(sorted((f"n{i}", f"n{i - i % 10 + rng.randrange(10)}"))) for i in range(150) for _ in range(4)}
+    table = spark.createDataFrame(sorted(p for p in pairs if p[0] != p[1]), "a string, b string")
+    rows = lambda mapped: {r["work_id"]: r["cluster"] for r in graph.clustered(table, mapped=mapped).collect()}
+    assert rows(True) == rows(False)
+    assert moves.folder_of("hdfs://store/a") is None and moves.folder_of("file:///tmp/a") == moves.folder_of("file:/tmp/a") == "/tmp/a"
