@@ -160,3 +160,16 @@ def test_long_titles_of_few_words_are_not_taken_apart_into_rows(spark):
     found = {(r["ask"], r["work_id"]) for r in titles.similar(asked, works).collect()}
     assert found == {(i, f"w{i}") for i in range(1, 15)}
     assert sum(pq.ParquetFile(f).metadata.num_rows for f in set(glob.glob(folder)) - earlier) < 3 * len(held)
+
+
+def test_typed_titles_are_broadcast_in_rounds_of_bounded_size(spark, monkeypatch):
+    rng = random.Random(8)
+    held = ["".join(rng.choice("abcdef") for _ in range(30)) for _ in range(40)]
+    works = spark.createDataFrame([(f"w{i}", t) for i, t in enumerate(held)], "work_id string, title string")
+    asked = spark.createDataFrame([(i, "x" + t) for i, t in enumerate(held) for _ in range(2)], "ask int, typed string")
+    monkeypatch.setattr(titles, "LETTERS", 3000)  # three rows of 71 for each of 40 titles: 8,520 in three rounds
+    sizes, broadcast = [], titles.F.broadcast
+    monkeypatch.setattr(titles.F, "broadcast", lambda df: sizes.append(df.selectExpr("sum(typed_n + 40)").first()[0]) or broadcast(df))
+    found = [(r["ask"], r["work_id"]) for r in titles.similar(asked, works).collect()]
+    assert sorted(found) == sorted((i, f"w{i}") for i in range(40) for _ in range(2))
+    assert len(sizes) == 3 and sum(sizes) == 40 * 3 * 71 and max(sizes) < 2 * 3000
